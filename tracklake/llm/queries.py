@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm import packing, repetition, tokens
+from tracklake.llm import classifier, hamming, html_text, licenses, neardup, packing, repetition, tokens, urls
 from tracklake.llm._session import table
 
 
@@ -16,6 +16,18 @@ def _vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = classifier.fit(docs, labels.where(~held_out))
+    return classifier.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op2_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = hamming.codes(table(spark, sf_dir, "embeddings"))
+    return hamming.top_k(codes, codes.where("id % 50 = 0"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _vocabulary())
 
@@ -24,14 +36,40 @@ def op4_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_decode(table(spark, sf_dir, "documents"), _vocabulary(), keep=False)
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.unwanted_hosts(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_quality(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_best_fit_packing": op3_best_fit_packing,
-    "op4_bpe_chunk_reuse": op4_bpe_chunk_reuse,
-    "op9_repetition_rules": op9_repetition_rules,
+    f.__name__: f
+    for f in (
+        op1_byte_convolution,
+        op2_multi_index_hashing,
+        op3_best_fit_packing,
+        op4_bpe_chunk_reuse,
+        op5_minhash_near_dedup,
+        op6_html_layout,
+        op7_url_filter,
+        op9_repetition_rules,
+        op10_license_scan,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
