@@ -7,20 +7,28 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder and read from there: a lost executor repeats nothing before.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, a folder that the driver and all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where none is set and the master is local (as in
-    tests) a temporary one takes its place; on a cluster without one this is an error.
+    Only where none is set and the master is local (as in tests) a temporary one takes its place; on a cluster
+    without one this is an error.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(folder)
+    sc = spark.sparkContext
+    folder = sc._jsc.sc().getCheckpointDir()
+    if folder.isDefined():
+        return folder.get()
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoint-")
+    sc.setCheckpointDir(named)
+    return named
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows written to the shared checkpoint folder and read from there: a lost executor repeats nothing before."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -148,7 +148,7 @@ def parse(markup: str) -> Node:
             stack.append(node)
             open_[tag] += 1
     if at < len(markup):
-        stack[-1].children.append(markup[at:])
+        stack[-1].children.append(markup[at:].partition("<!--")[0])
     return root
 
 

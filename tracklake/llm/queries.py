@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm import classifier, hamming, html_text, licenses, neardup, packing, repetition, tokens, urls
+from tracklake.llm import classifier, hamming, html_text, licenses, neardup, packing, pii, repetition, tokens, urls
 from tracklake.llm._session import table
 
 
@@ -49,6 +49,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.unwanted_hosts(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = pii.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), "replace-this-key", report=True)
+    return changed.select("doc_id", "n_entities", "entity_kinds", "text")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_minhash_near_dedup,
         op6_html_layout,
         op7_url_filter,
+        op8_surrogates,
         op9_repetition_rules,
         op10_license_scan,
     )
