@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklake.llm._session import checkpointed, shuffle_partitions
+from tracklake.llm._session import checkpointed
 
 BITS = 64
 
@@ -38,7 +38,7 @@ class SearchPolicy:
     segments: int = 4
     #: Most rows and queries of a block, on average.
     block_rows: int = 500_000
-    block_queries: int = 20_000
+    block_queries: int = 500_000
 
 
 def sign_code(vector: Column) -> Column:
@@ -122,8 +122,10 @@ def top_k(base: DataFrame, queries: DataFrame, policy: SearchPolicy = SearchPoli
     by_code = Window.partitionBy("code").orderBy("id")
     few = checkpointed(base.withColumn("_n", F.row_number().over(by_code)).where(F.col("_n") <= policy.k + 1).drop("_n"))
     asked = checkpointed(queries)
-    blocks = max(shuffle_partitions(base.sparkSession), -(-few.count() // policy.block_rows))
-    query_blocks = max(1, -(-asked.count() // policy.block_queries))
+    blocks = max(1, -(-few.count() // policy.block_rows))
+    # few blocks of rows are met by more blocks of queries, so that all cores have one
+    parallel = base.sparkSession.sparkContext.defaultParallelism
+    query_blocks = max(1, -(-asked.count() // policy.block_queries), -(-parallel // blocks))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = few.withColumn("i", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int")).withColumn("j", each(query_blocks))
     questions = asked.withColumn("j", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int")).withColumn("i", each(blocks))
@@ -133,6 +135,8 @@ def top_k(base: DataFrame, queries: DataFrame, policy: SearchPolicy = SearchPoli
         number, found, distance = search_block(ids, code.view(np.uint64), query_ids, query.view(np.uint64), policy) if len(ids) else (np.zeros(0, np.int64),) * 3
         return pa.table({"query_id": query_ids[number], "id": found, "distance": distance.astype(np.int32)})
 
-    met = rows.groupBy("i", "j").cogroup(questions.groupBy("i", "j")).applyInArrow(run, "query_id long, id long, distance int")
+    # a given number of partitions, for small rows with much work each would else be put together in one task
+    dealt = [x.repartition(blocks * query_blocks, "i", "j").groupBy("i", "j") for x in (rows, questions)]
+    met = dealt[0].cogroup(dealt[1]).applyInArrow(run, "query_id long, id long, distance int")
     nearest = Window.partitionBy("query_id").orderBy("distance", "id")
     return met.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= policy.k).select("query_id", "rank", "id", "distance")
