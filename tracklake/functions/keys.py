@@ -10,7 +10,7 @@ PAIR_BASE = 2147483647
 
 
 def pair_id(a: Column, b: Column) -> Column:
-    return F.least(a, b) * PAIR_BASE + F.greatest(a, b)
+    return F.least(a, b).cast("long") * PAIR_BASE + F.greatest(a, b)
 
 
 def pair_members(pair: Column) -> tuple[Column, Column]:
