@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracklake.llm import classifier, hamming, html_text, licenses, neardup, packing, pii, repetition, tokens, urls
 from tracklake.llm._session import table
+from tracklake.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def _vocabulary() -> str:
@@ -59,7 +60,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition_quality(table(spark, sf_dir, "documents"))
+    out = repetition.repetition_quality(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 9) for c in ("top_share", "line_share")})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -77,5 +79,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_license_scan,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {}
