@@ -80,9 +80,10 @@ def one_to_one(reference: DataFrame, sample: DataFrame, tolerance_ns: int, key:
     The two streams are cut where a gap exceeds the tolerance; the carried state of the pairing is inside one piece.
     """
     held = islands(_sides(reference, sample, key, time, index).drop("s", "bucket"), tolerance_ns)
-    # pieces with one side only hold no pair and don't leave the JVM
+    # pieces with one side only hold no pair and don't leave the JVM; a worker takes some that follow each other
     sides = Window.partitionBy("key", "island")
-    held = held.withColumn("_n", F.size(F.collect_set("side").over(sides))).where("_n = 2").drop("_n")
+    held = held.withColumns({"_low": F.min("side").over(sides), "_high": F.max("side").over(sides)}).where("_low < _high").drop("_low", "_high")
+    held = held.withColumn("island", F.floor(F.col("island") / 256).cast("long"))
     key_type = reference.schema[key].dataType.simpleString()
 
     def pair(piece: pd.DataFrame) -> pd.DataFrame:

@@ -1,7 +1,7 @@
 """Keyframes: forced reasons, then motion since the last selected frame.
 
-A forced frame is always selected, so the state starts anew there: the scan runs apart for every stretch from one
-forced frame to the next, many of them in one segment.
+A forced frame is always selected, so the state starts anew there: stretches from one forced frame to the next can be
+scanned apart, many of them in one segment.
 """
 
 from __future__ import annotations
@@ -19,6 +19,10 @@ from tracklake.operators.quality import runs
 REASONS = ("endpoint", "turn_entry", "turn_peak", "turn_exit", "gnss_before_change", "gnss_state_change", "spatial_revisit_source", "spatial_revisit", "translation", "rotation", "max_elapsed", "quality_override")
 
 
+#: Stretches between forced frames that a worker takes at once.
+STRETCHES = 256
+
+
 @dataclass(frozen=True)
 class KeyframePolicy:
     translation_m: float = 0.5
@@ -49,9 +53,11 @@ def select_keyframes(frames: DataFrame, forced: DataFrame, policy: KeyframePolic
     w = Window.partitionBy(key).orderBy(time, index)
     held = frames.select(key, index, time, "x", "y", "z", "qx", "qy", "qz", "qw", "acceptable").join(forced, [key, index], "left")
     held = held.withColumn("_anchor", F.sum(F.col("reasons").isNotNull().cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # the next stretch's first frame is compared with this one's last selected, so it closes this stretch as well
-    starts = held.where("reasons is not null and _anchor > 1").withColumn("_anchor", F.col("_anchor") - 1).withColumn("_closing", F.lit(True))
-    held = held.withColumn("_closing", F.lit(False)).unionByName(starts)
+    # a worker takes some stretches that follow each other; the frame after them, forced and so selected, is theirs
+    # to report, for its motion is measured from their last selected frame
+    held = held.withColumn("_part", F.floor((F.col("_anchor") - 1) / STRETCHES).cast("long"))
+    starts = held.where((F.col("_anchor") - 1) % STRETCHES == 0).where("reasons is not null and _part > 0").withColumn("_part", F.col("_part") - 1)
+    held = held.unionByName(starts)
     kind = lambda c: frames.schema[c].dataType.simpleString()
     limit = lambda x: x - 1e-12 * max(1.0, abs(x))
 
@@ -59,7 +65,7 @@ def select_keyframes(frames: DataFrame, forced: DataFrame, policy: KeyframePolic
         part = part.sort_values([time, index])
         p, q, t = part[["x", "y", "z"]].to_numpy(), part[["qx", "qy", "qz", "qw"]].to_numpy(), part[time].to_numpy()
         out, last = [], None
-        for i, (given, fine, closing) in enumerate(zip(part["reasons"], part["acceptable"], part["_closing"], strict=True)):
+        for i, (given, fine) in enumerate(zip(part["reasons"], part["acceptable"], strict=True)):
             found = set() if given is None else set(given)
             if last is not None:
                 if np.linalg.norm(p[i] - p[last]) >= limit(policy.translation_m):
@@ -72,9 +78,9 @@ def select_keyframes(frames: DataFrame, forced: DataFrame, policy: KeyframePolic
                 continue
             if not fine:
                 found.add("quality_override")
-            if closing or given is None or part["_anchor"].iloc[0] == 1:
+            if i or not part["_part"].iloc[0]:
                 out.append((part[key].iloc[i], part[index].iloc[i], ",".join(r for r in REASONS if r in found)))
             last = i
         return pd.DataFrame(out, columns=[key, index, "reasons"])
 
-    return held.groupBy(key, "_anchor").applyInPandas(scan, f"`{key}` {kind(key)}, `{index}` {kind(index)}, reasons string")
+    return held.groupBy(key, "_part").applyInPandas(scan, f"`{key}` {kind(key)}, `{index}` {kind(index)}, reasons string")

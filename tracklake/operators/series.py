@@ -148,11 +148,12 @@ def every_kth(df: DataFrame, w: WindowSpec, k: int, offset: int = 0) -> DataFram
 def decimated(df: DataFrame, interval: int, key: str, time: str, index: str) -> DataFrame:
     """key, index, time of rows at least ``interval`` after the last accepted one. The state is carried inside a key.
 
-    Gaps of the interval or more restart it whatever came before, so a key is cut there and pieces run apart.
+    Gaps of the interval or more restart it whatever came before, so a key is cut there; a worker takes some pieces
+    that follow each other.
     """
     w = Window.partitionBy(key).orderBy(time, index)
     restart = F.coalesce(F.col(time) - F.lag(time).over(w) >= interval, F.lit(True))
-    pieces = df.select(key, index, time).withColumn("_piece", F.sum(restart.cast("long")).over(_so_far(w)))
+    pieces = df.select(key, index, time).withColumn("_piece", F.floor(F.sum(restart.cast("long")).over(_so_far(w)) / 256).cast("long"))
     kind = lambda c: df.schema[c].dataType.simpleString()
 
     def accept(piece: pd.DataFrame) -> pd.DataFrame:
