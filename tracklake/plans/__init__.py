@@ -2,5 +2,6 @@
 
 from tracklake.plans import space_queries as space_queries
 from tracklake.plans import time_queries as time_queries
+from tracklake.plans import trajectory_queries as trajectory_queries
 from tracklake.plans.registry import ORACLE_SQL as ORACLE_SQL
 from tracklake.plans.registry import QUERIES as QUERIES
