@@ -1,5 +1,6 @@
 """Registered queries: operators applied to the test tables, with the SQL that gives the same rows."""
 
+from tracklake.plans import matching_queries as matching_queries
 from tracklake.plans import planning_queries as planning_queries
 from tracklake.plans import space_queries as space_queries
 from tracklake.plans import time_queries as time_queries
