@@ -59,7 +59,7 @@ def _padded(data: np.ndarray, off: np.ndarray, policy: ClassifierPolicy) -> tupl
     size = np.diff(off)
     halves = np.maximum(1, -(-size // half))
     begin = np.concatenate([[0], np.cumsum(halves * half)])
-    out = np.full(begin[-1] + stride, 256, np.int64)
+    out = np.full(begin[-1] + stride, 256, np.uint16)
     out[np.repeat(begin[:-1] - off[:-1], size) + np.arange(len(data))] = data
     return out, halves
 

@@ -30,9 +30,9 @@ from tokenizers import Tokenizer
 from tracklake.llm import _text
 
 #: Bounds of what a Python worker keeps: words, parts of words, and bytes of chunks.
-WORDS_KEPT = 1_500_000
-PARTS_KEPT = 300_000
-CHUNK_BYTES_KEPT = 24 << 20
+WORDS_KEPT = 400_000
+PARTS_KEPT = 100_000
+CHUNK_BYTES_KEPT = 16 << 20
 #: A cut comes where the low bits of the rolling hash are all zero: every 512 bytes on average.
 CUT_MASK = np.uint32(511)
 _WINDOW = 16
@@ -73,9 +73,20 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.hash, self.at, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hash, self.at, self.length, self.again = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         self.pool, self.filled = np.zeros(1 << 16, np.uint32), 0
 
+    def _make_room(self, n: int) -> None:
+        """Past the bound only words that came in more than one slice stay; if they are too many as well, none."""
+        if len(self.hash) + n <= WORDS_KEPT:
+            return
+        keep = self.again
+        if keep.sum() + n > WORDS_KEPT * 3 // 4:
+            return self._forget()
+        pool, ends = _gather(self.pool, self.at[keep], self.length[keep])
+        self.hash, self.length, self.at, self.again = self.hash[keep], self.length[keep], ends[:-1], np.zeros(int(keep.sum()), bool)
+        self.pool, self.filled = pool, len(pool)
+
     def _encode(self, word: bytes) -> list[int]:
         text = word.decode("utf-8", "replace")
         if not self.plain or b"<|" in word or not (word.isascii() or _PLAIN(text)):
@@ -90,8 +101,6 @@ class WordEncoder:
         return got
 
     def _learn(self, hashes: np.ndarray, new: list[bytes]) -> None:
-        if len(self.hash) + len(new) > WORDS_KEPT:
-            self._forget()
         if len(self.parts) > PARTS_KEPT:
             self.parts = {}
         found = list(map(self._encode, new))
@@ -104,20 +113,27 @@ class WordEncoder:
         at = self.filled + np.cumsum(length) - length
         self.filled = end
         place = np.searchsorted(self.hash, hashes)
-        self.hash, self.at, self.length = np.insert(self.hash, place, hashes), np.insert(self.at, place, at), np.insert(self.length, place, length)
+        self.hash, self.at, self.length, self.again = (np.insert(a, place, b) for a, b in ((self.hash, hashes), (self.at, at), (self.length, length), (self.again, False)))
+
+    def _find(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of hashes among the known ones, and which are not known."""
+        if not len(self.hash):
+            return np.zeros(len(distinct), np.int64), np.ones(len(distinct), bool)
+        place = np.minimum(np.searchsorted(self.hash, distinct), len(self.hash) - 1)
+        return place, self.hash[place] != distinct
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows of a slice, one after another, and the n + 1 offsets of the rows among them."""
         w = _text.words(data, off, _text.BLANK)
         distinct, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.hash, distinct), max(0, len(self.hash) - 1))
-        fresh = self.hash[place] != distinct if len(self.hash) else np.ones(len(distinct), bool)
+        place, fresh = self._find(distinct)
         if fresh.any():
-            if len(self.hash) + fresh.sum() > WORDS_KEPT:
-                fresh[:] = True
+            self.again[place[~fresh]] = True
+            self._make_room(int(fresh.sum()))
+            place, fresh = self._find(distinct)
             raw, at = data.tobytes(), first[fresh]
             self._learn(distinct[fresh], [raw[i:j] for i, j in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
-            place = np.searchsorted(self.hash, distinct)
+            place, _ = self._find(distinct)
         ids, ends = _gather(self.pool, self.at[place][which], self.length[place][which])
         return ids, ends[w.first]
 
