@@ -171,3 +171,14 @@ def test_streamed_order_check(spark, tmp_path):
     rows = [("a", i, t) for i, t in enumerate([1, 3, 2, 5, 5, 9])]
     got = streamed(spark, tmp_path, rows, "segment_id string, i long, t long", pairing.out_of_order_stream)
     assert sorted(r.i for r in got) == [2, 4]
+
+
+def test_streamed_nearest(spark, tmp_path):
+    rng = random.Random(5)
+    ref, smp = (sorted(rng.sample(range(3000), 50)) for _ in range(2))
+    rows = sorted([("a", 0, i, t) for i, t in enumerate(ref)] + [("a", 1, i, t) for i, t in enumerate(smp)] + [("a", 1, 999, 10**6)], key=lambda r: r[3])
+    got = streamed(spark, tmp_path, rows, "segment_id string, side int, i long, t long", lambda s: pairing.nearest_stream(s, 40))
+    for r in got:
+        j = min(range(50), key=lambda j: (abs(smp[j] - ref[r.i]), smp[j]))
+        assert (r.sample_index, r.residual_ns) == ((j, smp[j] - ref[r.i]) if abs(smp[j] - ref[r.i]) <= 40 else (None, None))
+    assert len(got) == 50

@@ -95,3 +95,38 @@ def quality_counts(rows: DataFrame, window: str = "1 hour", late: str = "10 minu
     held = rows.withWatermark(time, late) if rows.isStreaming else rows
     out = held.groupBy(F.window(time, window).alias("w"), quality).agg(F.count("*").alias("n"))
     return out.select(F.col("w.start").alias("start"), quality, "n")
+
+
+def nearest_stream(rows: DataFrame, tolerance_ns: int, key: str = "segment_id") -> DataFrame:
+    """key, i, t, sample_index, residual_ns: the nearest sample of each reference in a stream of (key, side 0 or 1, i, t).
+
+    A reference is answered as soon as a sample at or after it has come, or nothing near can come any more because its
+    own side is further than the tolerance; ties go to the earlier sample, none in tolerance gives nulls. Rows must
+    come in time order of each side. The state holds the references that wait, and samples within the tolerance of them.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+
+    def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        wait, samples, newest = (list(map(tuple, x)) for x in state.get) if state.exists else ([], [], [])
+        out = []
+
+        def answer(t: int, i: int) -> None:
+            near = min(samples, key=lambda s: (abs(s[0] - t), s[0] > t, s[1]), default=None)
+            good = near is not None and abs(near[0] - t) <= tolerance_ns
+            out.append((name[0], i, t, near[1] if good else None, near[0] - t if good else None))
+
+        for part in parts:
+            for row in part.sort_values(["t", "side", "i"]).itertuples(index=False):
+                (samples if row.side else wait).append((int(row.t), int(row.i)))
+                newest = [(max(int(row.t), newest[0][0] if newest else int(row.t)), 0)]
+                while wait and ((samples and samples[-1][0] > wait[0][0]) or newest[0][0] > wait[0][0] + tolerance_ns):
+                    answer(*wait.pop(0))
+                oldest = wait[0][0] if wait else newest[0][0]
+                while len(samples) > 1 and samples[0][0] < oldest - tolerance_ns:
+                    samples.pop(0)
+        state.update(tuple([list(x) for x in held] for held in (wait, samples, newest)))
+        yield pd.DataFrame(out, columns=[key, "i", "t", "sample_index", "residual_ns"]).astype({"sample_index": "Int64", "residual_ns": "Int64"})
+
+    out_type = f"`{key}` {kind}, i long, t long, sample_index long, residual_ns long"
+    lists = "array<array<long>>"
+    return rows.groupBy(key).applyInPandasWithState(step, out_type, f"wait {lists}, samples {lists}, newest {lists}", "append", GroupStateTimeout.NoTimeout)
