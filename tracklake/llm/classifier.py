@@ -5,8 +5,9 @@ A text's UTF-8 bytes are looked up in a learned embedding; learned filters over
 bytes that overlap by half; the mean and the largest of the chunks' values, over all chunks, combine to one logistic
 score. No part of a text is left out, and a long text costs memory for one slice's answers only.
 
-Training takes a bounded sample of labelled rows (``sample`` rows, those with the smallest hashes of their ids, of
-which ``train_bytes`` from one place each step are looked at) to the driver; scoring covers everything.
+Training takes a bounded sample of labelled rows (``sample`` rows, those with the smallest hashes of their ids, and of
+each at most ``places`` passages of ``train_bytes`` characters from anywhere in the text) to the driver; scoring covers
+everything.
 
 Defined results: a null or empty text is scored as a text of no bytes (one chunk of zeros); repeated rows get equal
 scores; rows with a null label are not learned from; no label at all gives 0.5 for every text; other columns of the
@@ -36,6 +37,8 @@ class ClassifierPolicy:
     #: Bound of the labelled rows that training sees.
     sample: int = 6000
     train_bytes: int = 2048
+    #: Passages of a long text that training sees; the driver gets at most sample * places * train_bytes characters.
+    places: int = 8
     steps: int = 700
     batch: int = 64
     rate: float = 0.004
@@ -97,13 +100,13 @@ def score_slice(data: np.ndarray, off: np.ndarray, model: Model, policy: Classif
     return 1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -30, 30)))
 
 
-def train(texts: list[str], labels: np.ndarray, policy: ClassifierPolicy = ClassifierPolicy()) -> Model:
-    """Adam on the logistic loss, both labels weighted alike in each batch."""
+def train(texts: list[list[str]], labels: np.ndarray, policy: ClassifierPolicy = ClassifierPolicy()) -> Model:
+    """Adam on the logistic loss, both labels weighted alike in each batch. ``texts``: passages of each text, at least one."""
     rng = np.random.default_rng(policy.seed)
     width = policy.stride * policy.embedding
     f32 = lambda x: x.astype(np.float32)
     model = Model(f32(rng.normal(0, 0.5, (257, policy.embedding))), f32(rng.normal(0, width**-0.5, (width, policy.filters))), f32(rng.normal(0, width**-0.5, (width, policy.filters))), np.zeros(policy.filters, np.float32), f32(rng.normal(0, 0.1, policy.filters)), f32(rng.normal(0, 0.1, policy.filters)), 0.0)
-    rows = [np.frombuffer((t or "").encode(), np.uint8) for t in texts]
+    rows = [[np.frombuffer(p.encode(), np.uint8) for p in t] for t in texts]
     sides = [np.flatnonzero(labels == 0), np.flatnonzero(labels == 1)]
     if not len(sides[0]) or not len(sides[1]):
         model.mean_weight[:] = model.max_weight[:] = 0
@@ -115,8 +118,9 @@ def train(texts: list[str], labels: np.ndarray, policy: ClassifierPolicy = Class
         chosen = np.concatenate([rng.choice(s, policy.batch // 2) for s in sides])
         parts = []
         for r in chosen.tolist():
-            at = int(rng.integers(0, max(1, len(rows[r]) - policy.train_bytes + 1)))
-            parts.append(rows[r][at : at + policy.train_bytes])
+            passage = rows[r][int(rng.integers(0, len(rows[r])))]
+            at = int(rng.integers(0, max(1, len(passage) - policy.train_bytes + 1)))
+            parts.append(passage[at : at + policy.train_bytes])
         off = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         symbols, halves = _padded(np.concatenate(parts), off, policy)
         strides, answers = _answers(symbols, model, policy)
@@ -160,8 +164,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .orderBy(F.xxhash64("_id"), "_id", "_label").limit(policy.sample)
     )
     # the sample is bounded by policy.sample rows, so it may be broadcast to the texts
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_label", F.xxhash64("_text")).limit(policy.sample).select("_text", "_label").collect()
-    return train([r[0] for r in rows], np.array([r[1] for r in rows], np.int64), policy)
+    text, n = F.coalesce(F.col("_text"), F.lit("")), policy.train_bytes
+    room = F.greatest(F.length(text) - n + 1, F.lit(1))
+    passages = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(policy.places)), lambda k: F.substr(text, F.pmod(F.xxhash64(text, k), room).cast("int") + 1, F.lit(n))))
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    rows = found.select("_id", "_label", passages.alias("_passages")).orderBy(F.xxhash64("_id"), "_label", "_passages").limit(policy.sample).select("_passages", "_label").collect()
+    return train([list(r[0]) for r in rows], np.array([r[1] for r in rows], np.int64), policy)
 
 
 def _scores(column: pa.Array, model: Model, policy: ClassifierPolicy) -> np.ndarray:
