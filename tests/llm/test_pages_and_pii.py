@@ -109,6 +109,12 @@ def test_surrogates(spark, odd, none):
     assert pii.with_surrogates(none, "k").count() == 0
 
 
+def test_surrogates_pass_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a.b@mail.example.com", "own", "key")], "doc_id long, text string, _text string, _key string")
+    r = pii.with_surrogates(df, "k").first()
+    assert (r["_text"], r["_key"]) == ("own", "key") and "a.b@" not in r.text
+
+
 def test_surrogates_stay_distinct(spark):
     """One-letter addresses have so few surrogates that first draws collide."""
     real = [f"{c}.{k}@m.example.com" for c in "abcdefghijklmnopqrstuvwxyz" for k in range(10)][:200]

@@ -227,20 +227,20 @@ def surrogate_table(entities: DataFrame, key: str, most_draws: int = 64) -> Data
 def with_surrogates(docs: DataFrame, key: str, text_col: str = "text", report: bool = False) -> DataFrame:
     """The rows with surrogates in the text; with ``report`` also n_entities and entity_kinds (sorted, comma-joined)."""
     columns = docs.columns
-    rows = docs.withColumn("_text", docs[text_col])
-    text, held = F.col("_text"), F.coalesce(F.col("_text").rlike(PATTERN), F.lit(False))
+    rows = docs.withColumn("__pii_text", docs[text_col])
+    text, held = F.col("__pii_text"), F.coalesce(F.col("__pii_text").rlike(PATTERN), F.lit(False))
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    own = rows.where(held).withColumn("_key", F.sha2(text, 256))
+    own = rows.where(held).withColumn("__pii_key", F.sha2(text, 256))
     # texts are named by their digests: copies are looked at once, and only texts that hold entities are dealt out
-    mentions = checkpointed(own.select("_key", found.alias("found")).distinct()).select("_key", F.posexplode("found").alias("at", "e"))
+    mentions = checkpointed(own.select("__pii_key", found.alias("found")).distinct()).select("__pii_key", F.posexplode("found").alias("at", "e"))
     table = surrogate_table(checkpointed(mentions.select("e").distinct()), key)
-    shown = mentions.join(table, "e").groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("at", "shown", "kind"))).alias("_shown"))
-    parts = F.zip_with(F.split(text, PATTERN, -1), F.col("_shown"), lambda p, x: F.concat(p, F.coalesce(x["shown"], F.lit(""))))
-    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("_shown", lambda x: x["kind"]))), ",")
+    shown = mentions.join(table, "e").groupBy("__pii_key").agg(F.array_sort(F.collect_list(F.struct("at", "shown", "kind"))).alias("__pii_shown"))
+    parts = F.zip_with(F.split(text, PATTERN, -1), F.col("__pii_shown"), lambda p, x: F.concat(p, F.coalesce(x["shown"], F.lit(""))))
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("__pii_shown", lambda x: x["kind"]))), ",")
 
     def finished(df: DataFrame, replaced: Column, n: Column, kinds: Column) -> DataFrame:
         more = [n.cast("long").alias("n_entities"), kinds.alias("entity_kinds")]
         return df.select(*[replaced.alias(c) if c == text_col else F.col(f"`{c}`") for c in columns], *(more if report else []))
 
-    changed = finished(own.join(shown, "_key"), F.array_join(parts, ""), F.size("_shown"), kinds)
+    changed = finished(own.join(shown, "__pii_key"), F.array_join(parts, ""), F.size("__pii_shown"), kinds)
     return changed.unionByName(finished(rows.where(~held), text, F.lit(0), F.lit("")))
