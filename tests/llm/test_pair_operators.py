@@ -76,6 +76,21 @@ def test_near_duplicates_odd_input(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == odd.count() - 1
 
 
+def test_keep_one_row_of_each_group(spark):
+    """Repeated rows, several texts of one id, null ids (copies of each other and of others), and texts without words."""
+    base = [f"w{k}" for k in range(60)]
+    near = [" ".join(base[:k] + ["changed"] + base[k + 1 :]) for k in (0, 59)]
+    other, third = (" ".join(f"{c}{k}" for k in range(60)) for c in "xy")
+    rows = [(5, " ".join(base), "b"), (5, " ".join(base), "a"), (5, " ".join(base), "a"), (7, near[0], "c"), (None, " ".join(base), "d"), (None, near[1], "e")]
+    rows += [(7, other, "f"), (None, other, "g"), (None, third, "h"), (None, third, "h"), (None, third + " more", "i"), (9, "", "j"), (9, "", "j"), (10, "", "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string").repartition(3)
+    got = neardup.keep_one_row(df)
+    assert got.columns == df.columns
+    found = sorted((r.doc_id or 0, r.node) for r in got.collect())
+    assert found[1:] == [(5, "a"), (7, "f"), (9, "j"), (10, "k")] and found[0] in [(0, "h"), (0, "i")]
+    assert neardup.keep_one_row(df.where("false")).count() == 0
+
+
 def test_one_text_in_a_third_of_all_rows(spark):
     rows = [(i, f"the same words stand in row after row here {i if i % 3 else ''} {i if i % 3 else ''} {i if i % 3 else ''}") for i in range(300)]
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -17,8 +17,9 @@ With the default bands two texts of similarity 0.75 miss all common buckets with
 texts. Shingles and sets are told apart by 64-bit hashes.
 
 Defined results: a text without words has an empty set and is linked with nothing; repeated rows get equal results;
-a row with a null id takes part but names no component: such a row is linked only to equal sets, and is kept if no
-row of its class has an id. Other columns of the input aren't looked at.
+a row with a null id takes part (its text's digest stands for it) but names no component, which is null only if no row
+of it has an id. Ids may repeat: ``near_duplicates`` names ids, so all rows of a component's id say kept; ``keep_one_row``
+goes by id and text and keeps one row. Other columns of the input aren't looked at.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.llm import _text
@@ -129,15 +130,16 @@ def _signed(source: DataFrame, id_col: str, policy: NearDupPolicy) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
+                        batch.column(2).slice(i, j - i),
                         pa.array(np.diff(first)),
                         pa.array(set_ids(value, first), mask=empty),
                         _lists(keys.reshape(-1), np.arange(j - i + 1) * policy.bands),
                         pa.array([x.tobytes() for x in sketch], pa.binary()),
                     ],
-                    [id_col, "n_shingles", "node", "bands", "sketch"],
+                    [id_col, "_digest", "n_shingles", "node", "bands", "sketch"],
                 )
 
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, n_shingles long, node long, bands array<long>, sketch binary")
+    return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, _digest long, n_shingles long, node long, bands array<long>, sketch binary")
 
 
 def _useful(edges: DataFrame, policy: NearDupPolicy) -> DataFrame:
@@ -194,12 +196,17 @@ def link_sets(node: np.ndarray, flat: np.ndarray, first: np.ndarray, percent: in
     return root[label]
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", policy: NearDupPolicy = NearDupPolicy()) -> DataFrame:
-    """Id, n_shingles, component_id (smallest id reachable), kept: one row per input row."""
-    source = docs.select(docs[id_col], docs[text_col].alias("_text"))
+def _first_row(id_col: str) -> Column:
+    """The smallest (id, text digest) of a group; rows without an id come last."""
+    return F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_digest").alias("digest")))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, policy: NearDupPolicy) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, _digest, n_shingles, node, bands, sketch) and, for each node, the first row of its component."""
+    source = docs.select(docs[id_col], docs[text_col].alias("_text"), F.xxhash64(docs[text_col]).alias("_digest"))
     rows = checkpointed(_signed(source, id_col, policy))
     classes = checkpointed(
-        rows.where("node is not null").groupBy("node").agg(F.min(id_col).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        rows.where("node is not null").groupBy("node").agg(_first_row(id_col).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     )
     bucket = classes.select("node", F.explode("bands").alias("key"))
     star = bucket.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("held")).where("held > 1").select("key", "center")
@@ -215,18 +222,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = clusters.withColumnRenamed("root", "cluster").join(classes.select("node", "rep", "n"), "node")
     blocks = F.ceil(F.sum(8 * F.col("n")) / F.lit(policy.block_bytes)).cast("int")
     large = checkpointed(member.groupBy("cluster").agg(blocks.alias("blocks")).where("blocks > 1"))
-    member = member.join(large, "cluster", "left").select("node", "cluster", F.col("rep").alias(id_col), F.coalesce("blocks", F.lit(1)).alias("blocks")).where(F.col(id_col).isNotNull())
-    links = _linked(_member_sets(source, member.hint("shuffle_hash"), id_col, policy), policy)
+    member = member.join(large, "cluster", "left").select("node", "cluster", F.col("rep.id").alias(id_col), F.col("rep.digest").alias("_digest"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    links = _linked(_member_sets(source, member, id_col, policy), policy)
     if not large.isEmpty():
         links = connected_components(links, "node", "root")
 
     rooted = classes.select("node", "rep").join(links, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(least, "root").select("node", "component_id")
+    least = rooted.groupBy("root").agg(F.min("rep").alias("first"))
+    return rows, rooted.join(least, "root").select("node", "first")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", policy: NearDupPolicy = NearDupPolicy()) -> DataFrame:
+    """Id, n_shingles, component_id (smallest id reachable), kept: one row per input row."""
+    rows, named = _components(docs, id_col, text_col, policy)
     return (
         rows.select(id_col, "n_shingles", "node")
         .join(named, "node", "left")
-        .select(id_col, "n_shingles", F.when(F.col("node").isNull(), F.col(id_col)).otherwise(F.col("component_id")).alias("component_id"))
+        .select(id_col, "n_shingles", F.when(F.col("node").isNull(), F.col(id_col)).otherwise(F.col("first.id")).alias("component_id"))
         .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
     )
 
@@ -244,7 +256,12 @@ def _member_sets(source: DataFrame, member: DataFrame, id_col: str, policy: Near
                 same = pa.array(set_ids(value, first) == np.array(part.column(1)))  # another text may have the same id
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), sets], ["node", "cluster", "blocks", "shingles"]).filter(same)
 
-    sets = source.join(member, id_col).select("_text", "node", "cluster", "blocks").mapInArrow(run, "node long, cluster long, blocks int, shingles binary")
+    columns = ["_text", "node", "cluster", "blocks"]
+    of_ids = source.join(member.where(F.col(id_col).isNotNull()).hint("shuffle_hash"), [id_col, "_digest"]).select(*columns)
+    # without ids equal texts can't be told apart, and one of them will do
+    texts = source.where(F.col(id_col).isNull()).groupBy("_digest").agg(F.first("_text").alias("_text"))
+    others = texts.join(member.where(F.col(id_col).isNull()).hint("shuffle_hash"), "_digest").select(*columns)
+    sets = of_ids.union(others).mapInArrow(run, "node long, cluster long, blocks int, shingles binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.expr("case when blocks = 1 then array(0) else filter(sequence(0, blocks - 1), x -> x <> own) end")
     return (
@@ -271,6 +288,30 @@ def _linked(sets: DataFrame, policy: NearDupPolicy) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", policy: NearDupPolicy = NearDupPolicy()) -> DataFrame:
-    """The rows, with all their columns, of one document of each group."""
+    """The rows, with all their columns, of one id of each group: every row of an id that is kept. See keep_one_row()."""
     kept = near_duplicates(docs, id_col, text_col, policy).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+
+
+def keep_one_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", policy: NearDupPolicy = NearDupPolicy()) -> DataFrame:
+    """One row of each group, with all its columns: the smallest id, text digest and, of rows equal in both, the smallest JSON.
+
+    Texts without words are linked with nothing; of those only rows equal in id and text are one.
+    """
+    rows, named = _components(docs, id_col, text_col, policy)
+    key = ["__near_id", "__near_digest"]
+    least = named.select(F.col("first.id"), F.col("first.digest")).distinct().toDF(*key)
+    empty = rows.where("node is null").select(id_col, "_digest").distinct().toDF(*key)
+    twice = rows.select(id_col, "_digest").toDF(*key).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    chosen = checkpointed(least.union(empty))
+
+    def joined(kind: str) -> DataFrame:
+        """The chosen keys that stand in one row (left_anti) or in more (left_semi), and their rows."""
+        same = [chosen[key[0]].eqNullSafe(twice[key[0]]), chosen[key[1]] == twice[key[1]]]
+        keys = chosen.join(twice, same, kind)
+        named = docs.withColumn("__near_row", F.xxhash64(docs[text_col]))
+        return named.join(keys, [named[id_col].eqNullSafe(keys[key[0]]), named["__near_row"] == keys[key[1]]])
+
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    one = joined("left_semi").groupBy(*key).agg(F.min_by(whole, F.to_json(whole)).alias("__near_whole"))
+    return joined("left_anti").select(*docs.columns).union(one.select("__near_whole.*"))
