@@ -124,6 +124,26 @@ def test_surrogates_stay_distinct(spark):
     assert len({a for a, _ in out.values()}) == 200 and not {a for a, _ in out.values()} & set(real)
 
 
+def test_surrogates_end_where_a_format_is_full(spark):
+    """All one-digit addresses of a domain, a secret without letters and digits, and more than half of 192.168.*."""
+    real = [f"{k}@m.example.com" for k in range(10)] + ["password: --------"] + [f"192.168.{k // 256}.{k % 256}" for k in range(33000)]
+    out = pii.surrogate_table(spark.createDataFrame([(e,) for e in real], "e string"), "k", most_draws=2).collect()
+    made = [r.shown for r in out]
+    assert sorted(r.e for r in out) == sorted(real) and len(set(made)) == len(real) and not set(made) & set(real)
+    assert all(re.fullmatch(r"\d+@[a-z]+\.example\.com|password: --------\d+|(10\.\d+|192\.168)\.\d+\.\d+", m) for m in made)
+
+
+@pytest.mark.parametrize(("kind", "canon", "made"), [("surname", "иванова", "[А-Я][а-я]{9,}"), ("given_f", "anna", "[A-Z][a-z]{7,}a"), ("card", "4111111111111111", r"\d{18}"), ("ip", "10.1.2.3", r"10(\.\d+){3}"), ("ssn", "123456789", r"\d{11}"), ("iban", "DE89370400440532013000", r"DE\d{22}")])
+def test_later_draws_are_longer(spark, kind, canon, made):
+    df = spark.createDataFrame([(kind, canon, 65)], "kind string, canon string, attempt int")
+    assert re.fullmatch(made, pii.atom_surrogates(df, "k").first().made)
+
+
+def test_longer_numbers_keep_their_format(spark):
+    df = spark.createDataFrame([("+1 (017) 555-7713", "phone", "0175557713", "123456789012")], "e string, _kind string, canon1 string, made1 string").selectExpr("*", "'' as _title", "cast(null as string) as made2")
+    assert pii.dressed(df).first().shown == "+1 (123) 456-789012"
+
+
 def test_pipeline(spark, tmp_path, odd):
     rows = [(i, f"{'good words ' if i % 4 else '#### $$$$ '}" + " ".join(f"w{(i * 37 + j * j * (i + 3)) % 997}" for j in range(80)) + (f" mail a{i}b@x.example.com" if i % 5 == 0 else ""), "en", "s", 5) for i in range(80)]
     rows += [(1000, rows[1][1], "en", "s", 5)]

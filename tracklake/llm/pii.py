@@ -12,6 +12,8 @@ of the key, its kind and its canonical form, so all mentions of one thing agree
 
 Collision check: over the distinct atoms of all rows, surrogates that equal another atom's surrogate or any real atom
 are drawn again (the smallest atom of equal ones keeps its own) until none is left, so distinct things stay distinct.
+Atoms that still collide after ``most_draws`` draws have too few values in their format: from then on each draw is one
+character (or syllable) longer than the one before; 192.168.* goes on in 10.*, and then addresses get a port. So it ends.
 
 Distinct entities get their surrogates in a table of their own, so the work grows with them; mentions (by digest of
 the text and place) are joined to it and gathered for each text, and only texts that hold entities are dealt out.
@@ -99,7 +101,8 @@ def _luhn(digits: Column) -> Column:
 def _word(script: str, parts: int, end: str = "") -> Column:
     syllables = _SYLLABLES[script][0].split()
     table = F.array(*[F.lit(s) for s in syllables])
-    return F.initcap(F.concat(*[F.element_at(table, F.element_at(F.col("_n"), k + 1) % len(syllables) + 1) for k in range(parts)], F.lit(end)))
+    tail = F.array_join(F.transform(F.slice("_n", F.lit(parts + 1), F.col("_more")), lambda n: F.element_at(table, n % len(syllables) + 1)), "")
+    return F.initcap(F.concat(*[F.element_at(table, F.element_at(F.col("_n"), k + 1) % len(syllables) + 1) for k in range(parts)], tail, F.lit(end)))
 
 
 def _by_script(parts: int, end: int | None = None) -> Column:
@@ -107,29 +110,32 @@ def _by_script(parts: int, end: int | None = None) -> Column:
     return F.when(F.col("canon").rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(latin)
 
 
-def atom_surrogates(drawn: DataFrame, key: str) -> DataFrame:
-    """Adds ``made``, the surrogate in canonical form, to rows of (kind, canon, attempt)."""
-    kind, canon = F.col("kind"), F.col("canon")
+def atom_surrogates(drawn: DataFrame, key: str, most_draws: int = 64) -> DataFrame:
+    """Adds ``made``, the surrogate in canonical form, to rows of (kind, canon, attempt); longer from ``most_draws`` on."""
+    kind, canon, more = F.col("kind"), F.col("canon"), F.col("_more")
     df = drawn.withColumn("_h", _digest(key, kind, canon, F.col("attempt").cast("string"))).withColumn("_n", _numbers("_h"))
-    df = _shaped(df, "_shaped", F.when(kind == "email", F.substring_index(canon, "@", 1)).otherwise(canon), "_n", _KINDS)
+    df = df.withColumn("_more", F.greatest(F.col("attempt") - (most_draws - 1), F.lit(0)))
+    longer = lambda c: F.concat(c, F.expr("repeat('0', _more)"))
+    df = _shaped(df, "_shaped", longer(F.when(kind == "email", F.substring_index(canon, "@", 1)).otherwise(canon)), "_n", _KINDS)
     # the domain's surrogate depends on the domain alone
     df = df.withColumn("_domain", F.when(kind == "email", F.substring_index(canon, "@", -1)))
     df = df.withColumn("_h", _digest(key, F.lit("domain"), F.col("_domain"))).withColumn("_d", _numbers("_h"))
     df = _shaped(df, "_host", F.substring_index("_domain", ".", 1), "_d", _KINDS)
-    df = _shaped(df, "_hex", F.when(kind == "secret", canon), "_n", (("[0-9a-f]", _HEX),))
+    df = _shaped(df, "_hex", F.when(kind == "secret", longer(canon)), "_n", (("[0-9a-f]", _HEX),))
     end = F.substring_index("_domain", ".", -1)
     df = df.withColumn("_email", F.concat("_shaped", F.lit("@"), "_host", F.when(end.isin("com", "net", "org"), F.concat(F.lit(".example."), end)).otherwise(".example")))
     octet = lambda i: (F.element_at(F.col("_n"), i) % 256).cast("string")
     public = [str(x) for x in (*range(11, 100), *range(128, 169), *range(173, 192), *range(193, 224))]
     first = F.element_at(F.array(*[F.lit(x) for x in public]), F.element_at(F.col("_n"), 1) % len(public) + 1)
-    first = F.when(canon.startswith("10."), F.concat_ws(".", F.lit("10"), octet(2))).when(canon.startswith("192.168."), F.lit("192.168")).otherwise(F.concat_ws(".", first, octet(2)))
+    first = F.when(canon.startswith("10.") | (canon.startswith("192.168.") & (more > 0)), F.concat_ws(".", F.lit("10"), octet(2))).when(canon.startswith("192.168."), F.lit("192.168")).otherwise(F.concat_ws(".", first, octet(2)))
+    port = F.when(more > 8, F.concat(F.lit(":"), (1024 + F.element_at(F.col("_n"), 5) * 15 + F.element_at(F.col("_n"), 6) % 15).cast("string"))).otherwise("")
     card = F.when(kind == "card", F.col("_shaped"))
     df = df.withColumn("_body", F.substr(card, F.lit(1), F.length(card) - 1)).withColumn("_last", F.substr(card, F.length(card), F.lit(1)).cast("int"))
     df = df.withColumn("_right", (10 - _luhn(F.concat("_body", F.lit("0")))) % 10)
     check = F.when(_luhn(F.when(kind == "card", canon)) == 0, F.col("_right")).when(F.col("_last") == F.col("_right"), (F.col("_right") + 1) % 10).otherwise(F.col("_last"))
     made = (
         F.when(kind == "email", F.col("_email"))
-        .when(kind == "ip", F.concat_ws(".", first, octet(3), octet(4)))
+        .when(kind == "ip", F.concat(F.concat_ws(".", first, octet(3), octet(4)), port))
         .when(kind == "card", F.concat("_body", check.cast("string")))
         .when((kind == "secret") & canon.rlike("^[0-9a-f]+$"), F.col("_hex"))
         .when(kind == "iban", F.concat(F.substr(canon, F.lit(1), F.lit(2)), F.expr("substr(_shaped, 3)")))
@@ -177,14 +183,17 @@ def atoms(entities: DataFrame) -> DataFrame:
 
 
 def _refilled(other: str) -> Column:
-    """The entity with its letters and digits (all but ``other``), counted from the end, taken from ``made1``."""
+    """The entity with its letters and digits (all but ``other``), counted from the end, taken from ``made1``.
+
+    What ``made1`` has beyond the length of ``canon1`` follows.
+    """
 
     def change(c: Column, i: Column) -> Column:
         left = F.length(F.regexp_replace(F.substr(F.col("e"), i + 1, F.length("e")), other, ""))
-        at = F.length("made1") - left + 1
+        at = F.length("canon1") - left + 1
         return F.when(c.rlike(other) | (at < 1), c).otherwise(F.substr(F.col("made1"), F.greatest(at, F.lit(1)), F.lit(1)))
 
-    return F.array_join(F.transform(F.split("e", ""), change), "")
+    return F.concat(F.array_join(F.transform(F.split("e", ""), change), ""), F.expr("substr(made1, length(canon1) + 1)"))
 
 
 def dressed(entities: DataFrame) -> DataFrame:
@@ -204,12 +213,12 @@ def dressed(entities: DataFrame) -> DataFrame:
 
 
 def surrogate_table(entities: DataFrame, key: str, most_draws: int = 64) -> DataFrame:
-    """(e, shown, kind) of distinct entities ``e``, with collisions drawn again until there are none."""
+    """(e, shown, kind) of distinct entities ``e``, with collisions drawn again, longer after ``most_draws``, until there are none."""
     typed = with_kind(entities)
     real = checkpointed(atoms(typed))
     drawn = real.withColumn("attempt", F.lit(0))
-    for _ in range(most_draws):
-        drawn = checkpointed(atom_surrogates(drawn, key))
+    while True:
+        drawn = checkpointed(atom_surrogates(drawn, key, most_draws))
         # of equal surrogates the oldest draw stays, then the smallest atom
         first = drawn.groupBy("kind", "made").agg(F.min(F.struct("attempt", "canon"))["canon"].alias("keeps"), F.count("*").alias("n")).where("n > 1").select("kind", "made", "keeps")
         lost = drawn.join(first, ["kind", "made"]).where("canon <> keeps").select("kind", "canon")
@@ -218,8 +227,6 @@ def surrogate_table(entities: DataFrame, key: str, most_draws: int = 64) -> Data
         if lost.isEmpty():
             break
         drawn = drawn.join(lost, ["kind", "canon"], "left").select("kind", "canon", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
-    else:
-        raise ValueError(f"surrogates still collide after {most_draws} draws")
     one, two = (drawn.select(F.col("kind").alias(f"kind{k}"), F.col("canon").alias(f"canon{k}"), F.col("made").alias(f"made{k}")) for k in (1, 2))
     return dressed(typed.join(one, ["kind1", "canon1"]).join(two, ["kind2", "canon2"], "left"))
 
