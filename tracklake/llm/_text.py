@@ -15,10 +15,7 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
 
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -47,22 +44,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class _Powers:
-    """Powers of the hash base and of its inverse, grown to the longest slice seen."""
-
-    up = down = np.ones(1, dtype=np.uint64)
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = 1 << (n - 1).bit_length()
-            step = np.full(size, _P, dtype=np.uint64)
-            back = np.full(size, _P_INVERSE, dtype=np.uint64)
-            step[0] = back[0] = 1
-            cls.up, cls.down = np.multiply.accumulate(step), np.multiply.accumulate(back)
-        return cls.up[:n], cls.down[:n]
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the n + 1 offsets of its rows; a null row is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -116,13 +97,36 @@ def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(begin), np.flatnonzero(stop) + 1
 
 
+def lanes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of each range as 64-bit numbers, the last one filled up with zeros; each number's place in its range, and n + 1 offsets of the ranges."""
+    count = (end - start + 7) >> 3
+    first = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(count, out=first[1:])
+    place = np.arange(first[-1]) - np.repeat(first[:-1], count)
+    at = np.repeat(start, count) + 8 * place
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    value = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))[at]
+    over = np.maximum(at + 8 - np.repeat(end, count), 0).astype(np.uint64) * np.uint64(8)
+    return (value << over) >> over, place, first
+
+
 def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range; equal bytes give equal hashes."""
-    up, down = _Powers.of(max(1, len(data)))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    inside = total[end] - total[start]
-    return mix(inside * down[np.minimum(start, len(down) - 1)])
+    """A 64-bit hash of each byte range; equal bytes give equal hashes.
+
+    Every eight bytes are mixed together with their place before they are summed, so no regular text is a special case.
+    """
+    value, place, first = lanes(data, start, end)
+    total = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(mix(value + mix(place.astype(np.uint64) * _STEP + np.uint64(1))), out=total[1:])
+    return mix(total[first[1:]] - total[first[:-1]] + (end - start).astype(np.uint64) * _STEP)
+
+
+def same_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each byte range equals the one whose number stands in ``other``."""
+    if not np.array_equal(end - start, (end - start)[other]):
+        return False
+    value, place, first = lanes(data, start, end)
+    return np.array_equal(value, value[np.repeat(first[:-1][other], np.diff(first)) + place])
 
 
 def words(data: np.ndarray, off: np.ndarray, separator: np.ndarray, lower: bool = False) -> Words:

@@ -1,7 +1,8 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A text is cut into chunks where a rolling hash of its bytes says so, so a passage that several documents share is
-cut alike in each of them and its chunks are encoded once by a task (a bounded store keeps them). A cut may fall
+cut alike in each of them and its chunks are encoded once by a Python worker: its store outlives tasks, is bounded, and
+when it is full keeps the chunks that were asked for again. A cut may fall
 inside a word, where the ids of the two chunks are not those of the whole text. The join is repaired: the bytes
 from the last white space before the cut to the first one after it are encoded again, and the stretch grows over
 further chunks until both ends stand on white space, where the tokenizer's own cutting into words (it drops white
@@ -10,7 +11,9 @@ space, and no word or normalisation reaches over it) makes the ids agree exactly
 Files are named by path; a worker loads one once. Only tokenizers whose pre-tokenizer drops white space fit here,
 which is checked on loading.
 
-Defined results: null and empty texts have no ids and decode to an empty text; repeated rows get equal results.
+Defined results: null and empty texts have no ids and decode to an empty text; repeated rows get equal results, and
+ids may be null or repeat; very long texts are cut like others; an empty table gives no rows; other columns of the input,
+whatever their names, aren't looked at.
 """
 
 from __future__ import annotations
@@ -48,8 +51,9 @@ _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 class WordEncoder:
     """Ids and decoded text of many byte strings at once.
 
-    The words of a call are told apart by 64-bit hashes; each distinct one that isn't remembered from before is
-    encoded, then ids are laid out by array operations. What is remembered is held in sorted arrays, up to a bound.
+    The words of a call are looked up by 64-bit hashes; each distinct one that isn't remembered from before is
+    encoded, then ids are laid out by array operations. What is remembered is held in sorted arrays, up to a bound,
+    with the words' bytes: these are compared, so words whose hashes are equal by chance are encoded one by one.
     """
 
     def __init__(self, path: str) -> None:
@@ -75,6 +79,8 @@ class WordEncoder:
     def _forget(self) -> None:
         self.hash, self.at, self.length, self.again = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         self.pool, self.filled = np.zeros(1 << 16, np.uint32), 0
+        self.word_at, self.word_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.word_pool, self.word_filled = np.zeros(1 << 16, np.uint8), 0
 
     def _make_room(self, n: int) -> None:
         """Past the bound only words that came in more than one slice stay; if they are too many as well, none."""
@@ -86,6 +92,8 @@ class WordEncoder:
         pool, ends = _gather(self.pool, self.at[keep], self.length[keep])
         self.hash, self.length, self.at, self.again = self.hash[keep], self.length[keep], ends[:-1], np.zeros(int(keep.sum()), bool)
         self.pool, self.filled = pool, len(pool)
+        self.word_pool, ends = _gather(self.word_pool, self.word_at[keep], self.word_size[keep])
+        self.word_at, self.word_size, self.word_filled = ends[:-1], self.word_size[keep], len(self.word_pool)
 
     def _encode(self, word: bytes) -> list[int]:
         text = word.decode("utf-8", "replace")
@@ -112,8 +120,16 @@ class WordEncoder:
         self.pool[self.filled : end] = flat
         at = self.filled + np.cumsum(length) - length
         self.filled = end
+        held = np.frombuffer(b"".join(new), np.uint8)
+        size = np.fromiter(map(len, new), np.int64, len(new))
+        word_at, end = self.word_filled + np.cumsum(size) - size, self.word_filled + len(held)
+        if end > len(self.word_pool):
+            self.word_pool = np.concatenate([self.word_pool[: self.word_filled], np.zeros(max(end, len(self.word_pool)), np.uint8)])
+        self.word_pool[self.word_filled : end] = held
+        self.word_filled = end
         place = np.searchsorted(self.hash, hashes)
-        self.hash, self.at, self.length, self.again = (np.insert(a, place, b) for a, b in ((self.hash, hashes), (self.at, at), (self.length, length), (self.again, False)))
+        more = ((self.hash, hashes), (self.at, at), (self.length, length), (self.again, False), (self.word_at, word_at), (self.word_size, size))
+        self.hash, self.at, self.length, self.again, self.word_at, self.word_size = (np.insert(a, place, b) for a, b in more)
 
     def _find(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of hashes among the known ones, and which are not known."""
@@ -134,9 +150,24 @@ class WordEncoder:
             raw, at = data.tobytes(), first[fresh]
             self._learn(distinct[fresh], [raw[i:j] for i, j in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
             place, _ = self._find(distinct)
+        if not self._exact(data, w, first, which, place):
+            return self._one_by_one(data, w)
         ids, ends = _gather(self.pool, self.at[place][which], self.length[place][which])
         return ids, ends[w.first]
 
+    def _exact(self, data: np.ndarray, w: _text.Words, first: np.ndarray, which: np.ndarray, place: np.ndarray) -> bool:
+        """Whether equal hashes stand for equal bytes, among the words of a slice and between them and the remembered ones."""
+        start, end = w.start[first], w.end[first]
+        if not _text.same_ranges(data, w.start, w.end, first[which]) or not np.array_equal(end - start, self.word_size[place]):
+            return False
+        return np.array_equal(_gather(data, start, end - start)[0], _gather(self.word_pool, self.word_at[place], self.word_size[place])[0])
+
+    def _one_by_one(self, data: np.ndarray, w: _text.Words) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        found = [self._encode(raw[i:j]) for i, j in zip(w.start.tolist(), w.end.tolist(), strict=True)]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(ends[-1])), ends[w.first]
+
     def decode(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the decoded rows, each piece led by a space, and the rows' offsets: this tokenizer has no decoder, so decode() joins pieces by spaces."""
         text, ends = _gather(self.piece_bytes, self.piece_at[ids], self.piece_length[ids])
@@ -175,6 +206,7 @@ class ChunkStore:
 
     def __init__(self, words: WordEncoder) -> None:
         self.words, self.kept, self.held = words, {}, 0
+        self.again: set[bytes] = set()  # chunks that came in more than one call since the last clearance
         self.asked = self.encoded = 0
 
     def many(self, strings: list[bytes]) -> list[tuple[bytes, bytes]]:
@@ -189,11 +221,16 @@ class ChunkStore:
 
     def learn(self, chunks: list[bytes]) -> None:
         """Encodes the chunks that aren't kept, each once."""
-        new = [x for x in dict.fromkeys(chunks) if x not in self.kept]
+        if self.held > CHUNK_BYTES_KEPT:
+            self.kept = {x: self.kept[x] for x in self.again}
+            self.held, self.again = sum(map(self._bytes, self.kept)), set()
+            if self.held > CHUNK_BYTES_KEPT * 3 // 4:
+                self.kept, self.held = {}, 0
+        distinct = dict.fromkeys(chunks)
+        new = [x for x in distinct if x not in self.kept]
+        self.again.update(x for x in distinct if x in self.kept)
         self.asked += len(chunks)
         self.encoded += len(new)
-        if self.held > CHUNK_BYTES_KEPT:
-            self.kept, self.held, new = {}, 0, list(dict.fromkeys(chunks))
         heads, tails, middles = [], [], []
         for x in new:
             head = x if not _SPACE.search(x) else b"" if _SPACE.match(x) else x.split(None, 1)[0]
@@ -203,7 +240,11 @@ class ChunkStore:
             middles.append(x[len(head) : len(x) - len(tail)])
         for x, head, tail, (ids, text) in zip(new, heads, tails, self.many(middles), strict=True):
             self.kept[x] = (head, None if head is x else ids, tail, text)
-            self.held += 2 * len(x) + len(ids) + len(text) + 300
+            self.held += self._bytes(x)
+
+    def _bytes(self, chunk: bytes) -> int:
+        _, ids, _, text = self.kept[chunk]
+        return 2 * len(chunk) + len(ids or b"") + len(text) + 400
 
     def documents(self, data: np.ndarray, off: np.ndarray) -> list[tuple[bytes, bytes]]:
         """Ids and decoded text of each row of a slice: its chunks' own, and every join encoded anew."""
@@ -237,6 +278,12 @@ class ChunkStore:
         return [(b"".join([x for x, _ in row]), b" ".join([y for x, y in row if x])) for row in whole]
 
 
+@lru_cache(maxsize=4)
+def store_of(path: str) -> ChunkStore:
+    """This worker's store; Spark's workers serve many tasks."""
+    return ChunkStore(encoder(path))
+
+
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -250,7 +297,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     source, id_type = _selected(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = ChunkStore(encoder(path))
+        store = store_of(path)
         for batch in batches:
             for i, j, data, off in _text.slices(batch.column(1)):
                 got = store.documents(data, off)
