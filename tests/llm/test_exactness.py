@@ -126,3 +126,41 @@ def test_gradients_are_slopes(network):
         less = loss()
         values[at] = kept
         assert abs((more - less) / 4e-3 - slope[name][at]) < 0.05 * abs(slope[name][at]) + 2e-3
+
+
+def brute_sequences(lengths):
+    """Best-fit decreasing, piece by piece."""
+    rooms = []
+    for s in sorted(lengths, reverse=True):
+        fits = [k for k, r in enumerate(rooms) if r >= s]
+        if fits:
+            k = min(fits, key=rooms.__getitem__)
+            rooms[k] -= s
+        else:
+            rooms.append(2048 - s)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_few_sequences(seed):
+    """Lengths like those of real texts: the count equals the lower bound or what best fit of single pieces needs."""
+    rng = np.random.default_rng(seed)
+    lengths = np.minimum(2048, rng.lognormal(6.3, 0.9, 1200).astype(int) + 1).tolist()
+    counts = {s: lengths.count(s) for s in set(lengths)}
+    rows = packing.plan(counts, packing.PackingPolicy())
+    assert max(first + end - begin for _, begin, end, first, _ in rows) <= max(-(-sum(lengths) // 2048), brute_sequences(lengths))
+
+
+def test_fullest_configuration_matches_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        sizes = sorted(rng.choice(np.arange(5, 60), 6, replace=False).tolist(), reverse=True)
+        left = rng.integers(0, 4, 6).tolist()
+        left[int(rng.integers(0, 6))] += 1
+        got = packing._fullest(sizes, left, 100)
+        lead = next(i for i, n in enumerate(left) if n)
+        assert lead in got and all(got.count(i) <= left[i] for i in got)
+        sums = {0}
+        for i, s in enumerate(sizes):
+            sums = {x + k * s for x in sums for k in range(left[i] - (i == lead) + 1)}
+        assert sum(sizes[i] for i in got) == sizes[lead] + max(x for x in sums if x + sizes[lead] <= 100)

@@ -6,12 +6,14 @@ On that histogram the driver
 
 1. puts the large lengths (over a share of the capacity) into groups of equal cardinality and rounds each length up
    to the largest of its group,
-2. fills sequences with configurations of those few sizes, the fullest configuration first, as often as it goes,
+2. fills sequences with configurations of those few sizes: the fullest that a knapsack over the sizes left finds for
+   the largest one, as often as it goes,
 3. puts the actual lengths in place of the rounded ones, which frees the room that rounding took,
 4. places the small lengths, longest first, where the smallest sufficient room is left, and opens sequences for
    what finds none.
 
-All four steps work on ranges of equal pieces and equal sequences, so the plan has some thousand rows. Each piece
+All this is done for a few numbers of groups and shares, of bounded work each, and the plan with the fewest sequences
+stands. The steps work on ranges of equal pieces and equal sequences, so a plan has some thousand rows. Each piece
 then finds its place by its number within its length, which comes from counts by (length, salt) and a numbering
 inside each; a length that a third of all pieces share is spread over the salts. No group of pieces is gathered.
 
@@ -38,10 +40,10 @@ from tracklake.llm.tokens import _selected, encoder
 class PackingPolicy:
     capacity: int = 2048
     end_id: int = 0
-    #: Lengths over this share of the capacity are large.
-    large_share: float = 0.25
-    #: Groups of equal cardinality that large lengths are rounded up in.
-    groups: int = 128
+    #: Lengths over this share of the capacity are large; the best of the plans is taken.
+    large_shares: tuple[float, ...] = (0.25, 0.4)
+    #: Numbers of groups of equal cardinality that large lengths are rounded up in.
+    groups: tuple[int, ...] = (128, 512, 2048)
 
 
 def pieces(docs: DataFrame, path: str, policy: PackingPolicy, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,26 +94,34 @@ def _groups(counts: dict[int, int], sizes: list[int], n: int) -> list[list[int]]
 
 
 def _fullest(sizes: list[int], left: list[int], capacity: int) -> list[int]:
-    """Groups of the fullest configuration that holds the largest size left; of those, one with larger sizes."""
+    """Groups of the fullest configuration that holds the largest size left: a knapsack over all sums within the room.
+
+    Bit k of a number says whether the sizes so far can sum up to k; the sums before each size lead back to a choice.
+    """
     lead = next(i for i, n in enumerate(left) if n)
     room = capacity - sizes[lead]
-    reach: dict[int, tuple[int, int]] = {0: (-1, 0)}  # filled so far: (group put last, filled before)
-    for i, s in enumerate(sizes):
-        free = left[i] - (i == lead)
-        if not free or s > room:
-            continue
-        for base in sorted(reach):
-            for k in range(1, min(free, (room - base) // s) + 1):
-                if base + k * s not in reach:
-                    reach[base + k * s] = (i, base + (k - 1) * s)
-    out, filled = [lead], max(reach)
-    while filled:
-        i, filled = reach[filled]
-        out.append(i)
+    sums, within = 1, (1 << (room + 1)) - 1
+    before: list[tuple[int, int]] = []
+    for i in range(len(sizes) - 1, lead - 1, -1):  # larger sizes come last and are taken first on the way back
+        s = sizes[i]
+        for _ in range(min(left[i] - (i == lead), room // s)):
+            before.append((i, sums))
+            sums |= (sums << s) & within
+    out, filled = [lead], sums.bit_length() - 1
+    for i, held in reversed(before):
+        if not held >> filled & 1:
+            out.append(i)
+            filled -= sizes[i]
     return out
 
 
 def plan(counts: dict[int, int], policy: PackingPolicy) -> list[tuple[int, int, int, int, int]]:
+    """The plan with the fewest sequences over the policy's sets of groups and shares (each of bounded work)."""
+    plans = [grouped_plan(counts, policy, g, x) for g in policy.groups for x in policy.large_shares]
+    return min(plans, key=lambda rows: max((s + b - a for _, a, b, s, _ in rows), default=0))
+
+
+def grouped_plan(counts: dict[int, int], policy: PackingPolicy, n_groups: int, large_share: float) -> list[tuple[int, int, int, int, int]]:
     """(length, first number, end number, sequence of the first, offset): a piece's place by its number in its length."""
     capacity = policy.capacity
     out: list[tuple[int, int, int, int, int]] = []
@@ -126,8 +136,8 @@ def plan(counts: dict[int, int], policy: PackingPolicy) -> list[tuple[int, int,
     if full := counts.get(capacity, 0):
         out.append((capacity, 0, full, 0, 0))
         sequences = full
-    large = sorted((s for s in counts if capacity * policy.large_share < s < capacity), reverse=True)
-    groups = _groups(counts, large, policy.groups) if large else []
+    large = sorted((s for s in counts if capacity * large_share < s < capacity), reverse=True)
+    groups = _groups(counts, large, n_groups) if large else []
     size, left = [g[0] for g in groups], [sum(counts[s] for s in g) for g in groups]
     used = [0] * len(groups)
     ends: list[tuple[list[int], list[int]]] = []  # of each group: end numbers within the group, lengths
@@ -164,7 +174,7 @@ def plan(counts: dict[int, int], policy: PackingPolicy) -> list[tuple[int, int,
             leave(_Run(sequences + a, b - a, capacity - offset))
         sequences += times
     # small lengths, longest first, each into the smallest sufficient room
-    for s in sorted((s for s in counts if s <= capacity * policy.large_share), reverse=True):
+    for s in sorted((s for s in counts if s <= capacity * large_share), reverse=True):
         number, todo = 0, counts[s]
         while todo:
             room = min((r for r, runs in rooms.items() if r >= s and runs), default=None)
