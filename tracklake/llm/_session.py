@@ -41,13 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hot_join(many: DataFrame, one: DataFrame, key: str, counts: DataFrame, share: int = 1000) -> DataFrame:
+def hot_join(many: DataFrame, one: DataFrame, key: str, counts: DataFrame, total: int | None = None, share: int = 1000) -> DataFrame:
     """Inner join of ``many`` with ``one``, which has each key once; ``counts``: (key, n), how many rows of ``many`` hold a key.
 
     Keys held by more than one in ``share`` of the rows, fewer than ``share`` keys whatever the data, are met by a
     broadcast of their rows; the rest is shuffled, without any hot key. Null keys meet nothing.
     """
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    if total is None:
+        total = counts.agg(F.sum("n")).first()[0] or 0
     hot = F.broadcast(counts.where(F.col("n") > max(total // share, 100)).select(key))
     met = many.join(F.broadcast(one.join(hot, key, "left_semi")), key)
     rest = many.join(hot, key, "left_anti").join(one.join(hot, key, "left_anti"), key)

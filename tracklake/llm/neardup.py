@@ -4,19 +4,26 @@
    a value; the smallest value of each bin is the signature. An empty bin takes the value of another bin, which a
    hash of (bin, attempt) chooses, so equal sets fill alike. Signatures give band keys and an 8-bit sketch.
 2. Equal sets are one class from here on: copies never become pairs.
-3. In each bucket of a band, every class gets one edge to the bucket's smallest class: as many edges as rows, however
-   large the bucket. Edges whose sketches agree too little to be of use are dropped. Components of the edges are
-   candidate clusters; they hold every pair that shares a bucket, except through dropped edges.
+3. A bucket is a band key and a size class. Classes are a factor of 2.5 wide, and a set whose partners may be in the
+   next one stands in both, so every pair of the wanted similarity has a class in common, and a text that is part of a
+   much longer one doesn't meet it. In each bucket every class gets one edge to the bucket's smallest class: as many
+   edges as rows, however large the bucket. Edges whose sketches agree on less than ``useful`` are dropped; components of
+   the others are candidate clusters. A pair is lost only if the smallest class of every bucket that it shares, about
+   twelve of them, is such a stranger; for that it must agree with one of the pair in four values of each, and a
+   stranger that holds all of a text of its size class agrees on 30 % or more.
 4. Inside a cluster links are exact: full sets, rarest shingles first, are looked up by the prefix that any set of
    the wanted similarity must share, and intersections are counted. Pairs that are connected already aren't tested,
-   and no pair leaves the task, only each class's root. A cluster over ``block_bytes`` is dealt in blocks, every two
-   of which meet in one task; so a task's memory is bounded and no pair is left out.
-5. Roots (joined again over blocks) give the components, and every row gets its class's.
+   and no pair leaves the task, only each class's root. A cluster over ``block_bytes`` is dealt in bands of sizes, a
+   factor of 4/3 wide, and a large band in blocks; only blocks of the same and of neighbouring bands can hold links, and
+   meet in a task, two at a time. So a task's memory is bounded and no pair is left out.
+5. Roots (joined again over blocks) give the components, and every row gets its class's; classes of very many rows are
+   met by a broadcast of bounded size.
 
 With the default bands two texts of similarity 0.75 miss all common buckets with a probability below 1e-5 for long
 texts. Shingles and sets are told apart by 64-bit hashes.
 
 Defined results: a text without words has an empty set and is linked with nothing; repeated rows get equal results;
+very long texts are nothing special; an empty table gives no rows;
 a row with a null id takes part (its text's digest stands for it) but names no component, which is null only if no row
 of it has an id. Ids may repeat: ``near_duplicates`` names ids, so all rows of a component's id say kept; ``keep_one_row``
 goes by id and text and keeps one row. Other columns of the input aren't looked at.
@@ -33,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.llm import _text
-from tracklake.llm._session import checkpointed
+from tracklake.llm._session import checkpointed, hot_join
 from tracklake.llm.components import connected_components
 
 
@@ -44,7 +51,9 @@ class NearDupPolicy:
     bands: int = 40
     rows: int = 4
     #: Edges below this estimated similarity form no cluster.
-    useful: float = 0.3
+    useful: float = 0.25
+    #: Width of a size class.
+    size_class: float = 2.5
     block_bytes: int = 16 << 20
 
 
@@ -202,13 +211,15 @@ def _first_row(id_col: str) -> Column:
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, policy: NearDupPolicy) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, _digest, n_shingles, node, bands, sketch) and, for each node, the first row of its component."""
+    """Rows (id, _digest, n_shingles, node, bands, sketch) and, for each node, its rows' number and the first row of its component."""
     source = docs.select(docs[id_col], docs[text_col].alias("_text"), F.xxhash64(docs[text_col]).alias("_digest"))
     rows = checkpointed(_signed(source, id_col, policy))
     classes = checkpointed(
-        rows.where("node is not null").groupBy("node").agg(_first_row(id_col).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        rows.where("node is not null").groupBy("node").agg(_first_row(id_col).alias("rep"), F.first("n_shingles").alias("n"), F.count("*").alias("held"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     )
-    bucket = classes.select("node", F.explode("bands").alias("key"))
+    size = lambda n: F.floor(F.log(n) / F.log(F.lit(policy.size_class)))
+    sized = classes.select("node", "bands", F.explode(F.array_distinct(F.array(size(F.col("n")), size(F.col("n") * (100.001 / policy.percent))))).alias("size"))
+    bucket = sized.select("node", "size", F.explode("bands").alias("key")).select("node", F.xxhash64("key", "size").alias("key"))
     star = bucket.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("held")).where("held > 1").select("key", "center")
     edges = bucket.join(star, "key").where("node <> center").select("center", "node").distinct()
     sketch = classes.select("node", "sketch")
@@ -220,31 +231,36 @@ def _components(docs: DataFrame, id_col: str, text_col: str, policy: NearDupPoli
     clusters = connected_components(_useful(sketched, policy))
 
     member = clusters.withColumnRenamed("root", "cluster").join(classes.select("node", "rep", "n"), "node")
+    band = F.floor(F.log("n") / F.log(F.lit(100 / policy.percent))).cast("int")
+    whole = member.groupBy("cluster").agg(F.sum(8 * F.col("n")).alias("bytes")).where(F.col("bytes") > policy.block_bytes).select("cluster")
     blocks = F.ceil(F.sum(8 * F.col("n")) / F.lit(policy.block_bytes)).cast("int")
-    large = checkpointed(member.groupBy("cluster").agg(blocks.alias("blocks")).where("blocks > 1"))
-    member = member.join(large, "cluster", "left").select("node", "cluster", F.col("rep.id").alias(id_col), F.col("rep.digest").alias("_digest"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    large = checkpointed(member.withColumn("band", band).join(whole, "cluster", "left_semi").groupBy("cluster", "band").agg(blocks.alias("blocks")))
+    near = large
+    for name, step in (("below", 1), ("above", -1)):
+        near = near.join(large.select("cluster", (F.col("band") + step).alias("band"), F.col("blocks").alias(name)), ["cluster", "band"], "left")
+    member = member.withColumn("band", band).join(near, ["cluster", "band"], "left")
+    member = member.select("node", "cluster", F.col("rep.id").alias(id_col), F.col("rep.digest").alias("_digest"), "band", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("blocks", "below", "above")))
     links = _linked(_member_sets(source, member, id_col, policy), policy)
     if not large.isEmpty():
         links = connected_components(links, "node", "root")
 
-    rooted = classes.select("node", "rep").join(links, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("first"))
-    return rows, rooted.join(least, "root").select("node", "first")
+    rooted = classes.select("node", "rep", "held").join(links, "node", "left").select("node", "rep", "held", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("first"), F.count("*").alias("n"))
+    return rows, checkpointed(hot_join(rooted, least.select("root", "first"), "root", least.select("root", "n")).select("node", "held", "first"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", policy: NearDupPolicy = NearDupPolicy()) -> DataFrame:
     """Id, n_shingles, component_id (smallest id reachable), kept: one row per input row."""
     rows, named = _components(docs, id_col, text_col, policy)
-    return (
-        rows.select(id_col, "n_shingles", "node")
-        .join(named, "node", "left")
-        .select(id_col, "n_shingles", F.when(F.col("node").isNull(), F.col(id_col)).otherwise(F.col("first.id")).alias("component_id"))
-        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
-    )
+    rows = rows.select(F.col(id_col).alias("_id"), "n_shingles", "node")
+    met = hot_join(rows.where("node is not null"), named.select("node", "first"), "node", named.select("node", F.col("held").alias("n")))
+    found = met.select("_id", "n_shingles", F.col("first.id").alias("component_id")).unionByName(rows.where("node is null").select("_id", "n_shingles", F.col("_id").alias("component_id")))
+    return found.select(F.col("_id").alias(id_col), "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _member_sets(source: DataFrame, member: DataFrame, id_col: str, policy: NearDupPolicy) -> DataFrame:
     """Full sets (binary, 64-bit hashes) of the classes' representatives, dealt to the tasks of their clusters."""
+    carried = ["node", "cluster", "band", "blocks", "below", "above"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,28 +270,30 @@ def _member_sets(source: DataFrame, member: DataFrame, id_col: str, policy: Near
                 raw, at = value.tobytes(), (8 * first).tolist()
                 sets = pa.array([raw[at[k] : at[k + 1]] for k in range(j - i)], pa.binary())
                 same = pa.array(set_ids(value, first) == np.array(part.column(1)))  # another text may have the same id
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), sets], ["node", "cluster", "blocks", "shingles"]).filter(same)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], sets], [*carried, "shingles"]).filter(same)
 
-    columns = ["_text", "node", "cluster", "blocks"]
+    columns = ["_text", *carried]
     of_ids = source.join(member.where(F.col(id_col).isNotNull()).hint("shuffle_hash"), [id_col, "_digest"]).select(*columns)
     # without ids equal texts can't be told apart, and one of them will do
     texts = source.where(F.col(id_col).isNull()).groupBy("_digest").agg(F.first("_text").alias("_text"))
     others = texts.join(member.where(F.col(id_col).isNull()).hint("shuffle_hash"), "_digest").select(*columns)
-    sets = of_ids.union(others).mapInArrow(run, "node long, cluster long, blocks int, shingles binary")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.expr("case when blocks = 1 then array(0) else filter(sequence(0, blocks - 1), x -> x <> own) end")
-    return (
-        sets.withColumn("own", own)
-        .withColumn("other", F.explode(other))
-        .select("node", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "shingles")
+    sets = of_ids.union(others).mapInArrow(run, "node long, cluster long, band int, blocks int, below int, above int, shingles binary")
+    each = "transform(filter(sequence(0, {n}), x -> x < {n}), x -> struct({a} as s, {i} as i, {b} as t, {j} as j))"
+    tasks = (
+        each.format(n="blocks", a="band", i="least(x, own)", b="band", j="greatest(x, own)"),
+        each.format(n="below", a="band - 1", i="x", b="band", j="own"),
+        each.format(n="above", a="band", i="own", b="band + 1", j="x"),
     )
+    task = F.expr(f"if(blocks = 0, array(struct(0 as s, 0 as i, 0 as t, 0 as j)), concat({', '.join(tasks)}))")
+    own = F.coalesce(F.pmod(F.xxhash64("node"), F.when(F.col("blocks") > 0, F.col("blocks"))), F.lit(0)).cast("int")
+    return sets.withColumn("own", own).select("node", "cluster", F.explode(task).alias("task"), "shingles")
 
 
 def _linked(sets: DataFrame, policy: NearDupPolicy) -> DataFrame:
     percent = policy.percent
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
+        group = group.select(["node", "shingles"]).combine_chunks()
         node = group.column("node").to_numpy()
         node, at = np.unique(node, return_index=True)
         held = [x.as_py() for x in group.column("shingles").take(pa.array(at))]
@@ -284,7 +302,7 @@ def _linked(sets: DataFrame, policy: NearDupPolicy) -> DataFrame:
         moved = root != node
         return pa.table({"node": node[moved], "root": root[moved]})
 
-    return sets.groupBy("cluster", "i", "j").applyInArrow(run, "node long, root long")
+    return sets.groupBy("cluster", "task").applyInArrow(run, "node long, root long")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", policy: NearDupPolicy = NearDupPolicy()) -> DataFrame:
