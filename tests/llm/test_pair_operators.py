@@ -129,7 +129,7 @@ def vectors(seed, n):
     return rows + [(n + k, rows[0][1]) for k in range(n // 3)]  # one code in a quarter of all rows
 
 
-@pytest.mark.parametrize(("seed", "policy"), [(0, hamming.SearchPolicy()), (1, hamming.SearchPolicy(k=3, segments=8, block_rows=40, block_queries=5))])
+@pytest.mark.parametrize(("seed", "policy"), [(0, hamming.SearchPolicy()), (1, hamming.SearchPolicy(k=3, segments=8, first_radius=0))])
 def test_top_k_matches_brute_force(spark, seed, policy):
     rows = vectors(seed, 300)
     odd = [(9000, None), (9001, []), (9002, [1.0, None] * 32), (None, rows[0][1]), (9050, [1.0] * 10), (3, rows[3][1])]
@@ -149,3 +149,26 @@ def test_top_k_small_tables(spark):
     assert [tuple(r) for r in hamming.top_k(few, few.where("id = 0")).collect()] == [(0, 1, 1, 64)]
     assert hamming.top_k(few.where("false"), few).count() == 0
     assert hamming.top_k(few, few.where("false")).count() == 0
+
+
+def test_every_radius_goes_through_the_segments(spark):
+    """Codes far from each other and text ids: queries are finished by the bound or by the segments' full width."""
+    rng = np.random.default_rng(7)
+    rows = [(f"v{i:03d}", [float(x) for x in rng.normal(size=64)]) for i in range(40)]
+    codes = hamming.codes(spark.createDataFrame(rows, "vec_id string, embedding array<double>"))
+    signs = {i: np.array(v) > 0 for i, v in rows}
+    for policy in (hamming.SearchPolicy(k=4, segments=8), hamming.SearchPolicy(k=60, segments=8, first_radius=3)):
+        got = collections.defaultdict(list)
+        for r in hamming.top_k(codes, codes.where("id in ('v003', 'v017')"), policy).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r["distance"], r["id"]))
+        for q in ("v003", "v017"):
+            assert got[q] == sorted((int((signs[q] != s).sum()), i) for i, s in signs.items() if i != q)[: policy.k]
+
+
+def test_longer_vectors_are_folded(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=150)]) for i in range(12)]
+    got = {r.id: r.code for r in hamming.codes(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for i, v in rows:
+        total = [sum(v[j::64]) for j in range(64)]
+        assert got[i] & (2**64 - 1) == sum(1 << j for j, x in enumerate(total) if x > 0)

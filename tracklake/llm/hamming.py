@@ -1,29 +1,30 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A vector's signs are its 64-bit code. Codes are split into segments, each with an index of its own. A query looks up
-its own segment values, then all values one bit away, two bits away and so on. After all segments have been searched
-up to radius r, every code not met differs in more than r bits in each segment, so it is at least
-``segments * (r + 1)`` bits away; a query is finished once its k-th verified distance is below that. The radius grows
-until every query is finished; when a radius would look up more values than there are rows, all rows are verified
-instead, which covers every radius. So the result is exact whatever the data.
-
-The rows are dealt in blocks by a hash of the code, the queries in blocks of their own; every two blocks meet in one
-task, which returns at most k rows a query. Both block sizes are bounded, so memory is; what a query finds in all
-blocks is cut to k by a window whose limit is applied before the shuffle too. Of equal codes only the k + 1 smallest
-ids go on (no other can be among the k nearest), so a code that a third of all rows share lands in no task whole.
+A vector's signs are its 64-bit code. Codes are cut into segments; the index of a segment is the table of codes by
+segment value, a join key. A query looks up its own segment values and all that differ in few bits, then in one bit
+more, and so on. After all segments have been searched up to radius r, every code not met differs in more than r bits
+in each segment, so it is at least ``segments * (r + 1)`` bits away; a query is finished once its k-th verified distance
+is below that. The radius grows until every query is finished, at a segment's full width at the latest, which covers
+every code. So the result is exact whatever the data, and always by this way.
+
+Each round is one equi-join of probes with codes on (segment, value). A code that several segments meet counts in the
+first of them only, and one that an earlier radius has met doesn't count again, so nothing needs to be made distinct.
+Of what a query meets, the k nearest go on, cut before the shuffle as well; finished queries ask no more. Of equal codes
+only the k + 1 smallest ids are looked up (no other can be among the k nearest), so copies form no hot segment value;
+one that many different codes share is split by Spark's skew join. Rounds are checkpointed.
 
 Defined results: neighbours are ordered by distance, then by id; a query is no neighbour of itself; a vector that is
-null, too short, or holds a null has no code: it is neither found nor has it neighbours; of rows with one id the
-smallest code stands; fewer than k other rows give as many neighbours; other columns of the input aren't looked at.
+null, too short, or holds a null has no code: it is neither found nor has it neighbours; longer vectors are folded, each
+place holds the sum of every 64th element; of rows with one id the smallest code stands; fewer than k other rows give as
+many neighbours; an empty table gives no rows; ids may be of any type that has an order; other columns of the input,
+whatever their names, aren't looked at.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,107 +37,71 @@ BITS = 64
 class SearchPolicy:
     k: int = 10
     segments: int = 4
-    #: Most rows and queries of a block, on average.
-    block_rows: int = 500_000
-    block_queries: int = 500_000
+    #: The first round's radius; each later round adds one bit.
+    first_radius: int = 2
 
 
 def sign_code(vector: Column) -> Column:
-    """The signs of the first 64 elements, element i at bit i; null unless all of them are there."""
+    """The signs of 64 places, place i at bit i; null unless all elements are there."""
+    folded = F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda j: F.aggregate(F.filter(vector, lambda _, i: i % BITS == j), F.lit(0.0), lambda a, x: a + x))
+    places = F.when(F.size(vector) == BITS, vector.cast("array<double>")).when(F.size(vector) > BITS, folded)
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    bit = F.transform(F.slice(vector, 1, BITS), lambda x, i: F.when(x.isNull(), None).when(x > 0, F.call_function("shiftleft", one, i)).otherwise(zero))
-    return F.when(F.size(vector) >= BITS, F.aggregate(bit, zero, lambda a, b: a.bitwiseXOR(b)))
+    bit = F.transform(places, lambda x, i: F.when(x.isNull(), None).when(x > 0, F.call_function("shiftleft", one, i)).otherwise(zero))
+    return F.aggregate(bit, zero, lambda a, b: a.bitwiseXOR(b))
 
 
 def codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, code), one row for each id that has a code."""
-    found = vectors.select(F.col(id_col).cast("long").alias("id"), sign_code(F.col(vector_col)).alias("code"))
+    found = vectors.select(F.col(id_col).alias("id"), sign_code(F.col(vector_col)).alias("code"))
     return found.where("id is not null and code is not null").groupBy("id").agg(F.min("code").alias("code"))
 
 
-class SegmentIndex:
-    """Sorted segment values of a block's codes."""
-
-    def __init__(self, code: np.ndarray, segments: int) -> None:
-        self.code, self.segments, self.width = code, segments, BITS // segments
-        self.order, self.value = [], []
-        for s in range(segments):
-            value = self.segment(code, s)
-            order = np.argsort(value, kind="stable")
-            self.order.append(order)
-            self.value.append(value[order])
-
-    def segment(self, code: np.ndarray, s: int) -> np.ndarray:
-        return (code >> np.uint64(s * self.width)) & np.uint64((1 << self.width) - 1)
-
-    def at_radius(self, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query number, row) wherever a segment differs in exactly ``radius`` bits."""
-        masks = np.array([sum(1 << b for b in c) for c in combinations(range(self.width), radius)], np.uint64)
-        numbers, rows = [], []
-        for s in range(self.segments):
-            probe = (self.segment(query, s)[:, None] ^ masks).reshape(-1)
-            low, high = (np.searchsorted(self.value[s], probe, side=x) for x in ("left", "right"))
-            count = high - low
-            ends = np.cumsum(count)
-            rows.append(self.order[s][np.repeat(low - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)])
-            numbers.append(np.repeat(np.repeat(np.arange(len(query)), len(masks)), count))
-        return np.concatenate(numbers), np.concatenate(rows)
-
-
-def search_block(ids: np.ndarray, code: np.ndarray, query_ids: np.ndarray, query: np.ndarray, policy: SearchPolicy) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, id, distance) of the k nearest rows of a block to each query, in any order."""
-    index = SegmentIndex(code, policy.segments)
-    out = []
-    for begin in range(0, len(query), 128):
-        at = np.arange(begin, min(begin + 128, len(query)))
-        seen = np.zeros(0, np.int64)  # query number and row, as one number
-        radius = 0
-        while len(at):
-            n = len(code)
-            values = policy.segments * len(list(combinations(range(index.width), radius)))
-            if values > n:
-                number, row = np.repeat(at, n), np.tile(np.arange(n), len(at))
-            else:
-                number, row = index.at_radius(query[at], radius)
-                number = at[number]
-            pair = np.unique(np.concatenate([seen, number * n + row]))
-            number, row = pair // n, pair % n
-            distance = np.bitwise_count(code[row] ^ query[number]).astype(np.int64)
-            best = np.lexsort((ids[row], distance, number))
-            best = best[ids[row[best]] != query_ids[number[best]]]
-            owner = number[best]
-            first = np.searchsorted(owner, owner, side="left")
-            best = best[np.arange(len(best)) - first < policy.k]
-            number, row, distance, seen = number[best], row[best], distance[best], pair[best]
-            sure = np.bincount(number[distance < policy.segments * (radius + 1)], minlength=len(query))[at] >= policy.k
-            if values > n:
-                sure[:] = True
-            finished = np.isin(number, at[sure])
-            out.append((number[finished], ids[row[finished]], distance[finished]))
-            seen, at, radius = seen[~finished], at[~sure], radius + 1
-    return tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(3))  # type: ignore[return-value]
+def segment(code: Column, s: int, policy: SearchPolicy) -> Column:
+    width = BITS // policy.segments
+    return F.shiftrightunsigned(code, s * width).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _by_segment(rows: DataFrame, code: str, policy: SearchPolicy) -> DataFrame:
+    """The rows once for each segment, with its number ``s`` and ``value``."""
+    parts = F.array(*[F.struct(F.lit(s).alias("s"), segment(F.col(code), s, policy).alias("value")) for s in range(policy.segments)])
+    return rows.select("*", F.inline(parts))
+
+
+def masks(low: int, high: int, width: int) -> str:
+    """SQL of an array of all numbers of ``width`` bits with low to high ones among them."""
+    return f"array({', '.join(f'{x}L' for x in range(1 << width) if low <= x.bit_count() <= high)})"
+
+
+def met_first(low: int, high: int, policy: SearchPolicy) -> Column:
+    """Whether segment ``s`` is the first that differs in low to high bits, and none differs in fewer than low."""
+    differs = [F.bit_count(segment(F.col("code").bitwiseXOR(F.col("query")), s, policy)) for s in range(policy.segments)]
+    cases = [reduce(lambda a, b: a & b, [F.col("s") == s, *(d > high for d in differs[:s]), *(d >= low for d in differs[s + 1 :])]) for s in range(policy.segments)]
+    return reduce(lambda a, b: a | b, cases)
 
 
 def top_k(base: DataFrame, queries: DataFrame, policy: SearchPolicy = SearchPolicy()) -> DataFrame:
     """query_id, rank, id, distance: the k nearest rows of ``base`` to each of ``queries`` (both as from codes())."""
+    width = BITS // policy.segments
     by_code = Window.partitionBy("code").orderBy("id")
     few = checkpointed(base.withColumn("_n", F.row_number().over(by_code)).where(F.col("_n") <= policy.k + 1).drop("_n"))
-    asked = checkpointed(queries)
-    blocks = max(1, -(-few.count() // policy.block_rows))
-    # few blocks of rows are met by more blocks of queries, so that all cores have one
-    parallel = base.sparkSession.sparkContext.defaultParallelism
-    query_blocks = max(1, -(-asked.count() // policy.block_queries), -(-parallel // blocks))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = few.withColumn("i", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int")).withColumn("j", each(query_blocks))
-    questions = asked.withColumn("j", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int")).withColumn("i", each(blocks))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, code, query_ids, query = (t.column(c).to_numpy() for t in (left, right) for c in ("id", "code"))
-        number, found, distance = search_block(ids, code.view(np.uint64), query_ids, query.view(np.uint64), policy) if len(ids) else (np.zeros(0, np.int64),) * 3
-        return pa.table({"query_id": query_ids[number], "id": found, "distance": distance.astype(np.int32)})
-
-    # a given number of partitions, for small rows with much work each would else be put together in one task
-    dealt = [x.repartition(blocks * query_blocks, "i", "j").groupBy("i", "j") for x in (rows, questions)]
-    met = dealt[0].cogroup(dealt[1]).applyInArrow(run, "query_id long, id long, distance int")
+    index = _by_segment(few, "code", policy)
+    open_ = checkpointed(queries.select(F.col("id").alias("query_id"), F.col("code").alias("query")))
     nearest = Window.partitionBy("query_id").orderBy("distance", "id")
-    return met.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= policy.k).select("query_id", "rank", "id", "distance")
+    found, finished = None, []
+    low, high = 0, policy.first_radius
+    while True:
+        # every mask changes each segment value to another one
+        probes = _by_segment(open_, "query", policy).withColumn("mask", F.explode(F.expr(masks(low, high, width))))
+        probes = probes.withColumn("value", F.col("value").bitwiseXOR(F.col("mask")))
+        met = probes.join(index, ["s", "value"]).where(met_first(low, high, policy)).where("id <> query_id")
+        met = met.select("query_id", "id", F.bit_count(F.col("code").bitwiseXOR(F.col("query"))).cast("int").alias("distance"))
+        best = (met if found is None else found.unionByName(met)).withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= policy.k)
+        best = checkpointed(best)
+        sure = best.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where((F.col("n") == policy.k) & (F.col("far") < policy.segments * (high + 1))).select("query_id")
+        left = open_.where("false") if high >= width else open_.join(sure, "query_id", "left_anti")
+        open_ = checkpointed(left)
+        finished.append(best.join(open_, "query_id", "left_anti"))
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, finished).select("query_id", "rank", "id", "distance")
+        found = best.join(open_, "query_id", "left_semi").drop("rank")
+        low, high = high + 1, high + 1

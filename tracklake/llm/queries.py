@@ -25,7 +25,7 @@ def op1_byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = hamming.codes(table(spark, sf_dir, "embeddings"))
+    codes = hamming.codes(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"))
     return hamming.top_k(codes, codes.where("id % 50 = 0"))
 
 
