@@ -49,7 +49,10 @@ def hot_join(many: DataFrame, one: DataFrame, key: str, counts: DataFrame, total
     """
     if total is None:
         total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(counts.where(F.col("n") > max(total // share, 100)).select(key))
+    hot = checkpointed(counts.where(F.col("n") > max(total // share, 100)).select(key))
+    if hot.isEmpty():
+        return many.join(one, key)
+    hot = F.broadcast(hot)
     met = many.join(F.broadcast(one.join(hot, key, "left_semi")), key)
     rest = many.join(hot, key, "left_anti").join(one.join(hot, key, "left_anti"), key)
     return met.unionByName(rest)

@@ -230,8 +230,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, policy: NearDupPoli
     )
     clusters = connected_components(_useful(sketched, policy))
 
-    member = clusters.withColumnRenamed("root", "cluster").join(classes.select("node", "rep", "n"), "node")
-    band = F.floor(F.log("n") / F.log(F.lit(100 / policy.percent))).cast("int")
+    member = checkpointed(clusters.withColumnRenamed("root", "cluster").join(classes.select("node", "rep", "n"), "node"))
+    band = F.floor(F.log("n") / F.log(F.lit(100 / policy.percent)) + 1e-9).cast("int")
     whole = member.groupBy("cluster").agg(F.sum(8 * F.col("n")).alias("bytes")).where(F.col("bytes") > policy.block_bytes).select("cluster")
     blocks = F.ceil(F.sum(8 * F.col("n")) / F.lit(policy.block_bytes)).cast("int")
     large = checkpointed(member.withColumn("band", band).join(whole, "cluster", "left_semi").groupBy("cluster", "band").agg(blocks.alias("blocks")))
@@ -240,11 +240,11 @@ def _components(docs: DataFrame, id_col: str, text_col: str, policy: NearDupPoli
         near = near.join(large.select("cluster", (F.col("band") + step).alias("band"), F.col("blocks").alias(name)), ["cluster", "band"], "left")
     member = member.withColumn("band", band).join(near, ["cluster", "band"], "left")
     member = member.select("node", "cluster", F.col("rep.id").alias(id_col), F.col("rep.digest").alias("_digest"), "band", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("blocks", "below", "above")))
-    links = _linked(_member_sets(source, member, id_col, policy), policy)
+    links = checkpointed(_linked(_member_sets(source, member, id_col, policy), policy))
     if not large.isEmpty():
         links = connected_components(links, "node", "root")
 
-    rooted = classes.select("node", "rep", "held").join(links, "node", "left").select("node", "rep", "held", F.coalesce("root", "node").alias("root"))
+    rooted = checkpointed(classes.select("node", "rep", "held").join(links, "node", "left").select("node", "rep", "held", F.coalesce("root", "node").alias("root")))
     least = rooted.groupBy("root").agg(F.min("rep").alias("first"), F.count("*").alias("n"))
     return rows, checkpointed(hot_join(rooted, least.select("root", "first"), "root", least.select("root", "n")).select("node", "held", "first"))
 
