@@ -2,34 +2,45 @@
 
 Markup becomes a tree (omitted end tags are implied, stray ones ignored, raw-text elements skipped to their end);
 the tree is walked with an explicit stack, so depth is not bounded by recursion. Hidden parts are left out: head,
-scripts, styles, templates, comments, ``hidden``, ``display:none``, ``visibility:hidden``. All other text is emitted:
-white space collapses (not in ``pre``), blocks stand on lines of their own, paragraphs, headings, lists and tables
-with a blank line around, list items with a bullet or number and indent, table cells in aligned columns.
+scripts, styles, templates, comments, ``hidden``, ``display:none``, ``visibility:hidden`` (but for what is visible
+again inside). All other text is emitted, formulas and drawings' labels too: white space collapses (not in ``pre``),
+blocks stand on lines of their own, paragraphs, headings, lists and tables with a blank line around, list items with a
+bullet or number and indent, table cells in aligned columns, cells over several rows or columns in their places.
 
-Each page is one row's work in an Arrow batch; memory is bounded by the longest page.
+Each page is one row's work in an Arrow batch. Tags are read by one linear scan. A cell is padded by ``PAD`` characters
+at most, so the text, and with it memory, is bounded by a multiple of the longest page.
 
 Defined results: null or empty markup gives an empty text; text without tags is kept as a line; repeated rows get
-equal results; other columns of the input aren't looked at.
+equal results; ids may be null or repeat; other columns of the input, whatever their names, aren't looked at; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Fixed values of the HTML standard: element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noframes xmp".split())
-HIDDEN = frozenset("head script style title noscript template iframe noframes datalist audio video canvas object svg math".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure menu hr".split())
-BLOCK = SPACED | frozenset("html body address article aside center details dialog dd div dt fieldset figcaption footer form header hgroup legend li main nav search section summary tr td th thead tbody tfoot caption option optgroup select".split())
+RAW = frozenset("script style textarea title noscript iframe noframes xmp".split())
+#: The last two rows stand in formulas and drawings.
+HIDDEN = frozenset(
+    "head script style title noscript template iframe noframes datalist audio video canvas object "
+    "annotation annotation-xml maction-hidden "
+    "defs metadata desc symbol clippath mask pattern marker lineargradient radialgradient".split()
+)
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure menu hr xmp".split())
+#: ``text`` is a drawing's label.
+BLOCK = SPACED | frozenset("html body address article aside center details dialog dd div dt fieldset figcaption footer form header hgroup legend li main nav search section summary tr td th thead tbody tfoot caption option optgroup select text".split())
 #: An opening tag ends these open elements (inside the nearest of the third set).
-_CLOSES_P = BLOCK - {"html", "body", "option", "optgroup", "select", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "legend"}
+_CLOSES_P = BLOCK - {"html", "body", "option", "optgroup", "select", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "legend", "text"}
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -46,15 +57,18 @@ IMPLIED = {
 }
 _SCOPE = frozenset("table td th caption button object template html".split())
 _INSIDE_TABLE = frozenset("table thead tbody tfoot tr td th caption".split())
+#: Most characters that a cell, or the empty cells before it in a line, are padded by.
+PAD = 240
 
-_TOKEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)([^>]*)>|!--|[!?/][^>]*>)")
-_QUOTED = re.compile(r"""[^"']*(?:"[^"]*"[^"']*|'[^']*'[^"']*)*""")
-#: How often a quoted attribute value may go on past a ``>`` before that ends the tag after all.
-_MAX_GREATER = 64
+_TOKEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?/][^>]*>)")
+#: The rest of a tag. A value in quotes after ``=`` may hold ``>``; nothing is read twice, but for one open quote a kind.
+_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|["'])?+)*+>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(visible|hidden|collapse)", re.I)
 _WHITE = re.compile(r"[ \t\n\f\r]+")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
+_NUMBER = re.compile(r"-?[0-9]{1,9}")
 
 
 class Node:
@@ -71,13 +85,19 @@ class Node:
                     return html.unescape(value.strip("\"'"))
         return None
 
+    def number(self, name: str) -> int | None:
+        value = (self.get(name) or "").strip()
+        return int(value) if _NUMBER.fullmatch(value) else None
+
     @property
-    def shown(self) -> bool:
+    def displayed(self) -> bool:
         if self.tag in HIDDEN or (self.tag == "dialog" and self.get("open") is None):
             return False
-        if not self.attributes.strip(" /"):
-            return True
-        return self.get("hidden") is None and not _NOT_SHOWN.search(self.get("style") or "")
+        return not self.attributes or (self.get("hidden") is None and not _NO_DISPLAY.search(self.get("style") or ""))
+
+    def visible(self, inherited: bool) -> bool:
+        found = _VISIBILITY.search(self.get("style") or "") if self.attributes else None
+        return inherited if found is None else found[1].lower() == "visible"
 
 
 def parse(markup: str) -> Node:
@@ -105,23 +125,19 @@ def parse(markup: str) -> Node:
         if low is not None:
             cut(low)
 
-    last = markup.rfind(">") + 1  # behind it no tag can end
-    while (m := _TOKEN.search(markup, at, last)) is not None:
+    while (m := _TOKEN.search(markup, at)) is not None:
+        tag, rest = m[2], None
+        if tag is not None and (rest := _REST.match(markup, m.end())) is None:
+            break  # no tag ends any more
         if m.start() > at:
             stack[-1].children.append(markup[at : m.start()])
         at = m.end()
-        if (tag := m[2]) is None:
+        if rest is None:
             if m[0] == "<!--":
                 end = markup.find("-->", at)
                 at = end + 3 if end >= 0 else len(markup)
             continue
-        attributes = m[3]
-        for _ in range(_MAX_GREATER):
-            good = _QUOTED.match(attributes).end()
-            if good == len(attributes) or (quote := markup.find(attributes[good], at)) < 0 or (end := markup.find(">", quote)) < 0:
-                break
-            attributes, at = markup[m.start(3) : end], end + 1
-        tag = tag.lower()
+        attributes, at, tag = markup[at : rest.end() - 1].strip(), rest.end(), tag.lower()
         if m[1]:
             if tag == "br":
                 stack[-1].children.append(Node("br"))
@@ -141,10 +157,10 @@ def parse(markup: str) -> Node:
         stack[-1].children.append(node)
         if tag in RAW:
             end = _RAW_END[tag].search(markup, at)
-            if tag == "textarea":
+            if tag in {"textarea", "xmp"}:
                 node.children.append(markup[at : end.start() if end else len(markup)])
             at = end.end() if end else len(markup)
-        elif tag not in VOID and not (attributes.endswith("/") and tag not in BLOCK):
+        elif tag not in VOID and not (attributes.endswith("/") and tag not in BLOCK - {"text"}):
             stack.append(node)
             open_[tag] += 1
     if at < len(markup):
@@ -205,44 +221,91 @@ class Page:
         return "".join(self.parts).strip("\n").rstrip()
 
 
-def _aligned(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Lines of a table: columns as wide as their widest cell of one column."""
+#: A cell: its text, columns and rows.
+Cell = tuple[str, int, int]
+
+
+def _placed(rows: list[list[Cell]]) -> list[list[tuple[int, str, int]]]:
+    """(first column, text, columns) of each row's cells, beside those that reach down from rows above."""
+    out, down = [], []  # ``down``: (first column, end column, end row) in order of columns
+    for number, row in enumerate(rows):
+        down = [d for d in down if d[2] > number]
+        at, k, line, new = 0, 0, [], []
+        for text, columns, height in row:
+            while k < len(down) and down[k][0] < at + 1:
+                at, k = max(at, down[k][1]), k + 1
+            line.append((at, text, columns))
+            if height > 1:
+                new.append((at, at + columns, number + height))
+            at += columns
+        down = sorted(down + new)
+        out.append(line)
+    return out
+
+
+def _aligned(rows: list[list[Cell]]) -> list[str]:
+    """Lines of a table: columns as wide as their widest cell of one column, up to ``PAD``."""
+    placed = _placed(rows)
     width: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for text, span in row:
-            if span == 1:
-                width[at] = max(width.get(at, 0), *(len(x) for x in text.split("\n")))
-            at += span
+    for row in placed:
+        for at, text, columns in row:
+            if columns == 1:
+                width[at] = min(PAD, max(width.get(at, 0), *(len(x) for x in text.split("\n"))))
+    known = sorted(width)
+    total = [0, *accumulate(width[c] + 2 for c in known)]
+
+    def span(a: int, b: int) -> int:
+        """Characters of the columns from a to b, with the gaps between and behind them."""
+        return min(PAD, total[bisect.bisect_left(known, b)] - total[bisect.bisect_left(known, a)])
+
     out = []
-    for row in rows:
-        height = max((text.count("\n") + 1 for text, _ in row), default=0)
-        for k in range(height):
-            at, line = 0, ""
-            for text, span in row:
-                cell = (text.split("\n") + [""] * height)[k]
-                line += cell.ljust(sum(width.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1)) + "  "
-                at += span
+    for row in placed:
+        cells = [(at, text.split("\n"), columns) for at, text, columns in row]
+        for k in range(max((len(lines) for _, lines, _ in cells), default=0)):
+            line, end, blank = "", 0, 0
+            for at, lines, columns in cells:
+                if at > end:
+                    line += " " * min(span(end, at), PAD - blank)
+                    blank = min(PAD, blank + span(end, at))
+                shown = lines[k] if k < len(lines) else ""
+                room = max(span(at, at + columns), len(shown) + 2)
+                if shown:
+                    line, blank = line + shown + " " * (room - len(shown)), 0
+                else:
+                    line, blank = line + " " * min(room, PAD - blank), min(PAD, blank + room)
+                end = at + columns
             out.append(line.rstrip())
     return out
 
 
-def _span(node: Node) -> int:
-    value = node.get("colspan")
-    return min(int(value), 1000) if value and value.isdigit() and int(value) else 1
+def _cell(text: str, node: Node) -> Cell:
+    columns, height = node.number("colspan"), node.number("rowspan")
+    # no height: down to the table's end
+    return text, min(columns, 1000) if columns and columns > 0 else 1, 65534 if height == 0 else min(height, 65534) if height and height > 0 else 1
+
+
+def _first_number(node: Node) -> tuple[int, int]:
+    """Of an ordered list: the first item's number and the step."""
+    start, down = node.number("start"), node.get("reversed") is not None
+    if start is None:
+        start = sum(isinstance(x, Node) and x.tag == "li" for x in node.children) if down else 1
+    return start, -1 if down else 1
 
 
 def render(root: Node) -> str:
     page = Page()
     pages: list[Page] = []
-    tables: list[list[list[tuple[str, int]]]] = []
-    lists: list[int | None] = []
+    tables: list[list[list[Cell]]] = []
+    lists: list[tuple[int, int] | None] = []
+    shown = [True]
     kept = 0
     todo: list[tuple[bool, Node | str]] = [(True, root)]
     while todo:
         enter, node = todo.pop()
         if isinstance(node, str):
             text = html.unescape(node)
+            if not shown[-1]:
+                continue
             if kept:
                 page.kept_text(text)
             else:
@@ -250,25 +313,27 @@ def render(root: Node) -> str:
             continue
         tag = node.tag
         if enter:
-            if not node.shown:
+            if not node.displayed:
                 continue
             if tag == "br":
                 page.line()
                 continue
             if tag in BLOCK:
                 page.break_(2 if tag in SPACED and not (tag in {"ul", "ol", "menu"} and lists) else 1)
+            shown.append(node.visible(shown[-1]))
             if tag in {"ul", "ol", "menu"}:
-                start = node.get("start") or ""
-                lists.append(None if tag != "ol" else int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1)
+                lists.append(_first_number(node) if tag == "ol" else None)
             elif tag == "li":
                 marker = "- "
                 if lists and lists[-1] is not None:
-                    marker, lists[-1] = f"{lists[-1]}. ", lists[-1] + 1
+                    given = node.number("value")
+                    number, step = lists[-1] if given is None else (given, lists[-1][1])
+                    marker, lists[-1] = f"{number}. ", (number + step, step)
                 page.indent, page.marker = page.indent + " " * len(marker), marker
                 node.attributes = str(len(marker))
             elif tag in {"blockquote", "dd"}:
                 page.indent += "  "
-            elif tag in {"pre", "textarea"}:
+            elif tag in {"pre", "textarea", "xmp"}:
                 kept += 1
             elif tag == "table":
                 tables.append([])
@@ -278,8 +343,13 @@ def render(root: Node) -> str:
                 pages.append(page)
                 page = Page()
             todo.append((False, node))
-            todo.extend((True, x) for x in reversed(node.children))
+            children = node.children
+            if tag == "mfrac":  # a fraction's two parts
+                parts = [x for x in children if isinstance(x, Node)]
+                children = [parts[0], "/", *parts[1:]] if len(parts) > 1 else children
+            todo.extend((True, x) for x in reversed(children))
             continue
+        shown.pop()
         if tag in {"ul", "ol", "menu"}:
             lists.pop()
         elif tag == "li":
@@ -287,13 +357,13 @@ def render(root: Node) -> str:
             page.marker = ""
         elif tag in {"blockquote", "dd"}:
             page.indent = page.indent[:-2]
-        elif tag in {"pre", "textarea"}:
+        elif tag in {"pre", "textarea", "xmp"}:
             kept -= 1
         elif tag in {"td", "th"} and tables:
             cell, page = page.result(), pages.pop()
             if not tables[-1]:
                 tables[-1].append([])
-            tables[-1][-1].append((cell, _span(node)))
+            tables[-1][-1].append(_cell(cell, node))
         elif tag == "table":
             for line in _aligned(tables.pop()):
                 page.break_(1)
