@@ -1,13 +1,18 @@
-"""License scans: fixed phrases, and known notices found through a positional index of their rarest words.
+"""License scans: fixed phrases, and known notices found through a positional index of rare words.
 
 A first pass counts, over all files, in how many each word of the notices occurs; these counts (as many as the
-notices have words) give inverse document frequencies. Each notice is indexed by its few rarest words with their
-positions. A file's occurrences of such words propose where the notice would begin; at each proposed place the words
-at their relative positions are compared, weighted by rarity, and the notice counts if enough weight agrees and all
-words of its mandatory key phrase stand where they should. All hashing and matching is numpy over Arrow slices.
-
-Defined results: a null or empty text has no words, places or labels and score 0; repeated rows get equal results;
-other columns of the input aren't looked at.
+notices have words) give inverse document frequencies. Of each notice the rarest words that together carry
+``indexed`` of its weight are indexed: word, notice, position. Scanning looks up a file's words of the highest
+frequencies' inverse, those that the index holds, and every posting proposes where its notice would begin. Postings are
+intersected by that relative position, give or take ``drift`` words, so that insertions survive: only places at which so
+much weight of indexed words meets as a good match can't do without are looked at whole. There each word of the notice
+counts if the file has it within the drift; a notice is found if ``agreement`` of its weight does, and its mandatory key
+phrase stands consecutively at that place. As ``indexed`` exceeds ``1 - agreement``, no good match escapes the index.
+All hashing and matching is numpy over Arrow slices.
+
+Defined results: a null or empty text has no words, places or labels and score 0; repeated rows get equal results, ids
+may be null or repeat; very long texts are slices of their own; ties in rarity are broken by position; an empty table
+gives no rows; other columns of the input, whatever their names, aren't looked at.
 """
 
 from __future__ import annotations
@@ -20,43 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tracklake.llm import _text
+from tracklake.llm.license_texts import NOTICES, Notice
 
 #: Fixed phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
 
-@dataclass(frozen=True)
-class Notice:
-    """A notice's words in lower case; ``key`` is the phrase in it that must stand whole."""
-
-    label: str
-    words: str
-    key: str
-
-
-#: Short notices and first sentences of public licenses.
-NOTICES = (
-    Notice("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    Notice("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    Notice("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4 0"),
-    Notice("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa 4 0"),
-    Notice("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights", "waived all copyright and related or neighboring rights"),
-    Notice("gpl-2.0", "this work is licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    Notice("gpl-3.0", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    Notice("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
-    Notice("lgpl-3.0", "licensed under the gnu lesser general public license version 3", "gnu lesser general public license version 3"),
-    Notice("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
-    Notice("mit", "released under the mit license", "mit license"),
-    Notice("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
-)
-
-
 @dataclass(frozen=True)
 class LicensePolicy:
-    #: Rarest words that a notice is looked up by.
-    anchors: int = 3
     #: Share of a notice's weight that must agree.
     agreement: float = 0.75
+    #: Share of a notice's weight whose words, the rarest, are indexed; over 1 - agreement.
+    indexed: float = 0.5
+    #: Words by which places in a file may shift against those in a notice.
+    drift: int = 4
 
 
 def _word_hashes(text: str) -> np.ndarray:
@@ -91,7 +73,7 @@ def word_frequencies(docs: DataFrame, text_col: str = "text", notices: tuple[Not
                 total[-1] += len(off) - 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["word", "files"])
 
-    counts = docs.select(text_col).mapInArrow(run, "word long, files long").groupBy("word").sum("files").collect()
+    counts = docs.select(docs[text_col]).mapInArrow(run, "word long, files long").groupBy("word").sum("files").collect()
     out = np.zeros(len(vocabulary) + 1, np.int64)
     for word, files in counts:
         out[word] = files
@@ -107,6 +89,94 @@ def _places(number: np.ndarray, row: np.ndarray, wanted: np.ndarray) -> np.ndarr
     return at
 
 
+@dataclass
+class NoticeIndex:
+    """Notices as word numbers with shares of weight, and the postings of their rarest words, sorted by word."""
+
+    label: list[str]
+    words: list[np.ndarray]
+    share: list[np.ndarray]
+    key: list[tuple[int, np.ndarray]]  # where the key phrase begins, its words
+    post_word: np.ndarray
+    post_notice: np.ndarray
+    post_place: np.ndarray
+    post_share: np.ndarray
+
+    @classmethod
+    def of(cls, notices: tuple[Notice, ...], vocabulary: np.ndarray, weight: np.ndarray, policy: LicensePolicy) -> NoticeIndex:
+        words = [np.searchsorted(vocabulary, _word_hashes(n.words)) for n in notices]
+        share = [weight[x] / weight[x].sum() for x in words]
+        keys = []
+        for n, x in zip(notices, words, strict=True):
+            key = np.searchsorted(vocabulary, _word_hashes(n.key))
+            keys.append((next(k for k in range(len(x)) if np.array_equal(x[k : k + len(key)], key)), key))
+        posts = []
+        for number, (x, s) in enumerate(zip(words, share, strict=True)):
+            order = np.argsort(-s, kind="stable")
+            rarest = order[: int(np.searchsorted(np.cumsum(s[order]), policy.indexed)) + 1]
+            posts.append(np.stack([x[rarest], np.full(len(rarest), number), rarest, s[rarest]]))
+        all_ = np.concatenate(posts, axis=1)
+        all_ = all_[:, np.argsort(all_[0], kind="stable")]
+        return cls([n.label for n in notices], words, share, keys, *(all_[k].astype(np.int64) for k in range(3)), all_[3])
+
+    def candidates(self, number: np.ndarray, row: np.ndarray, policy: LicensePolicy) -> tuple[np.ndarray, np.ndarray]:
+        """(notice, word at which it would begin) wherever enough indexed weight meets, row by row; starts may lie before the slice."""
+        known = np.flatnonzero(number >= 0)
+        low, high = (np.searchsorted(self.post_word, number[known], side=s) for s in ("left", "right"))
+        count = high - low
+        ends = np.cumsum(count)
+        post = np.repeat(low - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+        at = np.repeat(known, count)
+        notice, start, share, of = self.post_notice[post], at - self.post_place[post], self.post_share[post], row[at]
+        if not len(at):
+            return notice, start
+        # a key for (row, notice, start) that keeps neighbouring starts next to each other
+        gap, d = len(number) + 4096, policy.drift
+        line = (of * len(self.label) + notice) * (gap + 8 * d) + start + 4096 // 2 + 2 * d
+        order = np.argsort(line, kind="stable")
+        line, share = line[order], np.concatenate([[0.0], np.cumsum(share[order])])
+        tried = np.unique((line[:, None] + np.arange(-d, d + 1)).reshape(-1))
+        weight = share[np.searchsorted(line, tried + d, side="right")] - share[np.searchsorted(line, tried - d, side="left")]
+        good = tried[weight >= self.least(policy)]
+        notice, start = (good // (gap + 8 * d)) % len(self.label), good % (gap + 8 * d) - 4096 // 2 - 2 * d
+        return notice, start
+
+    def least(self, policy: LicensePolicy) -> float:
+        """Indexed weight that a match of the wanted agreement holds at least."""
+        return policy.agreement + policy.indexed - 1 - 1e-6
+
+    def agreements(self, notice: int, start: np.ndarray, number: np.ndarray, first: np.ndarray, end: np.ndarray, policy: LicensePolicy) -> np.ndarray:
+        """Share of a notice's weight that stands within the drift of its place, for each start in rows from first to end."""
+        words = self.words[notice]
+        got = np.zeros((len(start), len(words)), bool)
+        for d in range(-policy.drift, policy.drift + 1):
+            at = start[:, None] + np.arange(len(words)) + d
+            inside = (at >= first[:, None]) & (at < end[:, None])
+            got |= inside & (number[np.where(inside, at, 0)] == words)
+        return got @ self.share[notice]
+
+
+def found_notices(number: np.ndarray, w: _text.Words, index: NoticeIndex, policy: LicensePolicy) -> Iterator[tuple[int, int, float]]:
+    """(row, notice, agreement) of the notices found in a slice."""
+    notices, starts = index.candidates(number, w.row, policy)
+    for notice in np.unique(notices).tolist():
+        begin, key = index.key[notice]
+        place = _places(number, w.row, key)
+        if not len(place):
+            continue
+        start = starts[notices == notice]
+        # the key phrase stands at its place, give or take the drift
+        near = np.searchsorted(place, start + begin - policy.drift, side="left")
+        here = place[np.minimum(near, len(place) - 1)]
+        held = (near < len(place)) & (here <= start + begin + policy.drift)
+        start, row = start[held], w.row[here[held]]
+        for k in range(0, len(start), 4096):
+            at, of = start[k : k + 4096], row[k : k + 4096]
+            got = index.agreements(notice, at, number, w.first[of], w.first[of + 1], policy)
+            for j in np.flatnonzero(got >= policy.agreement - 1e-9).tolist():
+                yield int(of[j]), notice, round(min(float(got[j]), 1.0), 9)
+
+
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
@@ -114,14 +184,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Id, n_words, places of the fixed phrases, labels of phrases and of phrases and notices, best agreement of a notice found."""
     files, frequency = word_frequencies(docs, text_col, notices)
     vocabulary = _vocabulary(notices)
-    weight = np.log((files + 1) / (frequency + 1)) + 1e-6
-    numbers = {t: np.searchsorted(vocabulary, _word_hashes(t)) for t in [p for p, _ in PHRASES] + [x for n in notices for x in (n.words, n.key)]}
-    plans = []
-    for n in notices:
-        words, key = numbers[n.words], numbers[n.key]
-        begin = next(k for k in range(len(words)) if np.array_equal(words[k : k + len(key)], key))
-        rarest = np.argsort(-weight[words], kind="stable")[: policy.anchors]
-        plans.append((n.label, words, weight[words] / weight[words].sum(), [(words[k], k) for k in rarest.tolist()], np.arange(begin, begin + len(key))))
+    index = NoticeIndex.of(notices, vocabulary, np.log((files + 1) / (frequency + 1)) + 1e-6, policy)
+    phrases = [(np.searchsorted(vocabulary, _word_hashes(p)), label) for p, label in PHRASES]
     source = docs.select(docs[id_col], docs[text_col].alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +196,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 number = _numbered(w, vocabulary)
                 base: list[set[str]] = [set() for _ in range(n)]
                 more: list[set[str]] = [set() for _ in range(n)]
-                found = [_places(number, w.row, numbers[p]) for p, _ in PHRASES]
-                for at, (_, label) in zip(found, PHRASES, strict=True):
+                found = [_places(number, w.row, words) for words, _ in phrases]
+                for at, (_, label) in zip(found, phrases, strict=True):
                     for r in np.unique(w.row[at]).tolist():
                         base[r].add(label)
                 place = np.concatenate(found)
@@ -142,20 +206,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 np.minimum.at(first, row, inside)
                 np.maximum.at(last, row, inside)
                 score = np.zeros(n)
-                known = np.flatnonzero(number >= 0)
-                for label, words, share, anchors, key in plans:
-                    here = known[np.isin(number[known], [a for a, _ in anchors])]
-                    proposed = [np.stack([w.row[x], x - k]) for a, k in anchors for x in [here[number[here] == a]]]
-                    pair = np.unique(np.concatenate(proposed, axis=1), axis=1)
-                    r, start = pair
-                    at = start[:, None] + np.arange(len(words))
-                    fits = (at >= w.first[r][:, None]) & (at < w.first[r + 1][:, None])
-                    same = fits & (number[np.where(fits, at, 0)] == words) if len(r) else fits
-                    agree = same @ share
-                    good = (agree >= policy.agreement) & same[:, key].all(axis=1)
-                    np.maximum.at(score, r[good], np.minimum(agree[good], 1.0))
-                    for x in np.unique(r[good]).tolist():
-                        more[x].add(label)
+                for r, notice, agree in found_notices(number, w, index, policy):
+                    more[r].add(index.label[notice])
+                    score[r] = max(score[r], agree)
                 none = last < 0
                 yield pa.RecordBatch.from_arrays(
                     [
