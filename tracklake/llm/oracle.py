@@ -29,7 +29,7 @@ def _rules(shown) -> str:  # noqa: ANN001
 OP7 = f"""WITH r AS (SELECT page_id, url, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, url, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{_UP}', '{_LOW}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path, list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^{urls.TRACKING}='))) AS query FROM r),
 c AS (SELECT *, CASE WHEN host = '' AND path = '' THEN trim(url) ELSE regexp_replace(regexp_replace(host, '^(www|m)\\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '') || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END END AS canonical FROM h),
-listed AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, '(^|[.-])({'|'.join(urls.UNWANTED)})([.-]|$)'))
+listed AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, '{urls.UNWANTED_HOST}'))
 SELECT page_id, host, path, {_rules(lambda r: r.text)} AS rule, coalesce({_rules(lambda r: r.verdict)}, CASE WHEN canonical IN (FROM listed) THEN 'block' ELSE 'allow' END) AS verdict FROM c"""
 
 _P = RepetitionPolicy()

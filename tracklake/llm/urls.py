@@ -1,8 +1,8 @@
 """URL filters: host and path rules, then a list of canonical URLs behind a blocked Bloom filter.
 
 Rules are few (a parameter) and become one expression. The list may be large: each of its canonical URLs sets one
-bit in each of the eight 32-bit words of one block, the filter is put together by a grouped bit_or, and has at most
-``blocks`` rows whatever the list, so it is broadcast. URLs that it surely doesn't hold are settled by that; possible
+bit in each of the eight 32-bit words of one block, the filter is put together by a grouped bit_or, grows with the
+list and has at most ``MOST_BLOCKS`` rows, so it is broadcast. URLs that it surely doesn't hold are settled by that; possible
 hits go to an exact join with the list on the hash and the canonical URL, which removes the false positives. A list
 too long for the filter costs time in that join, never a wrong verdict. Only built-in expressions are used.
 
@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracklake.llm._session import checkpointed
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -46,6 +48,10 @@ TRACKING = "(utm_[a-z]+|ref|gclid|fbclid)"
 SALTS = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)
 
 
+#: Bound of the filter, some 25 MB.
+MOST_BLOCKS = 1 << 18
+
+
 def _rest(url: Column) -> Column:
     at = F.locate("://", url)
     return F.when(at > 0, F.expr("substr(_url, locate('://', _url) + 3)"))
@@ -99,10 +105,15 @@ def _block(blocks: int) -> Column:
     return F.pmod(F.shiftright("_hash", 32), F.lit(blocks)).cast("int")
 
 
-def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES, blocks: int = 1 << 16) -> DataFrame:
-    """Id, host, path, rule, verdict, listed. ``listed``: a table of URLs to block, in its column ``url``."""
+def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES, blocks: int | None = None) -> DataFrame:
+    """Id, host, path, rule, verdict, listed. ``listed``: a table of URLs to block, in its column ``url``.
+
+    The filter has a block for every twelve URLs of the list, ``MOST_BLOCKS`` at most, unless ``blocks`` is given.
+    """
     source = _with_canonical(pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url")), "url")
     list_ = _with_canonical(listed.select("url").where("url is not null"), "url").select("canonical", "_hash").distinct()
+    list_ = checkpointed(list_)
+    blocks = blocks or max(1, min(MOST_BLOCKS, list_.count() // 12))
     sieve = F.broadcast(bloom_filter(list_, blocks))  # its rows are bounded by ``blocks``
     held = F.lit(True)
     for k in range(8):
@@ -116,11 +127,19 @@ def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
     return out.select(F.col("_id").alias(id_col), "host", "path", text.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
 
 
-#: Words in the host names of advertising, betting and drug sellers.
-UNWANTED = ("ads", "bets", "casino", "pills")
+#: Words in the host names of unwanted sites, by category.
+UNWANTED = {
+    "advertising": "ad ads adserver adserving advert adverts adtrack adtracker popads popunder",
+    "gambling": "bet bets betting casino casinos gambling jackpot lottery poker roulette slots",
+    "pharmacy": "cialis drugstore meds pharma pharmacy pill pills viagra",
+    "adult": "adult cams escort escorts nude porn porno sex xxx",
+    "spam": "malware phishing scam scams spam warez",
+}
+#: Such a word between dots or hyphens, with or without a number behind it.
+UNWANTED_HOST = rf"(^|[.-])({'|'.join(' '.join(UNWANTED.values()).split())})[0-9]*([.-]|$)"
 
 
-def unwanted_hosts(pages: DataFrame, url_col: str = "url", words: tuple[str, ...] = UNWANTED) -> DataFrame:
-    """Distinct canonical-form URLs of pages whose host has one of the words, between dots or hyphens."""
+def unwanted_hosts(pages: DataFrame, url_col: str = "url", pattern: str = UNWANTED_HOST) -> DataFrame:
+    """Distinct URLs of pages whose host matches the pattern."""
     found = with_host_path(pages.select(F.col(url_col).alias("url")), "url")
-    return found.where(F.col("host").rlike(f"(^|[.-])({'|'.join(words)})([.-]|$)")).select("url").distinct()
+    return found.where(F.col("host").rlike(pattern)).select("url").distinct()
