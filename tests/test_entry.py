@@ -21,7 +21,12 @@ def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["j1_nearest", "q3_dropout_budget", "w2_sample_by_distance", "j11_revisit_candidates", "a24_holes_filled", "t6_components"])
+@pytest.mark.parametrize("name", [
+    "j1_nearest", "q3_dropout_budget", "w2_sample_by_distance", "j11_revisit_candidates", "a24_holes_filled", "t6_components", "w11_course", "w14_w16_jump_audit", "w27_tilt", "w28_dual_antenna",
+    "c7_temporal_filter", "q10_subset_digest", "src3_file_stamps", "src6_rig_trajectory", "src7_camera_priors", "snk1_published", "snk2_trajectory_lines", "snk3_overlap_lines", "a9_similarity_scale",
+    "a36_motion_correlations", "a38_overlap_report", "a49_refinement_acceptance", "a53_reprojection", "a57_scene_completeness", "a58_submap_acceptance", "a59_assembly_acceptance", "j16_adjacent_tiles",
+    "g10_camera_from_antenna", "g14_time_keys", "g17_reached", "s3_difference", "s4_distinct_cells", "s5_concatenated", "r3_time_window", "r4_out_of_order", "r5_distance_samples", "r6_streamed_nearest",
+])
 def test_query_gives_what_its_sql_gives(spark, name):
     con = duckdb.connect()
     for t in TABLES:

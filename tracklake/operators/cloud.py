@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,13 +69,17 @@ def in_context(points: DataFrame, tiles: DataFrame, halo: float) -> DataFrame:
 
 
 def adjacent_tiles(tiles: DataFrame) -> DataFrame:
-    """tile_id, neighbour, edge: length of the shared edge; rank 1 is the longest, then the lowest id."""
-    a, b = tiles.alias("a"), F.broadcast(tiles).alias("b")
-    low = lambda c: F.greatest(F.col(f"a.lo_{c}"), F.col(f"b.lo_{c}"))
-    high = lambda c: F.least(F.col(f"a.hi_{c}"), F.col(f"b.hi_{c}"))
-    span = {c: high(c) - low(c) for c in "uv"}
-    edge = F.when((span["u"] == 0) & (span["v"] > 0), span["v"]).when((span["v"] == 0) & (span["u"] > 0), span["u"])
-    found = a.join(b, (F.col("a.tile_id") != F.col("b.tile_id")) & (span["u"] >= 0) & (span["v"] >= 0)).select(F.col("a.tile_id").alias("tile_id"), F.col("b.tile_id").alias("neighbour"), edge.alias("edge")).where("edge is not null")
+    """tile_id, neighbour, edge: length of the shared edge; rank 1 is the longest, then the lowest id.
+
+    Tiles meet where one's upper bound is the other's lower one, so four equi-joins find all neighbours.
+    """
+    parts = []
+    for axis, other in (("u", "v"), ("v", "u")):
+        a = tiles.select("tile_id", F.col(f"hi_{axis}").alias("at"), F.col(f"lo_{other}").alias("a_lo"), F.col(f"hi_{other}").alias("a_hi"))
+        b = tiles.select(F.col("tile_id").alias("neighbour"), F.col(f"lo_{axis}").alias("at"), F.col(f"lo_{other}").alias("b_lo"), F.col(f"hi_{other}").alias("b_hi"))
+        met = a.join(b, "at").select("tile_id", "neighbour", (F.least("a_hi", "b_hi") - F.greatest("a_lo", "b_lo")).alias("edge"))
+        parts += [met, met.select(F.col("neighbour").alias("tile_id"), F.col("tile_id").alias("neighbour"), "edge")]
+    found = reduce(DataFrame.unionByName, parts).where("edge > 0 and tile_id <> neighbour")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("tile_id").orderBy(F.desc("edge"), "neighbour")))
 
 

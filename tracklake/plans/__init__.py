@@ -3,7 +3,9 @@
 from tracklake.plans import acceptance_queries as acceptance_queries
 from tracklake.plans import matching_queries as matching_queries
 from tracklake.plans import planning_queries as planning_queries
+from tracklake.plans import report_queries as report_queries
 from tracklake.plans import space_queries as space_queries
+from tracklake.plans import stream_queries as stream_queries
 from tracklake.plans import time_queries as time_queries
 from tracklake.plans import trajectory_queries as trajectory_queries
 from tracklake.plans.registry import ORACLE_SQL as ORACLE_SQL

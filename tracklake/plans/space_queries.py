@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracklake.functions import geodesy, keys, rotation, symmetric
 from tracklake.operators import alignment, checks, cloud, jumps, keyframes, pairs
+from tracklake.plans.jump_sql import JUMP_AUDIT
 from tracklake.plans.registry import query
 from tracklake.plans.time_queries import QUALITY, _by_frame, _quality
 from tracklake.sources.bindings import POINTS_SQL, STREAM_SQL, TRACK_SQL, points, stream, table, track
@@ -255,7 +256,7 @@ def a12_residual_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- jumps and keyframes
 
-@query()
+@query(JUMP_AUDIT)
 def w14_w16_jump_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = track(spark, sf_dir).withColumns({"z": F.lit(0.0), "carrier": F.lit(2), "valid": c("status") >= 0, "var": c("var") / 100})
     return jumps.audit(rows, jumps.JumpPolicy(max_interval_s=1e7, max_excursion_s=1e7, acceleration=1e-13, closure_fraction=0.9, opposition=0.5))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklake.operators import association, checks, series, tables, trajectory
+from tracklake.plans.jump_sql import COURSE, TILT, dual_antenna
 from tracklake.plans.registry import query
 from tracklake.plans.space_queries import rounded
 from tracklake.plans.time_queries import BRACKET, STEP, TOL, _by_frame
@@ -122,22 +123,23 @@ def a34_axis_sigmas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", *rounded(sigma=trajectory.axis_sigmas(rows, 0.3)))
 
 
-@query()
+@query(COURSE)
 def w11_course(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = trajectory.course(track(spark, sf_dir), _by_frame(), "segment_id", "t_ns", 5, 1e-5)
     return out.select("segment_id", "frame", F.round("course", 5).alias("course"), "course_valid")
 
 
-@query()
+@query(TILT)
 def w27_tilt(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = track(spark, sf_dir).withColumns({"qx": F.sin(c("x") / 2), "qy": F.lit(0.0), "qz": F.lit(0.0), "qw": F.cos(c("x") / 2)})
     return trajectory.tilt(rows, _by_frame(), "segment_id", 5).select("segment_id", "frame", F.round("roll", 6).alias("roll"), F.round("pitch", 6).alias("pitch"))
 
 
-@query()
+@query(dual_antenna(TOL * 20))
 def w28_dual_antenna(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lambda kind: stream(spark, sf_dir, kind).select("segment_id", "row_id", "t_ns", "x", c("k").cast("double").alias("y"), F.lit(0.0).alias("z"), F.lit(0.01).alias("var"), (c("k") % 5 > 0).alias("valid"))
-    return trajectory.dual_antenna_heading(rows("click"), rows("view"), 40.0, 20.0, TOL * 20)
+    out = trajectory.dual_antenna_heading(rows("click"), rows("view"), 40.0, 20.0, TOL * 20)
+    return out.select("segment_id", "row_id", "t_ns", "heading_valid", *rounded(length_m=c("length_m"), heading=c("heading"), accuracy_rad=c("accuracy_rad")))
 
 
 # ---- contracts

@@ -45,10 +45,16 @@ def publish(df: DataFrame, path: str, *partitions: str) -> None:
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
 
 
+def number_text(x: Column) -> Column:
+    """Twelve significant digits, without zeros at the end."""
+    shown = F.format_string("%.12g", x)
+    return F.when(shown.contains("."), F.regexp_replace(shown, r"\.?0+($|e)", "$1")).otherwise(shown)
+
+
 def trajectory_lines(df: DataFrame, label: str, labels: list[str], *keys: str) -> DataFrame:
     """One row a key with x, y, z of each label as text of 12 digits."""
     wide = df.groupBy(*keys).pivot(label, labels).agg(*[F.first(c).alias(c) for c in "xyz"])
-    return wide.select(*keys, *[F.format_string("%.12g", F.col(f"`{name}_{c}`")).alias(f"{name}_{c}") for name in labels for c in "xyz"])
+    return wide.select(*keys, *[number_text(F.col(f"`{name}_{c}`")).alias(f"{name}_{c}") for name in labels for c in "xyz"])
 
 
 def pair_lines(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -90,6 +90,11 @@ def out_of_order_stream(rows: DataFrame, key: str = "segment_id") -> DataFrame:
     return rows.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, i long, t long", "newest long", "append", GroupStateTimeout.NoTimeout)
 
 
+def time_window_stream(rows: DataFrame, start_ns: int, stop_ns: int, time: str = "t") -> DataFrame:
+    """Rows with start <= time < stop; where reading ends is the source's part."""
+    return rows.where((F.col(time) >= start_ns) & (F.col(time) < stop_ns))
+
+
 def quality_counts(rows: DataFrame, window: str = "1 hour", late: str = "10 minutes", time: str = "event_time", quality: str = "quality") -> DataFrame:
     """Counts by tumbling window and quality; works on a stream (with its watermark) and on a table alike."""
     held = rows.withWatermark(time, late) if rows.isStreaming else rows
