@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tracklake.operators import series, trajectory
+from tracklake.functions import geodesy
+from tracklake.operators import association, quality, series, trajectory
 from tracklake.operators.checks import checks
 from tracklake.operators.quality import runs
 
@@ -87,3 +88,50 @@ def failure_inventory(failures: DataFrame, allowed: list[str], warn_median: floa
     kind = F.col("name").isin(*allowed)
     each = failures.groupBy(*keys, "window_id").agg(F.count_if(kind).alias("_a"), F.count_if(~kind).alias("_s"), F.count("*").alias("_n"))
     return each.groupBy(*keys).agg(F.count("*").alias("windows"), F.sum("_a").alias("allowed"), F.sum("_s").alias("structural"), (F.percentile("_n", 0.5) > warn_median).alias("warning"))
+
+
+def migrated(frames: DataFrame, fixes: DataFrame, states: DataFrame, headings: DataFrame, tolerance_ns: int, key: str = "segment_id", time: str = "t_ns", index: str = "row_id") -> DataFrame:
+    """Frames of an old layout with their fix, its receiver state, the heading, and their validity and quality.
+
+    ``fixes``: status, finite, and raw columns, which stay as ``raw_``; ``states``: carrier; ``headings``: flags,
+    heading_carrier, accuracy. A fix takes the state nearest to itself, not to the frame. ``problem`` names the first
+    stream without a row in tolerance (fix, state, heading); validity is false and quality invalid there.
+    """
+    names = {"key": key, "time": time, "index": index}
+    link = lambda left, right: association.nearest(left, right, tolerance_ns, **names).select(key, index, "sample_index", "sample_t_ns", "residual_ns")
+    state = link(fixes, states).join(states.select(key, F.col(index).alias("sample_index"), "carrier"), [key, "sample_index"], "left").select(key, index, F.col("sample_index").alias("state_index"), "carrier")
+    known = fixes.join(state, [key, index]).select(key, F.col(index).alias("sample_index"), "state_index", "carrier", "status", "finite", *[F.col(x).alias(f"raw_{x}") for x in fixes.columns if x not in (key, index)])
+    fix = link(frames, fixes).join(known, [key, "sample_index"], "left").withColumnsRenamed({"sample_index": "source_index", "sample_t_ns": "source_t_ns", "residual_ns": "source_residual_ns"})
+    turned = link(frames, headings).join(headings.select(key, F.col(index).alias("sample_index"), "flags", "heading_carrier", "accuracy"), [key, "sample_index"], "left")
+    turned = turned.select(key, index, F.col("sample_index").alias("heading_index"), F.radians("accuracy").alias("accuracy_rad"), quality.heading_valid(F.col("flags"), F.col("heading_carrier"), F.lit(True), F.col("accuracy")).alias("heading_valid"))
+    problem = F.when(F.col("source_index").isNull(), "fix").when(F.col("state_index").isNull(), "state").when(F.col("heading_index").isNull(), "heading")
+    carrier, missing = F.coalesce("carrier", F.lit(-1)), F.col("source_index").isNull()
+    out = frames.join(fix, [key, index]).join(turned, [key, index]).withColumn("problem", problem)
+    valid, grade = quality.position_valid(F.col("status"), F.col("finite")), quality.position_quality(F.col("status"), carrier, F.col("finite"))
+    return out.withColumns({"position_valid": ~missing & valid, "position_quality": F.when(missing, "invalid").otherwise(grade)}).drop("carrier", "status", "finite")
+
+
+def calibration_fixes(fixes: DataFrame, states: DataFrame, origin: tuple[float, float, float], max_age_ns: int, key: str = "segment_id", time: str = "t_ns", index: str = "row_id") -> DataFrame:
+    """key, index, time, east, north, up, age_ns, good: the first fix of each time, in metres from the origin.
+
+    ``fixes``: lat, lon, alt, status, covariance_type, variance; ``states``: ok. A fix is good by ``calibration_fix``
+    with the state nearest in time within ``max_age_ns``; without one it isn't.
+    """
+    first = series.first_per_time(fixes, key, time, index)
+    near = association.nearest(first, states, max_age_ns, key, time, index).join(states.select(key, F.col(index).alias("sample_index"), "ok"), [key, "sample_index"], "left")
+    good = calibration_fix(F.col("status"), F.col("covariance_type"), F.col("variance"), F.col("residual_ns"), F.col("ok"), max_age_ns)
+    place = geodesy.enu(F.col("lat"), F.col("lon"), F.col("alt"), *[F.lit(float(v)) for v in origin])
+    found = first.join(near.select(key, index, "residual_ns", "ok"), [key, index])
+    return found.select(key, index, time, *[v.alias(n) for n, v in zip(("east", "north", "up"), place, strict=True)], F.abs("residual_ns").alias("age_ns"), good.alias("good"))
+
+
+def calibration_frames(frames: DataFrame, roles: DataFrame, start_ns: Column, stop_ns: Column, time: str = "t_ns", name: str = "name") -> DataFrame:
+    """Frames in [start, stop] whose name has the role calibration and no other, with ``problem`` for names listed twice.
+
+    ``roles``: name, role. Names of several roles are leaks and come with the problem ``roles``, names of several
+    frames with ``frames``; nothing is left out silently.
+    """
+    held = roles.groupBy(name).agg(F.bool_or(F.col("role") == "calibration").alias("_in"), (F.count_distinct("role") > 1).alias("_mixed")).where("_in")
+    found = frames.where(F.col(time).between(start_ns, stop_ns)).join(held, name)
+    same = F.count("*").over(Window.partitionBy(name)) > 1
+    return found.withColumn("problem", F.when(F.col("_mixed"), "roles").when(same, "frames")).drop("_in", "_mixed")

@@ -22,6 +22,12 @@ def _sides(reference: DataFrame, sample: DataFrame, key: str, time: str, index:
     return r.withColumn("side", F.lit(0)).withColumn("s", none).unionByName(s.withColumn("side", F.lit(1)).withColumn("s", F.struct(F.col("t").cast("long").alias("t"), F.col("i").cast("long").alias("i"))))
 
 
+def _buckets(reach_ns: int) -> tuple[Column, Column]:
+    """The time bucket of a reference, and all buckets that a sample can be met in."""
+    cell = lambda t: F.floor(t / F.lit(max(16 * reach_ns, 1_000_000_000))).cast("long")
+    return cell(F.col("t")), F.explode(F.sequence(cell(F.col("t") - reach_ns), cell(F.col("t") + reach_ns)))
+
+
 def _around(both: DataFrame, exact_below: bool) -> DataFrame:
     """Reference rows with the last sample before (or at, if exact_below) and the first at or after."""
     part = Window.partitionBy("key", "bucket")
@@ -41,11 +47,7 @@ def nearest(reference: DataFrame, sample: DataFrame, tolerance_ns: int | None, k
     Samples may be used again; of two equally near the earlier one is taken; the residual is sample minus reference.
     With a tolerance, rows without a sample that near have nulls; without one, the nearest is always given.
     """
-    bucket = None
-    if tolerance_ns is not None:
-        width = max(16 * tolerance_ns, 1_000_000_000)
-        cell = lambda t: F.floor(t / F.lit(width)).cast("long")
-        bucket = cell(F.col("t")), F.explode(F.sequence(cell(F.col("t") - tolerance_ns), cell(F.col("t") + tolerance_ns)))
+    bucket = None if tolerance_ns is None else _buckets(tolerance_ns)
     found = _around(_sides(reference, sample, key, time, index, bucket), exact_below=False)
     earlier = F.col("below").isNotNull() & (F.col("above").isNull() | (F.col("t") - F.col("below.t") <= F.col("above.t") - F.col("t")))
     found = found.withColumn("s", F.when(earlier, F.col("below")).otherwise(F.col("above")))
@@ -112,9 +114,10 @@ def unique_nearest(reference: DataFrame, sample: DataFrame, tolerance_ns: int, k
 def bracket(reference: DataFrame, sample: DataFrame, max_gap_ns: int | None = None, key: str = "segment_id", time: str = "t_ns", index: str = "row_id") -> DataFrame:
     """key, index, time, lower/upper index and time, alpha: samples around each reference, no extrapolation.
 
-    A sample at the very time is both ends, with alpha 0. Wider gaps than ``max_gap_ns`` give nulls.
+    A sample at the very time is both ends, with alpha 0. Wider gaps than ``max_gap_ns`` give nulls; with that bound
+    both ends are near the reference, so the streams are dealt out by time bucket; without one a key is ordered whole.
     """
-    found = _around(_sides(reference, sample, key, time, index), exact_below=True)
+    found = _around(_sides(reference, sample, key, time, index, None if max_gap_ns is None else _buckets(max_gap_ns)), exact_below=True)
     good = F.col("below").isNotNull() & F.col("above").isNotNull()
     if max_gap_ns is not None:
         good = good & (F.col("above.t") - F.col("below.t") <= max_gap_ns)

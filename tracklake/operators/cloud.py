@@ -15,6 +15,21 @@ def back_projected(u: Column, v: Column, z: Column, fx: Column, fy: Column, cx:
     return (u - cx) * z / fx, (v - cy) * z / fy, z
 
 
+def depth_pixels(frames: DataFrame, stride: int, least: float = 0.01, *keep: str) -> DataFrame:
+    """keep, u, v, z of every ``stride``-th pixel (from half a stride on) whose depth is valid, finite and not under ``least``.
+
+    ``frames``: width, height, depth and valid as row-major arrays. Pixels are picked from the arrays before they
+    become rows, so no array is repeated. Arrays of another size than width times height give no pixel.
+    """
+    axis = lambda n: F.when(n > stride // 2, F.sequence(F.lit(stride // 2), n - 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    width, height = F.col("width").cast("int"), F.col("height").cast("int")
+    at = lambda name, u, v: F.get(name, v * width + u)
+    row = lambda v: F.transform(axis(width), lambda u: F.struct(u.alias("u"), v.alias("v"), at("depth", u, v).cast("double").alias("z"), at("valid", u, v).alias("ok")))
+    whole = (F.size("depth") == width * height) & (F.size("valid") == width * height)
+    good = F.filter(F.flatten(F.transform(axis(height), row)), lambda p: p["ok"] & (p["z"] >= least) & ~F.isnan(p["z"]) & (p["z"] < float("inf")))
+    return frames.select(*keep, F.inline(F.when(whole, good))).drop("ok")
+
+
 def projected(x: Column, y: Column, z: Column, fx: Column, fy: Column, cx: Column, cy: Column) -> tuple[Column, Column]:
     return fx * x / z + cx, fy * y / z + cy
 

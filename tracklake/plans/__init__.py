@@ -1,6 +1,7 @@
 """Registered queries: operators applied to the test tables, with the SQL that gives the same rows."""
 
 from tracklake.plans import acceptance_queries as acceptance_queries
+from tracklake.plans import calibration_queries as calibration_queries
 from tracklake.plans import matching_queries as matching_queries
 from tracklake.plans import planning_queries as planning_queries
 from tracklake.plans import report_queries as report_queries

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracklake.functions import rotation
 from tracklake.functions.keys import stamp_ns
 
 _POSE = "tx double, ty double, tz double, qx double, qy double, qz double, qw double"
@@ -28,6 +29,35 @@ def seconds_ns(text: Column) -> Column:
     return whole.cast("long") * 1_000_000_000 + F.rpad(part, 9, "0").cast("long")
 
 
+def pose_model(spark: SparkSession, path: str) -> DataFrame:
+    """file, name, view (row-major 4x4), centre (x, y, z), problem of models in text, one model a file.
+
+    A pose line (id, quaternion w x y z, translation, camera, name) is followed by a line of observations, which may be
+    empty; empty lines before a pose and lines that begin with ``#`` don't count. So after each empty line poses and
+    observations take turns anew. Of a line only its first ten fields travel; the lines of one file are ordered in one
+    task. ``problem``: fields, number, quaternion, repeated or observations (the file ends before them), else null.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_name").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i")).alias("_at"),
+        F.slice(F.split(F.trim(F.translate("value", "\t\r", "  ")), " +", 11), 1, 10).alias("_f"),
+    )
+    lines = lines.where(~F.element_at("_f", 1).startswith("#")).withColumn("_full", F.element_at("_f", 1) != "")
+    order = Window.partitionBy("file").orderBy("_at")
+    lines = lines.withColumns({"_part": F.count_if(~F.col("_full")).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_last": F.lead("_at").over(order).isNull()})
+    turn = F.row_number().over(Window.partitionBy("file", "_part", "_full").orderBy("_at"))
+    poses = lines.withColumn("_turn", turn).where(F.col("_full") & (F.col("_turn") % 2 == 1))
+    number = lambda k: F.get("_f", F.lit(k)).try_cast("double")
+    q, t = (number(2), number(3), number(4), number(1)), [number(k) for k in (5, 6, 7)]
+    size = F.sqrt(sum((v * v for v in q[1:]), q[0] * q[0]))
+    r = rotation.matrix(tuple(v / F.when(size > 1e-12, size) for v in q))  # type: ignore[arg-type]
+    view = (*r[0:3], t[0], *r[3:6], t[1], *r[6:9], t[2], *(F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)))
+    found = poses.select("file", F.get("_f", F.lit(9)).alias("name"), "_f", "_last", size.alias("_size"), F.array(*view).alias("view"), *[v.alias(k) for k, v in zip("xyz", rotation.camera_center(view), strict=True)])
+    many = F.count("*").over(Window.partitionBy("file", "name")) > 1
+    problem = F.when(F.size("_f") < 10, "fields").when(F.col("_size").isNull() | F.element_at("view", 4).isNull() | F.element_at("view", 8).isNull() | F.element_at("view", 12).isNull(), "number")
+    problem = problem.when(~(F.col("_size") > 1e-12) | F.isnan("_size") | (F.col("_size") == float("inf")), "quaternion").when(many, "repeated").when(F.col("_last"), "observations")
+    return found.withColumn("problem", problem).drop("_f", "_last", "_size")
+
+
 def log_window(messages: DataFrame, chunks: DataFrame, topic: str, start_ns: int, stop_ns: int, pad_ns: int = 0) -> DataFrame:
     """Messages of a topic with log time in the padded window, of the chunks that have the topic and overlap it.
 
