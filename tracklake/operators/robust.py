@@ -40,7 +40,12 @@ def robust_alignment(pairs: DataFrame, threshold: Column, hypotheses: int = 512,
     error = [F.col("uvw"[i]) - (sum((F.col(f"r{3 * i + k}") * F.col("xyz"[k]) for k in (1, 2)), F.col(f"r{3 * i}") * F.col("x")) + F.col(f"t{i}")) for i in range(3)]
     scored = pairs.withColumn("_limit", threshold).crossJoin(F.broadcast(table)).withColumn("_e", F.sqrt(error[0] * error[0] + error[1] * error[1] + error[2] * error[2]))
     scored = scored.withColumn("_in", F.col("_e") <= F.col("_limit"))
-    best = scored.groupBy("h", *names).agg(F.count_if("_in").alias("n"), F.percentile(F.when(F.col("_in"), F.col("_e")), 0.5).alias("m"), F.avg(F.when(F.col("_in"), F.col("_e"))).alias("a")).orderBy(F.desc("n"), "m", "a", "h").limit(1)
+    counts = scored.groupBy("h").agg(F.count_if("_in").alias("n")).collect()  # a row a hypothesis
+    most = [r.h for r in counts if r.n == max(x.n for x in counts)]
+    best = table.where(F.col("h").isin(most))
+    if len(most) > 1:  # only the tied ones need residuals in order
+        inside = scored.where(F.col("h").isin(most) & F.col("_in"))
+        best = best.join(inside.groupBy("h").agg(F.percentile("_e", 0.5).alias("m"), F.avg("_e").alias("a")), "h", "left").orderBy("m", "a", "h").limit(1)
     fit = best.select(F.array(*names[:9]).alias("rotation"), F.array(*names[9:]).alias("translation"))
     count, out = -1, fit.withColumn("n_inliers", F.lit(0).cast("long"))
     for _ in range(refits + 1):
