@@ -70,12 +70,12 @@ def j8_supported_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("segment_id", "row_id", *rounded(x=c("x")))
 
 
-_WINDOWS = "p AS (SELECT segment_id, w AS window_id, frame, t_ns, x + 0.01 * w AS x, y, 0.0::DOUBLE AS z FROM track, (SELECT unnest(range(0, 40)) AS w) WHERE frame BETWEEN w * 15 AND w * 15 + 19)"
+_WINDOWS = "p AS (SELECT segment_id, w AS window_id, frame, t_ns, x + 0.01 * w AS x, y, 0.0::DOUBLE AS z FROM (SELECT *, unnest(list_distinct([frame // 15, greatest((frame - 5) // 15, 0)])) AS w FROM track) WHERE frame BETWEEN w * 15 AND w * 15 + 19)"
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = track(spark, sf_dir).withColumn("window_id", F.explode(F.array_distinct(F.array(F.floor(c("frame") / 15), F.greatest(F.floor((c("frame") - 5) / 15), F.lit(0).cast("long"))))))
-    rows = rows.where((c("window_id") < 40) & c("frame").between(c("window_id") * 15, c("window_id") * 15 + 19))
+    rows = rows.where(c("frame").between(c("window_id") * 15, c("window_id") * 15 + 19))
     return rows.select("segment_id", "window_id", "frame", "t_ns", (c("x") + 0.01 * c("window_id")).alias("x"), "y", F.lit(0.0).alias("z"))
 
 
