@@ -1,6 +1,9 @@
 """Greedy selections and robust alignment."""
 
+import random
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tracklake.operators import planning, robust
@@ -13,6 +16,35 @@ def test_bounded_degree(spark):
     assert got == [(1, 2, "connectivity"), (2, 3, "connectivity"), (3, 4, "connectivity"), (1, 4, "candidate")]
 
 
+def restated(edges, max_degree, max_edges=None):
+    """The two passes, edge by edge, over sets of nodes that hang together."""
+    groups, degree, taken, rest = {}, {}, [], []
+    for rank, a, b in sorted({(min(r for r, x, y in edges if (x, y) == (a, b)), a, b) for _, a, b in edges}):
+        if groups.get(a, {a}) == groups.get(b, {b}):
+            rest.append((a, b))
+        elif max(degree.get(a, 0), degree.get(b, 0)) < max_degree:
+            whole = groups.get(a, {a}) | groups.get(b, {b})
+            groups.update({n: whole for n in whole})
+            degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+            taken.append((a, b, "connectivity"))
+    for a, b in rest:
+        if max(degree[a], degree[b]) < max_degree and (max_edges is None or len(taken) < max_edges):
+            degree[a], degree[b] = degree[a] + 1, degree[b] + 1
+            taken.append((a, b, "candidate"))
+    return sorted(taken)
+
+
+@pytest.mark.parametrize("max_edges", [None, 14, 0])
+def test_bounded_degree_as_restated(spark, max_edges):
+    rng = random.Random(max_edges)
+    rows = {s: [(float(rng.randrange(8)), *sorted(rng.sample(range(14), 2))) for _ in range(70)] for s in ("a", "b", None)}
+    df = spark.createDataFrame([(s, a, b, r) for s, edges in rows.items() for r, a, b in edges], "segment_id string, a long, b long, rank double")
+    found = planning.bounded_degree_edges(df, 3, max_edges).collect()
+    for s, edges in rows.items():
+        assert sorted((r.a, r.b, r.reason) for r in found if r.segment_id == s) == restated(edges, 3, max_edges)
+    assert planning.bounded_degree_edges(df.limit(0), 3).count() == 0
+
+
 def test_coverage_takes_the_most_new_cells(spark):
     rows = [(0, 1, c) for c in "ab"] + [(0, 2, c) for c in "bcd"] + [(0, 3, c) for c in "cdef"] + [(0, 4, c) for c in "ef"]
     cells = spark.createDataFrame(rows, "tile_id int, frame long, cell string")

@@ -45,6 +45,11 @@ def test_one_to_one(spark, ref, smp, tolerance, expected):
     assert matches(a.one_to_one(*streams(spark, ref, smp), tolerance), "row_id", "sample_index", "residual_ns") == expected
 
 
+def test_a_dense_stream_is_one_stretch(spark):
+    df = streams(spark, list(range(0, 60_000, 2)), list(range(1, 60_001, 3)))
+    assert matches(a.one_to_one(*df, 3), "row_id", "sample_index", "residual_ns") == greedy(list(range(0, 60_000, 2)), list(range(1, 60_001, 3)), 3)
+
+
 def greedy(ref, smp, tolerance):
     out, s = [], 0
     for r, t in enumerate(ref):

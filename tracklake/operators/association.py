@@ -7,11 +7,14 @@ reaches, so one long recording is not one task; only the unbounded ones order a
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections import deque
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklake.operators.scans import scanned
+
 
 def _sides(reference: DataFrame, sample: DataFrame, key: str, time: str, index: str, bucket: tuple[Column, Column] | None = None) -> DataFrame:
     """Both streams as one: key, t, side (0 reference, 1 sample), i, and a struct s of a sample's (t, i)."""
@@ -79,28 +82,33 @@ def islands(both: DataFrame, tolerance_ns: int) -> DataFrame:
 def one_to_one(reference: DataFrame, sample: DataFrame, tolerance_ns: int, key: str = "segment_id", time: str = "t_ns", index: str = "row_id") -> DataFrame:
     """Pairs in time order, each sample and reference used once, the earliest feasible pair first.
 
-    The two streams are cut where a gap exceeds the tolerance; the carried state of the pairing is inside one piece.
+    The two streams are cut where a gap exceeds the tolerance, so many stretches of a recording are paired apart. In a
+    stretch rows pass as a stream: what is kept is the rows that are still in reach of the newest one.
     """
     held = islands(_sides(reference, sample, key, time, index).drop("s", "bucket"), tolerance_ns)
-    # pieces with one side only hold no pair and don't leave the JVM; a worker takes some that follow each other
+    # pieces with one side only hold no pair and don't leave the JVM
     sides = Window.partitionBy("key", "island")
-    held = held.withColumns({"_low": F.min("side").over(sides), "_high": F.max("side").over(sides)}).where("_low < _high").drop("_low", "_high")
-    held = held.withColumn("island", F.floor(F.col("island") / 256).cast("long"))
+    held = held.withColumns({"_low": F.min("side").over(sides), "_high": F.max("side").over(sides)}).where("_low < _high")
     key_type = reference.schema[key].dataType.simpleString()
 
-    def pair(piece: pd.DataFrame) -> pd.DataFrame:
-        piece = piece.sort_values(["t", "i"])
-        r, s = (piece[piece["side"] == k] for k in (0, 1))
-        rt, st, i, j, out = r["t"].to_numpy(), s["t"].to_numpy(), 0, 0, []
-        while i < len(rt) and j < len(st):
-            d = int(st[j]) - int(rt[i])
-            if abs(d) <= tolerance_ns:
-                out.append((i, j, d))
-            i, j = i + (d >= -tolerance_ns), j + (d <= tolerance_ns)
-        i, j, d = (np.array([x[k] for x in out], np.int64) for k in range(3))
-        return pd.DataFrame({key: r["key"].to_numpy()[i], index: r["i"].to_numpy()[i], time: rt[i], "sample_index": s["i"].to_numpy()[j], "residual_ns": d})
-
-    return held.groupBy("key", "island").applyInPandas(pair, f"`{key}` {key_type}, `{index}` long, `{time}` long, sample_index long, residual_ns long")
+    def pair(rows: Iterator[tuple]) -> Iterator[tuple]:
+        waiting: tuple[deque, deque] = (deque(), deque())
+        references, samples = waiting
+        for k, _, t, side, i in rows:
+            waiting[side].append((t, i))
+            while references and samples:
+                d = samples[0][0] - references[0][0]
+                if abs(d) <= tolerance_ns:
+                    yield k, references[0][1], references[0][0], samples[0][1], d
+                if d >= -tolerance_ns:
+                    references.popleft()
+                if d <= tolerance_ns:
+                    samples.popleft()
+            for side_ in waiting:
+                while side_ and t - side_[0][0] > tolerance_ns:
+                    side_.popleft()
+
+    return scanned(held, ["key", "island"], ["t", "side", "i"], ["t", "side", "i"], pair, f"`{key}` {key_type}, `{index}` long, `{time}` long, sample_index long, residual_ns long")
 
 
 def unique_nearest(reference: DataFrame, sample: DataFrame, tolerance_ns: int, key: str = "segment_id", time: str = "t_ns", index: str = "row_id") -> DataFrame:

@@ -6,14 +6,15 @@ scanned apart, many of them in one segment.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.operators.quality import runs
+from tracklake.operators.scans import scanned
 
 #: Fixed order of reasons.
 REASONS = ("endpoint", "turn_entry", "turn_peak", "turn_exit", "gnss_before_change", "gnss_state_change", "spatial_revisit_source", "spatial_revisit", "translation", "rotation", "max_elapsed", "quality_override")
@@ -53,34 +54,34 @@ def select_keyframes(frames: DataFrame, forced: DataFrame, policy: KeyframePolic
     w = Window.partitionBy(key).orderBy(time, index)
     held = frames.select(key, index, time, "x", "y", "z", "qx", "qy", "qz", "qw", "acceptable").join(forced, [key, index], "left")
     held = held.withColumn("_anchor", F.sum(F.col("reasons").isNotNull().cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # a worker takes some stretches that follow each other; the frame after them, forced and so selected, is theirs
+    # a task takes some stretches that follow each other, as a stream; the frame after them, forced and so selected, is theirs
     # to report, for its motion is measured from their last selected frame
     held = held.withColumn("_part", F.floor((F.col("_anchor") - 1) / STRETCHES).cast("long"))
     starts = held.where((F.col("_anchor") - 1) % STRETCHES == 0).where("reasons is not null and _part > 0").withColumn("_part", F.col("_part") - 1)
     held = held.unionByName(starts)
     kind = lambda c: frames.schema[c].dataType.simpleString()
     limit = lambda x: x - 1e-12 * max(1.0, abs(x))
-
-    def scan(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([time, index])
-        p, q, t = part[["x", "y", "z"]].to_numpy(), part[["qx", "qy", "qz", "qw"]].to_numpy(), part[time].to_numpy()
-        out, last = [], None
-        for i, (given, fine) in enumerate(zip(part["reasons"], part["acceptable"], strict=True)):
-            found = set() if given is None else set(given)
-            if last is not None:
-                if np.linalg.norm(p[i] - p[last]) >= limit(policy.translation_m):
+    far, turned, late = limit(policy.translation_m), limit(policy.rotation_deg), limit(policy.elapsed_s)
+
+    def scan(rows: Iterator[tuple]) -> Iterator[tuple]:
+        last = None
+        for k, part, i, t, *pose, fine, given in rows:
+            found, begins = set(given or ()), last is None
+            if not begins:
+                p, q = last[1][:3], last[1][3:]
+                if math.dist(p, pose[:3]) >= far:
                     found.add("translation")
-                if np.degrees(2 * np.arccos(min(1.0, abs(q[i] @ q[last])))) >= limit(policy.rotation_deg):
+                if math.degrees(2 * math.acos(min(1.0, abs(math.sumprod(q, pose[3:]))))) >= turned:
                     found.add("rotation")
-                if (t[i] - t[last]) / 1e9 >= limit(policy.elapsed_s):
+                if (t - last[0]) / 1e9 >= late:
                     found.add("max_elapsed")
             if not found or (not fine and found <= {"translation", "rotation"}):
                 continue
             if not fine:
                 found.add("quality_override")
-            if i or not part["_part"].iloc[0]:
-                out.append((part[key].iloc[i], part[index].iloc[i], ",".join(r for r in REASONS if r in found)))
-            last = i
-        return pd.DataFrame(out, columns=[key, index, "reasons"])
+            last = (t, pose)
+            if not begins or not part:
+                yield k, i, ",".join(r for r in REASONS if r in found)
 
-    return held.groupBy(key, "_part").applyInPandas(scan, f"`{key}` {kind(key)}, `{index}` {kind(index)}, reasons string")
+    values = [index, time, "x", "y", "z", "qx", "qy", "qz", "qw", "acceptable", "reasons"]
+    return scanned(held, [key, "_part"], [time, index], values, scan, f"`{key}` {kind(key)}, `{index}` {kind(index)}, reasons string")

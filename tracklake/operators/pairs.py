@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tracklake.functions.keys import pair_id
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """Rows cut from their lineage, in the session's shared folder; a local session without one gets a temporary one."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -114,14 +114,14 @@ def merged_edges(*edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): labels pass to neighbours, then each label takes its own label, until none changes."""
     links = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    links = _checkpoint(links.union(links.select("b", "a")).distinct())
+    links = checkpointed(links.union(links.select("b", "a")).distinct())
     label = links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node")
     while True:
-        label = _checkpoint(label)
+        label = checkpointed(label)
         heard = links.join(label.toDF("b", "r"), "b").groupBy("a").agg(F.min("r").alias("r"))
         out = label.join(heard.withColumnRenamed("a", "node"), "node").select("node", F.least("root", "r").alias("root"), F.col("root").alias("old"))
         out = out.join(label.toDF("root", "further"), "root", "left").select("node", F.least("root", F.coalesce("further", "root")).alias("root"), "old")
-        out = _checkpoint(out)
+        out = checkpointed(out)
         if out.where("root <> old").isEmpty():
             return out.select("node", "root")
         label = out.select("node", "root")

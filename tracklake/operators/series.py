@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tracklake.operators.scans import scanned
+
 
 def ordered(key: str = "segment_id", *order: str) -> WindowSpec:
     return Window.partitionBy(key).orderBy(*(order or ("frame",)))
@@ -148,24 +150,21 @@ def every_kth(df: DataFrame, w: WindowSpec, k: int, offset: int = 0) -> DataFram
 def decimated(df: DataFrame, interval: int, key: str, time: str, index: str) -> DataFrame:
     """key, index, time of rows at least ``interval`` after the last accepted one. The state is carried inside a key.
 
-    Gaps of the interval or more restart it whatever came before, so a key is cut there; a worker takes some pieces
-    that follow each other.
+    Gaps of the interval or more restart it whatever came before, so a key is cut there.
     """
     w = Window.partitionBy(key).orderBy(time, index)
     restart = F.coalesce(F.col(time) - F.lag(time).over(w) >= interval, F.lit(True))
-    pieces = df.select(key, index, time).withColumn("_piece", F.floor(F.sum(restart.cast("long")).over(_so_far(w)) / 256).cast("long"))
+    pieces = df.select(key, index, time).withColumn("_piece", F.sum(restart.cast("long")).over(_so_far(w)))
     kind = lambda c: df.schema[c].dataType.simpleString()
 
-    def accept(piece: pd.DataFrame) -> pd.DataFrame:
-        piece = piece.sort_values([time, index])
-        last, chosen = None, []
-        for i, t in enumerate(piece[time].tolist()):
+    def accept(rows: Iterator[tuple]) -> Iterator[tuple]:
+        last = None
+        for k, _, i, t in rows:
             if last is None or t - last >= interval:
-                chosen.append(i)
+                yield k, i, t
                 last = t
-        return piece.iloc[chosen][[key, index, time]]
 
-    return pieces.groupBy(key, "_piece").applyInPandas(accept, f"`{key}` {kind(key)}, `{index}` {kind(index)}, `{time}` {kind(time)}")
+    return scanned(pieces, [key, "_piece"], [time, index], [index, time], accept, f"`{key}` {kind(key)}, `{index}` {kind(index)}, `{time}` {kind(time)}")
 
 
 def inherited(df: DataFrame, w: WindowSpec, member: str, known: Column, out: str) -> DataFrame:

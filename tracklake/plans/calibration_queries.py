@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracklake.functions import rotation
 from tracklake.operators import acceptance, calibration, cloud
-from tracklake.operators.pairs import _checkpoint
+from tracklake.operators.pairs import checkpointed
 from tracklake.plans.registry import query
 from tracklake.plans.space_queries import rounded
 from tracklake.plans.time_queries import QUALITY, TOL
@@ -26,7 +26,7 @@ m AS (SELECT *, count(*) OVER (PARTITION BY id // 200, name) AS n, CASE WHEN id
 SELECT name, round(-(a * x + b * y), 6) AS x, round(b * x - a * y, 6) AS y, round(CASE WHEN id % 13 > 0 THEN -z END, 6) AS z, CASE WHEN id % 13 = 0 THEN 'number' WHEN n > 1 THEN 'repeated' END AS problem FROM m""")
 def src5_pose_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models of 200 poses each, written as text and read back: empty observations, empty lines and comments between."""
-    _checkpoint(spark.range(1))  # names the shared folder
+    checkpointed(spark.range(1))  # names the shared folder
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/models-{uuid.uuid4().hex}"
     qz = F.when(c("id") % 13 == 0, "x").otherwise((c("w") / 10).cast("string"))
     name = F.when(c("id") % 7 == 0, "twice").otherwise(F.concat(F.lit("p"), "id"))

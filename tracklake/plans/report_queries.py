@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracklake.functions import keys
 from tracklake.operators import alignment, cloud, reports, tables, trajectory
-from tracklake.operators.pairs import _checkpoint
+from tracklake.operators.pairs import checkpointed
 from tracklake.plans.jump_sql import _BY_FRAME, _STEPS, _gradient
 from tracklake.plans.registry import query
 from tracklake.plans.space_queries import rounded
@@ -47,7 +47,7 @@ def g17_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderstatus AS status, count(*) AS n, true AS refused FROM orders GROUP BY 1")
 def snk1_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders published once, read back by partition; publishing again to the same place is refused."""
-    _checkpoint(spark.range(1))  # names the shared folder
+    checkpointed(spark.range(1))  # names the shared folder
     rows = table(spark, sf_dir, "orders").select("o_orderkey", c("o_orderstatus").alias("status"))
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/published-{uuid.uuid4().hex}"
     readers.publish(rows, path, "status")

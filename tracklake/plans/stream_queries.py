@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.operators.pairs import _checkpoint
+from tracklake.operators.pairs import checkpointed
 from tracklake.plans.registry import query
 from tracklake.plans.time_queries import STEP, TOL
 from tracklake.sources.bindings import STREAM_SQL, nanoseconds, table
@@ -19,7 +19,7 @@ c = F.col
 
 def streamed(spark: SparkSession, sf_dir: str, prepare: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows that a stream over the events gives, written to the shared folder by an available-now query."""
-    _checkpoint(spark.range(1))  # names the shared folder
+    checkpointed(spark.range(1))  # names the shared folder
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
     number = F.regexp_extract("props", "[0-9]+", 0).cast("long")
