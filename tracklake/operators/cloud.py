@@ -129,12 +129,16 @@ def blended_layers(layers: DataFrame, *keys: str) -> DataFrame:
     return layers.groupBy(*keys).agg(*[F.when(total > 0, F.sum(w * F.col(c)) / total).alias(c) for c in "rgb"], total.alias("mass"))
 
 
+def core_weight(halo: float) -> Column:
+    """1 inside a core (lo_u to hi_v), falling with the distance of (u, v) from it to 0 at the halo."""
+    out = lambda c: F.greatest(F.col(f"lo_{c}") - F.col(c), F.col(c) - F.col(f"hi_{c}"), F.lit(0.0))
+    return F.greatest(1 - F.sqrt(out("u") * out("u") + out("v") * out("v")) / halo, F.lit(0.0))
+
+
 def tile_weights(points: DataFrame, tiles: DataFrame, halo: float, key: str = "id") -> DataFrame:
     """Partition of unity over tiles: 1 minus distance outside the core over the halo, normalised for each point."""
     held = in_context(points, tiles, halo).join(F.broadcast(tiles.select("tile_id", "lo_u", "lo_v", "hi_u", "hi_v")), "tile_id")
-    out = lambda c: F.greatest(F.col(f"lo_{c}") - F.col(c), F.col(c) - F.col(f"hi_{c}"), F.lit(0.0))
-    raw = F.greatest(1 - F.sqrt(out("u") * out("u") + out("v") * out("v")) / halo, F.lit(0.0))
-    held = held.withColumn("_w", raw)
+    held = held.withColumn("_w", core_weight(halo))
     total = F.sum("_w").over(Window.partitionBy(key))
     return held.withColumn("weight", F.when(total > 0, F.col("_w") / total).otherwise(0.0)).drop("_w", "lo_u", "lo_v", "hi_u", "hi_v")
 

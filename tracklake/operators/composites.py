@@ -1,17 +1,19 @@
-"""Whole jobs put together from the other operators: oracle observations, pose export, synchronised gauges."""
+"""Whole jobs put together from the other operators: observations of recordings, pose export, synchronised and assembled poses."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.functions import geodesy
-from tracklake.operators import alignment, robust, trajectory
+from tracklake.operators import acceptance, alignment, association, quality, reports, robust, series, trajectory
 from tracklake.operators.checks import checks
+from tracklake.operators.pairs import checkpointed
 
 c = F.col
 
@@ -48,12 +50,22 @@ def pose_export(images: DataFrame, poses: DataFrame, priors: DataFrame, threshol
     return out.join(out.groupBy("model").agg(F.bool_and("passed").alias("accepted")), "model").select("name", "value", "passed", "accepted")
 
 
+def _quaternion(m: np.ndarray) -> list[float]:
+    """x, y, z, w of a rotation matrix: the top eigenvector of its symmetric 4x4 form."""
+    k = np.zeros((4, 4))
+    k[:3, :3] = m + m.T - np.trace(m) * np.eye(3)
+    k[3, :3] = k[:3, 3] = m[2, 1] - m[1, 2], m[0, 2] - m[2, 0], m[1, 0] - m[0, 1]
+    k[3, 3] = np.trace(m)
+    return np.linalg.eigh(k)[1][:, -1].tolist()
+
+
 def synchronised(poses: DataFrame, key: str = "segment_id", window: str = "window_id", frame: str = "frame") -> DataFrame:
     """Poses (x, y, z) of overlapping windows in the gauge of their key's first window, with ``chained``.
 
     Two windows that follow each other are aligned by the frames they share (moments in one aggregate); the alignments
     are composed along the chain, one row a window, by a worker for each key. Where windows share no three frames that
     aren't in a line, or one is missing, the chain is broken: rows after it are not chained and have null coordinates.
+    Rotations (qx to qw, camera to world) are turned too where the poses have them.
     """
     a = poses.select(key, window, frame, *[c(x).alias(y) for x, y in zip("xyz", "uvw", strict=True)])
     b = poses.select(key, (c(window) - 1).alias(window), frame, *"xyz")
@@ -70,14 +82,17 @@ def synchronised(poses: DataFrame, key: str = "segment_id", window: str = "windo
                     break
                 turn = np.reshape(rotation, (3, 3))
                 r, t = r @ turn, r @ np.asarray(translation) + t
-            out.append((k, w, r.ravel().tolist(), t.tolist()))
+            out.append((k, w, r.ravel().tolist(), t.tolist(), _quaternion(r)))
             before = w
-        return pd.DataFrame(out, columns=[key, "_w", "rotation", "translation"])
+        return pd.DataFrame(out, columns=[key, "_w", "rotation", "translation", "_turn"])
 
-    gauges = nodes.groupBy(key).applyInPandas(compose, f"`{key}` {kinds[key]}, _w long, rotation array<double>, translation array<double>")
+    gauges = nodes.groupBy(key).applyInPandas(compose, f"`{key}` {kinds[key]}, _w long, rotation array<double>, translation array<double>, _turn array<double>")
     held = poses.withColumn("_w", c(window).cast("long")).join(gauges, [key, "_w"], "left").drop("_w")
     at = {v: F.element_at("rotation", 3 * k + 1) * c("x") + F.element_at("rotation", 3 * k + 2) * c("y") + F.element_at("rotation", 3 * k + 3) * c("z") + F.element_at("translation", k + 1) for k, v in enumerate("xyz")}
-    return held.withColumns({**at, "chained": c("rotation").isNotNull()}).drop("rotation", "translation")
+    if "qx" in poses.columns:
+        turn, own = tuple(F.element_at("_turn", k + 1) for k in range(4)), tuple(c(q) for q in trajectory._QUATERNION)
+        at |= dict(zip(trajectory._QUATERNION, reports.quaternion_product(turn, own), strict=True))
+    return held.withColumns({**at, "chained": c("rotation").isNotNull()}).drop("rotation", "translation", "_turn")
 
 
 def globally_fitted(poses: DataFrame, targets: DataFrame, key: str = "segment_id", frame: str = "frame") -> DataFrame:
@@ -90,3 +105,110 @@ def globally_fitted(poses: DataFrame, targets: DataFrame, key: str = "segment_id
     fits = alignment.rigid_fit(alignment.moments(pairs, key).where("n >= 3"), key)
     found = alignment.aligned(pairs, fits, key).groupBy(key)
     return found.agg(F.count("*").alias("n"), F.percentile("residual_m", 0.5).alias("median_m"), F.percentile("residual_m", 0.95).alias("p95_m"))
+
+
+@dataclass(frozen=True)
+class AssemblyPolicy:
+    least_overlap: int
+    center_m: tuple[float, float, float]
+    rotation_deg: tuple[float, float, float]
+    most_median_m: float
+    most_p95_m: float
+    inlier_m: float
+    power: float = 2.0
+    path: acceptance.PathPolicy = field(default_factory=acceptance.PathPolicy)
+
+
+def assembled(poses: DataFrame, targets: DataFrame, policy: AssemblyPolicy, key: str = "segment_id", window: str = "window_id", frame: str = "frame", time: str = "t_ns") -> tuple[DataFrame, DataFrame]:
+    """Blended poses (key, frame, time, x, y, z) in the targets' gauge, and the verdict of each key.
+
+    ``poses``: windows with time, centre and rotation qx to qw; ``targets``: key, frame, u, v, w. Windows are brought
+    into one gauge, compared where they overlap, blended by distance from their ends, and fitted rigidly to the targets;
+    the path is held against them. Checks: whole chain, overlaps, both residuals, five of the path. A key with fewer
+    than three frames with targets has no path and fails by its missing residuals.
+    """
+    held = checkpointed(synchronised(poses, key, window, frame))
+    chain = held.groupBy(key).agg(F.avg(c("chained").cast("double")).alias("chained"))
+    good = held.where("chained")
+    each = reports.overlap_report(reports.overlap_differences(trajectory.overlaps(good, key, window, frame), key, frame), policy.least_overlap, policy.center_m, policy.rotation_deg, key)
+    bad = each.where("not passed").groupBy(key).agg(F.count("*").alias("overlaps"))
+    blended = trajectory.blended_centers(good, policy.power, key, window, frame)
+    times = good.groupBy(key, frame).agg(F.min(time).alias(time))
+    pairs = blended.join(times, [key, frame]).join(targets.select(key, frame, *"uvw"), [key, frame])
+    fits = alignment.rigid_fit(alignment.moments(pairs, key).where("n >= 3"), key)
+    found = checkpointed(alignment.aligned(pairs, fits, key))
+    refined = {t: c(t) - c(e) for t, e in zip("uvw", ("ex", "ey", "ez"), strict=True)}
+    path = found.select(key, frame, time, *[c(t).alias(p) for t, p in zip("uvw", "xyz", strict=True)], *[v.alias(t) for t, v in refined.items()], (c("residual_m") <= policy.inlier_m).alias("inlier"))
+    rest = found.groupBy(key).agg(F.percentile("residual_m", 0.5).alias("median_m"), F.percentile("residual_m", 0.95).alias("p95_m"))
+    measured = chain.join(bad, key, "left").fillna(0, ["overlaps"]).join(rest, key, "left")
+    own = checks(measured, [key], {"chained": (c("chained"), 1, None), "overlaps": (c("overlaps"), None, 0), "median_m": (c("median_m"), None, policy.most_median_m), "p95_m": (c("p95_m"), None, policy.most_p95_m)})
+    gates = acceptance.path_gates(path, Window.partitionBy(key).orderBy(frame), policy.path, key, time, frame)
+    out = path.select(key, frame, time, *[c(t).alias(p) for t, p in zip("uvw", "xyz", strict=True)])
+    return out, reports.acceptance([own, gates], [], key)
+
+
+@dataclass(frozen=True)
+class StereoPolicy:
+    pair_ns: int
+    fix_ns: int
+    heading_ns: int
+    stride: int = 1
+    lever: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    mount: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 1.0)
+    baseline_yaw: float = 0.0
+
+
+def stereo_observations(left: DataFrame, right: DataFrame, fixes: DataFrame, headings: DataFrame, policy: StereoPolicy, key: str = "segment_id", time: str = "t_ns", index: str = "row_id") -> DataFrame:
+    """Every ``stride``-th stereo pair: frame (from 0), both indexes, quality, heading_valid, camera pose, problem.
+
+    ``fixes``: x, y, z (antenna, metres), status, carrier; ``headings``: yaw, flags, heading_carrier, accuracy. Left
+    and right images are paired one to one; fix and heading are the nearest in tolerance. ``problem`` is the first of
+    fix, position, heading that is missing or not valid; the pose (x, y, z, qx to qw) is null then.
+    """
+    pairs = association.one_to_one(left, right, policy.pair_ns, key, time, index).withColumnsRenamed({"sample_index": "right_index", "residual_ns": "sync_ns"})
+    order = Window.partitionBy(key).orderBy(time, index)
+    frames = series.every_kth(pairs, order, policy.stride).withColumn("frame", (F.row_number().over(order) - 1).cast("long"))
+    frames = checkpointed(frames)
+
+    def met(stream: DataFrame, tolerance_ns: int, name: str) -> DataFrame:
+        found = association.nearest(frames, stream, tolerance_ns, key, time, index).select(key, index, c("sample_index").alias(name))
+        return found.join(stream.drop(time).withColumnRenamed(index, name), [key, name], "left")
+
+    fix = met(fixes.select(key, index, time, c("x").alias("_x"), c("y").alias("_y"), c("z").alias("_z"), "status", "carrier"), policy.fix_ns, "fix_index")
+    turn = met(headings.select(key, index, time, "yaw", "flags", "heading_carrier", "accuracy"), policy.heading_ns, "heading_index")
+    finite = c("_x").isNotNull() & c("_y").isNotNull() & c("_z").isNotNull()
+    faced = quality.heading_valid(c("flags"), c("heading_carrier"), c("yaw").isNotNull() & ~F.isnan("yaw"), c("accuracy"))
+    out = frames.join(fix, [key, index]).join(turn, [key, index]).withColumns({"heading_valid": faced, "quality": F.when(c("fix_index").isNotNull(), quality.position_quality(c("status"), c("carrier"), finite))})
+    problem = quality.first_reason(("fix", c("fix_index").isNull()), ("position", ~quality.position_valid(c("status"), finite)), ("heading", ~c("heading_valid")))
+    center, rotation = reports.camera_from_antenna((c("_x"), c("_y"), c("_z")), c("yaw"), policy.lever, tuple(F.lit(q) for q in policy.mount), policy.baseline_yaw)
+    pose = dict(zip(("x", "y", "z", *trajectory._QUATERNION), (*center, *rotation), strict=True))
+    out = out.withColumn("problem", problem)
+    return out.select(key, index, time, "frame", "right_index", "sync_ns", "fix_index", "heading_index", "quality", "heading_valid", *[F.when(c("problem").isNull(), v).alias(n) for n, v in pose.items()], "problem")
+
+
+@dataclass(frozen=True)
+class DualPolicy:
+    baseline_m: float
+    baseline_tolerance_m: float
+    max_gap_ns: int
+    fix_ns: int
+    color_ns: int
+
+
+def dual_position_observations(frames: DataFrame, primary: DataFrame, secondary: DataFrame, colors: DataFrame, policy: DualPolicy, key: str = "segment_id", time: str = "t_ns", index: str = "row_id") -> DataFrame:
+    """Depth frames with position, heading from two antennas and colour image: key, index, time, fix_index, x, y, z,
+    heading, heading_valid, quality, color_index, problem.
+
+    ``frames``: has_depth; ``primary`` and ``secondary``: x, y, z, var, valid. Positions are computed afterwards, so
+    their quality is never better than unknown_valid. ``problem`` is the first of depth (a frame without it), fix,
+    position, color; a missing heading is none, ``heading_valid`` tells.
+    """
+    faced = trajectory.dual_antenna_heading(primary, secondary, policy.baseline_m, policy.baseline_tolerance_m, policy.max_gap_ns, key, time, index).select(key, index, "heading", "heading_valid")
+    known = primary.select(key, index, *"xyz", "valid").join(faced, [key, index], "left").withColumnRenamed(index, "fix_index")
+    fix = association.nearest(frames, primary, policy.fix_ns, key, time, index).select(key, index, c("sample_index").alias("fix_index")).join(known, [key, "fix_index"], "left")
+    color = association.nearest(frames, colors, policy.color_ns, key, time, index).select(key, index, c("sample_index").alias("color_index"))
+    ok = F.coalesce(c("valid"), F.lit(False))
+    grade = quality.offline_quality(F.when(ok, 0).otherwise(-1), ok)
+    problem = quality.first_reason(("depth", ~F.coalesce(c("has_depth"), F.lit(False))), ("fix", c("fix_index").isNull()), ("position", ~ok), ("color", c("color_index").isNull()))
+    out = frames.select(key, index, time, "has_depth").join(fix, [key, index]).join(color, [key, index])
+    return out.select(key, index, time, "fix_index", *"xyz", "heading", F.coalesce("heading_valid", F.lit(False)).alias("heading_valid"), grade.alias("quality"), "color_index", problem.alias("problem"))

@@ -85,7 +85,7 @@ def compare_poses(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
 
 def overlaps(poses: DataFrame, key: str = "segment_id", window: str = "window_id", frame: str = "frame") -> DataFrame:
     """Poses of one frame in windows that follow each other, with ``same_time``: whether the frame is the same one."""
-    values = ["t_ns", "x", "y", "z"]
+    values = ["t_ns", "x", "y", "z", *[q for q in _QUATERNION if q in poses.columns]]
     a = poses.select(key, F.col(window).alias("first_window"), frame, *[F.col(v).alias(f"a_{v}") for v in values])
     b = poses.select(key, (F.col(window) - 1).alias("first_window"), frame, *[F.col(v).alias(f"b_{v}") for v in values])
     return a.join(b, [key, "first_window", frame]).withColumn("same_time", F.col("a_t_ns") == F.col("b_t_ns"))

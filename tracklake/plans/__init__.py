@@ -6,6 +6,7 @@ from tracklake.plans import composite_queries as composite_queries
 from tracklake.plans import matching_queries as matching_queries
 from tracklake.plans import planning_queries as planning_queries
 from tracklake.plans import report_queries as report_queries
+from tracklake.plans import scene_queries as scene_queries
 from tracklake.plans import space_queries as space_queries
 from tracklake.plans import stream_queries as stream_queries
 from tracklake.plans import time_queries as time_queries
