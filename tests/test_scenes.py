@@ -40,7 +40,7 @@ def test_plan_selects_within_the_bound(spark):
     rng = np.random.default_rng(1)
     support = [(f, float(x), float(y)) for f in range(60) for x, y in rng.normal([f % 10, 3 * (f // 10)], 0.2, (9, 2))]
     frames = spark.createDataFrame([(f, "validation" if f % 7 == 0 else "training") for f in range(60)], "frame long, role string")
-    policy = scenes.PlanPolicy(planning.SplitPolicy(max_frames=20, halo=0.3), min_cells=3, coverage=0.8)
+    policy = scenes.PlanPolicy(planning.SplitPolicy(max_frames=20, halo=0.3), cell=0.2, min_cells=3, coverage=0.8)
     table = spark.createDataFrame(support, "frame long, x double, y double")
     plan = scenes.tile_plan(table, frames, policy)
     found = {r["name"]: r for r in plan.checks.collect()}
