@@ -27,7 +27,7 @@ def test_flagship(spark):
     "a36_motion_correlations", "a38_overlap_report", "a49_refinement_acceptance", "a53_reprojection", "a57_scene_completeness", "a58_submap_acceptance", "a59_assembly_acceptance", "j16_adjacent_tiles",
     "g10_camera_from_antenna", "g14_time_keys", "g17_reached", "s3_difference", "s4_distinct_cells", "s5_concatenated", "r3_time_window", "r4_out_of_order", "r5_distance_samples", "r6_streamed_nearest",
     "src5_pose_models", "src8_depth_pixels", "c12_initial_cloud", "a29_corrected_psnr", "a32_profile_summary", "c15_calibration_fixes", "c15_calibration_frames", "q5_migrated", "c4_truth_observations",
-    "c6_pose_export", "c9_gauges", "c3_dual_positions", "c10_assembled_poses", "c13_scene_evaluation", "c14_seam_probe",
+    "c6_pose_export", "c9_gauges", "c3_dual_positions", "c10_assembled_poses", "c13_scene_evaluation", "c14_seam_probe", "src1_observations", "t11_recomputed_counts", "p21_view_counts",
 ])
 def test_query_gives_what_its_sql_gives(spark, name):
     con = duckdb.connect()

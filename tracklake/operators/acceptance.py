@@ -60,6 +60,15 @@ def plan_audit(tiles: DataFrame, lo_u: float, lo_v: float, hi_u: float, hi_v: fl
     return overlaps.crossJoin(area)  # one row each
 
 
+def recomputed(stored: DataFrame, found: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Keys whose stored row isn't what was computed again, and ``problem``: missing, extra, or the first value that differs."""
+    a = stored.select(*keys, F.struct(*values).alias("_a"))
+    b = found.select(*keys, F.struct(*values).alias("_b"))
+    differs = [(v, ~F.col(f"_a.{v}").eqNullSafe(F.col(f"_b.{v}"))) for v in values]
+    problem = quality.first_reason(("missing", F.col("_a").isNull()), ("extra", F.col("_b").isNull()), *differs)
+    return a.join(b, keys, "full").select(*keys, problem.alias("problem")).where("problem is not null")
+
+
 @dataclass(frozen=True)
 class ProbePolicy:
     max_epipolar_px: float

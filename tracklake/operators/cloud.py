@@ -180,8 +180,8 @@ def psnr(pixels: DataFrame, *keys: str) -> DataFrame:
     return pixels.groupBy(*keys).agg((-10 * F.log10(F.avg(e * e))).alias("psnr"))
 
 
-def in_frustum(gaussians: DataFrame, views: DataFrame, near: float, sigmas: float = 3.0) -> DataFrame:
-    """(view, id) of spheres of ``sigmas`` scales that reach inside a view's four side planes and beyond its near plane.
+def in_frustum(gaussians: DataFrame, views: DataFrame, near: float, sigmas: float = 3.0, far: float | None = None) -> DataFrame:
+    """(view, id) of spheres of ``sigmas`` scales that reach inside a view's four side planes, beyond its near plane and before the far one.
 
     ``views``: view, row-major rotation and translation m0 to m11, fx, fy, cx, cy, width, height.
     """
@@ -190,8 +190,16 @@ def in_frustum(gaussians: DataFrame, views: DataFrame, near: float, sigmas: floa
     joined = gaussians.withColumn("_r", sigmas * F.exp("log_scale")).crossJoin(F.broadcast(views))
     joined = joined.withColumns({"_x": cam[0], "_y": cam[1], "_z": cam[2]})
     keep = F.col("_z") + F.col("_r") > near
+    if far is not None:
+        keep = keep & (F.col("_z") - F.col("_r") < far)
     for c, f, center, size in (("_x", "fx", "cx", "width"), ("_y", "fy", "cy", "height")):
         for sign, edge in ((1, F.col(center)), (-1, F.col(size) - F.col(center))):
             slope = edge / F.col(f)
             keep = keep & (sign * F.col(c) + slope * F.col("_z") > -F.col("_r") * F.sqrt(1 + slope * slope))
     return joined.where(keep).select("view", "id")
+
+
+def view_counts(visible: DataFrame, views: DataFrame, most: int) -> DataFrame:
+    """view, n, problem: ``none`` if a view sees nothing, ``most`` if it sees more than may be rendered at once."""
+    n = views.select("view").distinct().join(visible.groupBy("view").agg(F.count("*").alias("n")), "view", "left").fillna(0, ["n"])
+    return n.withColumn("problem", F.when(F.col("n") == 0, "none").when(F.col("n") > most, "most"))

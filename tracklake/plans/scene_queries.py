@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracklake.operators import cloud, composites, planning, scenes
+from tracklake.operators import acceptance, cloud, composites, planning, scenes
+from tracklake.operators.pairs import checkpointed
 from tracklake.plans.composite_queries import _CHAIN
 from tracklake.plans.registry import query
 from tracklake.plans.space_queries import TILES_SQL, _tiles, rounded
 from tracklake.plans.time_queries import NEAREST, TOL
 from tracklake.plans.trajectory_queries import _windows
+from tracklake.sources import readers
 from tracklake.sources.bindings import POINTS_SQL, STREAM_SQL, points, stream, track
 
 c = F.col
@@ -129,3 +134,49 @@ def c14_seam_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     layers, truth = _layers(spark, sf_dir)
     out = scenes.seam_probe(_tiles(spark), layers, truth, _BOUNDS, _POLICY, 1.0)
     return out.select("tile_id", "neighbour", "name", F.round("value", 5).alias("value"), "passed")
+
+
+@query(f"""WITH {STREAM_SQL} SELECT segment_id, CASE kind WHEN 'click' THEN 'frames' WHEN 'view' THEN 'gnss' ELSE 'heading' END AS kind, count(*) AS n, max(t_ns) AS last_t_ns,
+  segment_id % 7 <> 0 AS ordered FROM stream WHERE kind IN ('click', 'view', 'signup') GROUP BY ALL""")
+def src1_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observation tables written by segment and read back; there is no imu; ordinals of every seventh segment begin at 1."""
+    checkpointed(spark.range(1))  # names the shared folder
+    root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/segments-{uuid.uuid4().hex}"
+    order = Window.partitionBy("segment_id").orderBy("t_ns", "row_id")
+    for kind, event in (("frames", "click"), ("gnss", "view"), ("heading", "signup")):
+        rows = stream(spark, sf_dir, event).withColumn("ordinal", F.row_number().over(order) - F.when(c("segment_id") % 7 == 0, 0).otherwise(1))
+        readers.publish(rows.select("segment_id", "row_id", "t_ns", "ordinal"), f"{root}/{kind}", "segment_id")
+    found = []
+    for kind in readers.OBSERVATIONS:
+        rows = readers.observations(spark, root, kind, "row_id long, t_ns long, ordinal int")
+        if rows is not None:
+            rows = rows.withColumn("_at", F.row_number().over(order) - 1)
+            found.append(rows.groupBy("segment_id").agg(F.count("*").alias("n"), F.max("t_ns").alias("last_t_ns"), F.bool_and(c("ordinal") == c("_at")).alias("ordered")).withColumn("kind", F.lit(kind)))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(f"""WITH {POINTS_SQL}, g AS (SELECT DISTINCT floor(x / 4) AS i, floor(y / 4) AS j FROM points),
+v AS (SELECT CAST(i * 1000 + j AS BIGINT) AS tile_id, id // 5 AS frame FROM points JOIN g ON x BETWEEN i * 4 - 0.5 AND i * 4 + 4.5 AND y BETWEEN j * 4 - 0.5 AND j * 4 + 4.5 GROUP BY ALL)
+SELECT tile_id, CASE WHEN frame % 7 = 0 THEN 'missing' ELSE 'core_cells' END AS problem, count(*) AS n FROM v WHERE frame % 7 = 0 OR frame % 5 = 0 GROUP BY ALL""")
+def t11_recomputed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cores are the cells of four metres that hold points; of the stored counts some are gone and some are one too high."""
+    p = points(spark, sf_dir)
+    core = {f"{side}_{axis}": (c(cell) + step) * 4.0 for axis, cell in (("u", "i"), ("v", "j")) for side, step in (("lo", 0), ("hi", 1))}
+    cells = p.select(F.floor(c("x") / 4).alias("i"), F.floor(c("y") / 4).alias("j")).distinct()
+    tiles = cells.select((c("i") * 1000 + c("j")).cast("long").alias("tile_id"), *[v.alias(k) for k, v in core.items()])
+    counts = cloud.visibility_counts(p.select(F.floor(c("id") / 5).alias("frame"), c("x").alias("u"), c("y").alias("v")), tiles, 0.5)
+    stored = counts.where("frame % 7 <> 0").withColumn("core_cells", c("core_cells") + F.when(c("frame") % 5 == 0, 1).otherwise(0))
+    return acceptance.recomputed(stored, counts, ["tile_id", "frame"], ["core_cells", "context_cells"]).groupBy("tile_id", "problem").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {POINTS_SQL}, v AS (SELECT unnest(range(4)) AS view), j AS (SELECT view, x + view * 20 AS x, y, z + 3 AS z, 3 * exp(u - 2) AS r FROM points, v),
+k AS (SELECT view FROM j WHERE z + r > 0.2 AND z - r < 4 AND x + 0.64 * z > -r * sqrt(1 + 0.64 * 0.64) AND -x + 0.64 * z > -r * sqrt(1 + 0.64 * 0.64) AND y + 0.48 * z > -r * sqrt(1 + 0.48 * 0.48) AND -y + 0.48 * z > -r * sqrt(1 + 0.48 * 0.48)),
+n AS (SELECT v.view, count(k.view) AS n FROM v LEFT JOIN k USING (view) GROUP BY 1)
+SELECT view, n, CASE WHEN n = 0 THEN 'none' WHEN n > 100 THEN 'most' END AS problem FROM n""")
+def p21_view_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four views, ever farther from the points."""
+    m = {f"m{k}": F.lit(1.0 if k in (0, 5, 10) else 3.0 if k == 11 else 0.0) for k in range(12) if k != 3}
+    lens = {"fx": 100.0, "fy": 100.0, "cx": 64.0, "cy": 48.0, "width": 128, "height": 96}
+    views = spark.range(4).select(c("id").alias("view"), (c("id") * 20.0).alias("m3")).withColumns({**m, **{k: F.lit(v) for k, v in lens.items()}})
+    seen = cloud.in_frustum(points(spark, sf_dir).select("id", "x", "y", "z", (c("u") - 2).alias("log_scale")), views, 0.2, far=4.0)
+    return cloud.view_counts(seen, views, 100)

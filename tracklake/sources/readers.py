@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,3 +91,22 @@ def trajectory_lines(df: DataFrame, label: str, labels: list[str], *keys: str) -
 def pair_lines(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Distinct unordered name pairs, ``low high``, sorted when written."""
     return edges.where(F.col(a) != F.col(b)).select(F.concat_ws(" ", F.least(a, b), F.greatest(a, b)).alias("line")).distinct()
+
+
+#: Observation tables of a segment and whether each must be there.
+OBSERVATIONS = {"frames": True, "gnss": True, "heading": False, "imu": False}
+
+
+def observations(spark: SparkSession, root: str, kind: str, schema: str) -> DataFrame | None:
+    """Observation table ``kind`` under the root, with ``segment_id`` from its folders; None if an optional one is missing.
+
+    The schema is given, not inferred: columns that a file lacks are null, others aren't read.
+    """
+    if kind not in OBSERVATIONS:
+        raise ValueError(f"unknown observations: {kind}")
+    try:
+        return spark.read.schema(f"{schema}, segment_id long").parquet(f"{root}/{kind}")
+    except AnalysisException as error:
+        if OBSERVATIONS[kind] or error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
