@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 
-from tracklake.operators import composites, planning, scenes
+from tracklake.operators import acceptance, composites, planning, scenes
+from tracklake.sources import readers
 
 STREAM = "segment_id int, row_id long, t_ns long"
 
@@ -79,3 +81,20 @@ def test_depth_lands_where_it_is_projected(spark):
     g = gates.first()
     assert (g.color_index, g.n_source, g.n_target) == (7, 49, len(want)) and out.where("filled").count() == 0
     assert scenes.transferred_depth(pixels.limit(0), depths, colors, poses, cam, target, scenes.TransferPolicy(5, 20))[0].count() == 0
+
+
+def test_recomputed_rows_tell_what_differs(spark):
+    stored = spark.createDataFrame([(1, 5, None), (2, 5, 1), (3, 5, 1), (5, None, 2)], "k int, a int, b int")
+    found = spark.createDataFrame([(1, 5, None), (2, 6, 2), (4, 5, 1), (5, None, 3)], "k int, a int, b int")
+    assert {r.k: r.problem for r in acceptance.recomputed(stored, found, ["k"], ["a", "b"]).collect()} == {2: "a", 3: "extra", 4: "missing", 5: "b"}
+
+
+def test_observations_may_lack_optional_tables(spark, tmp_path):
+    readers.publish(spark.createDataFrame([(7, 1, 10)], "segment_id long, row_id long, t_ns long"), f"{tmp_path}/frames", "segment_id")
+    row = readers.observations(spark, str(tmp_path), "frames", "row_id long, t_ns long, later double").first()
+    assert (row.segment_id, row.row_id, row.t_ns, row.later) == (7, 1, 10, None)
+    assert readers.observations(spark, str(tmp_path), "imu", "t_ns long") is None
+    with pytest.raises(AnalysisException):
+        readers.observations(spark, str(tmp_path), "gnss", "t_ns long")
+    with pytest.raises(ValueError, match="unknown"):
+        readers.observations(spark, str(tmp_path), "radar", "t_ns long")
