@@ -49,4 +49,28 @@ o AS (SELECT doc_id, count(*) AS n_dup_lines, sum(CAST(list_sum(list_transform(r
 f AS (SELECT t.doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(failed, false) AS failed, coalesce(top_share, 0) AS top_share, coalesce(o.c / word_chars, 0) AS line_share FROM t LEFT JOIN b USING (doc_id) LEFT JOIN o USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {_P.min_words} OR 100 * n_repeat_words > {_P.max_repeat_percent} * n_words AS base_failed, NOT (n_words < {_P.min_words} OR 100 * n_repeat_words > {_P.max_repeat_percent} * n_words OR failed OR line_share > {_P.line_share}::DOUBLE) AS kept, round(top_share, 9) AS top_share, round(line_share, 9) AS line_share FROM f"""
 
-ORACLE_SQL = {"op2_multi_index_hashing": OP2, "op5_minhash_near_dedup": OP5, "op7_url_filter": OP7, "op9_repetition_rules": OP9}
+# A checksum is taken byte by byte over a table of 256 remainders; near words meet on what is left without one letter.
+_POLY = 0xEDB88320
+OP11 = f"""WITH crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, {_POLY}) ELSE a // 2 END, CAST(i AS BIGINT))) AS t),
+r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+l AS (SELECT doc_id, translate(run, '{_UP}', '{_LOW}') AS run, count(*) AS n FROM r GROUP BY 1, 2),
+x AS (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS bytes FROM l),
+h AS (SELECT run, n, xor(list_reduce(list_transform(range(len(bytes) // 2), lambda i: CAST('0x' || substr(bytes, 2 * i + 1, 2) AS BIGINT)), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM x, crc_table),
+v AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY 1 HAVING sum(n) >= 2),
+w AS (SELECT word, n FROM v WHERE length(word) >= 7),
+d AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+e AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM d),
+p AS (SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM e a JOIN e b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT e.word, e.n, w.word, w.n FROM e JOIN w ON w.word = e.rest
+  UNION SELECT w.word, w.n, e.word, e.n FROM e JOIN w ON w.word = e.rest),
+c AS (SELECT word, count(*) AS n_near FROM p GROUP BY 1),
+f AS (SELECT word, near AS form, near_n AS form_n FROM p WHERE near_n >= 10 * n QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1),
+t AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, form, form_n FROM w LEFT JOIN c USING (word) LEFT JOIN f USING (word)),
+g(word, reached, step) AS (SELECT word, word, 0 FROM t UNION ALL SELECT g.word, f.form, step + 1 FROM g JOIN f ON f.word = g.reached)
+SELECT t.word, form, g.reached AS root, n, n_near, form_n FROM t JOIN (SELECT word, arg_max(reached, step) AS reached FROM g GROUP BY 1) g ON g.word = t.word""".replace("WITH crc_table", "WITH RECURSIVE crc_table", 1)
+
+OP12 = """WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER g = 1 AS kept, sha256(t) AS text_sha256 FROM t
+WINDOW g AS (PARTITION BY t ORDER BY doc_id NULLS LAST)"""
+
+ORACLE_SQL = {"op2_multi_index_hashing": OP2, "op5_minhash_near_dedup": OP5, "op7_url_filter": OP7, "op9_repetition_rules": OP9, "op11_spelling_variants": OP11, "op12_exact_dedup": OP12}

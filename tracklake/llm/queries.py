@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm import classifier, hamming, html_text, licenses, neardup, packing, pii, repetition, tokens, urls
+from tracklake.llm import classifier, exact, hamming, html_text, licenses, neardup, packing, pii, repetition, spelling, tokens, urls, whitening
 from tracklake.llm._session import table
 from tracklake.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
@@ -64,6 +64,18 @@ def op9_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 9) for c in ("top_share", "line_share")})
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,5 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_surrogates,
         op9_repetition_rules,
         op10_license_scan,
+        op11_spelling_variants,
+        op12_exact_dedup,
+        op13_embedding_whitening,
     )
 }
