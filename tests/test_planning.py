@@ -82,3 +82,78 @@ def test_robust_alignment_ignores_outliers(spark):
     held = robust.held_out_alignment(df, "role", F.lit(0.1), hypotheses=64).where("role = 'holdout' and id % 4 <> 0")
     assert held.agg(F.max("residual_m")).first()[0] < 0.01
     assert robust.robust_alignment(df.where("id < 2"), F.lit(0.1)).count() == 0
+
+
+def restated(rows, marks, limit, weights, hypotheses, refits, seed):
+    """One pair set, one hypothesis after the other, with plain numpy."""
+    order = np.argsort(marks, kind="stable")
+    weights = weights / weights.mean()
+    samples = [np.arange(len(rows)), *(order[at] for at in robust.draws(len(rows), hypotheses, seed))]
+
+    def errors(fit):
+        return np.linalg.norm(rows[:, 3:] - rows[:, :3] @ fit[0].T - fit[1], axis=1)
+
+    best = None
+    for at in samples:
+        if (fit := robust.weighted_rigid(rows[at], weights[at])) is None:
+            continue
+        inside = errors(fit) <= limit
+        if inside.sum() >= 3:
+            e = (errors(fit) / limit)[inside]
+            score = (inside.sum(), -np.median(e), -np.mean(e))
+            if best is None or score > best[0]:
+                best = score, inside
+    inside = best[1]
+    for _ in range(refits):
+        now = errors(robust.weighted_rigid(rows[inside], weights[inside])) <= limit
+        if now.sum() < 3 or (now == inside).all():
+            break
+        inside = now
+    return robust.weighted_rigid(rows[inside], weights[inside]), int(inside.sum())
+
+
+@pytest.mark.parametrize(("seed", "n", "block"), [(0, 40, 7), (1, 300, 64), (2, 700, 8192)])
+def test_robust_alignment_equals_its_sequential_restatement(spark, monkeypatch, seed, n, block):
+    monkeypatch.setattr(robust, "BLOCK", block)
+    rng = np.random.default_rng(seed)
+    rows = []
+    for key in range(3):
+        q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+        q *= np.sign(np.linalg.det(q))
+        for i in range(n + 20 * key):
+            spread = rng.uniform(0.01, 0.3, 3)
+            p = rng.normal(size=3) * 4
+            off = rng.normal(size=3) * (9 if i % (2 + key) == 0 else 0)
+            rows.append((key, i, *map(float, p), *map(float, q @ p + [key, 2, 3] + rng.normal(size=3) * spread + off), *map(float, spread**2)))
+    schema = "key int, id long, x double, y double, z double, u double, v double, w double, xx double, yy double, zz double"
+    df = spark.createDataFrame(rows, schema).repartition(5).cache()
+    zero = F.lit(0.0)
+    limit, weight = robust.pair_limits((F.col("xx"), zero, zero, F.col("yy"), zero, F.col("zz")), 0.15)
+    got = {r.key: r for r in robust.robust_alignment(df, limit, "key", weight=weight, hypotheses=60, seed=seed).collect()}
+    one = robust.robust_alignment(df.where("key = 1"), limit, weight=weight, hypotheses=60, seed=seed).first()
+    assert np.allclose(one.rotation, got[1].rotation, atol=1e-12) and one.n_inliers == got[1].n_inliers
+    table = df.select("*", limit.alias("limit"), weight.alias("weight"), F.xxhash64("id", *"xyzuvw", F.lit(seed)).alias("mark")).toPandas()
+    assert np.allclose(table["limit"], np.maximum(0.15, 3 * np.sqrt(table[["xx", "yy", "zz"]].max(axis=1)))) and np.allclose(table["weight"], 1 / table[["xx", "yy", "zz"]].sum(axis=1))
+    for key, own in table.groupby("key"):
+        fit, inliers = restated(own[[*"xyzuvw"]].to_numpy(), own["mark"].to_numpy(), own["limit"].to_numpy(), own["weight"].to_numpy(), 60, 3, seed)
+        assert got[key].n_inliers == inliers
+        assert np.allclose(np.reshape(got[key].rotation, (3, 3)), fit[0], atol=1e-9) and np.allclose(got[key].translation, fit[1], atol=1e-8)
+
+
+def test_hypotheses_that_tie_by_other_inliers_are_told_apart_by_their_medians(spark):
+    """Two rigid groups of as many pairs: the tighter one is taken, whichever is drawn first."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(40):
+        p = rng.normal(size=3) * 3
+        moved = p + ([50, 0, 0] if i % 2 else [0, -50, 0]) + rng.normal(size=3) * (0.001 if i % 2 else 0.02)
+        rows.append((i, *map(float, p), *map(float, moved)))
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double, u double, v double, w double")
+    r = robust.robust_alignment(df, F.lit(0.5), hypotheses=200).first()
+    assert r.n_inliers == 20 and np.allclose(r.translation, [50, 0, 0], atol=0.01)
+
+
+def test_pairs_in_a_line_or_too_few_have_no_alignment(spark):
+    line = [(i, 1.0 * i, 0.0, 0.0, 1.0 * i, 1.0, 0.0) for i in range(9)] + [(10, None, 0.0, 0.0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(line, "id long, x double, y double, z double, u double, v double, w double")
+    assert robust.robust_alignment(df, F.lit(1.0)).count() == 0 and robust.robust_alignment(df.limit(0), F.lit(1.0)).count() == 0

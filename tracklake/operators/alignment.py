@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.functions import symmetric
+from tracklake.functions import rotation, symmetric
 
 _AXES = "xyz"
 
@@ -26,9 +26,29 @@ def moments(pairs: DataFrame, *keys: str, weight: Column | None = None) -> DataF
     return renamed.groupBy(*keys).agg(*sums)
 
 
+def orientation_moments(a: rotation.Quaternion, b: rotation.Quaternion) -> list[Column]:
+    """Sums o0 to o8 of the rotations that turn b's world into a's (row-major), of poses whose cameras are the same."""
+    m, n = rotation.matrix(a), rotation.matrix(b)
+    return [F.sum(sum((m[3 * i + k] * n[3 * j + k] for k in (1, 2)), m[3 * i] * n[3 * j])).alias(f"o{3 * i + j}") for i in range(3) for j in range(3)]
+
+
+def _nearest_rotation(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rotation that fits a sum of outer products best, and the signed sizes."""
+    left, size, right = np.linalg.svd(m)
+    sign = np.array([1, 1, np.sign(np.linalg.det(left @ right)) or 1.0])
+    return left @ np.diag(sign) @ right, size * sign
+
+
 def rigid_fit(sums: DataFrame, *keys: str, min_rank_ratio: float = 1e-9) -> DataFrame:
-    """rotation (9, row-major), translation (3), scale (a diagnostic, never applied), rank from moments()."""
+    """rotation (9, row-major), translation (3), scale (a diagnostic, never applied), rank, n, observed_by from moments().
+
+    ``observed_by``: ``centers`` where the points span a plane; else ``orientations``, if the sums have those of
+    orientation_moments() and the points are not all in one place: the rotation about the line is theirs then. Null
+    where neither tells the rotation, or the target runs backwards. ``min_rank_ratio``: a plane's second singular
+    value by the first, so the square of a line's width by its length.
+    """
     kinds = ", ".join(f"`{k}` {sums.schema[k].dataType.simpleString()}" for k in keys)
+    turned = "o0" in sums.columns
 
     def solve(batches):  # noqa: ANN001, ANN202
         for b in batches:
@@ -36,16 +56,20 @@ def rigid_fit(sums: DataFrame, *keys: str, min_rank_ratio: float = 1e-9) -> Data
             for r in b.itertuples(index=False):
                 w = r.s_w
                 p, q = np.array([r.s_x, r.s_y, r.s_z]) / w, np.array([r.s_u, r.s_v, r.s_w_target]) / w
-                cross = np.array([[getattr(r, f"s_{a}{t}") for t in "uvw"] for a in "xyz"]) / w - np.outer(p, q)
+                cross = (np.array([[getattr(r, f"s_{a}{t}") for t in "uvw"] for a in "xyz"]) / w - np.outer(p, q)).T
                 spread = sum(getattr(r, f"s_{a}{a}") for a in "xyz") / w - p @ p
-                left, size, right = np.linalg.svd(cross.T)
-                sign = np.diag([1, 1, np.sign(np.linalg.det(left @ right)) or 1.0])
-                rotation = left @ sign @ right
-                rank = int((size > min_rank_ratio * max(size[0], 1e-300)).sum())
-                out.append((*(getattr(r, k) for k in keys), rotation.ravel().tolist(), (q - rotation @ p).tolist(), float((size * np.diag(sign)).sum() / spread) if spread > 0 else None, rank, r.n))
-            yield pd.DataFrame(out, columns=[*keys, "rotation", "translation", "scale", "rank", "n"])
-
-    return sums.mapInPandas(solve, f"{kinds + ', ' if kinds else ''}rotation array<double>, translation array<double>, scale double, rank int, n long")
+                rotation, size = _nearest_rotation(cross)
+                rank = int((np.abs(size) > min_rank_ratio * max(size[0], 1e-300)).sum())
+                by = "centers" if rank >= 2 else None
+                if by is None and turned and spread > 1e-12:
+                    rotation, by = _nearest_rotation(np.array([getattr(r, f"o{k}") for k in range(9)]).reshape(3, 3))[0], "orientations"
+                scale = float((rotation * cross).sum() / spread) if spread > 0 else None
+                if turned and not (scale or 0) > 0:
+                    by = None
+                out.append((*(getattr(r, k) for k in keys), rotation.ravel().tolist(), (q - rotation @ p).tolist(), scale, rank, r.n, by))
+            yield pd.DataFrame(out, columns=[*keys, "rotation", "translation", "scale", "rank", "n", "observed_by"])
+
+    return sums.mapInPandas(solve, f"{kinds + ', ' if kinds else ''}rotation array<double>, translation array<double>, scale double, rank int, n long, observed_by string")
 
 
 def aligned(pairs: DataFrame, fit: DataFrame, *keys: str) -> DataFrame:

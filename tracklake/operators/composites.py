@@ -37,13 +37,16 @@ def pose_export(images: DataFrame, poses: DataFrame, priors: DataFrame, threshol
 
     ``images``: name, role (calibration or holdout); ``poses``: name, centre (x, y, z), problem; ``priors``: name,
     centre, problem. Rows with a problem don't count as registered. The model is aligned by calibration images alone;
-    the residual gates are over held-out ones. Without enough calibration pairs the residual gates fail.
+    the residual gates are over held-out ones. Priors may have covariances (xx, xy, xz, yy, yz, zz), which set the weights and
+    largest residuals of the fit. Without enough calibration pairs the residual gates fail.
     """
     good = poses.where("problem is null").select("name", *"xyz")
-    target = priors.where("problem is null").select("name", *[c(a).alias(b) for a, b in zip("xyz", "uvw", strict=True)])
+    spread = [v for v in ("xx", "xy", "xz", "yy", "yz", "zz") if v in priors.columns]
+    target = priors.where("problem is null").select("name", *[c(a).alias(b) for a, b in zip("xyz", "uvw", strict=True)], *spread)
     registered = images.join(good.select("name", F.lit(1.0).alias("_r")), "name", "left").agg(F.avg(F.coalesce("_r", F.lit(0.0))).alias("registered"))
     pairs = images.join(good, "name").join(target, "name")
-    held = robust.held_out_alignment(pairs, "role", F.lit(threshold_m), index="name").where("role = 'holdout'")
+    limit, weight = robust.pair_limits(tuple(map(c, spread)), threshold_m) if spread else (F.lit(threshold_m), None)
+    held = robust.held_out_alignment(pairs, "role", limit, weight=weight, index="name").where("role = 'holdout'")
     measured = held.agg(F.percentile("residual_m", 0.5).alias("median_m"), F.percentile("residual_m", 0.95).alias("p95_m"), F.avg((c("residual_m") <= threshold_m).cast("double")).alias("inlier_share"))
     gates = {"registered": (c("registered"), least_registered, None), "median_m": (c("median_m"), None, most_median_m), "p95_m": (c("p95_m"), None, most_p95_m), "inlier_share": (c("inlier_share"), least_inliers, None)}
     out = checks(registered.crossJoin(measured).withColumn("model", F.lit(0)), ["model"], gates)  # one row each
@@ -60,51 +63,78 @@ def _quaternion(m: np.ndarray) -> list[float]:
 
 
 def synchronised(poses: DataFrame, key: str = "segment_id", window: str = "window_id", frame: str = "frame") -> DataFrame:
-    """Poses (x, y, z) of overlapping windows in the gauge of their key's first window, with ``chained``.
+    """Poses (x, y, z) of overlapping windows in the gauge of their key's first window, with ``chained`` and ``observed_by``.
 
     Two windows that follow each other are aligned by the frames they share (moments in one aggregate); the alignments
-    are composed along the chain, one row a window, by a worker for each key. Where windows share no three frames that
-    aren't in a line, or one is missing, the chain is broken: rows after it are not chained and have null coordinates.
-    Rotations (qx to qw, camera to world) are turned too where the poses have them.
+    are composed along the chain, one row a window, by a worker for each key. Shared centres that span a plane tell the whole
+    alignment. Where they stand in a line (a straight row, or two frames), the orientations (qx to qw, camera to
+    world) of the same frames tell the rotation about it. Where the poses have none, or the windows share fewer than two
+    places, or a window is missing, the chain is broken: rows after it are not chained and have null coordinates.
+    Orientations are turned too where the poses have them. ``observed_by`` tells what a window's own edge is by; the
+    first window has none.
     """
-    a = poses.select(key, window, frame, *[c(x).alias(y) for x, y in zip("xyz", "uvw", strict=True)])
-    b = poses.select(key, (c(window) - 1).alias(window), frame, *"xyz")
-    edges = alignment.rigid_fit(alignment.moments(a.join(b, [key, window, frame]), key, window).where("n >= 3"), key, window, min_rank_ratio=1e-6)
+    turned = "qx" in poses.columns
+    sides = [(trajectory._QUATERNION, [f"{q}_{side}" for q in trajectory._QUATERNION]) for side in "ab"] if turned else [((), ()), ((), ())]
+    a = poses.select(key, window, frame, *[c(x).alias(y) for x, y in zip("xyz", "uvw", strict=True)], *[c(q).alias(n) for q, n in zip(*sides[0], strict=True)])
+    b = poses.select(key, (c(window) - 1).alias(window), frame, *"xyz", *[c(q).alias(n) for q, n in zip(*sides[1], strict=True)])
+    both = a.join(b, [key, window, frame])
+    sums = alignment.moments(both, key, window)
+    if turned:
+        sums = sums.join(both.groupBy(key, window).agg(*alignment.orientation_moments(*[tuple(map(c, n)) for _, n in sides])), [key, window])
+    edges = alignment.rigid_fit(sums.where("n >= 2"), key, window, min_rank_ratio=1e-6)
     kinds = {k: poses.schema[k].dataType.simpleString() for k in (key, window)}
-    nodes = poses.select(key, c(window).cast("long").alias("_w")).distinct().join(edges.select(key, (c(window) + 1).cast("long").alias("_w"), "rotation", "translation", "rank"), [key, "_w"], "left")
+    nodes = poses.select(key, c(window).cast("long").alias("_w")).distinct().join(edges.select(key, (c(window) + 1).cast("long").alias("_w"), "rotation", "translation", "observed_by"), [key, "_w"], "left")
 
     def compose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_w")
         r, t, out, before = np.eye(3), np.zeros(3), [], None
-        for k, w, rotation, translation, rank in rows[[key, "_w", "rotation", "translation", "rank"]].itertuples(index=False):
+        for k, w, rotation, translation, by in rows[[key, "_w", "rotation", "translation", "observed_by"]].itertuples(index=False):
             if before is not None:
-                if w != before + 1 or not rank >= 2:
+                if w != before + 1 or not isinstance(by, str):
                     break
                 turn = np.reshape(rotation, (3, 3))
                 r, t = r @ turn, r @ np.asarray(translation) + t
-            out.append((k, w, r.ravel().tolist(), t.tolist(), _quaternion(r)))
+            out.append((k, w, r.ravel().tolist(), t.tolist(), _quaternion(r), by if before is not None else None))
             before = w
-        return pd.DataFrame(out, columns=[key, "_w", "rotation", "translation", "_turn"])
+        return pd.DataFrame(out, columns=[key, "_w", "rotation", "translation", "_turn", "observed_by"])
 
-    gauges = nodes.groupBy(key).applyInPandas(compose, f"`{key}` {kinds[key]}, _w long, rotation array<double>, translation array<double>, _turn array<double>")
+    gauges = nodes.groupBy(key).applyInPandas(compose, f"`{key}` {kinds[key]}, _w long, rotation array<double>, translation array<double>, _turn array<double>, observed_by string")
     held = poses.withColumn("_w", c(window).cast("long")).join(gauges, [key, "_w"], "left").drop("_w")
     at = {v: F.element_at("rotation", 3 * k + 1) * c("x") + F.element_at("rotation", 3 * k + 2) * c("y") + F.element_at("rotation", 3 * k + 3) * c("z") + F.element_at("translation", k + 1) for k, v in enumerate("xyz")}
-    if "qx" in poses.columns:
+    if turned:
         turn, own = tuple(F.element_at("_turn", k + 1) for k in range(4)), tuple(c(q) for q in trajectory._QUATERNION)
         at |= dict(zip(trajectory._QUATERNION, reports.quaternion_product(turn, own), strict=True))
     return held.withColumns({**at, "chained": c("rotation").isNotNull()}).drop("rotation", "translation", "_turn")
 
 
-def globally_fitted(poses: DataFrame, targets: DataFrame, key: str = "segment_id", frame: str = "frame") -> DataFrame:
-    """key, n, median_m, p95_m of chained poses, blended by frame, under one rigid fit to the targets (u, v, w) of their key.
+def _target_fit(pairs: DataFrame, threshold_m: float, key: str, frame: str) -> DataFrame:
+    """Robust fit of each key's pairs (x, y, z to u, v, w); those with ``role`` only where it is calibration, by covariances if they have them."""
+    chosen = pairs.where("role = 'calibration'") if "role" in pairs.columns else pairs
+    limit, weight = F.lit(threshold_m), None
+    if "xx" in pairs.columns:
+        limit, weight = robust.pair_limits(tuple(c(v) for v in ("xx", "xy", "xz", "yy", "yz", "zz")), threshold_m)
+    return robust.robust_alignment(chosen, limit, key, weight=weight, index=frame)
 
-    Keys with fewer than three frames that have targets have no row.
+
+_TARGET = ("role", "xx", "xy", "xz", "yy", "yz", "zz")
+
+
+def globally_fitted(poses: DataFrame, targets: DataFrame, threshold_m: float = 0.15, key: str = "segment_id", frame: str = "frame") -> DataFrame:
+    """key, n, inlier_share, median_m, p95_m of chained poses, blended by frame, under one robust rigid fit to the targets (u, v, w) of their key.
+
+    Targets may have a ``role``: only calibration targets are fitted then (``inlier_share`` is theirs), and the residuals
+    are those of the others; and a covariance (xx to zz), which sets their weights and largest residuals. Keys whose calibration
+    frames don't tell a rigid fit have no row.
     """
     blended = poses.where("chained").groupBy(key, frame).agg(*[F.avg(v).alias(v) for v in "xyz"])
-    pairs = blended.join(targets.select(key, frame, *"uvw"), [key, frame])
-    fits = alignment.rigid_fit(alignment.moments(pairs, key).where("n >= 3"), key)
-    found = alignment.aligned(pairs, fits, key).groupBy(key)
-    return found.agg(F.count("*").alias("n"), F.percentile("residual_m", 0.5).alias("median_m"), F.percentile("residual_m", 0.95).alias("p95_m"))
+    pairs = checkpointed(blended.join(targets.select(key, frame, *"uvw", *[v for v in _TARGET if v in targets.columns]), [key, frame]))
+    fits = _target_fit(pairs, threshold_m, key, frame)
+    fitted = F.count_if(c("role") == "calibration") if "role" in pairs.columns else F.count("*")
+    share = pairs.groupBy(key).agg(fitted.alias("_fitted")).join(fits.select(key, "n_inliers"), key).select(key, (c("n_inliers") / c("_fitted")).alias("inlier_share"))
+    found = alignment.aligned(pairs, fits, key)
+    found = found.where("role <> 'calibration'") if "role" in pairs.columns else found
+    each = found.groupBy(key).agg(F.count("*").alias("n"), F.percentile("residual_m", 0.5).alias("median_m"), F.percentile("residual_m", 0.95).alias("p95_m"))
+    return share.join(each, key, "left").select(key, F.coalesce("n", F.lit(0).cast("long")).alias("n"), "inlier_share", "median_m", "p95_m")
 
 
 @dataclass(frozen=True)
@@ -123,7 +153,8 @@ def assembled(poses: DataFrame, targets: DataFrame, policy: AssemblyPolicy, key:
     """Blended poses (key, frame, time, x, y, z) in the targets' gauge, and the verdict of each key.
 
     ``poses``: windows with time, centre and rotation qx to qw; ``targets``: key, frame, u, v, w. Windows are brought
-    into one gauge, compared where they overlap, blended by distance from their ends, and fitted rigidly to the targets;
+    into one gauge, compared where they overlap, blended by distance from their ends, and fitted robustly to the targets
+    (calibration targets alone where they have a ``role``, by covariances xx to zz where they have them);
     the path is held against them. Checks: whole chain, overlaps, both residuals, five of the path. A key with fewer
     than three frames with targets has no path and fails by its missing residuals.
     """
@@ -134,8 +165,8 @@ def assembled(poses: DataFrame, targets: DataFrame, policy: AssemblyPolicy, key:
     bad = each.where("not passed").groupBy(key).agg(F.count("*").alias("overlaps"))
     blended = trajectory.blended_centers(good, policy.power, key, window, frame)
     times = good.groupBy(key, frame).agg(F.min(time).alias(time))
-    pairs = blended.join(times, [key, frame]).join(targets.select(key, frame, *"uvw"), [key, frame])
-    fits = alignment.rigid_fit(alignment.moments(pairs, key).where("n >= 3"), key)
+    pairs = checkpointed(blended.join(times, [key, frame]).join(targets.select(key, frame, *"uvw", *[v for v in _TARGET if v in targets.columns]), [key, frame]))
+    fits = _target_fit(pairs, policy.inlier_m, key, frame)
     found = checkpointed(alignment.aligned(pairs, fits, key))
     refined = {t: c(t) - c(e) for t, e in zip("uvw", ("ex", "ey", "ez"), strict=True)}
     path = found.select(key, frame, time, *[c(t).alias(p) for t, p in zip("uvw", "xyz", strict=True)], *[v.alias(t) for t, v in refined.items()], (c("residual_m") <= policy.inlier_m).alias("inlier"))

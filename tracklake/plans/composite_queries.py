@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.operators import composites
+from tracklake.operators import composites, reports
 from tracklake.plans.registry import query
 from tracklake.plans.space_queries import rounded
 from tracklake.plans.time_queries import BRACKET
@@ -45,11 +45,16 @@ def c6_pose_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("name", F.round("value", 6).alias("value"), "passed", "accepted")
 
 
-_CHAIN = f"""{TRACK_SQL}, {_WINDOWS}, o AS (SELECT a.segment_id, a.window_id + 1 AS window_id, count(*) AS n FROM p a JOIN p b ON a.segment_id = b.segment_id AND a.frame = b.frame AND b.window_id = a.window_id + 1 GROUP BY 1, 2),
-k AS (SELECT w.segment_id, w.window_id, bool_and(w.window_id = 0 OR coalesce(n >= 3, false)) OVER (PARTITION BY w.segment_id ORDER BY w.window_id) AS chained FROM (SELECT DISTINCT segment_id, window_id FROM p) w LEFT JOIN o USING (segment_id, window_id))"""
+_SHARED = f"""{TRACK_SQL}, {_WINDOWS},
+o AS (SELECT a.segment_id, a.window_id + 1 AS window_id, count(*) AS n, max(a.x) - min(a.x) AS reach FROM p a JOIN p b ON a.segment_id = b.segment_id AND a.frame = b.frame AND b.window_id = a.window_id + 1 GROUP BY 1, 2),
+d AS (SELECT DISTINCT segment_id, window_id FROM p)"""
+_CHAIN = f"""{_SHARED},
+k AS (SELECT d.segment_id, d.window_id, bool_and(d.window_id = 0 OR coalesce(n >= 3, false)) OVER (PARTITION BY d.segment_id ORDER BY d.window_id) AS chained
+  FROM d LEFT JOIN o USING (segment_id, window_id))"""
 
 
-@query(f"WITH {_CHAIN}, f AS (SELECT segment_id, count(DISTINCT frame) AS n FROM p JOIN k USING (segment_id, window_id) WHERE chained GROUP BY 1) SELECT segment_id, n, 0.0::DOUBLE AS median_m, 0.0::DOUBLE AS p95_m FROM f WHERE n >= 3")
+@query(f"""WITH {_CHAIN}, f AS (SELECT segment_id, count(DISTINCT frame) AS n FROM p JOIN k USING (segment_id, window_id) WHERE chained GROUP BY 1)
+SELECT segment_id, n, 1.0::DOUBLE AS inlier_share, 0.0::DOUBLE AS median_m, 0.0::DOUBLE AS p95_m FROM f WHERE n >= 3""")
 def c9_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of a track, each turned and moved by itself, in one gauge again; the global fit leaves nothing."""
     poses = _windows(spark, sf_dir).select("segment_id", "window_id", "frame", "x", "y", "z")
@@ -57,4 +62,33 @@ def c9_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = poses.select("segment_id", "window_id", "frame", (F.cos(a) * c("x") - F.sin(a) * c("y") + c("window_id")).alias("x"), (F.sin(a) * c("x") + F.cos(a) * c("y") - 2).alias("y"), (c("z") + c("window_id") / 4).alias("z"))
     targets = track(spark, sf_dir).select("segment_id", "frame", (5 - c("y")).alias("u"), c("x").alias("v"), F.lit(1.0).alias("w"))
     out = composites.globally_fitted(composites.synchronised(moved), targets)
-    return out.select("segment_id", "n", *rounded(5, median_m=c("median_m"), p95_m=c("p95_m")))
+    return out.select("segment_id", "n", *rounded(5, inlier_share=c("inlier_share"), median_m=c("median_m"), p95_m=c("p95_m")))
+
+
+def _straight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of a track on a straight line: centres along x alone, cameras that look ever further round; each window rolled and turned by itself."""
+    poses = _windows(spark, sf_dir)
+    half, look = c("window_id") * 0.2, c("frame") * 0.05
+    # first rolled about x, which the centres don't show, then turned about z and moved
+    s, d, a = F.sin(half), F.cos(half), c("window_id") * 0.3
+    own = (F.lit(0.0), F.lit(0.0), F.sin(look), F.cos(look))
+    rolled = reports.quaternion_product((s, F.lit(0.0), F.lit(0.0), d), own)
+    turned = reports.quaternion_product((F.lit(0.0), F.lit(0.0), F.sin(a / 2), F.cos(a / 2)), rolled)
+    x = c("x") - 0.01 * c("window_id")
+    centre = ((F.cos(a) * x + c("window_id")).alias("x"), (F.sin(a) * x - 2 * c("window_id")).alias("y"), (c("window_id") / 4).alias("z"))
+    return poses.select("segment_id", "window_id", "frame", "t_ns", *centre, *[v.alias(n) for v, n in zip(turned, ("qx", "qy", "qz", "qw"), strict=True)])
+
+
+@query(f"""WITH {_SHARED},
+k AS (SELECT d.segment_id, d.window_id, bool_and(d.window_id = 0 OR coalesce(n >= 2 AND reach > 1e-5, false)) OVER (PARTITION BY d.segment_id ORDER BY d.window_id) AS chained, d.window_id > 0 AS joined
+  FROM d LEFT JOIN o USING (segment_id, window_id))
+SELECT segment_id, window_id, frame, chained, CASE WHEN chained AND joined THEN 'orientations' END AS observed_by,
+  CASE WHEN chained THEN round(x - 0.01 * window_id, 5) END AS x, CASE WHEN chained THEN 0.0::DOUBLE END AS y, CASE WHEN chained THEN 0.0::DOUBLE END AS z, CASE WHEN chained THEN 0.0::DOUBLE END AS turned_back
+FROM p JOIN k USING (segment_id, window_id)""")
+def c9_straight_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows whose centres stand in a line, chained by the orientations of the frames they share, two frames included."""
+    out = composites.synchronised(_straight(spark, sf_dir))
+    # cameras look as in the first window again: no part about x and y is left, and the part about z is the frame's
+    look = c("frame") * 0.05
+    off = F.sqrt(F.pow("qx", 2) + F.pow("qy", 2)) + F.abs(F.cos(look) * c("qz") - F.sin(look) * c("qw"))
+    return out.select("segment_id", "window_id", "frame", "chained", "observed_by", *rounded(5, x=c("x"), y=c("y"), z=c("z"), turned_back=off))

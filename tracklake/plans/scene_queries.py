@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracklake.operators import acceptance, cloud, composites, planning, scenes
 from tracklake.operators.pairs import checkpointed
-from tracklake.plans.composite_queries import _CHAIN
+from tracklake.plans.composite_queries import _SHARED
 from tracklake.plans.registry import query
 from tracklake.plans.space_queries import TILES_SQL, _tiles, rounded
 from tracklake.plans.time_queries import NEAREST, TOL
@@ -61,11 +61,15 @@ def c3_dual_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("segment_id", "row_id", "fix_index", "heading_valid", F.round("heading", 6).alias("heading"), "quality", "problem")
 
 
-@query(f"""WITH {_CHAIN}, s AS (SELECT segment_id, bool_and(chained) AS whole FROM k GROUP BY 1),
+@query(f"""WITH {_SHARED},
+k AS (SELECT d.segment_id, d.window_id, bool_and(d.window_id = 0 OR coalesce(n >= 2, false)) OVER (PARTITION BY d.segment_id ORDER BY d.window_id) AS chained
+  FROM d LEFT JOIN o USING (segment_id, window_id)),
+s AS (SELECT k.segment_id, bool_and(chained) AS whole, bool_or(chained AND coalesce(n < 3, false)) AS thin FROM k LEFT JOIN o USING (segment_id, window_id) GROUP BY 1),
 f AS (SELECT segment_id, count(DISTINCT frame) AS n FROM p JOIN k USING (segment_id, window_id) WHERE chained GROUP BY 1),
-j AS (SELECT segment_id, whole, n >= 3 AS enough FROM s JOIN f USING (segment_id))
-SELECT segment_id, CASE WHEN enough THEN 9 ELSE 4 END AS n_checks, CAST(NOT whole AS INTEGER) + CASE WHEN enough THEN 0 ELSE 2 END AS n_failed,
-  concat_ws(',', CASE WHEN NOT whole THEN 'chained' END, CASE WHEN NOT enough THEN 'median_m,p95_m' END) AS failed, whole AND enough AS accepted FROM j""")
+j AS (SELECT segment_id, whole, thin, n >= 3 AS enough FROM s JOIN f USING (segment_id))
+SELECT segment_id, CASE WHEN enough THEN 9 ELSE 4 END AS n_checks, CAST(NOT whole AS INTEGER) + CAST(thin AS INTEGER) + CASE WHEN enough THEN 0 ELSE 2 END AS n_failed,
+  concat_ws(',', CASE WHEN NOT whole THEN 'chained' END, CASE WHEN NOT enough THEN 'median_m' END, CASE WHEN thin THEN 'overlaps' END, CASE WHEN NOT enough THEN 'p95_m' END) AS failed,
+  whole AND NOT thin AND enough AS accepted FROM j""")
 def c10_assembled_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of a track, each turned and moved by itself, assembled and held against the track."""
     a = c("window_id") * 0.3
