@@ -5,8 +5,9 @@ these, centred; it is never held: it lies in blocks in the shared checkpoint fol
 two passes over them. The first takes X v, the second X^T u. A left vector u is as long as the table; it lies in the
 range of X, so what is kept of it is p with u = X p, as long as a row, and each pass makes its part of u anew. Both
 passes also take the products of the new u with all earlier ones, so every left vector is made orthogonal to all
-others twice, and so is every right one. What a pass gives back is a few sums for each dimension, added up by Spark; rows are
-centred before they are multiplied.
+others twice, and so is every right one. What a task gives back is a few sums for each dimension, and there are few
+tasks for each core, so that what the driver adds up doesn't grow with the table; rows are centred
+before they are multiplied.
 
 The small bidiagonal matrix B has the singular values of X; the right singular vectors of B turn the right vectors into
 components. The process ends early only if it is proven that nothing is missing: the residuals of the wanted
@@ -37,6 +38,7 @@ from tracklake.llm._session import checkpointed
 #: Whole numbers of doubles end here.
 MOST = 1 << 53
 BLOCK_BYTES = 1 << 20
+TASK_BYTES = 8 << 20
 EPS = float(np.finfo(float).eps)
 
 
@@ -95,7 +97,7 @@ def _packed(d: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
 
 
 def _summed(blocks: DataFrame, d: int, sums_of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """Sums over all blocks of ``sums_of`` (whole-number rows to an array of doubles); partial sums of a task first, then by place."""
+    """Sums over all blocks of ``sums_of`` (whole-number rows to an array of doubles). A task adds up its blocks and gives one row back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -104,13 +106,9 @@ def _summed(blocks: DataFrame, d: int, sums_of: Callable[[np.ndarray], np.ndarra
                 got = sums_of(np.frombuffer(block.as_py(), "<i8").reshape(-1, d)).ravel()
                 total = got if total is None else total + got
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["place", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
 
-    found = blocks.mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
-    out = np.zeros(len(found))
-    for r in found:
-        out[r.place] = r.value
-    return out
+    return sum((np.array(r.sums) for r in blocks.mapInArrow(run, "sums array<double>").collect()), np.zeros(1))
 
 
 def _exact_sums(blocks: DataFrame, d: int) -> tuple[int, list[int]]:
@@ -118,14 +116,16 @@ def _exact_sums(blocks: DataFrame, d: int) -> tuple[int, list[int]]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            n, high, low = 0, np.zeros(d, np.int64), np.zeros(d, np.int64)
             for block in batch.column(0):
                 x = np.frombuffer(block.as_py(), "<i8").reshape(-1, d)
-                values = np.concatenate([[len(x)], (x >> 27).sum(0), (x & (1 << 27) - 1).sum(0)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["place", "value"])
+                n, high, low = n + len(x), high + (x >> 27).sum(0), low + (x & (1 << 27) - 1).sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array([[n, *high.tolist(), *low.tolist()]], pa.list_(pa.int64()))], ["sums"])
 
-    exact = F.sum(F.col("value").cast("decimal(38,0)")).alias("value")
-    by = {r.place: int(r.value) for r in blocks.mapInArrow(run, "place long, value long").groupBy("place").agg(exact).collect()}
-    return by.get(0, 0), [(by[1 + k] << 27) + by[1 + d + k] for k in range(d)] if by else []
+    total = [0] * (2 * d + 1)
+    for r in blocks.mapInArrow(run, "sums array<long>").collect():
+        total = [a + b for a, b in zip(total, r.sums, strict=True)]
+    return total[0], [(total[1 + k] << 27) + total[1 + d + k] for k in range(d)]
 
 
 def bidiagonalise(blocks: DataFrame, n: int, mean: np.ndarray, policy: WhiteningPolicy) -> tuple[np.ndarray, np.ndarray, float]:
@@ -186,7 +186,9 @@ def fit(numbers: DataFrame, policy: WhiteningPolicy = WhiteningPolicy()) -> tupl
     """The basis of the distinct vectors of (id, x), none if there is no variance, and the blocks of the fit."""
     first = numbers.select(F.size("x").alias("d")).first()
     d = first.d if first else 0
-    blocks = checkpointed(numbers.select("x").distinct().mapInArrow(_packed(d), "block binary"))
+    # a task reads many blocks, one after the other, and gives one row of sums to the driver: few tasks for a core
+    tasks = min(numbers.count() * d * 8 // TASK_BYTES + 1, 4 * numbers.sparkSession.sparkContext.defaultParallelism)
+    blocks = checkpointed(numbers.select("x").distinct().mapInArrow(_packed(d), "block binary").coalesce(tasks))
     n, sums = _exact_sums(blocks, d) if d else (0, [])
     if n < 2:
         return None, blocks
