@@ -1,4 +1,4 @@
-"""Geometry, clouds, tiles, pairs, alignment, checks and the streaming twins."""
+"""Geometry, clouds, tiles, pairs, alignment, checks and digests."""
 
 import math
 import random
@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tracklake.functions import geodesy, keys, rotation, symmetric
 from tracklake.operators import alignment, checks, cloud, pairs
-from tracklake.streaming import pairing
 
 
 def one(spark, *columns):
@@ -132,53 +131,3 @@ def test_digest_ignores_order(spark):
     df = spark.createDataFrame([(i, str(i)) for i in range(100)], "a int, b string")
     one_, two = checks.table_digest(df, "a", "b").first(), checks.table_digest(df.orderBy(F.desc("a")).repartition(7), "a", "b").first()
     assert one_ == two and checks.table_digest(df.where("a > 0"), "a", "b").first() != one_
-
-
-def streamed(spark, tmp_path, rows, schema, make, parts=3):
-    """Rows written as a few files in time order, read one a trigger; the output of all triggers."""
-    for k in range(parts):
-        part = rows[k * len(rows) // parts : (k + 1) * len(rows) // parts]
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    name = f"out_{abs(hash(str(tmp_path)))}"
-    run = make(source).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
-    run.awaitTermination(120)
-    return spark.table(name).collect()
-
-
-def test_streamed_pairs(spark, tmp_path):
-    rng = random.Random(0)
-    ref, smp = (sorted(rng.sample(range(3000), 60)) for _ in range(2))
-    rows = sorted([("a", 0, i, t) for i, t in enumerate(ref)] + [("a", 1, i, t) for i, t in enumerate(smp)], key=lambda r: r[3])
-    got = streamed(spark, tmp_path, rows, "segment_id string, side int, i long, t long", lambda s: pairing.one_to_one_stream(s, 12))
-    expected, k = [], 0
-    for i, t in enumerate(ref):
-        while k < len(smp) and smp[k] < t - 12:
-            k += 1
-        if k < len(smp) and smp[k] <= t + 12:
-            expected.append((i, k))
-            k += 1
-    assert sorted((r.i, r.sample_index) for r in got) == expected
-
-
-def test_streamed_distance_sampler(spark, tmp_path):
-    rows = [("a", i, i, 0.1 * i, 0.0, 0.0) for i in range(11)]
-    got = streamed(spark, tmp_path, rows, "segment_id string, i long, t long, x double, y double, z double", lambda s: pairing.distance_sampled_stream(s, 0.15))
-    assert sorted(r.i for r in got) == [0, 2, 3, 5, 6, 8, 9]
-
-
-def test_streamed_order_check(spark, tmp_path):
-    rows = [("a", i, t) for i, t in enumerate([1, 3, 2, 5, 5, 9])]
-    got = streamed(spark, tmp_path, rows, "segment_id string, i long, t long", pairing.out_of_order_stream)
-    assert sorted(r.i for r in got) == [2, 4]
-
-
-def test_streamed_nearest(spark, tmp_path):
-    rng = random.Random(5)
-    ref, smp = (sorted(rng.sample(range(3000), 50)) for _ in range(2))
-    rows = sorted([("a", 0, i, t) for i, t in enumerate(ref)] + [("a", 1, i, t) for i, t in enumerate(smp)] + [("a", 1, 999, 10**6)], key=lambda r: r[3])
-    got = streamed(spark, tmp_path, rows, "segment_id string, side int, i long, t long", lambda s: pairing.nearest_stream(s, 40))
-    for r in got:
-        j = min(range(50), key=lambda j: (abs(smp[j] - ref[r.i]), smp[j]))
-        assert (r.sample_index, r.residual_ns) == ((j, smp[j] - ref[r.i]) if abs(smp[j] - ref[r.i]) <= 40 else (None, None))
-    assert len(got) == 50
