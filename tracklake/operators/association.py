@@ -2,7 +2,8 @@
 
 Streams have a key, a time in long nanoseconds and an index that breaks ties. ``reference`` rows are all returned.
 Bounded searches deal both streams out by (key, time bucket), a sample going to each bucket that its tolerance
-reaches, so one long recording is not one task; only the unbounded ones order a whole key.
+reaches; the unbounded ones and the search for gaps go over ranges of rows and carry the last and the next sample from
+one to the other (operators/chunks.py). So one long recording is not one task.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklake.operators import chunks
 from tracklake.operators.scans import scanned
 
 
@@ -31,14 +33,22 @@ def _buckets(reach_ns: int) -> tuple[Column, Column]:
     return cell(F.col("t")), F.explode(F.sequence(cell(F.col("t") - reach_ns), cell(F.col("t") + reach_ns)))
 
 
-def _around(both: DataFrame, exact_below: bool) -> DataFrame:
-    """Reference rows with the last sample before (or at, if exact_below) and the first at or after."""
-    part = Window.partitionBy("key", "bucket")
+def _around(both: DataFrame, exact_below: bool, bucketed: bool) -> DataFrame:
+    """Reference rows with the last sample before (or at, if exact_below) and the first at or after.
+
+    In buckets a window finds them; over whole keys they are carried from one range of rows to the next.
+    """
     # references stand before samples of the same time, so "before" is strict and "after" includes the same time
-    order = part.orderBy("t", "side", "i")
-    below = F.last("s", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first("s", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    out = both.select("key", "t", "side", "i", below.alias("below"), above.alias("above")).where("side = 0")
+    if bucketed:
+        part, so_far = Window.partitionBy("key", "bucket"), (Window.unboundedPreceding, 0)
+        below = F.last("s", ignorenulls=True).over(part.orderBy("t", "side", "i").rowsBetween(*so_far))
+        above = F.last("s", ignorenulls=True).over(part.orderBy(*[F.col(o).desc_nulls_last() for o in ("t", "side", "i")]).rowsBetween(*so_far))
+        out = both.withColumns({"below": below, "above": above})
+    else:
+        known = F.col("s").isNotNull()
+        c = chunks.with_known(chunks.chunked(both.drop("bucket"), ["key"], ["t", "side", "i"]), known, [], "below")
+        out = chunks.with_known(c, known, [], "above", ahead=True).rows
+    out = out.where("side = 0").select("key", "t", "side", "i", "below", "above")
     if exact_below:
         out = out.withColumn("below", F.when(F.col("above.t") == F.col("t"), F.col("above")).otherwise(F.col("below")))
     return out
@@ -51,7 +61,7 @@ def nearest(reference: DataFrame, sample: DataFrame, tolerance_ns: int | None, k
     With a tolerance, rows without a sample that near have nulls; without one, the nearest is always given.
     """
     bucket = None if tolerance_ns is None else _buckets(tolerance_ns)
-    found = _around(_sides(reference, sample, key, time, index, bucket), exact_below=False)
+    found = _around(_sides(reference, sample, key, time, index, bucket), exact_below=False, bucketed=bucket is not None)
     earlier = F.col("below").isNotNull() & (F.col("above").isNull() | (F.col("t") - F.col("below.t") <= F.col("above.t") - F.col("t")))
     found = found.withColumn("s", F.when(earlier, F.col("below")).otherwise(F.col("above")))
     if tolerance_ns is not None:
@@ -74,9 +84,9 @@ def first_unmatched(reference: DataFrame, sample: DataFrame, tolerance_ns: int,
 
 def islands(both: DataFrame, tolerance_ns: int) -> DataFrame:
     """Numbers the stretches of the union that no feasible pair reaches across."""
-    order = Window.partitionBy("key").orderBy("t", "side", "i")
-    gap = F.coalesce(F.col("t") - F.lag("t").over(order) > tolerance_ns, F.lit(True))
-    return both.withColumn("island", F.sum(gap.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    c = chunks.with_neighbour(chunks.chunked(both, ["key"], ["t", "side", "i"]), [])
+    gap = F.coalesce(F.col("t") - F.col("_before.t") > tolerance_ns, F.lit(True))
+    return chunks.with_running(c, gap.cast("long"), "island").rows.drop("_before", "_chunk")
 
 
 def one_to_one(reference: DataFrame, sample: DataFrame, tolerance_ns: int, key: str = "segment_id", time: str = "t_ns", index: str = "row_id") -> DataFrame:
@@ -87,8 +97,8 @@ def one_to_one(reference: DataFrame, sample: DataFrame, tolerance_ns: int, key:
     """
     held = islands(_sides(reference, sample, key, time, index).drop("s", "bucket"), tolerance_ns)
     # pieces with one side only hold no pair and don't leave the JVM
-    sides = Window.partitionBy("key", "island")
-    held = held.withColumns({"_low": F.min("side").over(sides), "_high": F.max("side").over(sides)}).where("_low < _high")
+    both = held.groupBy(F.col("key").alias("_key"), F.col("island").alias("_island")).agg(F.min("side").alias("_low"), F.max("side").alias("_high")).where("_low < _high")
+    held = held.join(both, held["key"].eqNullSafe(F.col("_key")) & (F.col("island") == F.col("_island")), "left_semi")
     key_type = reference.schema[key].dataType.simpleString()
 
     def pair(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -123,9 +133,9 @@ def bracket(reference: DataFrame, sample: DataFrame, max_gap_ns: int | None = No
     """key, index, time, lower/upper index and time, alpha: samples around each reference, no extrapolation.
 
     A sample at the very time is both ends, with alpha 0. Wider gaps than ``max_gap_ns`` give nulls; with that bound
-    both ends are near the reference, so the streams are dealt out by time bucket; without one a key is ordered whole.
+    both ends are near the reference, so the streams are dealt out by time bucket; without one, by ranges of rows.
     """
-    found = _around(_sides(reference, sample, key, time, index, None if max_gap_ns is None else _buckets(max_gap_ns)), exact_below=True)
+    found = _around(_sides(reference, sample, key, time, index, None if max_gap_ns is None else _buckets(max_gap_ns)), exact_below=True, bucketed=max_gap_ns is not None)
     good = F.col("below").isNotNull() & F.col("above").isNotNull()
     if max_gap_ns is not None:
         good = good & (F.col("above.t") - F.col("below.t") <= max_gap_ns)
@@ -147,8 +157,8 @@ def interpolated(reference: DataFrame, sample: DataFrame, values: list[str], max
 
 def supported(reference: DataFrame, sample: DataFrame, good: Column, before_ns: int, after_ns: int, key: str = "segment_id", time: str = "t_ns", index: str = "row_id") -> DataFrame:
     """key, index, supported: whether all samples that cover [t - before, t + after] are good, and the interval is covered."""
-    order = Window.partitionBy(key).orderBy(time, index)
-    counted = sample.withColumn("_bad", F.sum((~good).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_own", (~good).cast("long"))
+    bad = (~good).cast("long")
+    counted = chunks.with_running(chunks.chunked(sample, [key], [time, index]), bad, "_bad").rows.withColumn("_own", bad)
     ends = []
     for side, shift in (("lower", -before_ns), ("upper", after_ns)):
         moved = reference.select(key, index, (F.col(time) + shift).alias(time))

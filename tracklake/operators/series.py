@@ -1,4 +1,8 @@
-"""Ordered series of a segment: sampling by distance, rates, blocks, smoothing, gradients, gaps, windows of rows."""
+"""Ordered series of a segment: sampling by distance, rates, blocks, smoothing, gradients, gaps, windows of rows.
+
+A segment is ordered by one task here. For recordings of any length see operators/chunks.py, which has the same
+operators (distance, unwrapping, gaps, runs, path windows) over ranges of rows.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tracklake.operators import chunks
 from tracklake.operators.scans import scanned
 
 
@@ -152,9 +157,9 @@ def decimated(df: DataFrame, interval: int, key: str, time: str, index: str) ->
 
     Gaps of the interval or more restart it whatever came before, so a key is cut there.
     """
-    w = Window.partitionBy(key).orderBy(time, index)
-    restart = F.coalesce(F.col(time) - F.lag(time).over(w) >= interval, F.lit(True))
-    pieces = df.select(key, index, time).withColumn("_piece", F.sum(restart.cast("long")).over(_so_far(w)))
+    c = chunks.with_neighbour(chunks.chunked(df.select(key, index, time), [key], [time, index]), [])
+    restart = F.coalesce(F.col(time) - F.col(f"_before.{time}") >= interval, F.lit(True))
+    pieces = chunks.with_running(c, restart.cast("long"), "_piece").rows
     kind = lambda c: df.schema[c].dataType.simpleString()
 
     def accept(rows: Iterator[tuple]) -> Iterator[tuple]:

@@ -3,6 +3,7 @@
 from tracklake.plans import acceptance_queries as acceptance_queries
 from tracklake.plans import calibration_queries as calibration_queries
 from tracklake.plans import composite_queries as composite_queries
+from tracklake.plans import long_queries as long_queries
 from tracklake.plans import matching_queries as matching_queries
 from tracklake.plans import planning_queries as planning_queries
 from tracklake.plans import report_queries as report_queries

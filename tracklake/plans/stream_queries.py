@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracklake.operators.pairs import checkpointed
 from tracklake.plans.registry import query
 from tracklake.plans.time_queries import STEP, TOL
+from tracklake.plans.walk_sql import pairs_sql
 from tracklake.sources.bindings import STREAM_SQL, nanoseconds, table
 from tracklake.streaming import pairing
 from tracklake.streaming.ordered import rocksdb_state
@@ -45,7 +46,7 @@ def _sided(rows: DataFrame, first: str, second: str) -> DataFrame:
     return rows.where(c("kind").isin(first, second) | c("i").isNull()).select("segment_id", (c("kind") == second).cast("int").alias("side"), "i", "t")
 
 
-@query()
+@query(f"WITH RECURSIVE {STREAM_SQL}, u AS (SELECT segment_id, CAST(kind = 'view' AS INTEGER) AS side, t_ns AS t, row_id AS i FROM stream WHERE kind IN ('click', 'view')), {pairs_sql('u', TOL)} SELECT * FROM met")
 def r1_r2_stereo_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-to-one pairs of clicks and views; what waits longer than the tolerance is evicted."""
     return streamed(spark, sf_dir, lambda rows: pairing.one_to_one_stream(_sided(rows, "click", "view"), TOL)).drop("problem")

@@ -9,6 +9,7 @@ from tracklake.operators import association as a
 from tracklake.operators import quality as q
 from tracklake.operators import series as s
 from tracklake.plans.registry import query
+from tracklake.plans.walk_sql import decimated_sql, pairs_sql
 from tracklake.sources.bindings import STREAM_SQL, TRACK_SQL, stream, table, track
 
 TOL = 6 * 3600 * 1_000_000_000
@@ -45,7 +46,7 @@ def j3_first_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.first_unmatched(*_click_view(spark, sf_dir), TOL)
 
 
-@query()
+@query(f"WITH RECURSIVE {STREAM_SQL}, u AS (SELECT segment_id, CAST(kind = 'view' AS INTEGER) AS side, t_ns AS t, row_id AS i FROM stream WHERE kind IN ('click', 'view')), {pairs_sql('u', TOL)} SELECT segment_id, i AS row_id, t AS t_ns, sample_index, residual_ns FROM met")
 def j4_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.one_to_one(*_click_view(spark, sf_dir), TOL)
 
@@ -301,7 +302,7 @@ def w24_first_per_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.first_per_time(rows, "l_suppkey", "l_shipdate", "at").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query()
+@query(f"WITH RECURSIVE {STREAM_SQL}, u AS (SELECT segment_id, t_ns AS t, row_id AS i FROM stream), {decimated_sql('u', 86_400 * 10**9)} SELECT segment_id, i AS row_id, t AS t_ns FROM walk")
 def w25_decimated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.decimated(stream(spark, sf_dir), 86_400 * 10**9, "segment_id", "t_ns", "row_id")
 
