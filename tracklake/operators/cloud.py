@@ -1,4 +1,4 @@
-"""Depth, point clouds, tiles and seams. Tiles, views and seam segments are small tables whose size the caller knows; they are broadcast."""
+"""Depth, point clouds, tiles and seams. Points meet tiles, seams and views by cells (operators/cover.py)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklake.operators import cover
+
 SH0 = 0.28209479177387814
 
 
@@ -69,18 +71,40 @@ def holes_filled(pixels: DataFrame, least: int, absolute: float, relative: float
 
 
 def tile_owner(points: DataFrame, tiles: DataFrame, high_u: float, high_v: float, tolerance: float = 1e-9) -> DataFrame:
-    """Points with ``owner``: the tile whose core holds (u, v), lower edges included, upper ones only at the scene's end; -1 outside."""
-    open_ = lambda c, hi, end: (F.col(c) < F.col(hi)) | ((F.col(hi) >= end - tolerance) & (F.col(c) <= F.col(hi) + tolerance))
-    inside = (F.col("u") >= F.col("lo_u")) & (F.col("v") >= F.col("lo_v")) & open_("u", "hi_u", high_u) & open_("v", "hi_v", high_v)
-    core = F.broadcast(tiles.select(F.col("tile_id").alias("owner"), "lo_u", "lo_v", "hi_u", "hi_v"))
-    return points.join(core, inside, "left").drop("lo_u", "lo_v", "hi_u", "hi_v").withColumn("owner", F.coalesce("owner", F.lit(-1)))
+    """Points with ``owner``: the tile whose core holds (u, v), lower edges included, upper ones only at the scene's end; -1 outside.
+
+    ``problem`` is ``several`` where the cores of more than one tile hold the point, which has the lowest of them as its owner
+    then; a plan whose cores are disjoint has none.
+    """
+    wide = tiles.select("tile_id", "lo_u", "lo_v", (F.col("hi_u") + tolerance).alias("hi_u"), (F.col("hi_v") + tolerance).alias("hi_v"))
+
+    def holds(box: Column) -> Column:
+        inside = (F.col("u") >= box["lo_u"]) & (F.col("v") >= box["lo_v"])
+        for c, end in (("u", high_u), ("v", high_v)):
+            high = box[f"hi_{c}"] - tolerance
+            inside = inside & ((F.col(c) < high) | ((high >= end - tolerance) & (F.col(c) <= high + tolerance)))
+        return inside
+
+    found = cover.holders(points, wide, "tile_id", holds, "_owners")
+    owner = F.coalesce(F.get("_owners", F.lit(0)), F.lit(-1))
+    return found.withColumns({"owner": owner, "problem": F.when(F.size("_owners") > 1, "several")}).drop("_owners")
+
+
+def _widened(tiles: DataFrame, halo: float) -> DataFrame:
+    """Tiles with bounds widened by the halo, and the core's as core_lo_u to core_hi_v."""
+    bounds = [F.col(b).alias(f"core_{b}") for b in ("lo_u", "lo_v", "hi_u", "hi_v")]
+    return tiles.select("tile_id", *bounds, *[(F.col(f"lo_{c}") - halo).alias(f"lo_{c}") for c in "uv"], *[(F.col(f"hi_{c}") + halo).alias(f"hi_{c}") for c in "uv"])
+
+
+def _in_context(points: DataFrame, tiles: DataFrame, halo: float) -> DataFrame:
+    """As in_context(), with the tile's core as lo_u to hi_v."""
+    met = cover.in_boxes(points, _widened(tiles, halo)).drop("lo_u", "lo_v", "hi_u", "hi_v")
+    return met.withColumnsRenamed({f"core_{b}": b for b in ("lo_u", "lo_v", "hi_u", "hi_v")})
 
 
 def in_context(points: DataFrame, tiles: DataFrame, halo: float) -> DataFrame:
     """Each point with each tile whose core, widened by the halo, holds it; edges included."""
-    core = F.broadcast(tiles.select("tile_id", "lo_u", "lo_v", "hi_u", "hi_v"))
-    inside = F.col("u").between(F.col("lo_u") - halo, F.col("hi_u") + halo) & F.col("v").between(F.col("lo_v") - halo, F.col("hi_v") + halo)
-    return points.join(core, inside).drop("lo_u", "lo_v", "hi_u", "hi_v")
+    return _in_context(points, tiles, halo).drop("lo_u", "lo_v", "hi_u", "hi_v")
 
 
 def adjacent_tiles(tiles: DataFrame) -> DataFrame:
@@ -111,13 +135,14 @@ def seam_band(points: DataFrame, segments: DataFrame, width: float, *keys: str)
     """Points within ``width`` of a segment, with the distance to the nearest."""
     nearest = lambda c: F.greatest(F.col(f"{c}0"), F.least(F.col(f"{c}1"), F.col(c)))
     du, dv = F.col("u") - nearest("u"), F.col("v") - nearest("v")
-    met = points.join(F.broadcast(segments), (F.abs(du) <= width) & (F.abs(dv) <= width))
+    around = segments.select("*", *[(F.col(f"{c}0") - width).alias(f"lo_{c}") for c in "uv"], *[(F.col(f"{c}1") + width).alias(f"hi_{c}") for c in "uv"])
+    met = cover.in_boxes(points, around)
     return met.groupBy(*keys, "u", "v").agg(F.sqrt(F.min(du * du + dv * dv)).alias("distance")).where(F.col("distance") <= width)
 
 
 def visibility_counts(cells: DataFrame, tiles: DataFrame, halo: float) -> DataFrame:
     """tile_id, frame, core_cells, context_cells of support cells (frame, u, v)."""
-    held = in_context(cells, tiles, halo).join(F.broadcast(tiles.select("tile_id", "lo_u", "lo_v", "hi_u", "hi_v")), "tile_id")
+    held = _in_context(cells, tiles, halo)
     core = (F.col("u") >= F.col("lo_u")) & (F.col("u") < F.col("hi_u")) & (F.col("v") >= F.col("lo_v")) & (F.col("v") < F.col("hi_v"))
     return held.groupBy("tile_id", "frame").agg(F.count_if(core).alias("core_cells"), F.count("*").alias("context_cells"))
 
@@ -137,7 +162,7 @@ def core_weight(halo: float) -> Column:
 
 def tile_weights(points: DataFrame, tiles: DataFrame, halo: float, key: str = "id") -> DataFrame:
     """Partition of unity over tiles: 1 minus distance outside the core over the halo, normalised for each point."""
-    held = in_context(points, tiles, halo).join(F.broadcast(tiles.select("tile_id", "lo_u", "lo_v", "hi_u", "hi_v")), "tile_id")
+    held = _in_context(points, tiles, halo)
     held = held.withColumn("_w", core_weight(halo))
     total = F.sum("_w").over(Window.partitionBy(key))
     return held.withColumn("weight", F.when(total > 0, F.col("_w") / total).otherwise(0.0)).drop("_w", "lo_u", "lo_v", "hi_u", "hi_v")
@@ -183,20 +208,11 @@ def psnr(pixels: DataFrame, *keys: str) -> DataFrame:
 def in_frustum(gaussians: DataFrame, views: DataFrame, near: float, sigmas: float = 3.0, far: float | None = None) -> DataFrame:
     """(view, id) of spheres of ``sigmas`` scales that reach inside a view's four side planes, beyond its near plane and before the far one.
 
-    ``views``: view, row-major rotation and translation m0 to m11, fx, fy, cx, cy, width, height.
+    ``views``: view, row-major rotation and translation m0 to m11, fx, fy, cx, cy, width, height. Views go down an octree of
+    the Gaussians, so that only those in leaves that reach into a view are tested against it.
     """
-    m = [F.col(f"m{k}") for k in range(12)]
-    cam = [m[4 * k] * F.col("x") + m[4 * k + 1] * F.col("y") + m[4 * k + 2] * F.col("z") + m[4 * k + 3] for k in range(3)]
-    joined = gaussians.withColumn("_r", sigmas * F.exp("log_scale")).crossJoin(F.broadcast(views))
-    joined = joined.withColumns({"_x": cam[0], "_y": cam[1], "_z": cam[2]})
-    keep = F.col("_z") + F.col("_r") > near
-    if far is not None:
-        keep = keep & (F.col("_z") - F.col("_r") < far)
-    for c, f, center, size in (("_x", "fx", "cx", "width"), ("_y", "fy", "cy", "height")):
-        for sign, edge in ((1, F.col(center)), (-1, F.col(size) - F.col(center))):
-            slope = edge / F.col(f)
-            keep = keep & (sign * F.col(c) + slope * F.col("_z") > -F.col("_r") * F.sqrt(1 + slope * slope))
-    return joined.where(keep).select("view", "id")
+    spheres = gaussians.select("id", "x", "y", "z", (sigmas * F.exp("log_scale")).alias("radius"))
+    return cover.in_frustum(spheres, views, near, far).select("view", "id")
 
 
 def view_counts(visible: DataFrame, views: DataFrame, most: int) -> DataFrame:

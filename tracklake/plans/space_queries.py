@@ -201,9 +201,9 @@ def _tiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TILES, "tile_id int, lo_u double, lo_v double, hi_u double, hi_v double")
 
 
-@query(f"WITH {POINTS_SQL}, {TILES_SQL} SELECT p.id, coalesce(t.tile_id, -1) AS owner FROM (SELECT id, x AS u, y AS v FROM points) p LEFT JOIN tiles t ON u >= lo_u AND v >= lo_v AND (u < hi_u OR (hi_u >= 2 AND u <= hi_u)) AND (v < hi_v OR (hi_v >= 2 AND v <= hi_v))")
+@query(f"WITH {POINTS_SQL}, {TILES_SQL} SELECT p.id, coalesce(t.tile_id, -1) AS owner, CAST(NULL AS VARCHAR) AS problem FROM (SELECT id, x AS u, y AS v FROM points) p LEFT JOIN tiles t ON u >= lo_u AND v >= lo_v AND (u < hi_u OR (hi_u >= 2 AND u <= hi_u)) AND (v < hi_v OR (hi_v >= 2 AND v <= hi_v))")
 def j14_tile_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cloud.tile_owner(points(spark, sf_dir).select("id", c("x").alias("u"), c("y").alias("v")), _tiles(spark), 2.0, 2.0).select("id", "owner")
+    return cloud.tile_owner(points(spark, sf_dir).select("id", c("x").alias("u"), c("y").alias("v")), _tiles(spark), 2.0, 2.0).select("id", "owner", "problem")
 
 
 @query(f"WITH {POINTS_SQL}, {TILES_SQL} SELECT p.id, t.tile_id FROM points p JOIN tiles t ON x BETWEEN lo_u - 0.5 AND hi_u + 0.5 AND y BETWEEN lo_v - 0.5 AND hi_v + 0.5")
