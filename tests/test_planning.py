@@ -84,7 +84,7 @@ def test_robust_alignment_ignores_outliers(spark):
     assert robust.robust_alignment(df.where("id < 2"), F.lit(0.1)).count() == 0
 
 
-def restated(rows, marks, limit, weights, hypotheses, refits, seed):
+def aligned_one_by_one(rows, marks, limit, weights, hypotheses, refits, seed):
     """One pair set, one hypothesis after the other, with plain numpy."""
     order = np.argsort(marks, kind="stable")
     weights = weights / weights.mean()
@@ -135,7 +135,7 @@ def test_robust_alignment_equals_its_sequential_restatement(spark, monkeypatch,
     table = df.select("*", limit.alias("limit"), weight.alias("weight"), F.xxhash64("id", *"xyzuvw", F.lit(seed)).alias("mark")).toPandas()
     assert np.allclose(table["limit"], np.maximum(0.15, 3 * np.sqrt(table[["xx", "yy", "zz"]].max(axis=1)))) and np.allclose(table["weight"], 1 / table[["xx", "yy", "zz"]].sum(axis=1))
     for key, own in table.groupby("key"):
-        fit, inliers = restated(own[[*"xyzuvw"]].to_numpy(), own["mark"].to_numpy(), own["limit"].to_numpy(), own["weight"].to_numpy(), 60, 3, seed)
+        fit, inliers = aligned_one_by_one(own[[*"xyzuvw"]].to_numpy(), own["mark"].to_numpy(), own["limit"].to_numpy(), own["weight"].to_numpy(), 60, 3, seed)
         assert got[key].n_inliers == inliers
         assert np.allclose(np.reshape(got[key].rotation, (3, 3)), fit[0], atol=1e-9) and np.allclose(got[key].translation, fit[1], atol=1e-8)
 
@@ -157,3 +157,88 @@ def test_pairs_in_a_line_or_too_few_have_no_alignment(spark):
     line = [(i, 1.0 * i, 0.0, 0.0, 1.0 * i, 1.0, 0.0) for i in range(9)] + [(10, None, 0.0, 0.0, 0.0, 0.0, 0.0)]
     df = spark.createDataFrame(line, "id long, x double, y double, z double, u double, v double, w double")
     assert robust.robust_alignment(df, F.lit(1.0)).count() == 0 and robust.robust_alignment(df.limit(0), F.lit(1.0)).count() == 0
+
+
+def split_one_by_one(cells, policy):
+    """The tile with the most frames first, every cut counted from the cells."""
+    rows = np.array(cells)
+
+    def frames(box, halo):
+        f, u, v = rows.T
+        return set(f[(u >= box[0] - halo) & (u <= box[2] + halo) & (v >= box[1] - halo) & (v <= box[3] + halo)])
+
+    def core(box):
+        f, u, v = rows.T
+        return set(f[(u >= box[0]) & (u < box[2]) & (v >= box[1]) & (v < box[3])])
+
+    m = policy.margin
+    cores = [(rows[:, 1].min() - m, rows[:, 2].min() - m, rows[:, 1].max() + m, rows[:, 2].max() + m)]
+    while True:
+        counts = [len(frames(c, policy.halo)) for c in cores]
+        k = int(np.argmax(counts))
+        if counts[k] <= policy.max_frames:
+            return sorted(cores, key=lambda c: (c[1], c[0], c[3], c[2]))
+        lo_u, lo_v, hi_u, hi_v = cores[k]
+        f, u, v = rows.T
+        own = (u >= lo_u) & (u < hi_u) & (v >= lo_v) & (v < hi_v)
+        scored = []
+        for axis, values in enumerate((u[own], v[own])):
+            for share in (0.15 + 0.7 * j / (policy.cuts - 1) for j in range(policy.cuts)):
+                x = float(np.percentile(values, 100 * share, method="linear"))
+                if not cores[k][axis] + 1e-6 < x < cores[k][axis + 2] - 1e-6:
+                    continue
+                a, b = ((lo_u, lo_v, x, hi_v), (x, lo_v, hi_u, hi_v)) if axis == 0 else ((lo_u, lo_v, hi_u, x), (lo_u, x, hi_u, hi_v))
+                p, q = frames(a, policy.halo), frames(b, policy.halo)
+                if min(len(core(a)), len(core(b))) >= policy.min_core_frames:
+                    most = max(len(p), len(q))
+                    scored.append((max(0, most - policy.max_frames), most, abs(len(p) - len(q)), len(p & q), axis, round(x, 9), a, b))
+        best = min(scored, key=lambda r: r[:6])
+        cores[k : k + 1] = best[6:]
+
+
+@pytest.mark.parametrize(("seed", "most"), [(1, 14), (2, 10)])
+def test_split_gives_the_cores_of_the_sequential_one(spark, seed, most):
+    rng = np.random.default_rng(seed)
+    cells = []
+    for f in range(40):
+        at = rng.uniform(0, 20, 2)
+        cells += {(f, *map(float, np.floor(2 * (at + rng.normal(size=2) * 0.8)) / 2)) for _ in range(25)}
+    policy = planning.SplitPolicy(max_frames=most, halo=0.5, min_core_frames=2)
+    got = planning.split_tiles(spark.createDataFrame(cells, "frame int, u double, v double"), policy)
+    expected = split_one_by_one(cells, policy)
+    assert len(got) == len(expected) > 3 and np.allclose(got, expected, atol=1e-9)
+
+
+def test_split_that_has_no_cut_or_too_few_tiles_raises(spark):
+    same = spark.createDataFrame([(f, 1.0, 1.0) for f in range(9)], "frame int, u double, v double")
+    with pytest.raises(ValueError, match="no cut"):
+        planning.split_tiles(same, planning.SplitPolicy(max_frames=4, halo=0.1))
+    line = spark.createDataFrame([(f, float(f), 0.0) for f in range(40)], "frame int, u double, v double")
+    with pytest.raises(ValueError, match="too many"):
+        planning.split_tiles(line, planning.SplitPolicy(max_frames=3, halo=0.1, max_tiles=4))
+
+
+def test_coverage_equals_the_greedy_one_by_one(spark):
+    rng = random.Random(6)
+    rows = sorted({(t, rng.randrange(40), f"c{rng.randrange(200)}") for t in range(4) for _ in range(900)} | {(9, 1, "only")})
+    chosen = [(t, f) for t in range(4) for f in (3, 7, 99)]
+    cells, picked = spark.createDataFrame(rows, "tile_id int, frame int, cell string"), spark.createDataFrame(chosen, "tile_id int, frame int")
+    for share, most in ((0.97, 40), (1.0, 9), (0.2, 40)):
+        got = {(r.tile_id, r.frame) for r in planning.completed_coverage(cells, picked, share, most).collect()}
+        expected = set()
+        for t in {r[0] for r in rows}:
+            own = {}
+            for a, f, c in rows:
+                if a == t:
+                    own.setdefault(f, set()).add(c)
+            taken = [f for a, f in chosen if a == t]
+            total, seen = len(set().union(*own.values())), set().union(*(own.get(f, set()) for f in taken))
+            n = len(taken)
+            while n < most and len(seen) < share * total - 1e-12:
+                gain, f = min(((-len(s - seen), f) for f, s in own.items() if f not in taken), default=(0, None))
+                if not gain:
+                    break
+                expected.add((t, f))
+                seen |= own[f]
+                n += 1
+        assert got == expected

@@ -96,7 +96,7 @@ def _widened(tiles: DataFrame, halo: float) -> DataFrame:
     return tiles.select("tile_id", *bounds, *[(F.col(f"lo_{c}") - halo).alias(f"lo_{c}") for c in "uv"], *[(F.col(f"hi_{c}") + halo).alias(f"hi_{c}") for c in "uv"])
 
 
-def _in_context(points: DataFrame, tiles: DataFrame, halo: float) -> DataFrame:
+def with_core(points: DataFrame, tiles: DataFrame, halo: float) -> DataFrame:
     """As in_context(), with the tile's core as lo_u to hi_v."""
     met = cover.in_boxes(points, _widened(tiles, halo)).drop("lo_u", "lo_v", "hi_u", "hi_v")
     return met.withColumnsRenamed({f"core_{b}": b for b in ("lo_u", "lo_v", "hi_u", "hi_v")})
@@ -104,7 +104,7 @@ def _in_context(points: DataFrame, tiles: DataFrame, halo: float) -> DataFrame:
 
 def in_context(points: DataFrame, tiles: DataFrame, halo: float) -> DataFrame:
     """Each point with each tile whose core, widened by the halo, holds it; edges included."""
-    return _in_context(points, tiles, halo).drop("lo_u", "lo_v", "hi_u", "hi_v")
+    return with_core(points, tiles, halo).drop("lo_u", "lo_v", "hi_u", "hi_v")
 
 
 def adjacent_tiles(tiles: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def seam_band(points: DataFrame, segments: DataFrame, width: float, *keys: str)
 
 def visibility_counts(cells: DataFrame, tiles: DataFrame, halo: float) -> DataFrame:
     """tile_id, frame, core_cells, context_cells of support cells (frame, u, v)."""
-    held = _in_context(cells, tiles, halo)
+    held = with_core(cells, tiles, halo)
     core = (F.col("u") >= F.col("lo_u")) & (F.col("u") < F.col("hi_u")) & (F.col("v") >= F.col("lo_v")) & (F.col("v") < F.col("hi_v"))
     return held.groupBy("tile_id", "frame").agg(F.count_if(core).alias("core_cells"), F.count("*").alias("context_cells"))
 
@@ -162,7 +162,7 @@ def core_weight(halo: float) -> Column:
 
 def tile_weights(points: DataFrame, tiles: DataFrame, halo: float, key: str = "id") -> DataFrame:
     """Partition of unity over tiles: 1 minus distance outside the core over the halo, normalised for each point."""
-    held = _in_context(points, tiles, halo)
+    held = with_core(points, tiles, halo)
     held = held.withColumn("_w", core_weight(halo))
     total = F.sum("_w").over(Window.partitionBy(key))
     return held.withColumn("weight", F.when(total > 0, F.col("_w") / total).otherwise(0.0)).drop("_w", "lo_u", "lo_v", "hi_u", "hi_v")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.operators import association, chunks, series
+from tracklake.operators import association, chunks, selection, series
 from tracklake.plans.registry import query
 from tracklake.plans.time_queries import TOL
 from tracklake.plans.walk_sql import decimated_sql, pairs_sql
-from tracklake.sources.bindings import STREAM_SQL, stream
+from tracklake.sources.bindings import STREAM_SQL, stream, table
 
 c = F.col
 _ORDER = ["t_ns", "row_id"]
@@ -91,3 +91,38 @@ SELECT e.row_id, coalesce(hi.bad = lo.before, false) AS supported FROM e LEFT JO
 def j9_one_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = association.supported(_one(spark, sf_dir, "click"), _one(spark, sf_dir, "view"), c("k") >= 10, TOL // 600, TOL // 600)
     return out.select("row_id", "supported")
+
+
+@query("""SELECT count(*) AS n, min(l_extendedprice) AS min, round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95,
+  max(l_extendedprice) AS max, round(avg(l_extendedprice), 4) AS mean FROM lineitem""")
+def a3_one_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prices of all line items as one group."""
+    out = selection.distribution(table(spark, sf_dir, "lineitem"), "l_extendedprice")
+    return out.select("n", "min", F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"), "max", F.round("mean", 4).alias("mean"))
+
+
+@query("""WITH r AS (SELECT l_quantity - 25 + l_discount * 10 AS e FROM lineitem)
+SELECT count(*) AS n, round(quantile_cont(abs(e), 0.5), 6) AS median_abs, round(max(abs(e)), 6) AS max_abs, round(avg(e), 6) AS mean FROM r""")
+def a1_one_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select((c("l_quantity") - 25 + c("l_discount") * 10).alias("e"))
+    return selection.residual_summary(rows, "e").select("n", *[F.round(v, 6).alias(v) for v in ("median_abs", "max_abs", "mean")])
+
+
+@query("""WITH p AS (SELECT l_quantity AS x, l_extendedprice AS y, l_discount - 0.05 AS z FROM lineitem)
+SELECT round(quantile_cont(x, 0.01) - 1, 6) AS low_x, round(quantile_cont(x, 0.99) + 1, 6) AS high_x, round(quantile_cont(y, 0.01) - 1, 4) AS low_y, round(quantile_cont(y, 0.99) + 1, 4) AS high_y,
+  round(quantile_cont(z, 0.01) - 1, 6) AS low_z, round(quantile_cont(z, 0.99) + 1, 6) AS high_z FROM p""")
+def p19_one_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(c("l_quantity").cast("double").alias("x"), c("l_extendedprice").cast("double").alias("y"), (c("l_discount") - 0.05).cast("double").alias("z"))
+    out = selection.crop_box(rows, 1.0)
+    return out.select(*[F.round(f"{n}_{v}", 4 if v == "y" else 6).alias(f"{n}_{v}") for v in "xyz" for n in ("low", "high")])
+
+
+@query("""WITH r AS (SELECT l_returnflag, sqrt(pow(l_discount * 3, 2) + pow(l_tax * 2, 2)) AS e, pow(l_discount * 3, 2) / 0.01 + pow(l_tax * 2, 2) / 0.04 AS m FROM lineitem)
+SELECT l_returnflag, count(*) AS n, round(quantile_cont(e, 0.5), 6) AS median_m, round(quantile_cont(e, 0.95), 6) AS p95_m, round(avg(CAST(e <= 0.2 AS DOUBLE)), 6) AS inlier_share,
+  round(quantile_cont(CASE WHEN e <= 0.2 THEN e END, 0.95), 6) AS inlier_p95_m, round(quantile_cont(m, 0.5), 6) AS median_mahalanobis2, round(avg(CAST(m <= 7.8147 AS DOUBLE)), 6) AS chi2_share FROM r GROUP BY 1""")
+def a12_long_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residuals of all line items in three groups."""
+    a, b = c("l_discount").cast("double") * 3, c("l_tax").cast("double") * 2
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.sqrt(a * a + b * b).alias("residual_m"), (a * a / 0.01 + b * b / 0.04).alias("m"))
+    out = selection.residual_quality(rows, F.lit(0.2), c("m"), "l_returnflag")
+    return out.select("l_returnflag", "n", *[F.round(v, 6).alias(v) for v in ("median_m", "p95_m", "inlier_share", "inlier_p95_m", "median_mahalanobis2", "chi2_share")])
