@@ -111,16 +111,35 @@ def merged_edges(*edges: DataFrame) -> DataFrame:
     return out.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
 
 
+def hot_left_join(many: DataFrame, one: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """Left join of ``many`` with ``one``, which has each key once, with keys that very many rows hold met by a broadcast.
+
+    Keys of over one in ``share`` of the rows are fewer than ``share``, whatever the data, so that is the broadcast's bound; the
+    rest is shuffled without them.
+    """
+    counts = checkpointed(many.groupBy(key).agg(F.count("*").alias("_n")))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = checkpointed(counts.where(F.col("_n") > max(total // share, 1000)).select(key))
+    if hot.isEmpty():
+        return many.join(one, key, "left")
+    met = many.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(one.join(F.broadcast(hot), key, "left_semi")), key, "left")
+    rest = many.join(F.broadcast(hot), key, "left_anti").join(one.join(F.broadcast(hot), key, "left_anti"), key, "left")
+    return met.unionByName(rest)
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root): labels pass to neighbours, then each label takes its own label, until none changes."""
+    """(node, root): labels pass to neighbours, then each label takes its own label, until none changes.
+
+    Minima are taken before the shuffle; nodes with very many links, and roots of very many nodes, are met by broadcasts.
+    """
     links = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     links = checkpointed(links.union(links.select("b", "a")).distinct())
     label = links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node")
     while True:
         label = checkpointed(label)
-        heard = links.join(label.toDF("b", "r"), "b").groupBy("a").agg(F.min("r").alias("r"))
-        out = label.join(heard.withColumnRenamed("a", "node"), "node").select("node", F.least("root", "r").alias("root"), F.col("root").alias("old"))
-        out = out.join(label.toDF("root", "further"), "root", "left").select("node", F.least("root", F.coalesce("further", "root")).alias("root"), "old")
+        heard = hot_left_join(links, label.toDF("b", "r"), "b").groupBy("a").agg(F.min("r").alias("r"))
+        out = checkpointed(label.join(heard.withColumnRenamed("a", "node"), "node").select("node", F.least("root", "r").alias("root"), F.col("root").alias("old")))
+        out = hot_left_join(out, label.toDF("root", "further"), "root").select("node", F.least("root", F.coalesce("further", "root")).alias("root"), "old")
         out = checkpointed(out)
         if out.where("root <> old").isEmpty():
             return out.select("node", "root")

@@ -155,7 +155,8 @@ def robust_alignment(pairs: DataFrame, threshold: Column, *keys: str, weight: Co
     by = list(keys) or ["all_pairs"]
     rows = pairs if keys else pairs.withColumn("all_pairs", F.lit(0))
     rows = rows.select(*by, F.col(index).alias("_index"), *[F.col(v).cast("double").alias(v) for v in _PAIR], threshold.cast("double").alias("_limit"), (weight if weight is not None else F.lit(1.0)).cast("double").alias("_weight"))
-    rows = rows.dropna(subset=[*_PAIR, "_limit", "_weight"]).where("_limit > 0 and _weight > 0").withColumn("_mark", F.xxhash64("_index", *_PAIR, F.lit(seed)))
+    # written first: limits may be long expressions, which filters and sums would otherwise repeat
+    rows = checkpointed(rows.withColumn("_mark", F.xxhash64("_index", *_PAIR, F.lit(seed)))).dropna(subset=[*_PAIR, "_limit", "_weight"]).where("_limit > 0 and _weight > 0")
     sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.sum("_weight").alias("_sum"))
     block = F.pmod(F.xxhash64("_mark"), F.ceil(F.col("_n") / BLOCK)).cast("long")
     held = rows.join(sizes, by).withColumns({"_block": block, "_weight": F.col("_weight") * F.col("_n") / F.col("_sum")}).drop("_sum")

@@ -14,7 +14,12 @@ from tracklake.sources.bindings import POINTS_SQL, STREAM_SQL, TRACK_SQL, points
 c = F.col
 
 
-@query(f"WITH {STREAM_SQL}, m AS ({NEAREST}), s AS (SELECT row_id, k FROM stream) SELECT m.segment_id, m.row_id, coalesce(r.k % 4 - 1 >= 0 AND r.k % 3 > 0 AND abs(residual_ns) <= {TOL // 2} AND v.k % 5 > 0, false) AS good FROM m JOIN s r ON r.row_id = m.row_id LEFT JOIN s v ON v.row_id = sample_index")
+@query(f"""WITH {STREAM_SQL},
+m AS ({NEAREST}),
+s AS (SELECT row_id, k FROM stream)
+SELECT m.segment_id, m.row_id, coalesce(r.k % 4 - 1 >= 0 AND r.k % 3 > 0 AND abs(residual_ns) <= {TOL // 2} AND v.k % 5 > 0, false) AS good
+  FROM m JOIN s r ON r.row_id = m.row_id
+  LEFT JOIN s v ON v.row_id = sample_index""")
 def p7_calibration_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks, views = stream(spark, sf_dir, "click"), stream(spark, sf_dir, "view")
     found = association.nearest(clicks, views, TOL).join(clicks.select("row_id", "k", "x"), "row_id").join(views.select(c("row_id").alias("sample_index"), (c("k") % 5 > 0).alias("ok")), "sample_index", "left")
@@ -33,27 +38,49 @@ def w19_path_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("segment_id", "name", F.round("value", 6).alias("value"), "passed")
 
 
-@query(f"WITH {TILES_SQL} SELECT (SELECT count(*) FROM tiles a JOIN tiles b ON a.tile_id < b.tile_id AND a.lo_u < b.hi_u AND b.lo_u < a.hi_u AND a.lo_v < b.hi_v AND b.lo_v < a.hi_v) AS overlaps, abs(sum((hi_u - lo_u) * (hi_v - lo_v)) - 16) <= 1e-9 AS area_whole, count(*) FILTER (lo_u < -2 OR lo_v < -2 OR hi_u > 2 OR hi_v > 2) AS outside, (SELECT max(x) <= 100 FROM ({POINTS_SQL.replace('points AS ', 'SELECT * FROM ')})) AS in_scene FROM tiles")
+@query(f"""WITH {TILES_SQL} SELECT (SELECT count(*)
+  FROM tiles a JOIN tiles b ON a.tile_id < b.tile_id AND a.lo_u < b.hi_u AND b.lo_u < a.hi_u AND a.lo_v < b.hi_v AND b.lo_v < a.hi_v) AS overlaps, abs(sum((hi_u - lo_u) * (hi_v - lo_v)) - 16) <= 1e-9 AS area_whole, count(*) FILTER (lo_u < -2 OR lo_v < -2 OR hi_u > 2 OR hi_v > 2) AS outside, (SELECT max(x) <= 100
+  FROM ({POINTS_SQL.replace('points AS ', 'SELECT *
+  FROM ')})) AS in_scene
+  FROM tiles""")
 def t11_plan_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan's areas, and whether all points are near it."""
     return acceptance.plan_audit(_tiles(spark), -2.0, -2.0, 2.0, 2.0).crossJoin(points(spark, sf_dir).agg((F.max("x") <= 100).alias("in_scene")))
 
 
-@query("WITH a AS (SELECT l_returnflag AS sensor, quantile_cont(l_tax * 10, 0.5) AS epi, CAST(sum(l_quantity) AS DOUBLE) / sum(l_quantity + 5) AS share, min(l_quantity + 5) AS fewest, quantile_cont(1 + (l_discount - 0.05) / 10, 0.5) AS scale FROM lineitem GROUP BY 1) SELECT sensor, 'epipolar_px' AS name, round(epi, 6) AS value, epi <= 0.5 AS passed FROM a UNION ALL SELECT sensor, 'inlier_share', round(share, 6), share >= 0.8 FROM a UNION ALL SELECT sensor, 'matches', fewest, fewest >= 7 FROM a UNION ALL SELECT sensor, 'depth_scale', round(scale, 6), scale BETWEEN 0.98 AND 1.02 FROM a")
+@query("""WITH a AS (SELECT l_returnflag AS sensor, quantile_cont(l_tax * 10, 0.5) AS epi, CAST(sum(l_quantity) AS DOUBLE) / sum(l_quantity + 5) AS share, min(l_quantity + 5) AS fewest, quantile_cont(1 + (l_discount - 0.05) / 10, 0.5) AS scale
+  FROM lineitem
+  GROUP BY 1)
+SELECT sensor, 'epipolar_px' AS name, round(epi, 6) AS value, epi <= 0.5 AS passed
+  FROM a
+  UNION ALL SELECT sensor, 'inlier_share', round(share, 6), share >= 0.8
+  FROM a
+  UNION ALL SELECT sensor, 'matches', fewest, fewest >= 7
+  FROM a
+  UNION ALL SELECT sensor, 'depth_scale', round(scale, 6), scale BETWEEN 0.98 AND 1.02
+  FROM a""")
 def q7_sensor_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(c("l_returnflag").alias("sensor"), (c("l_tax") * 10).alias("epipolar_px"), c("l_quantity").alias("inliers"), (c("l_quantity") + 5).alias("matches"), (1 + (c("l_discount") - 0.05) / 10).alias("ratio"))
     out = acceptance.sensor_acceptance(rows, acceptance.ProbePolicy(0.5, 0.8, 7), "sensor")
     return out.select("sensor", "name", F.round("value", 6).alias("value"), "passed")
 
 
-@query(f"WITH {TRACK_SQL}, f AS (SELECT segment_id, frame // 10 AS window_id, CASE carrier WHEN 0 THEN 'drift' WHEN 1 THEN 'gap' ELSE 'jump' END AS name FROM track WHERE status < 1), e AS (SELECT segment_id, window_id, count(*) FILTER (name IN ('drift', 'gap')) AS a, count(*) FILTER (name = 'jump') AS s, count(*) AS n FROM f GROUP BY 1, 2) SELECT segment_id, count(*) AS windows, CAST(sum(a) AS BIGINT) AS allowed, CAST(sum(s) AS BIGINT) AS structural, quantile_cont(n, 0.5) > 5 AS warning FROM e GROUP BY 1")
+@query(f"""WITH {TRACK_SQL},
+f AS (SELECT segment_id, frame // 10 AS window_id, CASE carrier WHEN 0 THEN 'drift' WHEN 1 THEN 'gap' ELSE 'jump' END AS name FROM track WHERE status < 1),
+e AS (SELECT segment_id, window_id, count(*) FILTER (name IN ('drift', 'gap')) AS a, count(*) FILTER (name = 'jump') AS s, count(*) AS n FROM f GROUP BY 1, 2)
+SELECT segment_id, count(*) AS windows, CAST(sum(a) AS BIGINT) AS allowed, CAST(sum(s) AS BIGINT) AS structural, quantile_cont(n, 0.5) > 5 AS warning FROM e GROUP BY 1""")
 def a56_failure_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(c("carrier") == 0, "drift").when(c("carrier") == 1, "gap").otherwise("jump")
     f = track(spark, sf_dir).where("status < 1").select("segment_id", F.floor(c("frame") / 10).alias("window_id"), name.alias("name"))
     return acceptance.failure_inventory(f, ["drift", "gap"], 5, "segment_id")
 
 
-@query(f"WITH {TRACK_SQL}, f AS (SELECT segment_id, array_to_string(list_sort(list(DISTINCT CASE carrier WHEN 0 THEN 'drift' ELSE 'jump' END)), ',') AS names, min(frame) AS first, max(frame) AS last FROM track WHERE status < 0 AND segment_id % 3 > carrier - 1 GROUP BY 1) SELECT segment_id, names = 'drift,jump' AND segment_id % 60 BETWEEN first AND last AS localised FROM f")
+@query(f"""WITH {TRACK_SQL},
+f AS (SELECT segment_id, array_to_string(list_sort(list(DISTINCT CASE carrier WHEN 0 THEN 'drift' ELSE 'jump' END)), ',') AS names, min(frame) AS first, max(frame) AS last
+  FROM track
+  WHERE status < 0 AND segment_id % 3 > carrier - 1
+  GROUP BY 1)
+SELECT segment_id, names = 'drift,jump' AND segment_id % 60 BETWEEN first AND last AS localised FROM f""")
 def a55_localised_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = track(spark, sf_dir).where((c("status") < 0) & (c("segment_id") % 3 > c("carrier") - 1))
     failed = rows.select("segment_id", F.when(c("carrier") == 0, "drift").otherwise("jump").alias("name"))

@@ -81,7 +81,7 @@ k AS (SELECT view, """ + ", ".join(
 ) + " FROM h WINDOW w AS (PARTITION BY view))"
 
 
-@query(f"WITH {_ORTHOGONAL} SELECT view, round(-10 * log10((avg(pow(c0 - b0, 2)) + avg(pow(c1 - b1, 2)) + avg(pow(c2 - b2, 2))) / 3), 5) AS psnr FROM k GROUP BY 1")
+@query(f"""WITH {_ORTHOGONAL} SELECT view, round(-10 * log10((avg(pow(c0 - b0, 2)) + avg(pow(c1 - b1, 2)) + avg(pow(c2 - b2, 2))) / 3), 5) AS psnr FROM k GROUP BY 1""")
 def a29_corrected_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colours are logistic in the points; the SQL makes the three channels orthogonal one after the other."""
     level = lambda x: 1 / (1 + F.exp(-x))
@@ -150,6 +150,19 @@ def a35_block_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("field", "block", "n", "n_training", *rounded(median_m=c("median_m"), p95_m=c("p95_m"), max_m=c("max_m")))
 
 
+@query(f"""WITH {POINTS_SQL}, p AS (SELECT id % 5 AS block, x, y, 3 - y + u / 50 AS u, x + v / 50 AS v FROM points),
+t AS (SELECT b.block, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv FROM (SELECT DISTINCT block FROM p) b JOIN p ON p.block <> b.block GROUP BY 1),
+m AS (SELECT t.block, atan2(sum((x - mx) * (v - mv) - (y - my) * (u - mu)), sum((x - mx) * (u - mu) + (y - my) * (v - mv))) AS a FROM t JOIN p ON p.block <> t.block GROUP BY 1),
+e AS (SELECT t.block, t.n, sqrt(pow(u - mu - (cos(a) * (x - mx) - sin(a) * (y - my)), 2) + pow(v - mv - (sin(a) * (x - mx) + cos(a) * (y - my)), 2)) AS e FROM p JOIN t USING (block) JOIN m USING (block))
+SELECT block, count(*) AS n, any_value(e.n) AS n_training, round(quantile_cont(e, 0.5), 6) AS median_m, round(quantile_cont(e, 0.95), 6) AS p95_m, round(max(e), 6) AS max_m FROM e GROUP BY 1""")
+def a35_planar_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As before, in a plane, where the best turn is known in closed form."""
+    zero = F.lit(0.0)
+    rows = points(spark, sf_dir).select((c("id") % 5).alias("block"), "x", "y", zero.alias("z"), (3 - c("y") + c("u") / 50).alias("u"), (c("x") + c("v") / 50).alias("v"), zero.alias("w"))
+    out = calibration.block_cross_validation(rows, "block")
+    return out.select("block", "n", "n_training", *rounded(median_m=c("median_m"), p95_m=c("p95_m"), max_m=c("max_m")))
+
+
 # ---- inputs of a calibration, an old layout
 
 _FIXES = f"""{STREAM_SQL}, f AS (SELECT * FROM stream WHERE kind = 'view' QUALIFY row_number() OVER (PARTITION BY segment_id, t_ns ORDER BY row_id) = 1),

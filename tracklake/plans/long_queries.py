@@ -24,6 +24,13 @@ def _one(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
     return rows.withColumns({"a": F.atan2(c("y") - 0.5, c("x") - 0.5), "v": F.when(c("k") % 3 > 0, c("raw"))}).drop("raw")
 
 
+@query(f"WITH {STREAM_SQL} SELECT segment_id, row_id, row_number() OVER (PARTITION BY segment_id ORDER BY t_ns, row_id) - 1 AS place FROM stream")
+def t1_stable_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every row in its stream by header time, ties by the order in which they were read."""
+    ordered = chunks.chunked(stream(spark, sf_dir), ["segment_id"], _ORDER)
+    return chunks.with_running(ordered, F.lit(1).cast("long"), "place").rows.select("segment_id", "row_id", (c("place") - 1).alias("place"))
+
+
 @query(f"""WITH {ONE_SQL}, p AS (SELECT *, sum(step) OVER (ORDER BY t_ns, row_id ROWS UNBOUNDED PRECEDING) AS path_m FROM stepped)
 SELECT row_id, round(path_m, 5) AS path_m FROM p WHERE place = 1 OR floor((path_m + 1e-12) / 25) > floor((path_m - step + 1e-12) / 25)""")
 def w2_one_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +66,8 @@ def w17_one_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row_id", F.round("prior_m", 6).alias("prior_m"), F.round("refined_m", 6).alias("refined_m"), "failed")
 
 
-@query(f"WITH RECURSIVE {ONE_SQL}, u AS (SELECT segment_id, t_ns AS t, row_id AS i FROM one), {decimated_sql('u', 1200 * 10**9)} SELECT i AS row_id, t AS t_ns FROM walk")
+@query(f"""WITH RECURSIVE {ONE_SQL},
+u AS (SELECT segment_id, t_ns AS t, row_id AS i FROM one), {decimated_sql('u', 1200 * 10**9)} SELECT i AS row_id, t AS t_ns FROM walk""")
 def w25_one_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.decimated(_one(spark, sf_dir), 1200 * 10**9, "segment_id", "t_ns", "row_id").select("row_id", "t_ns")
 
@@ -77,7 +85,11 @@ def j2_one_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row_id", "sample_index", "residual_ns", "association_valid")
 
 
-@query(f"WITH RECURSIVE {ONE_SQL}, u AS (SELECT segment_id, CAST(kind = 'view' AS INTEGER) AS side, t_ns AS t, row_id AS i FROM one WHERE kind IN ('click', 'view')), {pairs_sql('u', 120_000_000_000)} SELECT i AS row_id, sample_index, residual_ns FROM met")
+@query(f"""WITH RECURSIVE {ONE_SQL},
+u AS (SELECT segment_id, CAST(kind = 'view' AS INTEGER) AS side, t_ns AS t, row_id AS i
+  FROM one
+  WHERE kind IN ('click', 'view')), {pairs_sql('u', 120_000_000_000)} SELECT i AS row_id, sample_index, residual_ns
+  FROM met""")
 def j4_one_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = association.one_to_one(_one(spark, sf_dir, "click"), _one(spark, sf_dir, "view"), 120_000_000_000)
     return out.select("row_id", "sample_index", "residual_ns")

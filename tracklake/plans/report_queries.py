@@ -98,7 +98,8 @@ def a38_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("segment_id", "first_window", "name", F.round("value", 5).alias("value"), "passed")
 
 
-@query(f"WITH {_DIFFERENCES} SELECT segment_id || ',' || first_window || ',' || (first_window + 1) || ',' || frame || ',' || printf('%.12g', round(center_m, 6)) || ',' || printf('%.12g', round(rotation_deg, 4)) AS line FROM d")
+@query(f"""WITH {_DIFFERENCES} SELECT segment_id || ',' || first_window || ',' || (first_window + 1) || ',' || frame || ',' || printf('%.12g', round(center_m, 6)) || ',' || printf('%.12g', round(rotation_deg, 4)) AS line
+  FROM d""")
 def snk3_overlap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _differences(spark, sf_dir).withColumns({"center_m": F.round("center_m", 6), "rotation_deg": F.round("rotation_deg", 4)})
     return reports.overlap_lines(found)
@@ -289,7 +290,12 @@ def s4_distinct_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("tile", F.floor(c("x") / 5).alias("i"), F.floor(c("y") / 5).alias("j")).distinct().groupBy("tile").agg(F.count("*").alias("cells"))
 
 
-@query(f"WITH {POINTS_SQL} SELECT tile, id, row_number() OVER (PARTITION BY tile ORDER BY id) - 1 AS place FROM points WHERE x > 0 UNION ALL SELECT tile, id, -1 FROM points WHERE x <= 0")
+@query(f"""WITH {POINTS_SQL} SELECT tile, id, row_number() OVER (PARTITION BY tile ORDER BY id) - 1 AS place
+  FROM points
+  WHERE x > 0
+  UNION ALL SELECT tile, id, -1
+  FROM points
+  WHERE x <= 0""")
 def s5_concatenated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each tile's kept rows numbered, and what it dropped."""
     p = points(spark, sf_dir)

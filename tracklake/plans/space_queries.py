@@ -34,13 +34,16 @@ def g1_geodetic_to_enu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream(spark, sf_dir).select("row_id", *rounded(4, east=e, north=n, up=u))
 
 
-@query(f"WITH {POINTS_SQL}, e AS (SELECT id, x / 10 AS r, y / 10 AS p, z AS w FROM points) SELECT id, round(r, 6) AS roll, round(p, 6) AS pitch, round(w - 2 * pi() * round(w / (2 * pi())), 6) AS yaw FROM e")
+@query(f"""WITH {POINTS_SQL},
+e AS (SELECT id, x / 10 AS r, y / 10 AS p, z AS w FROM points)
+SELECT id, round(r, 6) AS roll, round(p, 6) AS pitch, round(w - 2 * pi() * round(w / (2 * pi())), 6) AS yaw FROM e""")
 def g2_euler_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     roll, pitch, yaw = rotation.to_euler(rotation.from_euler(c("x") / 10, c("y") / 10, c("z")))
     return points(spark, sf_dir).select("id", *rounded(roll=roll, pitch=pitch, yaw=yaw))
 
 
-@query(f"WITH {POINTS_SQL} SELECT id, round(acos(greatest(-1, least(1, (x * u + y * v + z * w) / (sqrt(x * x + y * y + z * z) * sqrt(u * u + v * v + w * w))))) * 0 + 2 * acos(least(1, abs((x * u + y * v + z * w) / (sqrt(x * x + y * y + z * z) * sqrt(u * u + v * v + w * w))))), 5) AS angle FROM points")
+@query(f"""WITH {POINTS_SQL} SELECT id, round(acos(greatest(-1, least(1, (x * u + y * v + z * w) / (sqrt(x * x + y * y + z * z) * sqrt(u * u + v * v + w * w))))) * 0 + 2 * acos(least(1, abs((x * u + y * v + z * w) / (sqrt(x * x + y * y + z * z) * sqrt(u * u + v * v + w * w))))), 5) AS angle
+  FROM points""")
 def g3_rotation_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (rotation.normalized((*[c(n) for n in names], F.lit(0.0))) for names in ("xyz", "uvw"))
     return points(spark, sf_dir).select("id", *rounded(5, angle=rotation.angle_between(a, b)))
@@ -60,7 +63,8 @@ def g4_ned_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("id", *[v.alias(n) for n, v in zip(("ee", "en", "eu", "nn", "nu", "uu"), out, strict=True)])
 
 
-@query(f"WITH {POINTS_SQL}, {_COV} SELECT id, round(xx + yy + zz, 6) AS trace, round(xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz), 3) AS det FROM cov")
+@query(f"""WITH {POINTS_SQL}, {_COV} SELECT id, round(xx + yy + zz, 6) AS trace, round(xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz), 3) AS det
+  FROM cov""")
 def g5_eigenvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     low, mid, top = symmetric.eigenvalues(_covariance())
     return points(spark, sf_dir).select("id", F.round(low + mid + top, 6).alias("trace"), F.round(low * mid * top, 3).alias("det"))
@@ -75,7 +79,9 @@ def g6_mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MOMENT = "m AS (SELECT tile, avg(x * x) - avg(x) * avg(x) AS xx, avg(x * y) - avg(x) * avg(y) AS xy, avg(y * y) - avg(y) * avg(y) AS yy FROM points GROUP BY 1)"
 
 
-@query(f"WITH {POINTS_SQL}, {_MOMENT}, a AS (SELECT tile, cos(atan2(2 * xy, xx - yy) / 2) AS ax, sin(atan2(2 * xy, xx - yy) / 2) AS ay FROM m) SELECT tile, round(CASE WHEN ax < 0 THEN -ax ELSE ax END, 5) AS ax, round(CASE WHEN ax < 0 THEN -ay ELSE ay END, 5) AS ay FROM a")
+@query(f"""WITH {POINTS_SQL}, {_MOMENT},
+a AS (SELECT tile, cos(atan2(2 * xy, xx - yy) / 2) AS ax, sin(atan2(2 * xy, xx - yy) / 2) AS ay FROM m)
+SELECT tile, round(CASE WHEN ax < 0 THEN -ax ELSE ax END, 5) AS ax, round(CASE WHEN ax < 0 THEN -ay ELSE ay END, 5) AS ay FROM a""")
 def g8_dominant_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = points(spark, sf_dir).groupBy("tile").agg(*[(F.avg(c(a) * c(b)) - F.avg(a) * F.avg(b)).alias(a + b) for a, b in ("xx", "xy", "yy")])
     ax, ay = symmetric.dominant_axis(c("xx"), c("xy"), c("yy"))
@@ -92,7 +98,10 @@ def g9_camera_center(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("id", *rounded(x=x, y=y, z=z))
 
 
-@query(f"WITH {POINTS_SQL}, d AS (SELECT id, 2 + abs(z) AS z, 100 + u AS px, 80 + v AS py FROM points), b AS (SELECT id, (px - 64) * z / 90.0::DOUBLE AS x, (py - 48) * z / 95.0::DOUBLE AS y, z, px, py FROM d) SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(px, 6) AS px, round(py, 6) AS py FROM b")
+@query(f"""WITH {POINTS_SQL},
+d AS (SELECT id, 2 + abs(z) AS z, 100 + u AS px, 80 + v AS py FROM points),
+b AS (SELECT id, (px - 64) * z / 90.0::DOUBLE AS x, (py - 48) * z / 95.0::DOUBLE AS y, z, px, py FROM d)
+SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(px, 6) AS px, round(py, 6) AS py FROM b""")
 def g11_back_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = [F.lit(v) for v in (90.0, 95.0, 64.0, 48.0)]
     x, y, z = cloud.back_projected(100 + c("u"), 80 + c("v"), 2 + F.abs("z"), *k)
@@ -105,14 +114,17 @@ def g12_circular_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("id", *rounded(difference=geodesy.circular_difference(c("x"), c("u"))))
 
 
-@query("WITH p AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_partkey <> l_suppkey) SELECT a, b, least(a, b) * 2147483647 + greatest(a, b) AS pair, least(a, b) AS low, greatest(a, b) AS high FROM p")
+@query("""WITH p AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_partkey <> l_suppkey)
+SELECT a, b, least(a, b) * 2147483647 + greatest(a, b) AS pair, least(a, b) AS low, greatest(a, b) AS high FROM p""")
 def g13_pair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "lineitem").select(c("l_partkey").alias("a"), c("l_suppkey").alias("b")).where("a <> b").distinct().withColumn("pair", keys.pair_id(c("a"), c("b")))
     low, high = keys.pair_members(c("pair"))
     return p.withColumn("low", low).withColumn("high", high)
 
 
-@query("WITH n AS (SELECT p_partkey, 'left/' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') || '.png' AS name, CAST(1700000000 + p_partkey AS VARCHAR) || '-' || CAST(p_partkey * 1000 AS VARCHAR) || '.png' AS stamp, CASE p_partkey % 4 WHEN 0 THEN '/abs/' WHEN 1 THEN '../' WHEN 2 THEN 'a/../' ELSE 'a/' END || p_name AS path FROM part) SELECT p_partkey, name, p_partkey AS frame, (1700000000 + p_partkey) * 1000000000 + p_partkey * 1000 AS t_ns, p_partkey % 4 = 3 AS safe FROM n")
+@query("""WITH n AS (SELECT p_partkey, 'left/' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') || '.png' AS name, CAST(1700000000 + p_partkey AS VARCHAR) || '-' || CAST(p_partkey * 1000 AS VARCHAR) || '.png' AS stamp, CASE p_partkey % 4 WHEN 0 THEN '/abs/' WHEN 1 THEN '../' WHEN 2 THEN 'a/../' ELSE 'a/' END || p_name AS path
+  FROM part)
+SELECT p_partkey, name, p_partkey AS frame, (1700000000 + p_partkey) * 1000000000 + p_partkey * 1000 AS t_ns, p_partkey % 4 = 3 AS safe FROM n""")
 def g15_names_and_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = c("p_partkey")
     prefix = F.when(k % 4 == 0, "/abs/").when(k % 4 == 1, "../").when(k % 4 == 2, "a/../").otherwise("a/")
@@ -120,7 +132,9 @@ def g15_names_and_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "name", keys.frame_index(c("name")).alias("frame"), keys.stamp_ns(c("stamp")).alias("t_ns"), keys.safe_relative_path(c("path")).alias("safe"))
 
 
-@query(f"WITH {POINTS_SQL}, a AS (SELECT id, 1 / (1 + exp(-x)) AS a, abs(y) / 5 AS wt FROM points) SELECT id, round(a, 6) AS alpha, round(ln(a / (1 - a)), 6) AS logit, round(1 - pow(1 - a, wt), 6) AS reweighted FROM a")
+@query(f"""WITH {POINTS_SQL},
+a AS (SELECT id, 1 / (1 + exp(-x)) AS a, abs(y) / 5 AS wt FROM points)
+SELECT id, round(a, 6) AS alpha, round(ln(a / (1 - a)), 6) AS logit, round(1 - pow(1 - a, wt), 6) AS reweighted FROM a""")
 def g16_opacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = points(spark, sf_dir).withColumn("a", keys.sigmoid(c("x")))
     return rows.select("id", *rounded(alpha=c("a"), logit=keys.logit(c("a")), reweighted=cloud.reweighted_opacity(c("a"), F.abs("y") / 5)))
@@ -148,14 +162,21 @@ def p20_clamped_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("id", *rounded(x=x, y=y, z=z))
 
 
-@query(f"WITH {POINTS_SQL}, v AS (SELECT unnest(range(3)) AS view), j AS (SELECT view, id, x + view AS x, y, z + 3 AS z, 3 * exp(u - 2) AS r FROM points, v) SELECT view, id FROM j WHERE z + r > 0.2 AND x + 0.64 * z > -r * sqrt(1 + 0.64 * 0.64) AND -x + 0.64 * z > -r * sqrt(1 + 0.64 * 0.64) AND y + 0.48 * z > -r * sqrt(1 + 0.48 * 0.48) AND -y + 0.48 * z > -r * sqrt(1 + 0.48 * 0.48)")
+@query(f"""WITH {POINTS_SQL},
+v AS (SELECT unnest(range(3)) AS view),
+j AS (SELECT view, id, x + view AS x, y, z + 3 AS z, 3 * exp(u - 2) AS r FROM points, v)
+SELECT view, id
+  FROM j
+  WHERE z + r > 0.2 AND x + 0.64 * z > -r * sqrt(1 + 0.64 * 0.64) AND -x + 0.64 * z > -r * sqrt(1 + 0.64 * 0.64) AND y + 0.48 * z > -r * sqrt(1 + 0.48 * 0.48) AND -y + 0.48 * z > -r * sqrt(1 + 0.48 * 0.48)""")
 def p21_in_frustum(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = {f"m{k}": F.lit(1.0 if k in (0, 5, 10) else 3.0 if k == 11 else 0.0) for k in range(12) if k != 3}
     views = spark.range(3).select(c("id").alias("view"), c("id").cast("double").alias("m3")).withColumns({**m, "fx": F.lit(100.0), "fy": F.lit(100.0), "cx": F.lit(64.0), "cy": F.lit(48.0), "width": F.lit(128), "height": F.lit(96)})
     return cloud.in_frustum(points(spark, sf_dir).select("id", "x", "y", "z", (c("u") - 2).alias("log_scale")), views, 0.2)
 
 
-@query(f"WITH {POINTS_SQL}, d AS (SELECT id, CASE WHEN abs(x) * 10 > 0.5 THEN 50 * 0.4::DOUBLE / (abs(x) * 10) END AS z FROM points) SELECT id, round(CASE WHEN z > 0.5 AND z < 8 THEN z ELSE 0 END, 6) AS z FROM d")
+@query(f"""WITH {POINTS_SQL},
+d AS (SELECT id, CASE WHEN abs(x) * 10 > 0.5 THEN 50 * 0.4::DOUBLE / (abs(x) * 10) END AS z FROM points)
+SELECT id, round(CASE WHEN z > 0.5 AND z < 8 THEN z ELSE 0 END, 6) AS z FROM d""")
 def p22_disparity_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("id", *rounded(z=cloud.disparity_depth(F.abs("x") * 10, F.lit(50), F.lit(0.4), 0.5, 8.0)))
 
@@ -166,7 +187,9 @@ def a22_voxel_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("tile", "id", *[F.floor(c(a) / 0.8).cast("double").alias(n) for a, n in zip("xyz", "abd", strict=True)])
 
 
-@query(f"WITH {POINTS_SQL}, p AS (SELECT tile, CAST(round_even(x * 3 + 10, 0) AS BIGINT) AS u, CAST(round_even(y * 3 + 10, 0) AS BIGINT) AS v, z + 5 AS z FROM points) SELECT tile, u, v, min(z) AS z FROM p WHERE z > 0 AND u BETWEEN 0 AND 19 AND v BETWEEN 0 AND 19 GROUP BY 1, 2, 3")
+@query(f"""WITH {POINTS_SQL},
+p AS (SELECT tile, CAST(round_even(x * 3 + 10, 0) AS BIGINT) AS u, CAST(round_even(y * 3 + 10, 0) AS BIGINT) AS v, z + 5 AS z FROM points)
+SELECT tile, u, v, min(z) AS z FROM p WHERE z > 0 AND u BETWEEN 0 AND 19 AND v BETWEEN 0 AND 19 GROUP BY 1, 2, 3""")
 def a23_z_buffered(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir).select("tile", (c("x") * 3 + 10).alias("u"), (c("y") * 3 + 10).alias("v"), (c("z") + 5).alias("z"))
     return cloud.z_buffered(p, 20, 20, "tile")
@@ -186,7 +209,9 @@ def a28_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cloud.psnr(points(spark, sf_dir).select("tile", c("x").alias("a"), c("u").alias("b")), "tile").withColumn("psnr", F.round("psnr", 6))
 
 
-@query(f"WITH {POINTS_SQL} SELECT tile, round(sum(abs(w) * abs(v) * x) / sum(abs(w) * abs(v)), 6) AS r, round(sum(abs(w) * abs(v) * y) / sum(abs(w) * abs(v)), 6) AS g, round(sum(abs(w) * abs(v) * z) / sum(abs(w) * abs(v)), 6) AS b, round(sum(abs(w) * abs(v)), 6) AS mass FROM points GROUP BY 1")
+@query(f"""WITH {POINTS_SQL} SELECT tile, round(sum(abs(w) * abs(v) * x) / sum(abs(w) * abs(v)), 6) AS r, round(sum(abs(w) * abs(v) * y) / sum(abs(w) * abs(v)), 6) AS g, round(sum(abs(w) * abs(v) * z) / sum(abs(w) * abs(v)), 6) AS b, round(sum(abs(w) * abs(v)), 6) AS mass
+  FROM points
+  GROUP BY 1""")
 def a30_blended_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     layers = points(spark, sf_dir).select("tile", F.abs("w").alias("weight"), F.abs("v").alias("alpha"), c("x").alias("r"), c("y").alias("g"), c("z").alias("b"))
     out = cloud.blended_layers(layers, "tile")
@@ -201,23 +226,31 @@ def _tiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TILES, "tile_id int, lo_u double, lo_v double, hi_u double, hi_v double")
 
 
-@query(f"WITH {POINTS_SQL}, {TILES_SQL} SELECT p.id, coalesce(t.tile_id, -1) AS owner, CAST(NULL AS VARCHAR) AS problem FROM (SELECT id, x AS u, y AS v FROM points) p LEFT JOIN tiles t ON u >= lo_u AND v >= lo_v AND (u < hi_u OR (hi_u >= 2 AND u <= hi_u)) AND (v < hi_v OR (hi_v >= 2 AND v <= hi_v))")
+@query(f"""WITH {POINTS_SQL}, {TILES_SQL} SELECT p.id, coalesce(t.tile_id, -1) AS owner, CAST(NULL AS VARCHAR) AS problem
+  FROM (SELECT id, x AS u, y AS v
+  FROM points) p
+  LEFT JOIN tiles t ON u >= lo_u AND v >= lo_v AND (u < hi_u OR (hi_u >= 2 AND u <= hi_u)) AND (v < hi_v OR (hi_v >= 2 AND v <= hi_v))""")
 def j14_tile_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cloud.tile_owner(points(spark, sf_dir).select("id", c("x").alias("u"), c("y").alias("v")), _tiles(spark), 2.0, 2.0).select("id", "owner", "problem")
 
 
-@query(f"WITH {POINTS_SQL}, {TILES_SQL} SELECT p.id, t.tile_id FROM points p JOIN tiles t ON x BETWEEN lo_u - 0.5 AND hi_u + 0.5 AND y BETWEEN lo_v - 0.5 AND hi_v + 0.5")
+@query(f"""WITH {POINTS_SQL}, {TILES_SQL} SELECT p.id, t.tile_id FROM points p JOIN tiles t ON x BETWEEN lo_u - 0.5 AND hi_u + 0.5 AND y BETWEEN lo_v - 0.5 AND hi_v + 0.5""")
 def j15_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cloud.in_context(points(spark, sf_dir).select("id", c("x").alias("u"), c("y").alias("v")), _tiles(spark), 0.5).select("id", "tile_id")
 
 
-@query(f"WITH {POINTS_SQL}, d AS (SELECT id, x, y, sqrt(least(CASE WHEN y BETWEEN -2 AND 0.5 THEN x * x ELSE x * x + pow(y - greatest(-2, least(0.5, y)), 2) END, x * x + pow(y - greatest(0.5, least(2, y)), 2), x * x + pow(y - greatest(-2, least(2, y)), 2), pow(x - greatest(0, least(2, x)), 2) + pow(y - 0.5, 2))) AS distance FROM points) SELECT id, round(distance, 6) AS distance FROM d WHERE distance <= 0.3")
+@query(f"""WITH {POINTS_SQL},
+d AS (SELECT id, x, y, sqrt(least(CASE WHEN y BETWEEN -2 AND 0.5 THEN x * x ELSE x * x + pow(y - greatest(-2, least(0.5, y)), 2) END, x * x + pow(y - greatest(0.5, least(2, y)), 2), x * x + pow(y - greatest(-2, least(2, y)), 2), pow(x - greatest(0, least(2, x)), 2) + pow(y - 0.5, 2))) AS distance
+  FROM points)
+SELECT id, round(distance, 6) AS distance FROM d WHERE distance <= 0.3""")
 def j17_j18_seam_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = cloud.seam_segments(_tiles(spark), -2.0, -2.0, 2.0, 2.0)
     return cloud.seam_band(points(spark, sf_dir).select("id", c("x").alias("u"), c("y").alias("v")), segments, 0.3, "id").select("id", *rounded(distance=c("distance")))
 
 
-@query(f"WITH {POINTS_SQL}, {TILES_SQL} SELECT t.tile_id, p.tile AS frame, count(*) FILTER (x >= lo_u AND x < hi_u AND y >= lo_v AND y < hi_v) AS core_cells, count(*) AS context_cells FROM points p JOIN tiles t ON x BETWEEN lo_u - 0.5 AND hi_u + 0.5 AND y BETWEEN lo_v - 0.5 AND hi_v + 0.5 GROUP BY 1, 2")
+@query(f"""WITH {POINTS_SQL}, {TILES_SQL} SELECT t.tile_id, p.tile AS frame, count(*) FILTER (x >= lo_u AND x < hi_u AND y >= lo_v AND y < hi_v) AS core_cells, count(*) AS context_cells
+  FROM points p JOIN tiles t ON x BETWEEN lo_u - 0.5 AND hi_u + 0.5 AND y BETWEEN lo_v - 0.5 AND hi_v + 0.5
+  GROUP BY 1, 2""")
 def a20_visibility_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cloud.visibility_counts(points(spark, sf_dir).select(c("tile").alias("frame"), c("x").alias("u"), c("y").alias("v")), _tiles(spark), 0.5)
 
@@ -225,7 +258,10 @@ def a20_visibility_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OUT = "greatest(lo_{0} - {1}, {1} - hi_{0}, 0)"
 
 
-@query(f"WITH {POINTS_SQL}, {TILES_SQL}, h AS (SELECT id, tile_id, greatest(1 - sqrt(pow({_OUT.format('u', 'x')}, 2) + pow({_OUT.format('v', 'y')}, 2)) / 0.5, 0) AS w FROM points JOIN tiles ON x BETWEEN lo_u - 0.5 AND hi_u + 0.5 AND y BETWEEN lo_v - 0.5 AND hi_v + 0.5) SELECT id, tile_id, round(CASE WHEN sum(w) OVER (PARTITION BY id) > 0 THEN w / sum(w) OVER (PARTITION BY id) ELSE 0 END, 6) AS weight FROM h")
+@query(f"""WITH {POINTS_SQL}, {TILES_SQL},
+h AS (SELECT id, tile_id, greatest(1 - sqrt(pow({_OUT.format('u', 'x')}, 2) + pow({_OUT.format('v', 'y')}, 2)) / 0.5, 0) AS w
+  FROM points JOIN tiles ON x BETWEEN lo_u - 0.5 AND hi_u + 0.5 AND y BETWEEN lo_v - 0.5 AND hi_v + 0.5)
+SELECT id, tile_id, round(CASE WHEN sum(w) OVER (PARTITION BY id) > 0 THEN w / sum(w) OVER (PARTITION BY id) ELSE 0 END, 6) AS weight FROM h""")
 def a43_tile_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cloud.tile_weights(points(spark, sf_dir).select("id", c("x").alias("u"), c("y").alias("v")), _tiles(spark), 0.5).select("id", "tile_id", *rounded(weight=c("weight")))
 
@@ -271,18 +307,32 @@ def t4_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- pairs
 
-@query(f"WITH {TRACK_SQL}, p AS (SELECT c.segment_id, c.frame AS current, e.frame AS earlier, sqrt(pow(c.x - e.x, 2) + pow(c.y - e.y, 2)) AS distance, c.t_ns - e.t_ns AS dt FROM track c JOIN track e ON c.segment_id = e.segment_id AND e.frame < c.frame AND c.t_ns - e.t_ns <= 100000000000000) SELECT segment_id, current, earlier, row_number() OVER (PARTITION BY segment_id, current ORDER BY distance / 2 + dt / 1e14, distance, dt, earlier) AS rank FROM p WHERE distance <= 2 QUALIFY rank <= 3")
+@query(f"""WITH {TRACK_SQL},
+p AS (SELECT c.segment_id, c.frame AS current, e.frame AS earlier, sqrt(pow(c.x - e.x, 2) + pow(c.y - e.y, 2)) AS distance, c.t_ns - e.t_ns AS dt
+  FROM track c JOIN track e ON c.segment_id = e.segment_id AND e.frame < c.frame AND c.t_ns - e.t_ns <= 100000000000000)
+SELECT segment_id, current, earlier, row_number() OVER (PARTITION BY segment_id, current ORDER BY distance / 2 + dt / 1e14, distance, dt, earlier) AS rank
+  FROM p
+  WHERE distance <= 2
+  QUALIFY rank <= 3""")
 def j10_w1_temporal_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pairs.temporal_candidates(track(spark, sf_dir).withColumn("z", F.lit(0.0)), 10**14, 2.0, 3)
     return out.select("segment_id", "current", "earlier", c("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {TRACK_SQL} SELECT c.segment_id, c.frame AS current, e.frame AS earlier FROM track c JOIN track e ON c.segment_id = e.segment_id AND c.t_ns - e.t_ns >= 300000000000000 WHERE sqrt(pow(c.x - e.x, 2) + pow(c.y - e.y, 2)) <= 0.1")
+@query(f"""WITH {TRACK_SQL} SELECT c.segment_id, c.frame AS current, e.frame AS earlier
+  FROM track c JOIN track e ON c.segment_id = e.segment_id AND c.t_ns - e.t_ns >= 300000000000000
+  WHERE sqrt(pow(c.x - e.x, 2) + pow(c.y - e.y, 2)) <= 0.1""")
 def j11_revisit_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.revisit_candidates(track(spark, sf_dir).withColumn("z", F.lit(0.0)), 0.1, 3 * 10**14).select("segment_id", "current", "earlier")
 
 
-@query(f"WITH {TRACK_SQL}, d AS (SELECT c.segment_id, c.frame AS current, e.frame AS source, sqrt(pow(c.x - e.x, 2) + pow(c.y - e.y, 2)) AS distance FROM track c JOIN track e ON c.segment_id = e.segment_id AND c.t_ns - e.t_ns >= 300000000000000) SELECT segment_id, current, source, round(distance, 6) AS distance FROM d WHERE distance <= 0.3 QUALIFY row_number() OVER (PARTITION BY segment_id, current ORDER BY distance, source) = 1")
+@query(f"""WITH {TRACK_SQL},
+d AS (SELECT c.segment_id, c.frame AS current, e.frame AS source, sqrt(pow(c.x - e.x, 2) + pow(c.y - e.y, 2)) AS distance
+  FROM track c JOIN track e ON c.segment_id = e.segment_id AND c.t_ns - e.t_ns >= 300000000000000)
+SELECT segment_id, current, source, round(distance, 6) AS distance
+  FROM d
+  WHERE distance <= 0.3
+  QUALIFY row_number() OVER (PARTITION BY segment_id, current ORDER BY distance, source) = 1""")
 def j12_revisit_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.revisit_source(track(spark, sf_dir).withColumn("z", F.lit(0.0)), 0.3, 3 * 10**14).withColumn("distance", F.round("distance", 6))
 
@@ -301,14 +351,21 @@ def p10_pair_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("a.segment_id", c("a.frame").alias("fa"), c("b.frame").alias("fb"), retained.alias("retained"), reason.alias("reason"))
 
 
-@query("WITH p AS (SELECT DISTINCT 'n' || l_partkey % 500 AS name_a, 'n' || l_suppkey AS name_b FROM lineitem), n AS (SELECT 'n' || s_suppkey AS name, s_suppkey * 3 AS image_id FROM supplier), j AS (SELECT name_a, name_b, a.image_id AS ia, b.image_id AS ib FROM p LEFT JOIN n a ON a.name = name_a LEFT JOIN n b ON b.name = name_b), k AS (SELECT *, CASE WHEN ia <> ib THEN least(ia, ib) * 2147483647 + greatest(ia, ib) END AS pair_id FROM j) SELECT name_a, name_b, pair_id, CASE WHEN ia IS NULL OR ib IS NULL THEN 'unknown' WHEN ia = ib THEN 'self' WHEN count(*) OVER (PARTITION BY pair_id) > 1 THEN 'repeated' END AS problem FROM k")
+@query("""WITH p AS (SELECT DISTINCT 'n' || l_partkey % 500 AS name_a, 'n' || l_suppkey AS name_b FROM lineitem),
+n AS (SELECT 'n' || s_suppkey AS name, s_suppkey * 3 AS image_id FROM supplier),
+j AS (SELECT name_a, name_b, a.image_id AS ia, b.image_id AS ib FROM p LEFT JOIN n a ON a.name = name_a LEFT JOIN n b ON b.name = name_b),
+k AS (SELECT *, CASE WHEN ia <> ib THEN least(ia, ib) * 2147483647 + greatest(ia, ib) END AS pair_id FROM j)
+SELECT name_a, name_b, pair_id, CASE WHEN ia IS NULL OR ib IS NULL THEN 'unknown' WHEN ia = ib THEN 'self' WHEN count(*) OVER (PARTITION BY pair_id) > 1 THEN 'repeated' END AS problem
+  FROM k""")
 def j21_resolved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("n"), c("l_partkey") % 500).alias("name_a"), F.concat(F.lit("n"), "l_suppkey").alias("name_b")).distinct()
     names = table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), "s_suppkey").alias("name"), (c("s_suppkey") * 3).alias("image_id"))
     return pairs.resolved_pairs(p, names)
 
 
-@query("WITH e AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey <> l_suppkey), n AS (SELECT a AS node FROM e UNION ALL SELECT b FROM e) SELECT node, count(*) AS degree FROM n GROUP BY 1")
+@query("""WITH e AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey <> l_suppkey),
+n AS (SELECT a AS node FROM e UNION ALL SELECT b FROM e)
+SELECT node, count(*) AS degree FROM n GROUP BY 1""")
 def a17_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.degrees(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey")
 
@@ -316,13 +373,22 @@ def a17_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINKS = "e AS (SELECT DISTINCT o_custkey AS a, o_custkey // 10 * 10 + (o_orderkey % 3) AS b FROM orders WHERE o_custkey <> o_custkey // 10 * 10 + (o_orderkey % 3))"
 
 
-@query(f"WITH RECURSIVE {_LINKS}, l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT a, a FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY 1")
+@query(f"""WITH RECURSIVE {_LINKS},
+l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, root) AS (SELECT a, a FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node)
+SELECT node, min(root) AS root FROM r GROUP BY 1""")
 def t6_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.floor(c("o_custkey") / 10) * 10 + c("o_orderkey") % 3
     return pairs.connected_components(table(spark, sf_dir, "orders").select(c("o_custkey").alias("a"), low.alias("b")), "a", "b")
 
 
-@query("WITH e AS (SELECT l_partkey % 50 AS a, l_suppkey % 50 AS b, 'near' AS reason FROM lineitem WHERE l_quantity < 5 UNION SELECT l_suppkey % 50, l_partkey % 50, 'revisit' FROM lineitem WHERE l_quantity > 45 UNION SELECT l_partkey % 50, l_partkey % 50, 'stereo' FROM lineitem) SELECT least(a, b) AS a, greatest(a, b) AS b, array_to_string(list_sort(list(DISTINCT reason)), ',') AS reasons FROM e GROUP BY 1, 2")
+@query("""WITH e AS (SELECT l_partkey % 50 AS a, l_suppkey % 50 AS b, 'near' AS reason
+  FROM lineitem
+  WHERE l_quantity < 5 UNION SELECT l_suppkey % 50, l_partkey % 50, 'revisit'
+  FROM lineitem
+  WHERE l_quantity > 45 UNION SELECT l_partkey % 50, l_partkey % 50, 'stereo'
+  FROM lineitem)
+SELECT least(a, b) AS a, greatest(a, b) AS b, array_to_string(list_sort(list(DISTINCT reason)), ',') AS reasons FROM e GROUP BY 1, 2""")
 def t7_merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").withColumns({"p": c("l_partkey") % 50, "s": c("l_suppkey") % 50})
     near = rows.where("l_quantity < 5").select(c("p").alias("a"), c("s").alias("b"), F.lit("near").alias("reason"))
@@ -336,20 +402,32 @@ def t7_merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ARMS = "m AS (SELECT l_returnflag AS arm, l_linestatus || l_linenumber AS metric, avg(l_discount) AS value FROM lineitem GROUP BY 1, 2)"
 
 
-@query(f"WITH {_ARMS} SELECT a.metric, round(a.value, 8) AS control, round(b.value, 8) AS candidate, round(b.value - a.value, 8) AS delta FROM m a JOIN m b USING (metric) WHERE a.arm = 'A' AND b.arm = 'R'")
+@query(f"""WITH {_ARMS} SELECT a.metric, round(a.value, 8) AS control, round(b.value, 8) AS candidate, round(b.value - a.value, 8) AS delta
+  FROM m a JOIN m b USING (metric)
+  WHERE a.arm = 'A' AND b.arm = 'R'""")
 def a46_compare_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "lineitem").groupBy(c("l_returnflag").alias("arm"), F.concat("l_linestatus", "l_linenumber").alias("metric")).agg(F.avg("l_discount").alias("value"))
     out = checks.compare_arms(m, "A", "R", "arm", "metric", "value")
     return out.select("metric", *rounded(8, **{n: c(n) for n in ("control", "candidate", "delta")}))
 
 
-@query("WITH o AS (SELECT o_orderpriority, count(*) AS n, avg(o_totalprice) AS price, max(o_totalprice) AS top FROM orders GROUP BY 1) SELECT o_orderpriority, 'rows' AS name, CAST(n AS DOUBLE) AS value, 2990.0::DOUBLE AS minimum, NULL::DOUBLE AS maximum, n >= 2990 AS passed FROM o UNION ALL SELECT o_orderpriority, 'mean', round(price, 4), 100, 250000, round(price, 4) BETWEEN 100 AND 250000 FROM o UNION ALL SELECT o_orderpriority, 'top', top, NULL, 499990, top <= 499990 FROM o")
+@query("""WITH o AS (SELECT o_orderpriority, count(*) AS n, avg(o_totalprice) AS price, max(o_totalprice) AS top FROM orders GROUP BY 1)
+SELECT o_orderpriority, 'rows' AS name, CAST(n AS DOUBLE) AS value, 2990.0::DOUBLE AS minimum, NULL::DOUBLE AS maximum, n >= 2990 AS passed
+  FROM o
+  UNION ALL SELECT o_orderpriority, 'mean', round(price, 4), 100, 250000, round(price, 4) BETWEEN 100 AND 250000
+  FROM o
+  UNION ALL SELECT o_orderpriority, 'top', top, NULL, 499990, top <= 499990
+  FROM o""")
 def a45_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("price"), F.max("o_totalprice").alias("top"))
     return checks.checks(o, ["o_orderpriority"], {"rows": (c("n"), 2990, None), "mean": (c("price"), 100, 250_000), "top": (c("top"), None, 499_990)})
 
 
-@query("WITH a AS (SELECT p_brand AS metric, round(avg(p_retailprice), 4) AS value FROM part WHERE p_size < 45 GROUP BY 1), e AS (SELECT DISTINCT p_brand AS metric FROM part UNION SELECT 'none') SELECT metric, value, coalesce(value >= 900 AND value <= 1400, false) AS passed, CASE WHEN value IS NULL THEN 'missing' WHEN value < 900 THEN 'below minimum' WHEN value > 1400 THEN 'above maximum' END AS reason FROM e LEFT JOIN a USING (metric)")
+@query("""WITH a AS (SELECT p_brand AS metric, round(avg(p_retailprice), 4) AS value FROM part WHERE p_size < 45 GROUP BY 1),
+e AS (SELECT DISTINCT p_brand AS metric FROM part UNION SELECT 'none')
+SELECT metric, value, coalesce(value >= 900 AND value <= 1400, false) AS passed, CASE WHEN value IS NULL THEN 'missing' WHEN value < 900 THEN 'below minimum' WHEN value > 1400 THEN 'above maximum' END AS reason
+  FROM e
+  LEFT JOIN a USING (metric)""")
 def a51_verify_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     actual = part.where("p_size < 45").groupBy(c("p_brand").alias("metric")).agg(F.round(F.avg("p_retailprice"), 4).alias("value"))
@@ -357,7 +435,12 @@ def a51_verify_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.verify_expected(actual, names.withColumns({"exact": F.lit(None).cast("double"), "minimum": F.lit(900.0), "maximum": F.lit(1400.0)}))
 
 
-@query(f"WITH {TRACK_SQL}, f AS (SELECT segment_id, {QUALITY} AS name, count(*) > 12 AS bad FROM track GROUP BY 1, 2) SELECT segment_id, coalesce(string_agg(name, ',' ORDER BY name) FILTER (name IN ('invalid', 'standalone')), '') AS allowed, coalesce(string_agg(name, ',' ORDER BY name) FILTER (name NOT IN ('invalid', 'standalone')), '') AS structural FROM f WHERE bad GROUP BY 1")
+@query(f"""WITH {TRACK_SQL},
+f AS (SELECT segment_id, {QUALITY} AS name, count(*) > 12 AS bad FROM track GROUP BY 1, 2)
+SELECT segment_id, coalesce(string_agg(name, ',' ORDER BY name) FILTER (name IN ('invalid', 'standalone')), '') AS allowed, coalesce(string_agg(name, ',' ORDER BY name) FILTER (name NOT IN ('invalid', 'standalone')), '') AS structural
+  FROM f
+  WHERE bad
+  GROUP BY 1""")
 def a48_split_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = track(spark, sf_dir).groupBy("segment_id", _quality().alias("name")).agg((F.count("*") <= 12).alias("passed"))
     return checks.split_failures(checked, spark.createDataFrame([("invalid",), ("standalone",)], "name string"), "segment_id")
@@ -368,7 +451,11 @@ def src9_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.inventory(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("WITH d AS (SELECT doc_id AS path, CASE WHEN doc_id % 17 = 0 THEN 'extra' WHEN doc_id % 13 = 0 THEN 'missing' WHEN doc_id % 11 = 0 THEN 'size' WHEN doc_id % 7 = 0 AND lower(text) <> upper(text) THEN 'content' END AS state, text FROM documents) SELECT path, CASE WHEN state = 'content' AND replace(text, 'e', 'a') = text THEN NULL ELSE state END AS state FROM d WHERE CASE WHEN state = 'content' AND replace(text, 'e', 'a') = text THEN NULL ELSE state END IS NOT NULL")
+@query("""WITH d AS (SELECT doc_id AS path, CASE WHEN doc_id % 17 = 0 THEN 'extra' WHEN doc_id % 13 = 0 THEN 'missing' WHEN doc_id % 11 = 0 THEN 'size' WHEN doc_id % 7 = 0 AND lower(text) <> upper(text) THEN 'content' END AS state, text
+  FROM documents)
+SELECT path, CASE WHEN state = 'content' AND replace(text, 'e', 'a') = text THEN NULL ELSE state END AS state
+  FROM d
+  WHERE CASE WHEN state = 'content' AND replace(text, 'e', 'a') = text THEN NULL ELSE state END IS NOT NULL""")
 def j20_compare_inventories(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     i = c("doc_id")
@@ -382,19 +469,25 @@ def a52_table_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.table_digest(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
 
-@query("WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity < 3), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 48) SELECT k, 'missing' AS side FROM a ANTI JOIN b USING (k) UNION ALL SELECT k, 'extra' FROM b ANTI JOIN a USING (k)")
+@query("""WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity < 3),
+b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 48)
+SELECT k, 'missing' AS side FROM a ANTI JOIN b USING (k) UNION ALL SELECT k, 'extra' FROM b ANTI JOIN a USING (k)""")
 def j24_missing_and_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "k")
     return checks.missing_and_extra(rows.where("l_quantity < 3"), rows.where("l_quantity > 48"), "k")
 
 
-@query("WITH i AS (SELECT o_custkey + 100 AS c_custkey, o_orderkey AS ordinal FROM orders WHERE o_orderkey % 20 = 0), n AS (SELECT c_custkey, min(ordinal) AS ordinal, count(*) AS n FROM i GROUP BY 1) SELECT c_custkey, ordinal, c_name, CASE WHEN n > 1 THEN 'repeated' WHEN c_name IS NULL THEN 'unknown' END AS problem FROM n LEFT JOIN customer USING (c_custkey)")
+@query("""WITH i AS (SELECT o_custkey + 100 AS c_custkey, o_orderkey AS ordinal FROM orders WHERE o_orderkey % 20 = 0),
+n AS (SELECT c_custkey, min(ordinal) AS ordinal, count(*) AS n FROM i GROUP BY 1)
+SELECT c_custkey, ordinal, c_name, CASE WHEN n > 1 THEN 'repeated' WHEN c_name IS NULL THEN 'unknown' END AS problem FROM n LEFT JOIN customer USING (c_custkey)""")
 def j26_ordered_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select((c("o_custkey") + 100).alias("c_custkey"), c("o_orderkey").alias("ordinal"))
     return checks.ordered_selection(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ids, "c_custkey")
 
 
-@query("WITH a AS (SELECT ps AS k, avg(q) AS v FROM (SELECT l_suppkey AS ps, l_quantity AS q FROM lineitem) GROUP BY 1), b AS (SELECT l_suppkey AS k, avg(l_quantity) + 0.25 AS v FROM lineitem WHERE l_suppkey > 1 GROUP BY 1) SELECT round(max(abs(a.v - b.v)), 9) AS max_abs, bool_and(a.k IS NOT NULL AND b.k IS NOT NULL) AS same_keys FROM a FULL JOIN b USING (k)")
+@query("""WITH a AS (SELECT ps AS k, avg(q) AS v FROM (SELECT l_suppkey AS ps, l_quantity AS q FROM lineitem) GROUP BY 1),
+b AS (SELECT l_suppkey AS k, avg(l_quantity) + 0.25 AS v FROM lineitem WHERE l_suppkey > 1 GROUP BY 1)
+SELECT round(max(abs(a.v - b.v)), 9) AS max_abs, bool_and(a.k IS NOT NULL AND b.k IS NOT NULL) AS same_keys FROM a FULL JOIN b USING (k)""")
 def a54_max_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").groupBy(c("l_suppkey").alias("k")).agg(F.avg("l_quantity").alias("v"))
     return checks.max_difference(rows, rows.where("k > 1").withColumn("v", c("v") + 0.25), ["k"], "v").withColumn("max_abs", F.round("max_abs", 9))

@@ -46,7 +46,11 @@ def _sided(rows: DataFrame, first: str, second: str) -> DataFrame:
     return rows.where(c("kind").isin(first, second) | c("i").isNull()).select("segment_id", (c("kind") == second).cast("int").alias("side"), "i", "t")
 
 
-@query(f"WITH RECURSIVE {STREAM_SQL}, u AS (SELECT segment_id, CAST(kind = 'view' AS INTEGER) AS side, t_ns AS t, row_id AS i FROM stream WHERE kind IN ('click', 'view')), {pairs_sql('u', TOL)} SELECT * FROM met")
+@query(f"""WITH RECURSIVE {STREAM_SQL},
+u AS (SELECT segment_id, CAST(kind = 'view' AS INTEGER) AS side, t_ns AS t, row_id AS i
+  FROM stream
+  WHERE kind IN ('click', 'view')), {pairs_sql('u', TOL)} SELECT *
+  FROM met""")
 def r1_r2_stereo_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-to-one pairs of clicks and views; what waits longer than the tolerance is evicted."""
     return streamed(spark, sf_dir, lambda rows: pairing.one_to_one_stream(_sided(rows, "click", "view"), TOL)).drop("problem")
@@ -57,7 +61,10 @@ def r3_time_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamed(spark, sf_dir, lambda rows: pairing.time_window_stream(rows.where("kind = 'click'"), 1_704_200_000_000_000_000, 1_704_900_000_000_000_000)).select("i", "kind")
 
 
-@query(f"WITH {STREAM_SQL}, d AS (SELECT segment_id, row_id AS i, t_ns - CASE WHEN row_id % 5 = 0 THEN 40000000000000 ELSE 0 END AS t FROM stream), b AS (SELECT *, max(t) OVER (PARTITION BY segment_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM d) SELECT segment_id, i, t FROM b WHERE t <= newest")
+@query(f"""WITH {STREAM_SQL},
+d AS (SELECT segment_id, row_id AS i, t_ns - CASE WHEN row_id % 5 = 0 THEN 40000000000000 ELSE 0 END AS t FROM stream),
+b AS (SELECT *, max(t) OVER (PARTITION BY segment_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM d)
+SELECT segment_id, i, t FROM b WHERE t <= newest""")
 def r4_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in order of their ids that aren't after all rows before them; every fifth header is half a day behind."""
     late = F.when(c("i") % 5 == 0, 40_000_000_000_000).otherwise(0)
