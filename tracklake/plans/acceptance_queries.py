@@ -40,8 +40,7 @@ def w19_path_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {TILES_SQL} SELECT (SELECT count(*)
   FROM tiles a JOIN tiles b ON a.tile_id < b.tile_id AND a.lo_u < b.hi_u AND b.lo_u < a.hi_u AND a.lo_v < b.hi_v AND b.lo_v < a.hi_v) AS overlaps, abs(sum((hi_u - lo_u) * (hi_v - lo_v)) - 16) <= 1e-9 AS area_whole, count(*) FILTER (lo_u < -2 OR lo_v < -2 OR hi_u > 2 OR hi_v > 2) AS outside, (SELECT max(x) <= 100
-  FROM ({POINTS_SQL.replace('points AS ', 'SELECT *
-  FROM ')})) AS in_scene
+  FROM ({POINTS_SQL.replace('points AS ', 'SELECT * FROM ')})) AS in_scene
   FROM tiles""")
 def t11_plan_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan's areas, and whether all points are near it."""
