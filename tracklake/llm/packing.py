@@ -18,7 +18,9 @@ then finds its place by its number within its length, which comes from counts by
 inside each; a length that a third of all pieces share is spread over the salts. No group of pieces is gathered.
 
 Defined results: a null or empty text is one piece with the end id alone; repeated rows are packed as often as they
-occur; pieces of equal length are interchangeable and numbered by id, so ties don't change the number of sequences.
+occur; pieces of equal length are interchangeable and numbered by id, so ties don't change the number of sequences; a null
+id is kept and packed like any other; a very long text is tokenised whole, in one task, and cut into full pieces; an
+empty table gives no rows; other columns of the input, whatever their names, aren't looked at.
 """
 
 from __future__ import annotations

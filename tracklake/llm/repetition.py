@@ -4,8 +4,9 @@ Rolling hashes of the words' n-grams, for several lengths n, find n-grams that s
 the share of word characters that they cover, and the share inside repeated lines, decide. All hashing is numpy
 over slices of an Arrow batch, a text is never split over tasks, and no row is shuffled.
 
-Defined results: a null or empty text has 0 words and fails the base rule; repeated rows get equal results; rows
-come back in any order; other columns of the input, whatever their names, are not looked at.
+Defined results: a null or empty text has 0 words and fails the base rule; repeated rows get equal results; of lines or
+windows that tie the first is no repetition; a very long text makes a slice of its own, so a task holds some times
+its length; an empty table gives no rows; null ids are kept; rows come back in any order; other columns of the input, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

@@ -9,8 +9,10 @@ too long for the filter costs time in that join, never a wrong verdict. Only bui
 Canonical form: no scheme, host in lower case without ``www.`` or ``m.`` and default port, no fragment, no tracking
 parameters, other parameters sorted, no slash at the path's end. A URL without ``://`` stands for itself.
 
-Defined results: a null URL has an empty host and path, no rule and is allowed; repeated rows get equal results; other
-columns of the input aren't looked at; an empty list blocks nothing.
+Defined results: a null URL has an empty host and path, no rule and is allowed; repeated rows get equal results; a very long
+URL is judged whole, by linear patterns; of rules that fit the longest wins, and no two are equally long for one URL;
+an empty table of pages gives no rows; null ids are kept; an empty list blocks nothing; other columns of the
+input, whatever their names, aren't looked at.
 """
 
 from __future__ import annotations
