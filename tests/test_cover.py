@@ -88,3 +88,15 @@ def test_frusta_meet_the_same_spheres_by_an_octree(spark, n, leaf, far):
     if leaf == 20:
         assert tested < 0.5 * 12 * n  # far fewer than every view with every sphere
     assert cover.in_frustum(s.limit(0), w, 0.2).count() == 0
+
+
+def test_overlapping_boxes_of_all_sizes_are_found_once(spark):
+    rng = np.random.default_rng(4)
+    corner, size = rng.uniform(-20, 20, (150, 2)), 2.0 ** rng.integers(-6, 5, (150, 2)) * rng.choice([1.0, 0.6], (150, 2))
+    boxes = [(i, *map(float, corner[i]), *map(float, corner[i] + size[i])) for i in range(150)]
+    boxes += [(900 + i, float(i), 30.0, float(i + 1), 31.0) for i in range(8)] + [(990, 2.0, 30.0, 2.0, 31.0), (991, 0.0, 30.0, 0.5, 31.0)]
+    got = [tuple(r) for r in cover.overlapping_pairs(spark.createDataFrame(boxes, TILE), "tile_id").collect()]
+    meets = lambda p, q: all(max(p[k], q[k]) < min(p[k + 2], q[k + 2]) for k in (1, 2))
+    expected = {(p[0], q[0]) for p in boxes for q in boxes if p[0] < q[0] and meets(p, q)}
+    assert len(got) == len(set(got)) and set(got) == expected and len(expected) > 150 and (900, 991) in expected
+    assert cover.overlapping_pairs(spark.createDataFrame([], TILE), "tile_id").count() == 0

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tracklake.functions import geodesy
-from tracklake.operators import association, quality, series, trajectory
+from tracklake.operators import association, cover, quality, series, trajectory
 from tracklake.operators.checks import checks
 from tracklake.operators.quality import runs
 
@@ -52,9 +52,7 @@ def path_gates(df: DataFrame, w: WindowSpec, policy: PathPolicy = PathPolicy(),
 
 def plan_audit(tiles: DataFrame, lo_u: float, lo_v: float, hi_u: float, hi_v: float, tolerance: float = 1e-9) -> DataFrame:
     """One row: overlapping pairs of cores, whether areas add up to the scene's, and cores outside it."""
-    a, b = tiles.alias("a"), F.broadcast(tiles).alias("b")
-    cut = (F.col("a.tile_id") < F.col("b.tile_id")) & (F.col("a.lo_u") < F.col("b.hi_u")) & (F.col("b.lo_u") < F.col("a.hi_u")) & (F.col("a.lo_v") < F.col("b.hi_v")) & (F.col("b.lo_v") < F.col("a.hi_v"))
-    overlaps = a.join(b, cut).agg(F.count("*").alias("overlaps"))
+    overlaps = cover.overlapping_pairs(tiles, "tile_id").agg(F.count("*").alias("overlaps"))
     outside = (F.col("lo_u") < lo_u) | (F.col("lo_v") < lo_v) | (F.col("hi_u") > hi_u) | (F.col("hi_v") > hi_v)
     area = tiles.agg((F.abs(F.sum((F.col("hi_u") - F.col("lo_u")) * (F.col("hi_v") - F.col("lo_v"))) - (hi_u - lo_u) * (hi_v - lo_v)) <= tolerance).alias("area_whole"), F.count_if(outside).alias("outside"))
     return overlaps.crossJoin(area)  # one row each

@@ -41,7 +41,7 @@ def verify_expected(actual: DataFrame, expected: DataFrame, metric: str = "metri
 
 def split_failures(checked: DataFrame, allowed: DataFrame, *keys: str) -> DataFrame:
     """Names of failed checks of each key, those on the allowed list and the others, sorted."""
-    failed = checked.where("not passed").join(F.broadcast(allowed.select("name").distinct().withColumn("_ok", F.lit(True))), "name", "left")
+    failed = checked.where("not passed").join(allowed.select("name").distinct().withColumn("_ok", F.lit(True)), "name", "left")
     pick = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("name")))), ",")
     return failed.groupBy(*keys).agg(pick(F.col("_ok").isNotNull()).alias("allowed"), pick(F.col("_ok").isNull()).alias("structural"))
 

@@ -59,6 +59,29 @@ def in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
     return looking.join(cells, ["gu", "gv", "cu", "cv"]).where(inside).drop("gu", "gv", "cu", "cv")
 
 
+def overlapping_pairs(boxes: DataFrame, identity: str) -> DataFrame:
+    """a, b: the identities (a < b) of every two boxes whose insides overlap, each pair once.
+
+    Two boxes meet in the grid that is the larger of theirs on each axis, where both touch four cells at most, and count
+    in the cell of their overlap's lower corner.
+    """
+    rows = boxes.where("lo_u < hi_u and lo_v < hi_v").select(identity, *_BOX, _grid("lo_u", "hi_u").alias("gu"), _grid("lo_v", "hi_v").alias("gv"))
+    rows = checkpointed(rows)
+    used = {c: sorted(r[0] for r in rows.select(f"g{c}").distinct().collect()) for c in "uv"}  # a few powers of two
+    for c in "uv":
+        own = F.col(f"g{c}")
+        larger = F.array_compact(F.array(*[F.when(own <= g, F.lit(g)) for g in used[c]])) if used[c] else F.array().cast("array<int>")
+        rows = rows.withColumn(f"k{c}", F.explode(larger))
+        rows = rows.withColumn(f"c{c}", F.explode(F.sequence(_cell(F.col(f"lo_{c}"), F.col(f"k{c}")), _cell(F.col(f"hi_{c}"), F.col(f"k{c}")))))
+    key = ["ku", "kv", "cu", "cv"]
+    a, b = (rows.select(*key, *[F.col(c).alias(f"{side}_{c}") for c in (identity, *_BOX, "gu", "gv")]) for side in "ab")
+    here = F.col(f"a_{identity}") < F.col(f"b_{identity}")
+    for c in "uv":
+        low = F.greatest(f"a_lo_{c}", f"b_lo_{c}")
+        here = here & (F.greatest(f"a_g{c}", f"b_g{c}") == F.col(f"k{c}")) & (low < F.least(f"a_hi_{c}", f"b_hi_{c}")) & (_cell(low, F.col(f"k{c}")) == F.col(f"c{c}"))
+    return a.join(b, key).where(here).select(F.col(f"a_{identity}").alias("a"), F.col(f"b_{identity}").alias("b"))
+
+
 def holders(points: DataFrame, boxes: DataFrame, identity: str, holds: Callable[[Column], Column], out: str) -> DataFrame:
     """Every point (u, v) once, with the sorted array of the identities of the boxes that ``holds`` says hold it.
 

@@ -145,7 +145,7 @@ def cross_faded(layers: DataFrame, tiles: DataFrame, halo: float, *keys: str) ->
 
     ``layers``: keys, tile_id, ground position u, v, alpha, r, g, b.
     """
-    held = layers.join(F.broadcast(tiles.select("tile_id", "lo_u", "lo_v", "hi_u", "hi_v")), "tile_id")
+    held = layers.join(tiles.select("tile_id", "lo_u", "lo_v", "hi_u", "hi_v"), "tile_id")
     return cloud.blended_layers(held.withColumn("weight", cloud.core_weight(halo)), *keys)
 
 
@@ -198,7 +198,7 @@ def seam_probe(tiles: DataFrame, layers: DataFrame, truth: DataFrame, bounds: Se
     met = met.select(F.least(*pair).alias("tile_id"), F.greatest(*pair).alias("neighbour")).distinct()
     near = cloud.seam_band(truth.select(*at, "u", "v"), cloud.seam_segments(tiles, *bounds), policy.band, *at).select(*at)
     seen = layers.join(near, at)
-    both = seen.join(F.broadcast(met), "tile_id").join(seen.select(*at, c("tile_id").alias("neighbour")), [*at, "neighbour"]).select(*pair, *at)
+    both = seen.join(met, "tile_id").join(seen.select(*at, c("tile_id").alias("neighbour")), [*at, "neighbour"]).select(*pair, *at)
     told = both.select(*pair, *at, F.explode(F.array(*pair)).alias("_t")).join(seen.withColumnRenamed("tile_id", "_t"), [*at, "_t"]).join(truth.drop("u", "v"), at)
     alone = color_psnr(told, *pair, "_t", "view").where(c("n") >= policy.min_band_pixels)
     alone = alone.groupBy(*pair, "view").agg(F.avg("psnr").alias("alone"))
