@@ -105,6 +105,38 @@ def a32_clock_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.profile_summary(out.select("segment_id", "offset_ns", "n", F.round("cost", 9).alias("cost")), "segment_id")
 
 
+_HOURS = 4 * 3600 * 1_000_000_000
+#: The start of the events' month, to keep coordinates small.
+_START = 1_704_067_200_000_000_000
+
+
+# In a plane the best turn in space is the better one of the best turn and the best reflection, which are known in closed form.
+@query(f"""WITH {STREAM_SQL}, p AS (SELECT segment_id, row_id, kind, t_ns, (t_ns - {_START}) / 1e14 AS px, x / 100 AS py FROM stream),
+s AS (SELECT * FROM p WHERE kind = 'view'),
+m AS (SELECT segment_id, row_id, o, t_ns + o * {_HOURS} AS moved, -py AS u, px AS v FROM p, (SELECT unnest(range(-4, 5)) AS o) WHERE kind = 'click'),
+i AS (SELECT m.segment_id, m.o, m.u, m.v, CASE WHEN h.t_ns > l.t_ns THEN (m.moved - l.t_ns) / (h.t_ns - l.t_ns) ELSE 0 END AS f, l.px AS lx, l.py AS ly, h.px AS hx, h.py AS hy
+  FROM m ASOF JOIN s l ON m.segment_id = l.segment_id AND m.moved >= l.t_ns ASOF JOIN s h ON m.segment_id = h.segment_id AND m.moved <= h.t_ns WHERE h.t_ns - l.t_ns <= 400000000000000),
+q AS (SELECT segment_id, o, u, v, lx + f * (hx - lx) AS x, ly + f * (hy - ly) AS y FROM i),
+c AS (SELECT *, x - avg(x) OVER g AS a, y - avg(y) OVER g AS b, u - avg(u) OVER g AS d, v - avg(v) OVER g AS e FROM q WINDOW g AS (PARTITION BY segment_id, o)),
+k AS (SELECT segment_id, o, round((sum(a * a + b * b + d * d + e * e) - 2 * greatest(sqrt(pow(sum(a * d + b * e), 2) + pow(sum(a * e - b * d), 2)), sqrt(pow(sum(a * d - b * e), 2) + pow(sum(a * e + b * d), 2)))) / count(*), 7) AS cost
+  FROM c GROUP BY 1, 2 HAVING count(*) >= 3),
+w AS (SELECT *, row_number() OVER z AS place, count(*) OVER (PARTITION BY segment_id) AS n, lag(cost) OVER z AS before, lead(cost) OVER z AS after, row_number() OVER (PARTITION BY segment_id ORDER BY cost, o) AS r FROM k WINDOW z AS (PARTITION BY segment_id ORDER BY o)),
+y AS (SELECT segment_id, max(n) AS n, max(CASE WHEN r = 1 THEN o END) AS o, max(CASE WHEN r = 1 THEN place END) AS place, max(CASE WHEN r = 1 THEN cost END) AS best, max(CASE WHEN r = 2 THEN cost END) AS second,
+  max(CASE WHEN r = 1 THEN least(before, after) END) AS beside, least(max(CASE WHEN place = 1 THEN cost END), max(CASE WHEN place = n THEN cost END)) AS ends FROM w GROUP BY 1)
+SELECT segment_id, o AS best_offset, place > 1 AND place < n AS interior, round((ends - best) / greatest(ends, 1e-12), 4) AS "drop", round((second - best) / greatest(best, 1e-12), 4) AS separation,
+  round(CASE WHEN place > 1 AND place < n THEN (beside - best) / greatest(best, 1e-12) ELSE 0 END, 4) AS prominence FROM y WHERE best > 0.001""")
+def a32_planar_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile over nine offsets of four hours in a plane, of recordings that don't fit exactly; offsets in steps."""
+    place = lambda kind: stream(spark, sf_dir, kind).withColumns({"px": (c("t_ns") - _START) / 1e14, "py": c("x") / 100})
+    reference = place("click").select("segment_id", "row_id", "t_ns", (-c("py")).alias("u"), c("px").alias("v"), F.lit(0.0).alias("w"))
+    sample = place("view").select("segment_id", "row_id", "t_ns", c("px").alias("x"), c("py").alias("y"), F.lit(0.0).alias("z"))
+    out = calibration.clock_profile(reference, sample, [h * _HOURS for h in range(-4, 5)], 4 * 10**14)
+    curve = out.select("segment_id", "offset_ns", F.round("cost", 7).alias("cost"))
+    fits = curve.groupBy("segment_id").agg(F.min("cost").alias("best")).where("best > 0.001").select("segment_id")
+    found = calibration.profile_summary(curve.join(fits, "segment_id"), "segment_id")
+    return found.select("segment_id", (c("best_offset") / _HOURS).cast("long").alias("best_offset"), "interior", *rounded(4, drop=c("drop"), separation=c("separation"), prominence=c("prominence")))
+
+
 _CURVE = f"""{TRACK_SQL}, e AS (SELECT segment_id, frame, y AS cost, row_number() OVER (PARTITION BY segment_id ORDER BY y, frame) AS r, count(*) OVER (PARTITION BY segment_id) AS n,
   lag(y) OVER w AS before, lead(y) OVER w AS after FROM track WINDOW w AS (PARTITION BY segment_id ORDER BY frame)),
 s AS (SELECT segment_id, max(n) AS n, max(CASE WHEN r = 1 THEN frame END) AS best_offset, max(CASE WHEN r = 1 THEN cost END) AS best, max(CASE WHEN r = 2 THEN cost END) AS second,

@@ -13,8 +13,9 @@ from tracklake.operators.pairs import checkpointed
 from tracklake.plans.composite_queries import _SHARED
 from tracklake.plans.registry import query
 from tracklake.plans.space_queries import TILES_SQL, _tiles, rounded
-from tracklake.plans.time_queries import NEAREST, TOL
+from tracklake.plans.time_queries import NEAREST, QUALITY, TOL
 from tracklake.plans.trajectory_queries import _windows
+from tracklake.plans.walk_sql import pairs_sql
 from tracklake.sources import readers
 from tracklake.sources.bindings import POINTS_SQL, STREAM_SQL, points, stream, track
 
@@ -32,7 +33,22 @@ def t10_tile_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenes.tile_plan(support, frames, policy).checks.select("name", F.round("value", 9).alias("value"), "passed")
 
 
-@query()
+_MET = """SELECT f.segment_id, f.row_id, s.row_id AS sample_index, s.x, s.k FROM f LEFT JOIN stream s ON s.kind = '{kind}' AND s.segment_id = f.segment_id AND abs(s.t_ns - f.t_ns) <= {tol}
+  QUALIFY row_number() OVER (PARTITION BY f.row_id ORDER BY abs(s.t_ns - f.t_ns), s.t_ns, s.row_id) = 1"""
+
+
+@query(f"""WITH RECURSIVE {STREAM_SQL},
+u AS (SELECT segment_id, CAST(kind = 'purchase' AS INTEGER) AS side, t_ns AS t, row_id AS i FROM stream WHERE kind IN ('click', 'purchase')),
+{pairs_sql('u', 8 * TOL)},
+n AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY t, i) - 1 AS place FROM met),
+f AS (SELECT segment_id, i AS row_id, t AS t_ns, sample_index AS right_index, place // 2 AS frame FROM n WHERE place % 2 = 0),
+v AS ({_MET.format(kind='view', tol=8 * TOL)}), h AS ({_MET.format(kind='signup', tol=8 * TOL)}),
+a AS (SELECT f.*, v.sample_index AS fix_index, h.sample_index AS heading_index, v.k % 4 - 1 AS status, v.k % 3 AS carrier, v.x / 100 AS ax, v.k / 100.0::DOUBLE AS ay, h.x / 50 AS yaw,
+  coalesce(h.k & 4 > 0, false) AS faced FROM f JOIN v USING (row_id) JOIN h USING (row_id)),
+b AS (SELECT *, CASE WHEN fix_index IS NULL THEN 'fix' WHEN status < 0 THEN 'position' WHEN NOT faced THEN 'heading' END AS problem FROM a)
+SELECT segment_id, row_id, frame, right_index, fix_index, heading_index, CASE WHEN fix_index IS NOT NULL THEN {QUALITY} END AS quality,
+  CASE WHEN problem IS NULL THEN round(ax + 0.4 * cos(yaw) - 0.2 * sin(yaw), 6) END AS x, CASE WHEN problem IS NULL THEN round(ay + 0.4 * sin(yaw) + 0.2 * cos(yaw), 6) END AS y,
+  CASE WHEN problem IS NULL THEN -1.5::DOUBLE END AS z, CASE WHEN problem IS NULL THEN round(sin(yaw / 2), 6) END AS qz, CASE WHEN problem IS NULL THEN round(cos(yaw / 2), 6) END AS qw, problem FROM b""")
 def c1_stereo_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks are left images, purchases right ones, views fixes and signups headings."""
     bit = lambda n: c("k").bitwiseAND(n) > 0
@@ -82,7 +98,27 @@ def c10_assembled_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composites.assembled(moved, targets, policy)[1]
 
 
-@query()
+_POSE_AT = """SELECT f.segment_id, f.row_id, CASE WHEN h.t_ns > l.t_ns THEN (f.t_ns - l.t_ns) / (h.t_ns - l.t_ns) ELSE 0 END AS g, l.px + g * (h.px - l.px) AS px, l.py + g * (h.py - l.py) AS py, l.half + g * (h.half - l.half) AS half
+  FROM f ASOF JOIN pose l ON f.segment_id = l.segment_id AND f.t_ns >= l.t_ns ASOF JOIN pose h ON f.segment_id = h.segment_id AND f.t_ns <= h.t_ns WHERE f.kind = '{kind}' AND h.t_ns - l.t_ns <= {gap}"""
+
+
+# All cameras turn about z alone, so the way between two poses is a turn by twice the difference of their half angles.
+@query(f"""WITH {STREAM_SQL}, f AS (SELECT * FROM stream WHERE kind IN ('click', 'view')),
+pose AS (SELECT segment_id, t_ns, x / 1000 AS px, k / 500.0::DOUBLE AS py, x / 10000 AS half FROM stream WHERE kind IN ('signup', 'purchase', 'error')),
+n AS (SELECT d.segment_id, d.row_id, d.k, s.row_id AS color_index, abs(s.t_ns - d.t_ns) AS off FROM f d JOIN f s ON d.kind = 'click' AND s.kind = 'view' AND d.segment_id = s.segment_id AND abs(s.t_ns - d.t_ns) <= {2 * TOL}
+  QUALIFY row_number() OVER (PARTITION BY d.row_id ORDER BY abs(s.t_ns - d.t_ns), s.t_ns, s.row_id) = 1),
+won AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY segment_id, color_index ORDER BY off, row_id) = 1),
+pd AS ({_POSE_AT.format(kind='click', gap=40 * TOL)}), pc AS ({_POSE_AT.format(kind='view', gap=40 * TOL)}),
+v AS (SELECT won.segment_id, color_index, 2 + k / 50.0::DOUBLE AS z, 2 * (pd.half - pc.half) AS a, cos(2 * pc.half) * (pd.px - pc.px) + sin(2 * pc.half) * (pd.py - pc.py) AS tx, cos(2 * pc.half) * (pd.py - pc.py) - sin(2 * pc.half) * (pd.px - pc.px) AS ty
+  FROM won JOIN pd ON pd.row_id = won.row_id JOIN pc ON pc.row_id = won.color_index),
+g AS (SELECT v.*, (i % 9 - 4) * z / 20 AS x, (i // 9 - 4) * z / 20 AS y FROM v, (SELECT unnest(range(81)) AS i)),
+w AS (SELECT DISTINCT segment_id, color_index, z, CAST(round_even(24 * (cos(a) * x - sin(a) * y + tx) / z + 6, 0) AS BIGINT) AS u, CAST(round_even(24 * (sin(a) * x + cos(a) * y + ty) / z + 6, 0) AS BIGINT) AS v FROM g),
+m AS (SELECT segment_id, color_index, u, v, z FROM w WHERE u BETWEEN 0 AND 12 AND v BETWEEN 0 AND 12),
+b AS (SELECT segment_id, color_index, u + i % 3 - 1 AS u, v + i // 3 - 1 AS v FROM m, (SELECT unnest(range(9)) AS i) WHERE i <> 4),
+h AS (SELECT segment_id, color_index, u, v FROM b WHERE u BETWEEN 0 AND 12 AND v BETWEEN 0 AND 12 GROUP BY ALL HAVING count(*) >= 5),
+o AS (SELECT segment_id, color_index, count(*) AS n_target FROM (SELECT segment_id, color_index, u, v FROM m UNION SELECT segment_id, color_index, u, v FROM h) GROUP BY 1, 2)
+SELECT won.segment_id, won.color_index, 81 AS n_source, coalesce(n_target, 0) AS n_target, round(coalesce(n_target, 0) / 169.0::DOUBLE, 9) AS coverage, round(coalesce(n_target, 0) / 81.0::DOUBLE, 9) AS retention,
+  coalesce(n_target, 0) / 169.0::DOUBLE >= 0.1 AND coalesce(n_target, 0) / 81.0::DOUBLE >= 0.1 AS passed FROM won LEFT JOIN o USING (segment_id, color_index)""")
 def c11_transferred_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks are depth images of 81 pixels, views colour images; the recording's other events are the path."""
     axis = F.sequence(F.lit(0), F.lit(8))
