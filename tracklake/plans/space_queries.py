@@ -298,7 +298,21 @@ def w14_w16_jump_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jumps.audit(rows, jumps.JumpPolicy(max_interval_s=1e7, max_excursion_s=1e7, acceleration=1e-13, closure_fraction=0.9, opposition=0.5))
 
 
-@query()
+# One step a frame for all recordings at once; what is carried is the last selected frame.
+@query(f"""WITH RECURSIVE {TRACK_SQL},
+r AS (SELECT *, row_number() OVER w AS p, count(*) OVER (PARTITION BY segment_id) AS n, lag(status) OVER w AS before, lead(status) OVER w AS after, lag(carrier = 2) OVER w AS led, lead(carrier = 2) OVER w AS leads,
+  frame - row_number() OVER (PARTITION BY segment_id, carrier = 2 ORDER BY frame) AS run FROM track WINDOW w AS (PARTITION BY segment_id ORDER BY frame)),
+q AS (SELECT segment_id, frame, t_ns, x, y, y * pi() / 2 AS half, p, var < 0.008 AS fine, nullif(concat_ws(',', CASE WHEN p IN (1, n) THEN 'endpoint' END, CASE WHEN carrier = 2 AND NOT coalesce(led, false) THEN 'turn_entry' END,
+  CASE WHEN carrier = 2 AND row_number() OVER (PARTITION BY segment_id, carrier = 2, run ORDER BY x DESC, frame) = 1 THEN 'turn_peak' END, CASE WHEN carrier = 2 AND NOT coalesce(leads, false) THEN 'turn_exit' END,
+  CASE WHEN after <> status THEN 'gnss_before_change' END, CASE WHEN before <> status THEN 'gnss_state_change' END), '') AS forced FROM r),
+walk(segment_id, p, frame, x, y, half, t_ns, reasons) AS (
+  SELECT segment_id, p, frame, x, y, half, t_ns, concat_ws(',', forced, CASE WHEN NOT fine THEN 'quality_override' END) FROM q WHERE p = 1
+  UNION ALL
+  SELECT segment_id, p, frame, CASE WHEN hit THEN x ELSE lx END, CASE WHEN hit THEN y ELSE ly END, CASE WHEN hit THEN half ELSE lh END, CASE WHEN hit THEN t_ns ELSE lt END,
+    CASE WHEN hit THEN concat_ws(',', forced, CASE WHEN far THEN 'translation' END, CASE WHEN turned THEN 'rotation' END, CASE WHEN late THEN 'max_elapsed' END, CASE WHEN NOT fine THEN 'quality_override' END) END
+  FROM (SELECT *, forced IS NOT NULL OR late OR (fine AND (far OR turned)) AS hit FROM (SELECT q.*, l.x AS lx, l.y AS ly, l.half AS lh, l.t_ns AS lt, sqrt(pow(q.x - l.x, 2) + pow(q.y - l.y, 2)) >= 1 - 1e-12 AS far,
+    degrees(2 * acos(least(1, abs(cos(q.half - l.half))))) >= 40 - 40e-12 AS turned, (q.t_ns - l.t_ns) / 1e9 >= 200000 - 200000e-12 AS late FROM walk l JOIN q ON q.segment_id = l.segment_id AND q.p = l.p + 1)))
+SELECT segment_id, frame, reasons FROM walk WHERE reasons IS NOT NULL""")
 def t4_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = c("y") * math.pi / 2
     rows = track(spark, sf_dir).withColumns({"z": F.lit(0.0), "qx": F.lit(0.0), "qy": F.lit(0.0), "qz": F.sin(half), "qw": F.cos(half), "turning": c("carrier") == 2, "step_deg": c("x"), "acceptable": c("var") < 0.008})
