@@ -1,5 +1,7 @@
 """Notices through the index against a search that tries every place, and layout cases of pages."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -103,3 +105,26 @@ def test_layout_cases(markup, shown):
 ])
 def test_text_is_bounded_by_the_page(markup):
     assert len(visible_text(markup)) < 60 * len(markup) + 1000
+
+
+def looked_up(text, index, vocabulary, policy):
+    data, off = _text.text_bytes(pa.array([text]))
+    w = _text.words(data, off, _text.NOT_ALNUM, lower=True)
+    number = licenses._numbered(w, vocabulary)
+    tracemalloc.start()
+    found = list(licenses.found_notices(number, w, index, policy))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return found, peak
+
+
+def test_memory_does_not_grow_with_a_text_of_indexed_words():
+    """Megabytes of words that many notices hold, alone and round a notice at every place against the stretches."""
+    vocabulary, policy = licenses._vocabulary(licenses.NOTICES), licenses.LicensePolicy()
+    index = licenses.NoticeIndex.of(licenses.NOTICES, vocabulary, np.ones(len(vocabulary)), policy)
+    assert looked_up("software license " * 600_000, index, vocabulary, policy) == ([], pytest.approx(0, abs=60e6))
+    whole = max(licenses.NOTICES, key=lambda n: len(n.words))
+    for before in (0, licenses.STRETCH - 60, licenses.STRETCH - 1, licenses.STRETCH, 3 * licenses.STRETCH + 7):
+        text = "software " * before + whole.words + " license" * 50_000
+        found, peak = looked_up(text, index, vocabulary, policy)
+        assert (0, licenses.NOTICES.index(whole), 1.0) in found and peak < 200e6

@@ -8,17 +8,18 @@ intersected by that relative position, give or take ``drift`` words, so that ins
 much weight of indexed words meets as a good match can't do without are looked at whole. There each word of the notice
 counts if the file has it within the drift; a notice is found if ``agreement`` of its weight does, and its mandatory key
 phrase stands consecutively at that place. As ``indexed`` exceeds ``1 - agreement``, no good match escapes the index.
-All hashing and matching is numpy over Arrow slices.
+Notices whose key phrase the slice doesn't hold aren't looked up at all, the others only in stretches of words in which it
+may end such a notice, so what is held at once is bounded by a stretch. All hashing and matching is numpy over Arrow slices.
 
 Defined results: a null or empty text has no words, places or labels and score 0; repeated rows get equal results, ids
-may be null or repeat; very long texts are slices of their own; ties in rarity are broken by position; an empty table
+may be null or repeat; very long texts are slices of their own, of which a task holds some arrays as long as the text; ties in rarity are broken by position; an empty table
 gives no rows; other columns of the input, whatever their names, aren't looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +90,10 @@ def _places(number: np.ndarray, row: np.ndarray, wanted: np.ndarray) -> np.ndarr
     return at
 
 
+#: Words that are looked up in the index at once.
+STRETCH = 4096
+
+
 @dataclass
 class NoticeIndex:
     """Notices as word numbers with shares of weight, and the postings of their rarest words, sorted by word."""
@@ -141,6 +146,11 @@ class NoticeIndex:
         notice, start = (good // (gap + 8 * d)) % len(self.label), good % (gap + 8 * d) - 4096 // 2 - 2 * d
         return notice, start
 
+    def only(self, notices: list[int]) -> NoticeIndex:
+        """The index with the postings of these notices alone."""
+        held = np.isin(self.post_notice, notices)
+        return replace(self, post_word=self.post_word[held], post_notice=self.post_notice[held], post_place=self.post_place[held], post_share=self.post_share[held])
+
     def least(self, policy: LicensePolicy) -> float:
         """Indexed weight that a match of the wanted agreement holds at least."""
         return policy.agreement + policy.indexed - 1 - 1e-6
@@ -157,24 +167,39 @@ class NoticeIndex:
 
 
 def found_notices(number: np.ndarray, w: _text.Words, index: NoticeIndex, policy: LicensePolicy) -> Iterator[tuple[int, int, float]]:
-    """(row, notice, agreement) of the notices found in a slice."""
-    notices, starts = index.candidates(number, w.row, policy)
-    for notice in np.unique(notices).tolist():
-        begin, key = index.key[notice]
-        place = _places(number, w.row, key)
-        if not len(place):
-            continue
-        start = starts[notices == notice]
-        # the key phrase stands at its place, give or take the drift
-        near = np.searchsorted(place, start + begin - policy.drift, side="left")
-        here = place[np.minimum(near, len(place) - 1)]
-        held = (near < len(place)) & (here <= start + begin + policy.drift)
-        start, row = start[held], w.row[here[held]]
-        for k in range(0, len(start), 4096):
-            at, of = start[k : k + 4096], row[k : k + 4096]
-            got = index.agreements(notice, at, number, w.first[of], w.first[of + 1], policy)
-            for j in np.flatnonzero(got >= policy.agreement - 1e-9).tolist():
-                yield int(of[j]), notice, round(min(float(got[j]), 1.0), 9)
+    """(row, notice, agreement) of the notices found in a slice.
+
+    Only notices whose key phrase stands somewhere are looked up, and only where it does: a stretch of ``STRETCH`` words at
+    a time, with what a notice that begins there may reach. So memory doesn't grow with the text, whatever its words.
+    """
+    phrase = {}
+    for notice, (begin, key) in enumerate(index.key):
+        if len(place := _places(number, w.row, key)):
+            phrase[notice] = begin, place
+    if not phrase:
+        return
+    index = index.only(list(phrase))
+    stretches = [np.unique((place - begin)[:, None] + np.array([-policy.drift, policy.drift])) // STRETCH for begin, place in phrase.values()]
+    reach = max(len(x) for x in index.words) + policy.drift
+    for s in np.unique(np.concatenate(stretches)).tolist():
+        low, high = max(s * STRETCH - policy.drift, 0), max((s + 1) * STRETCH + reach, 0)
+        notices, starts = index.candidates(number[low:high], w.row[low:high], policy)
+        starts = starts + low
+        own = (starts >= s * STRETCH) & (starts < (s + 1) * STRETCH)
+        notices, starts = notices[own], starts[own]
+        for notice in np.unique(notices).tolist():
+            begin, place = phrase[notice]
+            start = starts[notices == notice]
+            # the key phrase stands at its place, give or take the drift
+            near = np.searchsorted(place, start + begin - policy.drift, side="left")
+            here = place[np.minimum(near, len(place) - 1)]
+            held = (near < len(place)) & (here <= start + begin + policy.drift)
+            start, row = start[held], w.row[here[held]]
+            for k in range(0, len(start), 4096):
+                at, of = start[k : k + 4096], row[k : k + 4096]
+                got = index.agreements(notice, at, number, w.first[of], w.first[of + 1], policy)
+                for j in np.flatnonzero(got >= policy.agreement - 1e-9).tolist():
+                    yield int(of[j]), notice, round(min(float(got[j]), 1.0), 9)
 
 
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"

@@ -8,7 +8,8 @@ from tracklake.llm.repetition import RepetitionPolicy
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x20\x09-\x0D]+"
 
-OP2 = """WITH c AS (SELECT vec_id, list_transform(embedding[1:64], lambda x: CAST(x > 0 AS INTEGER)) AS s FROM embeddings WHERE len(embedding) >= 64),
+OP2 = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) >= 64 AND len(list_filter(embedding, lambda x: x IS NULL)) = 0),
+c AS (SELECT vec_id, list_transform(range(1, 65), lambda j: CAST(list_sum(list_transform(range(j, len(e) + 1, 64), lambda i: e[i])) > 0 AS INTEGER)) AS s FROM e),
 p AS (SELECT q.vec_id AS query_id, b.vec_id AS id, CAST(list_sum(list_transform(list_zip(q.s, b.s), lambda z: CAST(z[1] <> z[2] AS INTEGER))) AS INTEGER) AS distance FROM c q JOIN c b ON q.vec_id <> b.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank, id, distance FROM p QUALIFY rank <= 10"""
 
