@@ -23,18 +23,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_PROVIDER, _WIDTH = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
 
 
 @contextmanager
 def rocksdb_state(spark: SparkSession) -> Iterator[None]:
-    """Queries that are started inside keep their state in RocksDB, which timers and list state need."""
-    before = spark.conf.get(_PROVIDER)
+    """Queries that are started inside keep their state in RocksDB, which timers and list state need.
+
+    Every state partition is a store and a Python worker's turn in each micro-batch, so there are two for a core at most.
+    """
+    before = {k: spark.conf.get(k) for k in (_PROVIDER, _WIDTH)}
     spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(_WIDTH, str(min(int(before[_WIDTH]), 2 * spark.sparkContext.defaultParallelism)))
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 class Walk(Protocol):
