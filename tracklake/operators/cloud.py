@@ -67,7 +67,8 @@ def holes_filled(pixels: DataFrame, least: int, absolute: float, relative: float
     told = pixels.withColumn("_s", F.explode(steps)).select(*keys, (F.col("u") + F.col("_s.du")).alias("u"), (F.col("v") + F.col("_s.dv")).alias("v"), "z")
     near = told.groupBy(*keys, "u", "v").agg(F.count("*").alias("n"), F.min("z").alias("low"), F.max("z").alias("high"), F.percentile("z", 0.5).alias("z"))
     good = (F.col("n") >= least) & (F.col("high") - F.col("low") <= F.greatest(F.lit(absolute), relative * F.col("low")))
-    return near.where(good).join(pixels.select(*keys, "u", "v"), [*keys, "u", "v"], "left_anti").select(*keys, "u", "v", "z")
+    # merged: pixels are often exploded rows, which Spark takes for small enough to broadcast
+    return near.where(good).join(pixels.select(*keys, "u", "v").hint("merge"), [*keys, "u", "v"], "left_anti").select(*keys, "u", "v", "z")
 
 
 def tile_owner(points: DataFrame, tiles: DataFrame, high_u: float, high_v: float, tolerance: float = 1e-9) -> DataFrame:

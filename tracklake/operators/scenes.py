@@ -128,7 +128,8 @@ def transferred_depth(pixels: DataFrame, depths: DataFrame, colors: DataFrame, p
     views = checkpointed(views).select(key, index, "color_index", *[v.alias(n) for n, v in (turn | move).items()])
     x, y, z = cloud.back_projected(c("u"), c("v"), c("z"), *[F.lit(v) for v in (source.fx, source.fy, source.cx, source.cy)])
     seen = [c(f"m{3 * i}") * x + c(f"m{3 * i + 1}") * y + c(f"m{3 * i + 2}") * z + c(f"t{i}") for i in range(3)]
-    rows = pixels.select(key, index, "u", "v", "z").join(checkpointed(views), [key, index])
+    # merged, not broadcast: Spark takes rows that were exploded into pixels for as few bytes as those before
+    rows = pixels.select(key, index, "u", "v", "z").join(checkpointed(views).hint("merge"), [key, index])
     rows = rows.select(key, "color_index", *[v.alias(n) for n, v in zip("xyz", seen, strict=True)]).where("z > 0")
     u, v = cloud.projected(c("x"), c("y"), c("z"), *[F.lit(v) for v in (target.fx, target.fy, target.cx, target.cy)])
     on = (key, "color_index")
@@ -136,7 +137,7 @@ def transferred_depth(pixels: DataFrame, depths: DataFrame, colors: DataFrame, p
     holes = cloud.holes_filled(near, policy.least_neighbours, policy.absolute_m, policy.relative, *on)
     inside = c("u").between(0, target.width - 1) & c("v").between(0, target.height - 1)
     out = near.withColumn("filled", F.lit(False)).unionByName(holes.where(inside).withColumn("filled", F.lit(True)))
-    held = pixels.select(key, index).join(won, [key, index]).select(*on)
+    held = pixels.select(key, index).join(won.hint("merge"), [key, index]).select(*on)
     return out, images.projection_coverage(held, out, target.width * target.height, policy.min_coverage, policy.min_retention, *on)
 
 
