@@ -264,7 +264,9 @@ def j25_rig_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src2_src4_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracklake.functions.keys import stamp_ns
 
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat((1_700_000_000 + c("o_orderkey")).cast("string"), F.lit("-"), c("o_custkey").cast("string")).alias("stamp"), F.concat(F.lit("1700000000."), F.lpad(c("o_orderkey").cast("string"), 6, "0")).alias("seconds"))
+    micros = F.lpad((c("o_orderkey") % 1_000_000).cast("string"), 6, "0")
+    seconds = F.concat((1_700_000_000 + F.floor(c("o_orderkey") / 1_000_000)).cast("string"), F.lit("."), micros)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat((1_700_000_000 + c("o_orderkey")).cast("string"), F.lit("-"), c("o_custkey").cast("string")).alias("stamp"), seconds.alias("seconds"))
     return rows.select("o_orderkey", stamp_ns(c("stamp")).alias("t_ns"), readers.seconds_ns(c("seconds")).alias("t2_ns"))
 
 
