@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Fixed values of WGS84: semi-major axis and first eccentricity squared.
 WGS84_A = 6378137.0
@@ -37,3 +41,9 @@ def ned_to_enu_covariance(nn: Column, ne: Column, nd: Column, ee: Column, ed: Co
 def circular_difference(a: Column, b: Column) -> Column:
     """Angle a - b in radians, in (-pi, pi]."""
     return F.atan2(F.sin(a - b), F.cos(a - b))
+
+
+@F.pandas_udf(DoubleType())
+def atan2_c(y: pd.Series, x: pd.Series) -> pd.Series:
+    """atan2 to the last bit as the C library has it, which decides where two directions are exactly half a turn apart; Java's may differ there."""
+    return pd.Series([*map(math.atan2, y, x)], dtype=float)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracklake.functions import geodesy
 from tracklake.operators import association, chunks, selection, series
 from tracklake.plans.registry import query
 from tracklake.plans.time_queries import TOL
@@ -41,7 +42,8 @@ def w2_one_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ONE_SQL}, d AS (SELECT row_id, t_ns, a, a - lag(a) OVER (ORDER BY t_ns, row_id) AS d FROM one)
 SELECT row_id, round(a + sum(CASE WHEN d > pi() THEN -2 * pi() WHEN d < -pi() THEN 2 * pi() ELSE 0 END) OVER (ORDER BY t_ns, row_id ROWS UNBOUNDED PRECEDING), 6) AS angle FROM d""")
 def w10_one_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.unwrapped(_one(spark, sf_dir), "segment_id", _ORDER, "a", "angle").select("row_id", F.round("angle", 6).alias("angle"))
+    rows = _one(spark, sf_dir).withColumn("a", geodesy.atan2_c(c("y") - 0.5, c("x") - 0.5))
+    return chunks.unwrapped(rows, "segment_id", _ORDER, "a", "angle").select("row_id", F.round("angle", 6).alias("angle"))
 
 
 @query(f"""WITH {ONE_SQL}, n AS (SELECT row_id, v, place, max(CASE WHEN v IS NOT NULL THEN place END) OVER (ORDER BY place) AS lo,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tracklake.functions import geodesy
 from tracklake.operators import association as a
 from tracklake.operators import quality as q
 from tracklake.operators import series as s
@@ -311,7 +312,7 @@ g AS (SELECT segment_id, frame, {ANGLE} AS a, {ANGLE} - lag({ANGLE}) OVER (PARTI
 SELECT segment_id, frame, round(a + sum(CASE WHEN d > pi() THEN -2 * pi() WHEN d < -pi() THEN 2 * pi() ELSE 0 END) OVER (PARTITION BY segment_id ORDER BY frame ROWS UNBOUNDED PRECEDING), 6) AS angle
   FROM g""")
 def w10_unwrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = track(spark, sf_dir).withColumn("a", F.atan2(F.col("y") - 0.5, F.col("x") - 0.5))
+    rows = track(spark, sf_dir).withColumn("a", geodesy.atan2_c(F.col("y") - 0.5, F.col("x") - 0.5))
     return s.unwrapped(rows, _by_frame(), "a", "angle").select("segment_id", "frame", F.round("angle", 6).alias("angle"))
 
 
