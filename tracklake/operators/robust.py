@@ -8,6 +8,7 @@ multiplied by hypotheses as rows, and a key with very many pairs is many tasks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from tracklake.functions import symmetric
 from tracklake.operators.alignment import aligned, moments, rigid_fit
 from tracklake.operators.pairs import checkpointed
+from tracklake.operators.scans import dealt
 
 #: Pairs that a worker scores at once.
 BLOCK = 8192
@@ -43,6 +45,21 @@ def weighted_rigid(rows: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, n
     return r, mean[3:] - r @ mean[:3]
 
 
+def weighted_rigids(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """weighted_rigid() of many equally long lists of pairs at once: 9 of a rotation and 3 of a translation of each that isn't in a line."""
+    total = weights.sum(1)[:, None]
+    mean = (weights[:, :, None] * rows).sum(1) / total
+    p, q = rows[:, :, :3] - mean[:, None, :3], rows[:, :, 3:] - mean[:, None, 3:]
+    wide = (np.linalg.svd(p * np.sqrt(weights / total)[:, :, None], compute_uv=False) > 1e-9).sum(1) >= 2
+    p, q, mean, weights = p[wide], q[wide], mean[wide], weights[wide]
+    left, _, right = np.linalg.svd((q * weights[:, :, None]).transpose(0, 2, 1) @ p)
+    sign = np.sign(np.linalg.det(left @ right))
+    left[:, :, 2] *= np.where(sign == 0, 1.0, sign)[:, None]
+    r = left @ right
+    return np.concatenate([r.reshape(-1, 9), mean[:, 3:] - (r @ mean[:, :3, None])[:, :, 0]], axis=1)
+
+
+@lru_cache(maxsize=256)
 def draws(n: int, hypotheses: int, seed: int) -> list[np.ndarray]:
     """Three different places out of n for each hypothesis; where there are enough pairs no pair is drawn twice."""
     if n < 3:
@@ -64,13 +81,14 @@ def normalized_residuals(rows: np.ndarray, limit: np.ndarray, models: np.ndarray
 
 def _by_block(held: DataFrame, models: DataFrame, keys: list[str], schema: str, score) -> DataFrame:  # noqa: ANN001
     """``score(keys' values, pairs of a block, the key's row of models)`` for every block of every key."""
-    there = models.join(held.groupBy(*keys).agg(F.max("_block").alias("_last")), keys).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), "_last"))).drop("_last")
+    there = models.join(held.groupBy(*keys).agg(F.max("_block").alias("_last")), keys).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), "_last")))
     columns = [f.split()[0].strip("`") for f in schema.split(", ")]
 
     def run(name: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(score(name[:-1], left, right.iloc[0]) if len(left) and len(right) else [], columns=columns)
 
-    return held.groupBy(*keys, "_block").cogroup(there.groupBy(*keys, "_block")).applyInPandas(run, schema)
+    at = [*keys, "_block"]
+    return dealt(held, *at).groupBy(*at).cogroup(dealt(there, *at).groupBy(*at)).applyInPandas(run, schema)
 
 
 _PAIR = [*"xyzuvw"]
@@ -78,13 +96,21 @@ _PAIR = [*"xyzuvw"]
 
 
 def _scores(held: DataFrame, models: DataFrame, keys: list[str], kinds: str) -> DataFrame:
-    """keys, h, n inliers, their mark (equal for equal sets) and the sum of their normalised residuals."""
+    """keys, h, n inliers, their mark (equal for equal sets) and the sum of their normalised residuals.
+
+    Of a key with one block only the models with most inliers come, and of equal sets of those the first: no other can be the best.
+    """
 
     def score(name: tuple, left: pd.DataFrame, row: pd.Series) -> list[tuple]:
         e = normalized_residuals(left[_PAIR].to_numpy(float), left["_limit"].to_numpy(float), np.reshape(row["models"], (-1, 12)))
         inside = e <= 1
         marks = np.bitwise_xor.reduce(np.where(inside, left["_mark"].to_numpy(np.int64)[:, None], 0), axis=0)
-        return [(*name, h, *x) for h, x in enumerate(zip(inside.sum(0).tolist(), marks.tolist(), np.where(inside, e, 0).sum(0).tolist(), strict=True))]
+        n, total = inside.sum(0), np.where(inside, e, 0).sum(0)
+        at = np.arange(len(n))
+        if row["_last"] == 0:
+            at = np.flatnonzero(n == n.max())
+            at = np.sort(at[np.unique(marks[at], return_index=True)[1]])
+        return [(*name, h, *x) for h, *x in zip(at.tolist(), n[at].tolist(), marks[at].tolist(), total[at].tolist(), strict=True)]
 
     counted = _by_block(held, models, keys, f"{kinds}, h int, n long, mark long, total double", score)
     return counted.groupBy(*keys, "h").agg(F.sum("n").alias("n"), F.bit_xor("mark").alias("mark"), F.sum("total").alias("total"))
@@ -168,11 +194,10 @@ def robust_alignment(pairs: DataFrame, threshold: Column, *keys: str, weight: Co
     def hypothesise(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_k")
         values, weights = rows[_PAIR].to_numpy(float), rows["_weight"].to_numpy(float)
-        fits = [weighted_rigid(values[at], weights[at]) for at in draws(len(rows), hypotheses, seed)]
-        flat = [v for fit in fits if fit is not None for v in (*fit[0].ravel().tolist(), *fit[1].tolist())]
-        return pd.DataFrame([(*rows.iloc[0][by], flat)], columns=[*by, "drawn"])
+        at = np.array(draws(len(rows), hypotheses, seed), int).reshape(-1, 3)
+        return pd.DataFrame([(*(rows[k].iloc[0] for k in by), weighted_rigids(values[at], weights[at]).ravel())], columns=[*by, "drawn"])
 
-    drawn = drawn.groupBy(*by).applyInPandas(hypothesise, f"{kinds}, drawn array<double>")
+    drawn = dealt(drawn, *by).groupBy(*by).applyInPandas(hypothesise, f"{kinds}, drawn array<double>")
     whole = rigid_fit(moments(held, *by, weight=F.col("_weight")), *by).where("rank >= 2").select(*by, F.concat("rotation", "translation").alias("whole"))
     models = drawn.join(whole, by, "left").select(*by, F.concat(F.coalesce("whole", F.array().cast("array<double>")), "drawn").alias("models")).where("size(models) > 0")
     best = _best(held, checkpointed(models), by, kinds)

@@ -10,6 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows hashed by the keys to as many tasks as shuffles have partitions.
+
+    Spark would put partitions of few bytes together into one task; with the number given it doesn't, and Python's work stays spread.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 #: Rows that a worker gathers before it hands them on.
 BATCH = 8192
 
@@ -29,5 +38,5 @@ def scanned(df: DataFrame, keys: list[str], order: list[str], values: list[str],
         while part := list(islice(found, BATCH)):
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*part, strict=True), arrow, strict=True)], schema=arrow)
 
-    placed = df.select(*columns, *[c for c in order if c not in columns]).repartition(*keys).sortWithinPartitions(*keys, *order)
+    placed = dealt(df.select(*columns, *[c for c in order if c not in columns]), *keys).sortWithinPartitions(*keys, *order)
     return placed.select(*columns).mapInArrow(run, schema)
