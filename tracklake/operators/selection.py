@@ -22,6 +22,8 @@ from pyspark.sql.types import DoubleType, LongType
 from tracklake.operators.pairs import checkpointed
 
 STEP = 16
+#: Ranks up to which what a pass looks for is broadcast; of more, the join is sized (and split where it is skewed) by Spark.
+BROADCAST = 100_000
 
 
 @F.pandas_udf(LongType())
@@ -51,6 +53,8 @@ def ranked(values: DataFrame, ranks: DataFrame, keys: Sequence[str]) -> DataFram
     for shift in range(64 - STEP, -1, -STEP):
         own = checkpointed(own)
         wanted = own.select(*mine, "_prefix").distinct()
+        if own.count() <= BROADCAST:  # else a group of any size would be one task of a join by its keys
+            wanted = F.broadcast(wanted)
         near = _same(keys, mine)
         if shift < 64 - STEP:
             near = near & (F.shiftright("bits", shift + STEP) == F.col("_prefix"))
