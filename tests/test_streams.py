@@ -2,11 +2,13 @@
 
 import random
 import time as clock
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
 from tracklake.operators import association, series
-from tracklake.streaming import pairing
+from tracklake.streaming import ordered, pairing
 from tracklake.streaming.ordered import rocksdb_state
 
 SECOND = 1_000_000_000
@@ -159,3 +161,75 @@ def test_streamed_nearest(spark, tmp_path):
         j = min(range(50), key=lambda j: (abs(smp[j] - ref[r.i]), smp[j]))
         assert (r.sample_index, r.residual_ns) == ((j, smp[j] - ref[r.i]) if abs(smp[j] - ref[r.i]) <= 40 else (None, None))
     assert len(got) == 50
+
+
+def test_nearest_takes_the_smallest_index_of_samples_at_one_time(spark, tmp_path):
+    rows = [("a", 1, 3, 5 * SECOND), ("a", 1, 2, 5 * SECOND), ("a", 0, 9, 6 * SECOND), ("a", 1, 8, 8 * SECOND), ("a", 1, 7, 8 * SECOND)]
+    got = run_stream(spark, tmp_path, [[*rows, (None, None, None, END)]], SIDED, lambda s: pairing.nearest_stream(s, 3 * SECOND))
+    table = spark.createDataFrame(rows, SIDED)
+    twin = association.nearest(table.where("side = 0"), table.where("side = 1"), 3 * SECOND, time="t", index="i")
+    assert [r.sample_index for r in got.collect()] == [r.sample_index for r in twin.collect()] == [2]
+
+
+class _State(dict):
+    """A map state and value states of one bucket, and its timers."""
+
+    def __init__(self):
+        super().__init__()
+        self.timers, self.most = [], 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        held = []
+        return SimpleNamespace(exists=lambda: bool(held), get=lambda: held[0], update=lambda v: held.__setitem__(slice(None), [v]), clear=held.clear)
+
+    def updateValue(self, k, v):
+        self[k] = v
+
+    def getValue(self, k):
+        return self[k]
+
+    def removeKey(self, k):
+        del self[k]
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_rows_wait_as_blocks_and_are_walked_some_blocks_at_a_time(monkeypatch):
+    monkeypatch.setattr(ordered, "_BLOCK", 50)
+    monkeypatch.setattr(ordered, "_GATHERED", 1000)
+    monkeypatch.setattr(ordered, "_SWEEP", 3)
+    rng = random.Random(6)
+    rows = [(0, rng.choice("ab"), rng.randrange(5000) * SECOND, False, i, i % 97) for i in range(5000)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("bucket", "key", "at", "beat", "i", "t"), r)) for r in rows[k : k + 300]]) for k in range(0, 5000, 300)]
+    blocks = pa.Table.from_batches(list(ordered._blocks(iter(batches)))).to_pandas()
+    assert len(blocks) < 150
+    sizes = []
+    walked = ordered.InOrder._walked
+    monkeypatch.setattr(ordered.InOrder, "_walked", lambda self, held, walk: sizes.append(len(held)) or walked(self, held, walk))
+    state = _State()
+    one = ordered.InOrder(pairing.NotAfter(), ["at", "i", "t"], ["at", "i"], ["k", "i", "t", "problem"], {"i": "i", "t": "t"})
+    one.init(state)
+    at = lambda s: SimpleNamespace(getCurrentWatermarkInMs=lambda: s * 1000)
+    assert not list(one.handleInputRows((0,), iter([blocks]), at(0)))
+    got = []
+    for s in (1234, 6000):
+        gone, state.timers = state.timers[0], state.timers
+        got += [r for f in one.handleExpiredTimer((0,), at(s), SimpleNamespace(getExpiryTimeInMs=lambda: gone)) for r in f[["k", "i"]].itertuples(index=False, name=None)]
+        state.timers = [t for t in state.timers if t != gone]
+    expected = []
+    for k in "ab":
+        newest = -1
+        for _, _, _, _, i, t in sorted((r for r in rows if r[1] == k), key=lambda r: (r[2], r[4])):
+            expected += [(k, i)] if t <= newest else []
+            newest = max(newest, t)
+    assert sorted(got) == sorted(expected) and not state and sum(sizes) == 5000 and max(sizes) < 1000

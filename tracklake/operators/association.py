@@ -41,7 +41,8 @@ def _around(both: DataFrame, exact_below: bool, bucketed: bool) -> DataFrame:
     # references stand before samples of the same time, so "before" is strict and "after" includes the same time
     if bucketed:
         part, so_far = Window.partitionBy("key", "bucket"), (Window.unboundedPreceding, 0)
-        below = F.last("s", ignorenulls=True).over(part.orderBy("t", "side", "i").rowsBetween(*so_far))
+        # of samples at one time the smallest index is the nearest
+        below = F.last("s", ignorenulls=True).over(part.orderBy("t", "side", F.col("i") if exact_below else F.col("i").desc()).rowsBetween(*so_far))
         above = F.last("s", ignorenulls=True).over(part.orderBy(*[F.col(o).desc_nulls_last() for o in ("t", "side", "i")]).rowsBetween(*so_far))
         out = both.withColumns({"below": below, "above": above})
     else:

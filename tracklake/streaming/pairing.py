@@ -24,8 +24,6 @@ _BEHIND = {"i": "i", "t": "at"}
 class Pairs:
     """Each side waits; the earliest feasible pair first. Kept: the rows that something still to come may reach."""
 
-    carried = "t array<long>, i array<long>, sides array<int>"
-
     def __init__(self, tolerance_ns: int) -> None:
         self.tolerance_ns = tolerance_ns
 
@@ -69,8 +67,6 @@ class Pairs:
 class Nearest:
     """References wait for the first sample at or after them, or until none can be near. Kept: these, and the last sample."""
 
-    carried = "t array<long>, i array<long>, below_t array<long>, below_i array<long>, last array<long>"
-
     def __init__(self, tolerance_ns: int) -> None:
         self.tolerance_ns = tolerance_ns
 
@@ -89,7 +85,8 @@ class Nearest:
         if side:
             while self.waiting:
                 yield self._answer((t, i))
-            self.last = t, i
+            if self.last is None or self.last[0] < t:  # of samples at one time, the smallest index is the nearest
+                self.last = t, i
         else:
             self.waiting.append((t, i, *(self.last or (None, None))))
 
@@ -113,8 +110,6 @@ class Nearest:
 class DistanceSamples:
     """Kept: the last position and the path so far; after ``idle_ns`` without a row they go, and a new path starts."""
 
-    carried = "x double, y double, z double, path double, t long"
-
     def __init__(self, spacing_m: float, idle_ns: int | None) -> None:
         self.spacing_m, self.idle_ns = spacing_m, idle_ns
 
@@ -148,8 +143,6 @@ class DistanceSamples:
 class NotAfter:
     """Rows whose header isn't after the newest one before. Kept: that one."""
 
-    carried = "newest long"
-
     def resume(self, carry: tuple | None) -> None:
         self.newest = carry[0] if carry else None
 
