@@ -91,3 +91,16 @@ def test_scene_completeness(spark):
 def test_roles(spark):
     rows = spark.createDataFrame([(1, "holdout"), (1, "holdout"), (2, "holdout"), (2, "calibration"), (3, "holdout"), (3, "none")], "frame int, role string")
     assert {r.frame: r.role for r in trajectory.united_roles(rows, "frame").collect()} == {1: "holdout", 2: "calibration", 3: "excluded"}
+
+
+def test_steps_of_exactly_the_bound_pass(spark):
+    from pyspark.sql import Window
+
+    from tracklake.operators import acceptance
+
+    # each segment makes one step of two metres, a twentieth of which is the bound
+    rows = [(k, f, f, (k + 200.0 * f) / 100, 1.05 * (k + 200.0 * f) / 100, True) for k in range(200) for f in (0, 1)]
+    df = spark.createDataFrame(rows, "segment_id long, frame long, t_ns long, x double, u double, inlier boolean").selectExpr("*", "0D AS y", "0D AS z", "0D AS v", "0D AS w")
+    out = acceptance.path_gates(df, Window.partitionBy("segment_id").orderBy("frame"), acceptance.PathPolicy(30, 0.25, 0.02, 0.1, 2, 0.7))
+    got = {(r.name, r.passed) for r in out.where("name in ('step_vector', 'step_length')").collect()}
+    assert got == {("step_vector", True), ("step_length", True)}

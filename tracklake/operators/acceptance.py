@@ -33,10 +33,11 @@ def path_gates(df: DataFrame, w: WindowSpec, policy: PathPolicy = PathPolicy(),
     """Checks of a refined path (u, v, w) against its prior (x, y, z), with ``inlier`` marks: five rows a segment.
 
     Sliding path length, adjacent steps as vectors and in length, the longest run of outliers, and the inlier share.
+    Steps are told to a picometre, so one of exactly the bound passes whatever the last bits of its coordinates are.
     """
     windows = series.path_windows(df, w, policy.window_rows, ("x", "y", "z"), ("u", "v", "w"), policy.absolute_m, policy.relative)
     failed = windows.groupBy(key).agg(F.count_if("failed").alias("windows_failed"))
-    steps = trajectory.step_errors(df, w, key, index, ("x", "y", "z"), ("u", "v", "w")).select(key, "vector_m", "length_m")
+    steps = trajectory.step_errors(df, w, key, index, ("x", "y", "z"), ("u", "v", "w")).select(key, F.round("vector_m", 12).alias("vector_m"), F.round("length_m", 12).alias("length_m"))
     outliers = runs(df, "inlier", key, time, index).where("not inlier").groupBy(key).agg(F.max("n").alias("outlier_run"))
     share = df.groupBy(key).agg(F.avg(F.col("inlier").cast("double")).alias("inlier_share"))
     joined = share.join(steps, key).join(failed, key, "left").join(outliers, key, "left").fillna(0, ["windows_failed", "outlier_run"])
