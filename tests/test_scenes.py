@@ -98,3 +98,14 @@ def test_observations_may_lack_optional_tables(spark, tmp_path):
         readers.observations(spark, str(tmp_path), "gnss", "t_ns long")
     with pytest.raises(ValueError, match="unknown"):
         readers.observations(spark, str(tmp_path), "radar", "t_ns long")
+
+
+def test_observations_are_written_in_folders_of_many_segments(spark, tmp_path):
+    from pathlib import Path
+
+    import __spark_entry__ as entry
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rows = entry.queries()["src1_observations"](spark, "/root/testdata/sf0.001").count()
+    assert rows > 10
+    assert len(list(Path(tmp_path).glob("*/segments-*/frames/*/*.parquet"))) == 1

@@ -98,7 +98,7 @@ OBSERVATIONS = {"frames": True, "gnss": True, "heading": False, "imu": False}
 
 
 def observations(spark: SparkSession, root: str, kind: str, schema: str) -> DataFrame | None:
-    """Observation table ``kind`` under the root, with ``segment_id`` from its folders; None if an optional one is missing.
+    """Observation table ``kind`` under the root, with ``segment_id`` from its folders, or from its files where a folder holds many segments; None if an optional one is missing.
 
     The schema is given, not inferred: columns that a file lacks are null, others aren't read.
     """
