@@ -39,3 +39,10 @@ def test_query_gives_what_its_sql_gives(spark, name):
     assert columns == sorted(sql.columns)
     at = [sql.columns.index(c) for c in columns]
     assert sorted(tuple(shown(r[c]) for c in columns) for r in found.collect()) == sorted(tuple(shown(r[i]) for i in at) for r in sql.fetchall())
+
+
+def test_percentiles_are_not_kept_for_each_distinct_value(spark):
+    df = entry.queries()["a49_refinement_acceptance"](spark, "/root/testdata/sf0.001")
+    assert "Expand" not in df._jdf.queryExecution().optimizedPlan().toString() and df.count() == 8 * spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_suppkey").distinct().count()
+    # a distinct count beside a percentile groups the percentile by the distinct value first
+    assert "distinct " not in df._jdf.queryExecution().optimizedPlan().toString()
