@@ -218,6 +218,12 @@ def test_split_that_has_no_cut_or_too_few_tiles_raises(spark):
         planning.split_tiles(line, planning.SplitPolicy(max_frames=3, halo=0.1, max_tiles=4))
 
 
+def test_split_says_where_no_split_can_be(spark):
+    crowd = [(f, 1.0, 1.0) for f in range(9)] + [(f, float(f), 5.0) for f in range(9)]
+    with pytest.raises(ValueError, match="no split can be: 9 frames see the place 1.0, 1.0, 6 may be in a tile"):
+        planning.split_tiles(spark.createDataFrame(crowd, "frame int, u double, v double"), planning.SplitPolicy(max_frames=6, halo=0.1))
+
+
 def test_coverage_equals_the_greedy_one_by_one(spark):
     rng = random.Random(6)
     rows = sorted({(t, rng.randrange(40), f"c{rng.randrange(200)}") for t in range(4) for _ in range(900)} | {(9, 1, "only")})
