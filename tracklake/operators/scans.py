@@ -19,6 +19,20 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+#: Rows of a task of spread().
+TASK_ROWS = 1 << 18
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows hashed by the keys to tasks of about TASK_ROWS rows, as many tasks as shuffles have partitions at least.
+
+    Groupings and joins by these keys that follow need no other shuffle. Spark would size them by bytes, of which a row of a
+    grouping takes many times what it has in a shuffle; so what a task holds doesn't grow with the table.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(n, -(-df.count() // TASK_ROWS)), *keys)
+
+
 #: Rows that a worker gathers before it hands them on.
 BATCH = 8192
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklake.functions.keys import PAIR_BASE
-from tracklake.operators import checks, cloud, images, matching
+from tracklake.operators import checks, cloud, images, matching, scans
 from tracklake.plans.registry import query
 from tracklake.plans.space_queries import _COV, TILES_SQL, _covariance, _tiles, rounded
 from tracklake.plans.time_queries import QUALITY, _quality
@@ -87,7 +87,7 @@ SELECT pair_id, (pair_id - pair_id % {PAIR_BASE}) // {PAIR_BASE} AS image_a, pai
   LEFT JOIN part a ON a.p_partkey = (pair_id - pair_id % {PAIR_BASE}) // {PAIR_BASE}
   LEFT JOIN part z ON z.p_partkey = pair_id % {PAIR_BASE}""")
 def j22_pair_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _pairs(spark, sf_dir)
+    e = scans.spread(_pairs(spark, sf_dir), "pair_id")
     m, g = (e.where(w).groupBy("pair_id").agg(F.count("*").alias("n")) for w in ("l_quantity > 10", "l_quantity < 40"))
     return matching.pair_evidence(m, g, table(spark, sf_dir, "part").select(c("p_partkey").alias("image_id"), c("p_size").alias("frame")))
 
