@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracklake.functions import rotation
 from tracklake.functions.keys import stamp_ns
+from tracklake.operators.scans import spread
 
 _POSE = "tx double, ty double, tz double, qx double, qy double, qz double, qw double"
 
@@ -84,7 +85,7 @@ def number_text(x: Column) -> Column:
 
 def trajectory_lines(df: DataFrame, label: str, labels: list[str], *keys: str) -> DataFrame:
     """One row a key with x, y, z of each label as text of 12 digits."""
-    wide = df.groupBy(*keys).pivot(label, labels).agg(*[F.first(c).alias(c) for c in "xyz"])
+    wide = spread(df, *keys).groupBy(*keys).pivot(label, labels).agg(*[F.first(c).alias(c) for c in "xyz"])
     return wide.select(*keys, *[number_text(F.col(f"`{name}_{c}`")).alias(f"{name}_{c}") for name in labels for c in "xyz"])
 
 
