@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklake.operators.scans import spread
+
 
 def violations(key: str, *rules: tuple[str, DataFrame]) -> DataFrame:
     """(key, rule, n) of the rules that have violating rows."""
@@ -68,7 +70,7 @@ def registration(expected: DataFrame, registered: DataFrame, name: str, *keys: s
 
 def rig_state(images: DataFrame, rig_size: int, key: str, frame: str, camera: str) -> DataFrame:
     """State of each frame by its distinct cameras: singleton, partial, complete, or duplicate if a camera comes twice."""
-    n = images.groupBy(key, frame).agg(F.count("*").alias("n"), F.count_distinct(camera).alias("cameras"))
+    n = spread(images.select(key, frame, camera), key, frame).groupBy(key, frame).agg(F.count("*").alias("n"), F.count_distinct(camera).alias("cameras"))
     state = F.when(F.col("n") > F.col("cameras"), "duplicate").when(F.col("cameras") == rig_size, "complete").when(F.col("cameras") == 1, "singleton").otherwise("partial")
     return n.select(key, frame, "n", state.alias("state"))
 
