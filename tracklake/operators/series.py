@@ -7,13 +7,14 @@ operators (distance, unwrapping, gaps, runs, path windows) over ranges of rows.
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tracklake.operators import chunks
-from tracklake.operators.scans import scanned
+from tracklake.operators.pairs import checkpointed
+from tracklake.operators.scans import scanned, spread
 
 
 def ordered(key: str = "segment_id", *order: str) -> WindowSpec:
@@ -152,24 +153,80 @@ def every_kth(df: DataFrame, w: WindowSpec, k: int, offset: int = 0) -> DataFram
     return df.withColumn("_i", F.row_number().over(w) - 1).where(F.col("_i") % k == offset).drop("_i")
 
 
+#: Intervals of a group of decimated() at least.
+INTERVALS = 8
+
+
 def decimated(df: DataFrame, interval: int, key: str, time: str, index: str) -> DataFrame:
-    """key, index, time of rows at least ``interval`` after the last accepted one. The state is carried inside a key.
+    """key, index, time of rows at least ``interval`` after the last accepted one, the smallest index of a time. The state is carried inside a key.
 
-    Gaps of the interval or more restart it whatever came before, so a key is cut there.
+    A key is cut into groups of intervals, wherever its gaps are. A group's task finds for every row that may be its first
+    accepted one which row is then its last: chains from such rows soon meet, and at the end there are at most two more than the
+    emptiest of the group's intervals has rows. Over this table, about an eighth of the times at most, the state passes from
+    group to group; then every group is decimated from its own. A worker holds the times of a group's first interval.
     """
-    c = chunks.with_neighbour(chunks.chunked(df.select(key, index, time), [key], [time, index]), [])
-    restart = F.coalesce(F.col(time) - F.col(f"_before.{time}") >= interval, F.lit(True))
-    pieces = chunks.with_running(c, restart.cast("long"), "_piece").rows
-    kind = lambda c: df.schema[c].dataType.simpleString()
+    rows = df.select(key, index, time).where(F.col(time).isNotNull())
+    if interval <= 0:
+        return rows
+    low, high = rows.agg(F.min(time), F.max(time)).first()
+    if low is None:
+        return rows
+    kind = lambda c: f"`{c}` {df.schema[c].dataType.simpleString()}"
+    width = max(INTERVALS * interval, (high - low) / (4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    grouped = spread(rows.withColumn("_group", F.floor(F.col(time) / F.lit(float(width))).cast("long")), key, "_group", time)
+    first = checkpointed(grouped.groupBy(key, "_group", time).agg(F.min(index).alias(index)))
+
+    def chains(rows: Iterator[tuple]) -> Iterator[tuple]:
+        upto, joined = [], []  # the rows that may be the first one, and which one's chain each has met
+        at: deque[tuple] = deque()  # the last row of each chain, in order, and the chain
+        more = True
+        for k, g, t in rows:
+            chain = None
+            while at and t - at[0][0] >= interval:
+                met = at.popleft()[1]
+                chain, joined[met] = (met, met) if chain is None else (chain, chain)
+            if more:
+                chain = len(upto) if chain is None else chain
+                upto.append(t)
+                joined.append(chain)
+                more = t - upto[0] < interval
+            if chain is not None:
+                at.append((t, chain))
+        ends = {chain: t for t, chain in at}
+        held = None
+        for i, t in enumerate(upto):
+            while joined[i] != joined[joined[i]]:
+                joined[i] = joined[joined[i]]
+            end = ends[joined[i]]
+            if held is not None and held[1] != end:
+                yield k, g, *held
+            held = t, end
+        yield k, g, *held
+
+    def enter(rows: Iterator[tuple]) -> Iterator[tuple]:
+        last = after = group = None
+        for k, g, upto, end in rows:
+            if g != group:
+                group, last, met = g, after, False
+                if last is not None:
+                    yield k, g, last
+            if not met and (last is None or upto - last >= interval):
+                met, after = True, end
 
     def accept(rows: Iterator[tuple]) -> Iterator[tuple]:
         last = None
-        for k, _, i, t in rows:
-            if last is None or t - last >= interval:
+        for k, _, i, t, own in rows:
+            if own and (last is None or t - last >= interval):
                 yield k, i, t
                 last = t
+            elif not own:
+                last = t
 
-    return scanned(pieces, [key, "_piece"], [time, index], [index, time], accept, f"`{key}` {kind(key)}, `{index}` {kind(index)}, `{time}` {kind(time)}")
+    state = kind(time).removeprefix(f"`{time}`")
+    tables = scanned(first, [key, "_group"], [time], [time], chains, f"{kind(key)}, _group long, _upto {state}, _end {state}")
+    states = scanned(tables, [key], ["_group", "_upto"], ["_group", "_upto", "_end"], enter, f"{kind(key)}, _group long, {kind(time)}")
+    both = first.withColumn("_own", F.lit(True)).unionByName(states.withColumns({index: F.lit(None).cast(df.schema[index].dataType), "_own": F.lit(False)}))
+    return scanned(both, [key, "_group"], [time], [index, time, "_own"], accept, f"{kind(key)}, {kind(index)}, {kind(time)}")
 
 
 def inherited(df: DataFrame, w: WindowSpec, member: str, known: Column, out: str) -> DataFrame:
