@@ -33,6 +33,15 @@ def test_slerp_half_way(spark):
     assert one(spark, *same)[3] == pytest.approx(1)
 
 
+def test_slerp_of_small_turns_is_even(spark):
+    # a line between both ends is up to a part in 60 of the angle's third power off
+    q = lambda a: (0.0, 0.0, math.sin(a), math.cos(a))
+    rows = [(0.4, 0.4 + d, t) for d in (0.0, 1e-9, 1e-7, 1e-6, 2e-6, 1e-4, 0.005, 0.03, 0.0317, -0.03) for t in (0.0, 0.2, 0.5, 0.8, 1.0)]
+    df = spark.createDataFrame([(*q(a), *q(b), t, a + t * (b - a)) for a, b, t in rows], "ax double, ay double, az double, aw double, bx double, by double, bz double, bw double, t double, half double")
+    found = df.select(*[v.alias(n) for n, v in zip("xyzw", rotation.slerp(*[tuple(F.col(e + n) for n in "xyzw") for e in "ab"], F.col("t")), strict=True)], "half").collect()
+    assert len(found) == 50 and all(abs(math.atan2(r.z, r.w) - r.half) < 3e-15 and r.x == r.y == 0 for r in found)
+
+
 def test_eigenvalues(spark):
     rng = np.random.default_rng(0)
     for _ in range(5):

@@ -45,9 +45,9 @@ def angle_between(a: Quaternion, b: Quaternion) -> Column:
 
 
 def slerp(a: Quaternion, b: Quaternion, t: Column) -> Quaternion:
-    """The shorter way round; nearly equal ones are interpolated linearly."""
+    """The shorter way round; only where the angle is lost in the last digits of a double is it a line."""
     dot = sum((x * y for x, y in zip(a[1:], b[1:], strict=True)), a[0] * b[0])
-    sign, near = F.when(dot < 0, -1.0).otherwise(1.0), F.abs(dot) > 0.9995
+    sign, near = F.when(dot < 0, -1.0).otherwise(1.0), F.abs(dot) > 1 - 1e-12
     theta = F.acos(clipped(F.abs(dot)))
     wa = F.when(near, 1 - t).otherwise(F.sin((1 - t) * theta) / F.sin(theta))
     wb = sign * F.when(near, t).otherwise(F.sin(t * theta) / F.sin(theta))
