@@ -104,3 +104,37 @@ def test_steps_of_exactly_the_bound_pass(spark):
     out = acceptance.path_gates(df, Window.partitionBy("segment_id").orderBy("frame"), acceptance.PathPolicy(30, 0.25, 0.02, 0.1, 2, 0.7))
     got = {(r.name, r.passed) for r in out.where("name in ('step_vector', 'step_length')").collect()}
     assert got == {("step_vector", True), ("step_length", True)}
+
+
+def test_path_gates_hold_given_steps_as_they_are(spark):
+    from tracklake.operators import acceptance
+
+    # a step in the last bit over the bound fails, one of the bound passes; the longest is a segment's
+    rows = [(k, f, f, 2.0, 2.0 + s, s, True) for k, s in ((0, 0.1), (1, math.nextafter(0.1, 1))) for f in range(3)]
+    df = spark.createDataFrame(rows, "segment_id long, frame long, t_ns long, p double, r double, d double, inlier boolean")
+    out = acceptance.path_gates(df, by_frame(), acceptance.PathPolicy(2, 0.25, 0.02, 0.1, 2, 0.7), steps=("p", "r", "d"))
+    assert {r.segment_id: (r.passed, r.value) for r in out.where("name = 'step_vector'").collect()} == {0: (True, 0.1), 1: (False, math.nextafter(0.1, 1))}
+    assert {r.segment_id: r.value for r in out.where("name = 'sliding_window'").collect()} == {0: 0.0, 1: 0.0}
+
+
+def test_path_gates_give_what_their_sql_gives_at_the_bound(spark, tmp_path):
+    import datetime
+    import random
+
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    # the largest step of a segment is 200 in value, whose twentieth of a hundredth is the bound; every fifth segment is one row
+    rng, rows = random.Random(3), []
+    for k in range(300):
+        low = round(rng.expovariate(0.02), 2)
+        for v in [low, round(low + 200, 2), round(low + rng.uniform(1, 199), 2)][: 1 if k % 5 == 4 else 3]:
+            rows.append((len(rows), datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=len(rows)), k, "click", v, '{"k": %d}' % (7 if k % 2 else rng.randrange(100))))
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    sql = con.sql(f"select segment_id, name, value, passed from ({entry.oracle_sql()['w19_path_gates']})").fetchall()
+    found = entry.queries()["w19_path_gates"](spark, str(tmp_path)).select("segment_id", "name", "value", "passed").collect()
+    assert sorted(map(tuple, found), key=str) == sorted(sql, key=str)
+    assert {r[3] for r in sql if r[1] == "step_vector"} == {True, False, None}

@@ -29,18 +29,25 @@ class PathPolicy:
     min_inlier_share: float = 0.9
 
 
-def path_gates(df: DataFrame, w: WindowSpec, policy: PathPolicy = PathPolicy(), key: str = "segment_id", time: str = "t_ns", index: str = "frame") -> DataFrame:
+def path_gates(df: DataFrame, w: WindowSpec, policy: PathPolicy = PathPolicy(), key: str = "segment_id", time: str = "t_ns", index: str = "frame", steps: tuple[str, str, str] | None = None) -> DataFrame:
     """Checks of a refined path (u, v, w) against its prior (x, y, z), with ``inlier`` marks: five rows a segment.
 
     Sliding path length, adjacent steps as vectors and in length, the longest run of outliers, and the inlier share.
     Steps are told to a picometre, so one of exactly the bound passes whatever the last bits of its coordinates are.
+    ``steps``: columns with the lengths of a row's step in the prior and the refined path and of what lies between them, where these
+    are known rather than to be taken from coordinates; they are held against the bounds as they are.
     """
-    windows = series.path_windows(df, w, policy.window_rows, ("x", "y", "z"), ("u", "v", "w"), policy.absolute_m, policy.relative)
+    if steps is None:
+        prior, refined = ("x", "y", "z"), ("u", "v", "w")
+        worst = trajectory.step_errors(df, w, key, index, prior, refined).select(key, F.round("vector_m", 12).alias("vector_m"), F.round("length_m", 12).alias("length_m"))
+    else:
+        prior, refined, between = map(F.col, steps)
+        worst = df.groupBy(key).agg(F.max(between).alias("vector_m"), F.max(F.abs(refined - prior)).alias("length_m"))
+    windows = series.path_windows(df, w, policy.window_rows, prior, refined, policy.absolute_m, policy.relative)
     failed = windows.groupBy(key).agg(F.count_if("failed").alias("windows_failed"))
-    steps = trajectory.step_errors(df, w, key, index, ("x", "y", "z"), ("u", "v", "w")).select(key, F.round("vector_m", 12).alias("vector_m"), F.round("length_m", 12).alias("length_m"))
     outliers = runs(df, "inlier", key, time, index).where("not inlier").groupBy(key).agg(F.max("n").alias("outlier_run"))
     share = df.groupBy(key).agg(F.avg(F.col("inlier").cast("double")).alias("inlier_share"))
-    joined = share.join(steps, key).join(failed, key, "left").join(outliers, key, "left").fillna(0, ["windows_failed", "outlier_run"])
+    joined = share.join(worst, key).join(failed, key, "left").join(outliers, key, "left").fillna(0, ["windows_failed", "outlier_run"])
     c = F.col
     return checks(joined, [key], {
         "sliding_window": (c("windows_failed"), None, 0),

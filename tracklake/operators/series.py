@@ -108,9 +108,13 @@ def gaps_filled(df: DataFrame, w: WindowSpec, value: str, out: str) -> DataFrame
     return numbered.withColumn(out, F.when(F.col(value).isNotNull(), F.col(value)).when(F.col("_a").isNull(), F.col("_b.v")).when(F.col("_b").isNull(), F.col("_a.v")).otherwise(between)).drop("_i", "_s", "_a", "_b")
 
 
-def path_windows(df: DataFrame, w: WindowSpec, rows: int, prior: tuple[str, ...], refined: tuple[str, ...], absolute_m: float, relative: float) -> DataFrame:
-    """Length of both paths over the last ``rows`` steps, and whether they differ by more than max(absolute, relative * prior); only full windows."""
-    out = df.withColumn("_p", step_length(w, *prior)).withColumn("_r", step_length(w, *refined))
+def path_windows(df: DataFrame, w: WindowSpec, rows: int, prior: tuple[str, ...] | Column, refined: tuple[str, ...] | Column, absolute_m: float, relative: float) -> DataFrame:
+    """Length of both paths over the last ``rows`` steps, and whether they differ by more than max(absolute, relative * prior); only full windows.
+
+    A path is the names of its coordinates, or the length of each row's step.
+    """
+    lengths = {n: path if isinstance(path, Column) else step_length(w, *path) for n, path in (("_p", prior), ("_r", refined))}
+    out = df.withColumns(lengths)
     span = w.rowsBetween(-(rows - 1), 0)
     out = out.withColumn("prior_m", F.sum("_p").over(span)).withColumn("refined_m", F.sum("_r").over(span)).withColumn("_n", F.count("*").over(w.rowsBetween(-rows, 0)))
     out = out.where(F.col("_n") == rows + 1).drop("_p", "_r", "_n")
